@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_ALL = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,36 +79,33 @@ def slices(column: pa.Array):
         start = stop
 
 
-def words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of every word of every row, and for each row the number of words."""
-    data, offsets = text_bytes(column)
-    if lower:
-        data = _LOWER[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and start of every word of the rows that ``offsets`` bound, and whether it
+    has a digit.  Words end at white space and at the end of their row."""
     inside = ~_SPACE[data]
-    # a word ends at white space or at the end of its row
-    first = np.zeros(len(data), dtype=bool)
-    row_starts = offsets[:-1][np.diff(offsets) > 0]
-    first[row_starts] = True
-    before = np.empty_like(inside)
-    if len(inside):
-        before[0] = False
-        before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | first))
-    after = np.empty_like(inside)
-    last = np.zeros(len(data), dtype=bool)
-    last[row_starts[1:] - 1] = True
-    if len(inside):
-        after[-1] = False
-        after[:-1] = inside[1:]
-        last[-1] = True
-    ends = np.flatnonzero(inside & (~after | last)) + 1
+    bound = np.zeros(len(data) + 1, dtype=bool)
+    bound[offsets] = True
+    before = np.zeros(len(data), dtype=bool)
+    before[1:] = inside[:-1]
+    starts = np.flatnonzero(inside & (~before | bound[:-1]))
+    after = np.zeros(len(data), dtype=bool)
+    after[:-1] = inside[1:]
+    ends = np.flatnonzero(inside & (~after | bound[1:])) + 1
     up, down = _cached_powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
     value = (prefix[ends] - prefix[starts]) * down[starts]
     hashes = mix(value ^ (ends - starts).astype(np.uint64) * _ODD)
-    counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return hashes, counts
+    digits = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((data >= 0x30) & (data <= 0x39), out=digits[1:])
+    return hashes, starts, digits[ends] > digits[starts]
+
+
+def words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of every word of every row, and for each row the number of words."""
+    data, offsets = text_bytes(column)
+    hashes, starts, _ = word_spans(_LOWER[data] if lower else data, offsets)
+    return hashes, np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +124,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray
     for k in range(n):
         have = length > k
         index = np.flatnonzero(have) + k
-        part = mix(hashes[index] + np.uint64(k + 1) * _ODD)
+        part = mix(hashes[index] + np.uint64((k + 1) * int(_ODD) & _ALL))
         value[have] = mix(value[have] ^ part)
     value = mix(value + length.astype(np.uint64))
     start = (ends - counts)[row]

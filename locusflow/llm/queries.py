@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from .jaccard import OP4_SQL, op4_jaccard_join
+from .linededup import op10_line_dedup
 from .mixing import op1_source_mixing
+from .packing import op5_best_fit_packing
 from .quality import OP6_SQL, op6_quality_rules
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op4_jaccard_join": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
 }
