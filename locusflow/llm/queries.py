@@ -7,16 +7,22 @@ from .linededup import op10_line_dedup
 from .mixing import op1_source_mixing
 from .packing import op5_best_fit_packing
 from .quality import OP6_SQL, op6_quality_rules
+from .vectors import OP9_SQL, op9_pq_near_dedup
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
+    "op9_pq_near_dedup": op9_pq_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
     "op4_jaccard_join": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op7_warc": OP7_SQL,
+    "op9_pq_near_dedup": OP9_SQL,
 }
