@@ -68,12 +68,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array):
-    """(first row, rows) of consecutive pieces of a column of about _SLICE_BYTES."""
+def slices(column: pa.Array, most: int = _SLICE_BYTES):
+    """(first row, rows) of consecutive pieces of a column of about ``most`` bytes."""
     _, offsets = text_bytes(column)
     start = 0
     while start < len(column):
-        stop = int(np.searchsorted(offsets, offsets[start] + _SLICE_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
         stop = min(max(stop, start + 1), len(column))
         yield start, column.slice(start, stop - start)
         start = stop
