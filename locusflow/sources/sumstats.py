@@ -83,7 +83,7 @@ def split_sample(df: DataFrame, sample: str) -> DataFrame:
     number = lambda k: F.when(F.array_contains(names, k), field(k).try_cast("double"))
     out = df.select(*[c for c in df.columns if c not in ("FORMAT", sample)], *[number(k).alias(k) for k in keys])
     out = out.withColumn("Z", ieee_div(F.col("ES"), F.col("SE")))
-    return out.where(~F.isnan("Z"))
+    return out.where(F.col("Z").isNotNull() & ~F.isnan("Z"))
 
 
 def read_gwas_vcf(spark: SparkSession, path: str, num_rows: int | None = None, maximum_missingness: float = 0.1) -> DataFrame:
