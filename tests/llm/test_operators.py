@@ -1,0 +1,312 @@
+"""Operators against brute force, exact round trips and held-out rows."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from locusflow.llm import hashing, jaccard, lmscore, mixing, packing, quality, secrets, urls, vectors, warc
+from locusflow.llm.common import Scratch, components
+from locusflow.llm.linededup import drop_recurring_lines
+
+DATA = "/root/testdata/sf0.001"
+
+
+def frame(spark, texts, **more):
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_words_and_shingles():
+    texts = ["a b\tc", None, "", "A  b c", "x\ny z é", "a b c d e f", "a b c d e g"]
+    hashes, counts = hashing.words(pa.array(texts), lower=True)
+    assert counts.tolist() == [3, 0, 0, 3, 4, 6, 6]
+    assert hashes[:3].tolist() == hashes[3:6].tolist() and len(set(hashes.tolist())) == 3 + 4 + 4
+    values, rows = hashing.shingles(hashes, counts, 5)
+    assert np.bincount(rows, minlength=7).tolist() == [1, 0, 0, 1, 1, 2, 2]
+    assert values[0] == values[1] and values[3] == values[5] and values[4] != values[6]
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r.node: r.component for r in components(spark, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def near_copies(seed=5, groups=12, base=60):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for g in range(groups):
+        text = [rng.choice(words) for _ in range(rng.choice([6, 8, 9, 12, base, base]))]
+        for _ in range(rng.randrange(1, 8)):
+            copy = list(text)
+            for _ in range(rng.randrange(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            out.append(" ".join(copy))
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    return out + [passage + " " + " ".join(rng.choice(words) for _ in range(40)) for _ in range(40)]
+
+
+@pytest.mark.parametrize("light", [0, jaccard.LIGHT_MAX])
+def test_jaccard_components_are_exact(spark, monkeypatch, light):
+    monkeypatch.setattr(jaccard, "light_boundary", lambda *a: light)
+    texts = near_copies()
+    sets = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    comp = list(range(len(texts)))
+    for _ in comp:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    rows = jaccard.jaccard_components(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp, strict=True))}
+
+
+def test_size_bounds_lose_no_pair():
+    for n in range(1, 40):
+        for m in range(n, 60):
+            c = jaccard.overlap_needed(n, m)
+            assert 100 * c >= 75 * (n + m - c) and 100 * (c - 1) < 75 * (n + m - c + 1)
+            if c <= n:
+                assert n - jaccard.prefix_length(n) < c and m - jaccard.prefix_length(m) < c
+            if n <= jaccard.LIGHT_MAX and c <= n:
+                assert c in jaccard.subset_sizes(n) and c in jaccard.subset_sizes(m)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (50, 60, 1000, 3000, 9000)]
+
+    class Late:
+        value = np.zeros(0, np.uint64)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["d", "t"])
+    rows = pa.Table.from_batches(list(jaccard._index(5, Late, 10, 75, 100)([batch])))
+    sketches = jaccard.Sketches(rows.column("sketch").to_pylist())
+    sets = [{tuple(w[i: i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    p, q = (x.ravel() for x in np.meshgrid(range(5), range(5)))
+    assert all(d <= len(sets[a] ^ sets[b]) for a, b, d in zip(p, q, sketches.apart(p, q), strict=True))
+    assert len(set(sketches.width)) == 3
+
+
+def test_entropy_balancing_meets_two_constraints(spark):
+    cells = spark.createDataFrame([(s, la, float(n)) for s, la, n in [("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 100), (None, "x", 50)]], "source string, lang string, size double")
+    sources = spark.createDataFrame([("a", 300.0), ("b", 400.0), (None, 50.0)], "level string, target double")
+    langs = spark.createDataFrame([("x", 400.0), ("y", 350.0)], "level string, target double")
+    rows = mixing.newton_rates(cells, {"source": sources, "lang": langs}, Scratch(spark)).collect()
+    for name, targets in (("source", sources), ("lang", langs)):
+        for t in targets.collect():
+            assert sum(r["size"] * r.rate for r in rows if r[name] == t.level) == pytest.approx(t.target, rel=1e-5)
+
+
+def test_mix_meets_targets_and_repeats(spark):
+    rng = random.Random(2)
+    docs = frame(spark, [" ".join("w" for _ in range(int(rng.lognormvariate(4, 1)))) for _ in range(900)]).withColumn("source", F.when(F.col("doc_id") < 600, "s0").otherwise(F.col("source")))
+    first = mixing.mix_sources(docs).orderBy("doc_id").collect()
+    assert first == mixing.mix_sources(docs.repartition(7)).orderBy("doc_id").collect()
+    taken, target = {}, {}
+    for r in first:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r["size"] and r.taken == r.copies * r["size"]
+    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in first))
+    assert all(abs(taken[s] - target[s]) < 0.01 * target[s] for s in target)
+
+
+def test_targets_are_capped_and_reshared(spark):
+    rows = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 1000)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.capped_targets(rows).collect()}
+    assert got["a"] == 30 and got["c"] == 300
+    assert got["b"] == pytest.approx(2 * got[None]) and sum(got.values()) == pytest.approx(2110)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    lengths = sorted((rng.choice([rng.randrange(1, 65), rng.randrange(1, 12), 64]) for _ in range(400)), reverse=True)
+    gaps = []
+    for n in lengths:
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((64 if fit is None else fit) - n)
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    runs = packing.best_fit_runs(counts, 64)
+    bins: dict[int, dict[int, int]] = {}
+    for n in counts:
+        own = sorted(r for r in runs if r[0] == n)
+        assert own[0][1] == 0
+        for (_, a, first, offset), stop in zip(own, [*(r[1] for r in own[1:]), counts[n]], strict=True):
+            for k in range(stop - a):
+                assert offset not in bins.setdefault(first + k, {})
+                bins[first + k][offset] = n
+    for parts in bins.values():
+        end = 0
+        for offset, n in sorted(parts.items()):
+            assert offset == end
+            end += n
+        assert end <= 64
+    assert sorted(64 - sum(p.values()) for p in bins.values()) == sorted(gaps)
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    files = packing._public_files()
+    texts = ["", None, "Hello world, déjà vu!", "a b " * 3000, "x" * 3000, "<|endoftext|> y"]
+    rows = packing.pack_documents(frame(spark, texts), max_tokens=256, **files).collect()
+    t = Tokenizer.from_file(files["tokenizer_path"])
+    for i, text in enumerate(texts):
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        ids = [x for r in mine for x in r.ids]
+        assert ids == [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert all(r.length == 256 for r in mine[1:]) and all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in mine)
+    seen: dict[int, list] = {}
+    for r in rows:
+        seen.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all([o for o, _ in sorted(s)] == list(np.cumsum([0, *(n for _, n in sorted(s))])[:-1]) for s in seen.values())
+
+
+def test_cascade_order_follows_rejections_per_cost(spark):
+    docs = spark.createDataFrame([(i, "word " * (5 if i % 2 else 40)) for i in range(200)], "doc_id long, text string")
+    rules = [quality.Rule("never", F.col("n_words") < 0), quality.Rule("half", F.col("n_words") < 20)]
+    order = quality.plan_cascade(quality.features(docs), rules)
+    assert [r.name for r, _, _ in order] == ["half", "never"] and order[0][2] == 0.5
+    kept = quality.quality_filter(docs, rules).where("kept")
+    assert kept.count() == 100
+
+
+def test_quality_stage_agrees_with_the_query(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = {r.doc_id for r in quality.quality_filter(docs).where("kept").collect()}
+    assert {r.doc_id for r in quality.quality_stage(spark, docs, DATA).collect()} == want
+
+
+def test_line_dedup_drops_shared_lines_only(spark):
+    rng = random.Random(3)
+    words = [f"x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, notice = line(60), "All rights reserved by example number {}"
+    own = [[line(12) for _ in range(6)] for _ in range(30)]
+    texts = ["\n".join([*o[:3], *([passage] if i < 8 else []), *([notice.format(1900 + i)] if i % 3 == 0 else []), *o[3:]]) for i, o in enumerate(own)]
+    copies = ["\n".join(line(12) for _ in range(6))] * 5
+    out = {r.doc_id: r for r in drop_recurring_lines(frame(spark, [*texts, *copies, None, ""])).collect()}
+    for i, o in enumerate(own):
+        assert out[i].text == "\n".join(o), i
+    assert all(out[30 + k].text == copies[0] and out[30 + k].n_dropped == 0 for k in range(5))
+    assert out[35].text is None and out[36].text == ""
+
+
+def test_vectors_recall_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    x = np.concatenate([c + 0.12 * rng.normal(size=(30, 32)) for c in centres]).astype(np.float32)
+    label = np.repeat(np.arange(40) % 3, 30)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(label[i])) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.vector_components(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
+    want = links.sum(axis=1) - 1
+    assert want.sum() > 500
+    assert sum(got.values()) >= 0.9 * want.sum()
+    assert got == {i: int(n) for i, n in enumerate(want)}
+
+
+def test_warc_round_trip_and_pushdown(spark, tmp_path):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
+    pages = pages.unionByName(pages.limit(5).withColumn("page_id", F.col("page_id") + 10_000))
+    warc.write_warc(warc.page_records(pages), str(tmp_path / "w"))
+    want = {r.page_id: r.html or "" for r in pages.collect()}
+    rows = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        page = int(re.search(r"\d+", r.record_id)[0])
+        if r.record_type == "response":
+            assert bytes(r.payload).decode() == want[page]
+        else:
+            assert r.payload is None and want[int(re.search(r"\d+", r.refers_to)[0])] == want[page]
+    only = warc.read_warc(spark, str(tmp_path / "w"), "record_id string, record_type string").where("record_type = 'revisit'")
+    assert only.count() == 5
+
+
+def test_warc_skips_blocks_it_does_not_want():
+    import io
+
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n"
+    got = list(warc.read_records(io.BytesIO(data), lambda h: h["warc-type"] == "warcinfo", True))
+    assert [(p, b) for p, _, b in got] == [(data.rindex(b"WARC/1.1"), b"xy")]
+
+
+def test_url_rules(spark):
+    urls_ = {"http://a.com/x": "com/", "https://WWW.example.com/en/1": "www.example.com/en/", "http://m.example.com/en/": "example.com/en/", "http://x.net/es/1?q": "net/es/", "http://x.net/de/": None, "http://a.com": None, "ftp": None, "http://notcom/": None}
+    df = spark.createDataFrame([(i, u, "<title>red fox</title>") for i, u in enumerate(urls_)], "page_id long, url string, html string")
+    assert {r.page_id: r.rule for r in urls.filter_urls(df).collect()} == dict(enumerate(urls_.values()))
+
+
+def test_segmentation():
+    split = urls.segmenter({"red": 50, "fox": 40, "redf": 1, "shop": 30, "the": 100})
+    assert split("redfoxshop") == ["red", "fox", "shop"] and split("thefox") == ["the", "fox"] and split("") == []
+
+
+def test_naive_bayes_on_held_out_urls(spark):
+    rng = random.Random(6)
+    name = lambda block: "".join(rng.choice(["bad", "spam", "win"] if block else ["good", "news", "home"]) for _ in range(2))
+    rows = [(i, f"http://{name(i % 2)}.{'net' if i < 300 else 'org'}/{'es' if i % 2 else 'ok'}/{i}", "<title>good news home bad spam win</title>") for i in range(400)]
+    rules = [("block", "net/es/"), ("allow", "net/ok/")]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).where("rule IS NULL").collect()
+    assert len(got) == 100 and sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) > 95
+
+
+def test_base_patterns():
+    text = "Token: abc\nsecret = \"abcdef12\" AKIA" + "A" * 16 + " " + "0a" * 12 + " password=token=zzzzzz"
+    spans = secrets.base_spans(text)
+    assert [secrets.KINDS[k] for _, k, _ in spans] == ["assign", "access", "hex", "assign"]
+    assert text[spans[0][0]: spans[0][2]] == 'secret = "abcdef12' and text[spans[3][0]: spans[3][2]] == "password=token=zzzzzz"
+
+
+def test_viterbi_is_exact():
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    crf = secrets.Crf()
+    crf.w, crf.t = rng.normal(size=crf.w.shape), rng.normal(size=(3, 3))
+    crf.t[0, 2] = -1e9
+    run = [(0, 1, rng.integers(0, secrets.FEATURES, 5).tolist()) for _ in range(5)]
+    e = crf.emit(run)
+    score = lambda y: sum(e[i, t] for i, t in enumerate(y)) + sum(crf.t[a, b] for a, b in zip([0, *y], [*y, 0], strict=True))
+    assert crf.viterbi(run) == list(max(product(range(3), repeat=5), key=score))
+
+
+def test_crf_on_held_out_secrets(spark):
+    rng = random.Random(9)
+    code = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(n))
+    texts = [f"the value was set\ntoken = {mixed(32)} end of it" if i % 3 == 0 else f"see hash {code(32)} here" if i % 3 == 1 else f"order ref-{i:012d}a of the day" for i in range(300)]
+    crf = secrets.train(frame(spark, texts).select("text", "lang"))
+    fresh = [f"the value was set\nsecret_key => {mixed(32)} end of it" for _ in range(40)] + [f"order ref-{i:012d}a of the day" for i in range(500, 540)]
+    hits = [any(k == 3 for _, k, _ in secrets.scan_text(t, "en", crf)[1]) for t in fresh]
+    assert sum(hits[:40]) >= 36 and sum(hits[40:]) <= 4
+
+
+def test_lm_scores_do_not_depend_on_the_hot_table(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = {r.doc_id: r.score for r in lmscore.lm_scores(docs).collect()}
+    monkeypatch.setattr(lmscore, "HOT", 64)
+    got = {r.doc_id: r.score for r in lmscore.lm_scores(docs.repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
