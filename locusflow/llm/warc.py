@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-from .common import Scratch, table
+from .common import Scratch, n_partitions, table
 
 # Fixed values of the WARC and base32 formats.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -37,6 +37,9 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
+#: Bytes of payload an archive holds at least, once there are many.
+ARCHIVE_BYTES = 256 << 20
+
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, headers map<string,string>, file string, position long, payload binary"
 #: Columns that are headers of a record, and those headers.
 _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
@@ -62,8 +65,9 @@ def page_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
         "id", "url", "payload", "bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("kept")).alias("refers_to"))
 
 
-def write_warc(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
-    """Archives of ``page_records`` rows below ``path``, one per partition."""
+def write_warc(records: DataFrame, path: str, total_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
+    """Archives of ``page_records`` rows below ``path``, one per partition; partitions too
+    many for ``total_bytes`` of payload are put together (each file holds native buffers)."""
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     response = F.col("record_type") == "response"
@@ -74,7 +78,8 @@ def write_warc(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
         F.when(~response, F.lit(f"WARC-Profile: {_REVISIT}")), F.when(~response, F.concat(F.lit("WARC-Refers-To: "), name("refers_to"))),
         F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("X-Payload-Length: "), F.col("bytes").cast("string")),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
-    records.select(F.concat(head, F.lit(_END), block).alias("value")).write.option("lineSep", _END).option("compression", compression).text(path)
+    most = max(n_partitions(records.sparkSession), total_bytes // ARCHIVE_BYTES)
+    records.select(F.concat(head, F.lit(_END), block).alias("value")).coalesce(most).write.option("lineSep", _END).option("compression", compression).text(path)
 
 
 class FilesPartition(InputPartition):
@@ -122,7 +127,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.columns, self.schema = schema.names, schema
         self.path = options["path"]
-        self.bytes = int(options.get("partition_bytes", 64 << 20))
+        self.bytes = int(options.get("partition_bytes", 8 << 20))
         self.tests: list[tuple[str, tuple]] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -198,7 +203,7 @@ class _Raw(io.RawIOBase):
 
 
 class WarcDataSource(DataSource):
-    """Options: path; partition_bytes (files of a partition together, 64 MB).  The
+    """Options: path; partition_bytes (files of a partition together, 8 MB).  The
     digest column is bare (no ``sha1:``), so filters on it are not pushed down."""
 
     @classmethod
@@ -220,7 +225,8 @@ def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFram
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark).path("warc")
-    write_warc(page_records(table(spark, sf_dir, "pages")), path)
+    pages = table(spark, sf_dir, "pages")
+    write_warc(page_records(pages), path, pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0)
     page = lambda c: F.regexp_extract(c, "urn:page:(-?[0-9]+)", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     read = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
