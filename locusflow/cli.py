@@ -11,6 +11,7 @@ from .functions.ordinal import with_ordinal
 from .operators import aggregates as A
 from .operators.joins import partition_variants
 from .plans import models as M
+from .plans.convert import convert_store
 from .sources import annotations, ldgm, store, sumstats
 
 
@@ -50,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--alpha", type=float, default=-0.5)
     p.add_argument("--sample-size", type=int, required=True)
     p.add_argument("--seed", type=int)
-    for name, more in {"test": ["annotations", "out"], "show": [], "add-meta": ["group", "patterns"], "rm": ["pattern"], "mv": ["old", "new"]}.items():
+    for name, more in {"test": ["annotations", "out"], "show": [], "add-meta": ["group", "patterns"], "rm": ["pattern"], "mv": ["old", "new"], "convert": ["genes", "target"]}.items():
         p = sub.add_parser(name)
         p.add_argument("store")
         for a in more:
@@ -108,6 +109,8 @@ def _store(spark: SparkSession, args: argparse.Namespace) -> object:
         return s.remove(args.pattern)
     if args.command == "mv":
         return s.rename(args.old, args.new)
+    if args.command == "convert":
+        return convert_store(s, store.ScoreStore(spark, args.target), annotations.load_gene_table(spark, args.genes))
     annots = spark.read.csv(args.annotations, sep="\t", header=True, inferSchema=True)
     keys = s.meta()[1]
     names = [c for c in annots.columns if c not in keys]
