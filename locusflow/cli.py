@@ -90,11 +90,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
     settings = M.RemlOptions(A.sample_size(rows), iterations=args.iterations, denominator=args.denominator or float(rows.count()))
     packed = M.reml_blocks(variants, inside, edges, names, settings, **how).persist()
     fit = M.fit_reml(packed, names, settings)
-    thetas = M.jackknife_thetas(fit["theta"], fit["blocks"], settings.groups)
+    report = M.reml_report(rows, names, fit, settings)
     packed.unpersist()
-    se = ((len(thetas) - 1) * thetas.var(axis=0, ddof=1)) ** 0.5 if len(thetas) > 1 else [float("nan")] * len(names)
-    results = [(a, float(t), float(s), M.wald_log10_p(v)) for a, t, s, v in zip(names, fit["theta"], se, thetas.T, strict=True)]
-    return store.write_tall_results(spark.createDataFrame(results, "annotation string, parameter double, se double, log10p double"), args.out)
+    return store.write_tall_results(spark.createDataFrame(report), args.out)
 
 
 def _store(spark: SparkSession, args: argparse.Namespace) -> object:

@@ -282,3 +282,38 @@ def wald_log10_p(values: np.ndarray) -> float:
     n = len(values)
     se = np.sqrt((n - 1) * values.var(ddof=1)) if n > 1 else 0.0
     return log10_two_sided(values.mean() / se) if se > 0 else 0.0
+
+
+def heritability_at(rows: DataFrame, annotations: list[str], thetas: np.ndarray, denominator: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per parameter vector and annotation the sum of h2 times annotation, and the annotation
+    sizes.  Tasks return one partial sum each; nothing is multiplied by the vectors' number."""
+    t, k = np.atleast_2d(thetas), len(annotations)
+
+    def run(batches):
+        h2, size = np.zeros((len(t), k)), np.zeros(k)
+        for pdf in batches:
+            a = pdf.to_numpy(float)
+            h2 += (_softplus(a @ t.T) / denominator).T @ a
+            size += a.sum(axis=0)
+        yield pd.DataFrame({"h2": [h2.ravel()], "size": [size]})
+
+    parts = rows.select(*[F.col(a).cast("double").alias(a) for a in annotations]).mapInPandas(run, "h2 array<double>, size array<double>")
+    sums = parts.select(F.posexplode(F.concat("h2", "size")).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    found = np.array([r.x for r in sums])
+    return found[:-k].reshape(len(t), k), found[-k:]
+
+
+def reml_report(rows: DataFrame, annotations: list[str], fit: dict, options: RemlOptions) -> pd.DataFrame:
+    """Per annotation the parameter, heritability and enrichment, each with its jackknife
+    standard error and log10 p.  The p of an enrichment tests the difference of the
+    heritability per unit from that of the first annotation; its error is the quotient's."""
+    thetas = jackknife_thetas(fit["theta"], fit["blocks"], options.groups)
+    h2, size = heritability_at(rows, annotations, np.vstack([fit["theta"], thetas]), options.denominator)
+    per = h2 / size
+    quotient, difference = per / per[:, :1], per - per[:, :1]
+    n = len(thetas)
+    se = lambda v: np.sqrt((n - 1) * v.var(axis=0, ddof=1)) if n > 1 else np.full(len(annotations), np.nan)
+    out = {"annotation": annotations, "parameter": fit["theta"], "parameter_se": se(thetas), "parameter_log10p": [wald_log10_p(v) for v in thetas.T]}
+    out |= {"heritability": h2[0], "heritability_se": se(h2[1:]), "heritability_log10p": [wald_log10_p(v) for v in h2[1:].T]}
+    out |= {"enrichment": quotient[0], "enrichment_se": se(quotient[1:]), "enrichment_log10p": [wald_log10_p(v) for v in difference[1:].T]}
+    return pd.DataFrame(out)

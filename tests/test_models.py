@@ -99,3 +99,7 @@ def test_reml_increases_the_likelihood(spark):
     assert fit["likelihood"][-1] >= fit["likelihood"][0]
     thetas = M.jackknife_thetas(fit["theta"], fit["blocks"], 4)
     assert thetas.shape[1] == 2 and M.wald_log10_p(thetas[:, 0]) <= 0
+    report = M.reml_report(s, ["base", "odd"], fit, options)
+    rows = s.select("base", "odd").toPandas().to_numpy(float)
+    h2 = np.log1p(np.exp(rows @ fit["theta"])) / options.denominator
+    assert np.allclose(report.heritability, h2 @ rows) and report.enrichment[0] == 1 and report.enrichment_log10p[0] == 0
