@@ -20,6 +20,21 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows, never more: the first few of every partition, without a shuffle.
+    The same on reruns over the same files."""
+    parts = (df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    few = df.withColumn("_row", inside).where(F.col("_row") < max(1, rows // parts)).drop("_row")
+    return few if parts <= rows else few.limit(rows)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts of at most so many rows, to keep Python workers small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 class Scratch:
     """Intermediate tables as Parquet below ``spark.checkpoint.dir``.
 

@@ -7,6 +7,9 @@ sequence, so everything here works on the UTF-8 bytes of a batch at once.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,7 +19,25 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"): ord("Z") + 1] += 32
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 2 << 20
+
+
+def release_memory() -> None:
+    """Hands freed memory back to the system, so that an idle worker stays small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(task):
+    """A mapInArrow function that hands memory back behind every batch and at its end."""
+    def run(batches):
+        for out in task(batches):
+            yield out
+            del out
+            release_memory()
+
+    return run
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +100,7 @@ def slices(column: pa.Array, most: int = _SLICE_BYTES):
         start = stop
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, digits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Hash and start of every word of the rows that ``offsets`` bound, and whether it
     has a digit.  Words end at white space and at the end of their row."""
     inside = ~_SPACE[data]
@@ -96,46 +117,63 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
     value = (prefix[ends] - prefix[starts]) * down[starts]
     hashes = mix(value ^ (ends - starts).astype(np.uint64) * _ODD)
-    digits = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum((data >= 0x30) & (data <= 0x39), out=digits[1:])
-    return hashes, starts, digits[ends] > digits[starts]
+    if not digits:
+        return hashes, starts, None
+    seen = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum((data >= 0x30) & (data <= 0x39), out=seen[1:])
+    return hashes, starts, seen[ends] > seen[starts]
 
 
 def words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of every word of every row, and for each row the number of words."""
     data, offsets = text_bytes(column)
-    hashes, starts, _ = word_spans(_LOWER[data] if lower else data, offsets)
+    hashes, starts, _ = word_spans(_LOWER[data] if lower else data, offsets, digits=False)
     return hashes, np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
 
 
+def _rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive words: a combination with odd factors, mixed."""
+    m = len(hashes) - n + 1
+    value = np.full(m, np.uint64(n))
+    for k in range(n):
+        value += hashes[k: k + m] * np.uint64(pow(_BASE, 2 * k + 1, 1 << 64))
+    return mix(value)
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word shingles of each row and the row of each.
 
     A row with fewer than n words but at least one has its whole sequence as its
     only shingle (its length is part of the hash); a row without words has none.
     """
-    row = np.repeat(np.arange(len(counts)), counts)
     ends = np.cumsum(counts)
-    total = len(hashes)
-    if total == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    value = np.zeros(total, dtype=np.uint64)
-    length = np.minimum(n, ends[row] - np.arange(total))
-    for k in range(n):
-        have = length > k
-        index = np.flatnonzero(have) + k
-        part = mix(hashes[index] + np.uint64((k + 1) * int(_ODD) & _ALL))
-        value[have] = mix(value[have] ^ part)
-    value = mix(value + length.astype(np.uint64))
-    start = (ends - counts)[row]
-    keep = (length == n) | ((counts[row] < n) & (np.arange(total) == start))
-    return value[keep], row[keep]
+    row = np.repeat(np.arange(len(counts)), counts)
+    if len(hashes) >= n:
+        value, at = _rolling(hashes, n), row[: len(hashes) - n + 1]
+        whole = at == row[n - 1:]
+        value, at = value[whole], at[whole]
+    else:
+        value, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if len(short):
+        values, rows = [value], [at]
+        for k in range(1, n):
+            own = short[counts[short] == k]
+            if len(own):
+                values.append(_rolling(hashes, k)[ends[own] - k])
+                rows.append(own)
+        value, at = np.concatenate(values), np.concatenate(rows)
+        order = np.argsort(at, kind="stable")
+        value, at = value[order], at[order]
+    return value, at
 
 
 def distinct_by_row(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each row, sorted by row and value."""
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
+    """Distinct values of each row, sorted by row and value; ``rows`` are in order."""
+    values = values.copy()
+    edges = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1], True]) if len(rows) else []
+    for a, b in zip(edges, edges[1:], strict=False):
+        values[a:b].sort()
     keep = np.ones(len(values), dtype=bool)
     keep[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
     return values[keep], rows[keep]
