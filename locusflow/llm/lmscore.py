@@ -30,23 +30,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_partitions, table
-from .hashing import mix, slices, words
+from .common import bounded_sample, n_partitions, small_batches, table
+from .hashing import mix, release_memory, releasing, slices, words
 
 ALPHA, MIN_COUNT = 0.4, 2
 #: Words, and bigrams, that take the broadcast way; documents sampled to find them.
 HOT, SAMPLE = 1 << 16, 20_000
 _NULL = -(1 << 63)
 _COLD = np.uint64(1 << 63)
-_TOKENS_PER_BUCKET = 4_000_000
+_TOKENS_PER_BUCKET = 1_500_000
+#: Bytes of text whose n-grams are pre-aggregated together.
+_TOGETHER = 6 << 20
 _PACKED = "bucket long, kind int, a binary, b binary, c binary, d binary"
 
 
 def _grams(column: pa.Array):
-    """Hash of each word and of the one before it (0: <s>), and the row of each."""
-    hashes, counts = words(column, lower=True)
-    hashes |= _COLD  # 0 is left for <s>, and low values for codes
-    row = np.repeat(np.arange(len(counts)), counts)
+    """Hash of each word and of the one before it (0: <s>), and the row of each.
+
+    Words are hashed in small pieces, which keeps the work arrays over bytes small."""
+    parts = [(words(piece, lower=True), start) for start, piece in slices(column)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = np.concatenate([h for (h, _), _ in parts]) | _COLD  # 0 is left for <s>, and low values for codes
+    counts = np.concatenate([c for (_, c), _ in parts])
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     before = np.zeros_like(hashes)
     if len(hashes):
         before[1:] = np.where(row[1:] == row[:-1], hashes[:-1], np.uint64(0))
@@ -154,7 +161,7 @@ def _deal(model, buckets: int):
     def run(batches):
         m: Model = model.value
         for batch in batches:
-            for start, column in slices(batch.column(1), 32 << 20):
+            for start, column in slices(batch.column(1), _TOGETHER):
                 ids = batch.column(0).slice(start, len(column)).fill_null(_NULL).to_numpy().astype(np.int64)
                 a, b, row = _grams(column)
                 at, hot = _look(m.pairs, _pair(a, b))
@@ -240,6 +247,7 @@ def _join_bigrams(model, buckets: int):
             for k, s in _cut(bucket[order]):
                 used, local = np.unique(docs[s], return_inverse=True)
                 out.append(_row(k, _TO_COLD, y[s], local.astype(np.uint32), used))
+        release_memory()
         return pa.table(_rows(out), names=_NAMES)
     return run
 
@@ -266,6 +274,7 @@ def _join_words(model, buckets: int):
         ids, at = np.unique(d, return_inverse=True)
         total = np.bincount(at, np.concatenate(scores), len(ids)) if len(d) else np.zeros(0)
         size = np.bincount(at, np.concatenate(sizes), len(ids)).astype(np.int64) if len(d) else np.zeros(0, np.int64)
+        release_memory()
         return pa.table({"doc": ids, "score": pa.array(total, pa.float64()), "n": pa.array(size, pa.int64())})
     return run
 
@@ -273,9 +282,10 @@ def _join_words(model, buckets: int):
 def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, score, mean_score) of every document by the model of all of them."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = "kind int, hash long, n long"
-    sample = texts.select("text").limit(SAMPLE).mapInArrow(_frequent(HOT), counted).groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    sample = bounded_sample(texts.select("text"), SAMPLE).mapInArrow(releasing(_frequent(HOT)), counted).groupBy("kind", "hash").agg(F.sum("n").alias("n"))
     tops = [np.sort(np.array([r["hash"] for r in sample.where(F.col("kind") == k).orderBy(F.desc("n"), "hash").limit(HOT - 1).collect()], np.int64).view(np.uint64)) for k in (1, 2)]
     hot = spark.sparkContext.broadcast(tops)
     rows = texts.select("text").mapInArrow(_count_hot(hot), counted).groupBy("kind", "hash").agg(F.sum("n").alias("n")).collect()  # at most 2 HOT rows
@@ -283,7 +293,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT,
     buckets = max(n_partitions(spark), model.n // _TOKENS_PER_BUCKET + 1)
     model = spark.sparkContext.broadcast(model)
     joined, unigrams = _join_bigrams(model, buckets), _join_words(model, buckets)
-    packed = texts.mapInArrow(_deal(model, buckets), _PACKED).groupBy("bucket").applyInArrow(lambda t: joined(t), _PACKED)
+    packed = texts.mapInArrow(releasing(_deal(model, buckets)), _PACKED).groupBy("bucket").applyInArrow(lambda t: joined(t), _PACKED)
     sums = packed.groupBy("bucket").applyInArrow(lambda t: unigrams(t), "doc long, score double, n long").groupBy("doc").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
     ids = texts.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc")).distinct()
     out = ids.join(sums, "doc", "left").select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
