@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
 #: (verdict, host and path prefix)
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -131,7 +131,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, train_ro
     parsed = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     parsed = parsed.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"))
     vocabulary = spark.sparkContext.broadcast(title_words(pages, html_col))
-    sample = parsed.where("rule IS NOT NULL").orderBy(F.xxhash64("page_id", "host", "path")).limit(train_rows).select("verdict", "host", "path")
+    sample = bounded_sample(parsed.where("rule IS NOT NULL"), train_rows).select("verdict", "host", "path")
     tokens = sample.mapInArrow(_tokens(vocabulary), "verdict string, tokens array<string>")
     counts = tokens.select("verdict", F.explode("tokens").alias("token")).groupBy("token", "verdict").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token", "verdict").limit(FEATURES).collect()
     docs = {r.verdict: r["count"] for r in sample.groupBy("verdict").count().collect()}
