@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -155,6 +155,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) per piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = scratch.save(texts.mapInArrow(_pieces(max_tokens, end_id, with_ids, tokenizer_path, ranks_path, pattern), "doc_id long, piece int, start long, length long, crc long, ids array<int>"))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_tokens rows
