@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, bounded_sample, table
 
 #: Rows of the bounded sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -38,7 +38,7 @@ class Rule:
 
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def text_words(text: Column) -> Column:
@@ -64,47 +64,54 @@ def n_repeat_words(words: Column, window: int = _WINDOW) -> Column:
 
     def count(hashed: Column) -> Column:
         again = lambda s, i: ((i > 0) & (F.get(hashed, i - 1)["h"] == s["h"])) | F.coalesce(F.get(hashed, i + 1)["h"] == s["h"], F.lit(False))
-        starts = F.array_sort(F.transform(F.filter(hashed, again), lambda s: s["i"]))
+        starts = F.sort_array(F.transform(F.filter(hashed, again), lambda s: s["i"]))
         covered = lambda p: F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window))))
         return F.aggregate(_let(starts, covered), F.lit(0), lambda a, x: a + x)
 
     def hashes(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - window)
-        return F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, window)).alias("h"), i.alias("i"))))
+        return F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, window)).alias("h"), i.alias("i"))))
 
     return F.when(F.size(words) > window, _let(hashes(words), count)).otherwise(0).cast("long")
 
 
-def default_rules() -> list[Rule]:
-    """The production rules, over the columns that ``features`` adds."""
+#: Names of the features that rules are stated over.
+FEATURES = ("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def feature_columns(text: Column, words: Column) -> dict[str, Column]:
+    return {
+        "text": text, "n_words": F.size(words).cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": n_symbols(text), "n_dup_lines": n_dup_lines(text), "n_repeat_words": n_repeat_words(words),
+    }
+
+
+def default_rules(f: dict[str, Column] | None = None) -> list[Rule]:
+    """The production rules over features: columns of these names, or, to have a feature
+    computed only where a rule needs it, the expressions themselves."""
+    f = f or {name: F.col(name) for name in FEATURES}
+    text = F.coalesce(f["text"], F.lit(""))
     return [
-        Rule("too_short", F.col("n_words") < 20),
-        Rule("repeated_windows", 100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        Rule("symbols", F.col("n_symbols") > F.greatest(F.lit(10), F.col("n_words") / 10)),
-        Rule("word_length", (F.col("word_chars") > 12 * F.col("n_words")) | (2 * F.col("word_chars") < 5 * F.col("n_words"))),
-        Rule("repeated_lines", (F.col("n_dup_lines") > 3) & (2 * F.col("n_dup_lines") > F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)))),
-        Rule("shouting", F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[^A-Z!]", "")) > F.length(F.coalesce(F.col("text"), F.lit(""))) / 2),
+        Rule("too_short", f["n_words"] < 20),
+        Rule("repeated_windows", 100 * f["n_repeat_words"] > 30 * f["n_words"]),
+        Rule("symbols", f["n_symbols"] > F.greatest(F.lit(10), f["n_words"] / 10)),
+        Rule("word_length", (f["word_chars"] > 12 * f["n_words"]) | (2 * f["word_chars"] < 5 * f["n_words"])),
+        Rule("repeated_lines", (f["n_dup_lines"] > 3) & (2 * f["n_dup_lines"] > F.size(F.split(text, "\n", -1)))),
+        Rule("shouting", F.length(F.regexp_replace(text, "[^A-Z!]", "")) > F.length(text) / 2),
     ]
 
 
 def features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
-    text = F.col("text")
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("words", text_words(text))
-    return out.select(
-        "doc_id", "text", F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(F.col("words")).alias("n_repeat_words"),
-    )
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("words", text_words(F.col("text")))
+    return out.select("doc_id", *[c.alias(name) for name, c in feature_columns(F.col("text"), F.col("words")).items()])
 
 
-def plan_cascade(featured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+def plan_cascade(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, float]]:
     """The rules as (rule, cost in seconds, share rejected), most rejections per cost first.
 
-    The sample is the first ``sample_rows`` rows Spark delivers; it only decides
-    the order of evaluation.  Ties keep the given order.
+    ``sample`` is bounded and only decides the order of evaluation.  Ties keep the given order.
     """
-    sample = featured.limit(sample_rows)
     found = []
     for rule in rules:
         began = time.perf_counter()
@@ -124,7 +131,8 @@ def cascade(rules: list[Rule]) -> Column:
 def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Features of every document, ``rejected_by`` (null if kept) and ``kept``."""
     featured = features(docs, text_col, id_col)
-    order = [r for r, _, _ in plan_cascade(featured, rules or default_rules(), sample_rows)]
+    sampled = features(bounded_sample(docs, sample_rows), text_col, id_col)
+    order = [r for r, _, _ in plan_cascade(sampled, rules or default_rules())]
     return featured.withColumn("rejected_by", cascade(order)).withColumn("kept", F.col("rejected_by").isNull())
 
 
@@ -138,16 +146,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no rule rejects, with all their columns."""
-    flag = "_kept_by_quality_rules"
-    text = docs.columns
-    inner = docs.select(F.struct(*[F.col(c) for c in text]).alias("row"), F.col("text"), F.col("doc_id"))
-    featured = inner.withColumn("words", text_words(F.col("text"))).select(
-        "row", "text", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        n_symbols(F.col("text")).alias("n_symbols"), n_dup_lines(F.col("text")).alias("n_dup_lines"), n_repeat_words(F.col("words")).alias("n_repeat_words"),
-    )
-    order = [r for r, _, _ in plan_cascade(featured, default_rules())]
-    return featured.withColumn(flag, cascade(order)).where(F.col(flag).isNull()).select("row.*")
+    """The documents that no rule rejects, with all their columns.  Features are computed
+    inside the cascade, so a document is only looked at as far as its first rejection; its
+    words are bound once, which also holds when the filter is pushed below projections."""
+    sample = bounded_sample(docs, SAMPLE_ROWS).select("text").withColumn("words", text_words(F.col("text")))
+    order = [r.name for r, _, _ in plan_cascade(sample, default_rules(feature_columns(F.col("text"), F.col("words"))))]
+
+    def verdict(words: Column) -> Column:
+        rules = {r.name: r for r in default_rules(feature_columns(F.col("text"), words))}
+        return cascade([rules[name] for name in order])
+
+    return docs.where(_let(text_words(F.col("text")), verdict).isNull())
 
 
 OP6_SQL = r"""
