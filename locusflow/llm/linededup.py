@@ -8,11 +8,11 @@ without digits are generalised too.  A template recurs if enough documents hold
 that are not themselves mostly made of recurring templates (those are copies, which
 near-duplicate removal handles); its lines are dropped from all documents.
 
-Scale: the tree's leaves only see distinct lines, only of leaves that could recur,
-and a leaf of more than ``leaf_limit`` distinct lines is split by the first half of
-the tokens; a half that is still too large takes whole lines as templates.  Counting
-is by partial aggregation; texts are never shuffled except for documents that lose
-lines.
+Scale: the tree's leaves only see distinct lines, only of leaves that could recur.
+A leaf of more than ``leaf_limit`` distinct lines gets the same templates from rounds
+of joins on the parts that lines share (``spread_clusters``), so no task holds a whole
+leaf.  Counting is by partial aggregation; texts are never shuffled except for
+documents that lose lines.
 
 Defined results: null text counts as empty and stays null; lines of fewer than
 ``min_words`` tokens and blank lines are never dropped; a line repeated inside one
@@ -22,6 +22,8 @@ table gives no rows; other columns pass through unread.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -71,9 +73,9 @@ def _lines(min_words: int):
                 at = pa.array(row[keep])
                 longs = lambda x: pa.array(x[keep].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(column)).take(at), batch.column(1).slice(start, len(column)).take(at), pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), longs(key), longs(lead), longs(half),
+                    [batch.column(0).slice(start, len(column)).take(at), batch.column(1).slice(start, len(column)).take(at), pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), longs(key), longs(lead),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * _PARTS), pa.array(parts.ravel()))],
-                    names=["doc_id", "text_hash", "line", "n", "key", "lead", "half", "parts"])
+                    names=["doc_id", "text_hash", "line", "n", "key", "lead", "parts"])
     return run
 
 
@@ -90,23 +92,45 @@ def cluster(leaf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": keys, "template": keys[found]})
 
 
+def spread_clusters(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """The templates of ``cluster`` (key, template) for leaves too large for one task.
+
+    Lines that agree in three quarters of their parts are equal in one choice of so
+    many parts, so they meet in a join on a hash of each choice.  A round makes
+    templates of the lines with no earlier open line beside them and closes what they
+    cover; these are the templates the loop of ``cluster`` finds in turn, and at the end
+    every line goes to the earliest template it agrees with.
+    """
+    agree = [F.xxhash64("leaf", F.lit(i), *[F.col("parts")[k] for k in c]) for i, c in enumerate(combinations(range(_PARTS), int(_PARTS * _AGREE)))]
+    choices = lambda df: df.select("me", F.explode(F.array(*agree)).alias("p"))
+    first = lambda df: choices(df).groupBy("p").agg(F.min("me").alias("m"))
+    every = still = lines.select(F.struct((-F.col("docs")).alias("order"), "key").alias("me"), "leaf", "parts")
+    found = None
+    while not still.isEmpty():
+        least = choices(still).join(first(still), "p").groupBy("me").agg(F.min("m").alias("m"))
+        seeds = scratch.save(still.join(least.where("me = m").select("me"), "me", "left_semi"))
+        covered = choices(still).join(first(seeds).select("p"), "p", "left_semi").select("me").distinct()
+        still = scratch.save(still.join(covered, "me", "left_anti"))
+        found = seeds if found is None else found.unionByName(seeds)
+    if found is None:
+        return lines.select("key", F.col("key").alias("template"))
+    return choices(every).join(first(found), "p").groupBy("me").agg(F.min("m").alias("m")).select(F.col("me.key").alias("key"), F.col("m.key").alias("template"))
+
+
 def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, copy_share: float = COPY_SHARE, leaf_limit: int = LEAF_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, line, template) of the lines of recurring templates."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    schema = "doc_id long, text_hash long, line int, n int, key long, lead long, half long, parts array<long>"
+    schema = "doc_id long, text_hash long, line int, n int, key long, lead long, parts array<long>"
     lines = scratch.save(texts.mapInArrow(releasing(_lines(min_words)), schema))
-    held = lines.groupBy("doc_id", "text_hash", "key", "lead", "half").agg(F.first("parts").alias("parts"))
-    distinct = scratch.save(held.groupBy("lead", "half", "key").agg(F.count("*").alias("docs"), F.first("parts").alias("parts")))
+    held = lines.groupBy("doc_id", "text_hash", "key", "lead").agg(F.first("parts").alias("parts"))
+    distinct = scratch.save(held.groupBy("lead", "key").agg(F.count("*").alias("docs"), F.first("parts").alias("parts")))
     by_lead = distinct.groupBy("lead").agg(F.sum("docs").alias("ld"), F.count("*").alias("lk")).where(F.col("ld") >= min_docs)
     some = distinct.join(by_lead, "lead")
-    by_half = some.groupBy("half").agg(F.count("*").alias("hk"))
-    some = some.join(by_half, "half")
-    leaf = F.when(F.col("lk") <= leaf_limit, F.col("lead")).when(F.col("hk") <= leaf_limit, F.col("half")).otherwise(F.col("key"))
-    some = scratch.save(some.select("key", "docs", "parts", leaf.alias("leaf"), "lk"))
+    some = scratch.save(some.select("key", "docs", "parts", F.col("lead").alias("leaf"), "lk"))
     alone = some.where("lk = 1").select("key", F.col("key").alias("template"))
-    shared = some.where("lk > 1").groupBy("leaf").applyInPandas(lambda pdf: cluster(pdf), "key long, template long")
-    templates = scratch.save(alone.unionByName(shared))
+    shared = some.where((F.col("lk") > 1) & (F.col("lk") <= leaf_limit)).groupBy("leaf").applyInPandas(lambda pdf: cluster(pdf), "key long, template long")
+    templates = scratch.save(alone.unionByName(shared).unionByName(spread_clusters(some.where(F.col("lk") > max(1, leaf_limit)), scratch)))
     found = scratch.save(lines.select("doc_id", "text_hash", "line", "n", "key").join(templates, "key").drop("key"))
     per_doc = found.groupBy("template", "doc_id", "text_hash").agg(F.sum("n").alias("n"))
     often = per_doc.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
