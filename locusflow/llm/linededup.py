@@ -4,9 +4,11 @@ Every line becomes tokens; tokens with a digit are variable fields.  A fixed-dep
 tree sorts lines by token count and then by their first tokens.  In a leaf, lines
 join the first template that agrees with them in three quarters of their parts (a
 line's tokens in up to eight runs), most frequent lines first, so fields that vary
-without digits are generalised too.  A template recurs if enough documents hold it
-that are not themselves mostly made of recurring templates (those are copies, which
-near-duplicate removal handles); its lines are dropped from all documents.
+without digits are generalised too.  A template recurs if ``min_docs`` different
+documents hold it, or two if it is a passage of more than ``LONG`` tokens; its lines
+are dropped from all documents.  Near copies (as near-duplicate removal links them)
+count as one document, so copies alone make no template recur.  Only documents mostly
+made of lines that others have are looked at as possible copies.
 
 Scale: the tree's leaves only see distinct lines, only of leaves that could recur.
 A leaf of more than ``leaf_limit`` distinct lines gets the same templates from rounds
@@ -32,10 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, table
 from .hashing import mix, releasing, slices, text_bytes, word_spans
+from .jaccard import jaccard_components
 
 MIN_DOCS = 3
 MIN_WORDS = 3
-#: Share of a document's tokens in recurring templates from which on it counts as a copy.
+#: Passages of more tokens recur from two documents on.
+LONG = 50
+#: Share of a document's tokens in lines of other documents from which on it may be a copy.
 COPY_SHARE = 0.5
 LEAF_LIMIT = 512
 _PARTS, _AGREE = 8, 0.75
@@ -125,20 +130,36 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS,
     lines = scratch.save(texts.mapInArrow(releasing(_lines(min_words)), schema))
     held = lines.groupBy("doc_id", "text_hash", "key", "lead").agg(F.first("parts").alias("parts"))
     distinct = scratch.save(held.groupBy("lead", "key").agg(F.count("*").alias("docs"), F.first("parts").alias("parts")))
-    by_lead = distinct.groupBy("lead").agg(F.sum("docs").alias("ld"), F.count("*").alias("lk")).where(F.col("ld") >= min_docs)
+    least = min(2, min_docs)
+    by_lead = distinct.groupBy("lead").agg(F.sum("docs").alias("ld"), F.count("*").alias("lk")).where(F.col("ld") >= least)
     some = distinct.join(by_lead, "lead")
     some = scratch.save(some.select("key", "docs", "parts", F.col("lead").alias("leaf"), "lk"))
     alone = some.where("lk = 1").select("key", F.col("key").alias("template"))
     shared = some.where((F.col("lk") > 1) & (F.col("lk") <= leaf_limit)).groupBy("leaf").applyInPandas(lambda pdf: cluster(pdf), "key long, template long")
     templates = scratch.save(alone.unionByName(shared).unionByName(spread_clusters(some.where(F.col("lk") > max(1, leaf_limit)), scratch)))
     found = scratch.save(lines.select("doc_id", "text_hash", "line", "n", "key").join(templates, "key").drop("key"))
-    per_doc = found.groupBy("template", "doc_id", "text_hash").agg(F.sum("n").alias("n"))
-    often = per_doc.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    per_doc = found.groupBy("template", "doc_id", "text_hash").agg(F.sum("n").alias("n"), F.max("n").alias("longest"))
+    often = per_doc.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least).select("template")
+    held = per_doc.join(often, "template").select("template", "doc_id", "text_hash", "n", "longest")
     size = lines.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("size"))
-    inside = per_doc.join(often, "template").groupBy("doc_id", "text_hash").agg(F.sum("n").alias("inside"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    own = size.join(inside, same(size, inside)).where(F.col("inside") <= copy_share * F.col("size")).select(size["doc_id"], size["text_hash"])
-    counted = per_doc.join(own, same(per_doc, own), "left_semi").groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    inside = held.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("inside"))
+    # every line of a text that two documents share is in ``held``, so equal texts may be copies together
+    maybe = size.join(inside, same(size, inside)).where(F.col("inside") > copy_share * F.col("size")).select(size["doc_id"], size["text_hash"]).groupBy("text_hash").agg(F.min("doc_id").alias("one"))
+    maybe = scratch.save(maybe)
+    by_text = held.groupBy("template", "text_hash").agg(F.max("longest").alias("longest")).join(maybe.select("text_hash", F.lit(1).alias("copy")), "text_hash", "left")
+    by_text = scratch.save(by_text)
+    needed = F.when(F.max("longest") > LONG, least).otherwise(min_docs)
+    votes = by_text.groupBy("template").agg(F.count("*").alias("most"), F.count(F.when(F.col("copy").isNull(), 1)).alias("sure"), needed.alias("needed")).where("most >= needed")
+    votes = scratch.save(votes)
+    # only where the possible copies decide are they compared
+    unsure = by_text.join(votes.where("sure < needed").select("template", "needed"), "template").select("template", "text_hash", "copy", "needed")
+    ask = unsure.where("copy = 1").select("text_hash").distinct().join(maybe, "text_hash")
+    copies = scratch.save(texts.join(ask, (texts["text_hash"] == ask["text_hash"]) & texts["doc_id"].eqNullSafe(ask["one"]), "left_semi").select("text_hash", "text"))
+    copies = jaccard_components(copies, id_col="text_hash").where("doc_id <> component_id").select(F.col("doc_id").alias("text_hash"), "component_id").distinct()
+    groups = unsure.join(copies, "text_hash", "left").select("template", "needed", F.coalesce("component_id", "text_hash").alias("of")).distinct()
+    decided = groups.groupBy("template", "needed").agg(F.count("*").alias("docs")).where("docs >= needed").select("template")
+    counted = votes.where("sure >= needed").select("template").unionByName(decided)
     return found.join(counted, "template").select("doc_id", "text_hash", "line", "template")
 
 

@@ -226,6 +226,22 @@ def test_line_dedup_finds_templates_of_large_leaves(spark):
     assert stage == {r.doc_id: r.text for r in out}
 
 
+def test_line_dedup_tells_boilerplate_from_copies(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    lines = lambda *sizes: [line(n) for n in sizes]
+    notice, blocks, passage, short, copied = line(60), lines(20, 20, 20), line(55), line(45), lines(15, 55, 15, 15, 15, 15, 15)
+    own = [lines(10, 10, 10, 10) for _ in range(12)]
+    texts = [[notice, *o] for o in own[:4]] + [[blocks[0], *o[:2], *blocks[1:], *o[2:]] for o in own[4:8]]
+    texts += [[*own[8], passage], [passage, *own[9]], [*own[10], short], [short, *own[11]]]
+    want = own[:10] + [[*own[10], short], [short, *own[11]]]
+    near = [[*copied[:6], line(15)] for _ in range(3)]
+    near += [copied, copied]
+    out = sorted(drop_recurring_lines(frame(spark, ["\n".join(t) for t in texts + near])).collect())
+    assert [r.text.split("\n") for r in out] == want + near
+
+
 def test_spread_clusters_are_the_clusters_of_one_task(spark):
     rng = random.Random(11)
     rows = [(leaf, 1000 * leaf + i, rng.choice([1, 1, 1, 2, 5]), [leaf, 0, 0, *(rng.randrange(3) for _ in range(5))]) for leaf in range(2) for i in range(150)]
