@@ -117,13 +117,15 @@ def nearest_genes(variants: DataFrame, genes: DataFrame, weights: tuple[float, .
         raise ValueError("more weights than genes")
     v = variants.select(F.col(variant_id).alias("variant_id"), F.col("CHR").cast("bigint").alias("CHR"), F.col("POS").cast("bigint").alias("POS"))
     g = genes.select(F.col("CHR").cast("bigint").alias("CHR"), F.col("POS").cast("bigint").alias("POS"), F.col("gene_idx").cast("bigint").alias("gene_idx"))
-    n = g.groupBy("CHR").agg(F.count("*").alias("n_own"), F.sort_array(F.collect_list(F.struct("POS", "gene_idx"))).alias("gs"))
+    n = g.groupBy("CHR").agg(F.count("*").alias("n_own"), F.sort_array(F.collect_list(F.struct("POS", "gene_idx"))).alias("gs"), F.sort_array(F.collect_list(F.struct("POS", (-F.col("gene_idx")).alias("back")))).alias("low"))
+    # genes below a variant: of those at one position the smallest index comes last, so a tie at the edge keeps it
+    n = n.withColumn("low", F.transform("low", lambda g: F.struct(g["POS"].alias("POS"), (-g["back"]).alias("gene_idx"))))
     every = g.agg(F.sort_array(F.collect_list(F.struct((F.col("CHR") * SPAN + F.col("POS")).alias("G"), "CHR", "gene_idx"))).alias("all_gs"))
     # genes are a bounded table (some ten thousand); variants are not
     own = v.join(small(n), "CHR", "left")
     distance = lambda g: F.abs(g["POS"] - F.col("POS"))
     lower = F.coalesce(F.size(F.filter("gs", lambda g: g["POS"] < F.col("POS"))), F.lit(0))
-    near = F.slice("gs", F.greatest(F.lit(1), F.col("_at") - k + 1), F.lit(4 * k))
+    near = F.concat(F.slice("low", F.greatest(F.lit(1), F.col("_at") - k + 1), F.least(F.lit(k), F.col("_at"))), F.slice("gs", F.col("_at") + 1, F.lit(k)))
     own = own.withColumn("_at", lower).withColumn("_own", F.coalesce(near, F.array().cast("array<struct<POS:bigint,gene_idx:bigint>>")))
     ranked = F.slice(F.array_sort(F.transform("_own", lambda g: F.struct(F.lit(0).alias("far"), distance(g).alias("d"), g["gene_idx"].alias("gene_idx")))), 1, k)
     own = own.select("variant_id", "CHR", "POS", ranked.alias("own"))

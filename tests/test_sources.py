@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from locusflow.operators import joins as J
 from locusflow.sources import annotations as N
 from locusflow.sources import ldgm, store, sumstats
 from locusflow.streaming.scores import stream_scores
@@ -137,3 +138,12 @@ def test_stream(spark, tmp_path):
     q = stream_scores(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["a"]).writeStream.format("memory").queryName("scores").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.jk, r.u) for r in spark.table("scores").collect()} == {(0, 3.0), (1, 0.0)}
+
+
+def test_nearest_genes_at_one_position_go_by_index(spark):
+    genes = [(1, 100, i) for i in range(1, 11)] + [(1, 300, i) for i in range(21, 51)] + [(1, 9000, 60), (2, 5, 70)]
+    places = [(1, 200), (2, 150), (3, 290), (4, 300), (5, 100), (6, 5000)]
+    v = spark.createDataFrame([(i, 1, p) for i, p in places], "variant_id long, CHR long, POS long")
+    got = {(r.variant_id, r.rank): r.gene_idx for r in J.nearest_genes(v, spark.createDataFrame(genes, "CHR long, POS long, gene_idx long")).collect()}
+    want = {i: sorted((abs(q - p), g) for c, q, g in genes if c == 1)[:7] for i, p in places}
+    assert got == {(i, k): g for i, w in want.items() for k, (_, g) in enumerate(w)}
