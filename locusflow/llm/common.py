@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,18 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(df: DataFrame, rows: int, by: list[str]) -> DataFrame:
+    """About ``rows`` rows (all, if there are fewer), chosen by a hash of the columns ``by``:
+    the same rows however the table is laid out.  Neither sorts nor shuffles; save it to
+    use it twice.  Repeated rows share a hash, so no partition gives more than ``rows``."""
+    n = df.count()
+    if n <= rows:
+        return df
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    drawn = df.where(F.pmod(F.xxhash64(F.lit(17), *by), F.lit(1 << 40)) < F.lit(int((1 << 40) * rows / n)))
+    return drawn.withColumn("_inside", inside).where(F.col("_inside") < rows).drop("_inside")
+
+
 def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` rows, never more: the first few of every partition, without a shuffle.
     The same on reruns over the same files."""
@@ -35,24 +51,53 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values):
+    """Session settings for the time of a block (dots as double underscores)."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors share one process, and so one file system."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 class Scratch:
     """Intermediate tables as Parquet below ``spark.checkpoint.dir``.
 
     They cut lineage, survive lost executors and are read again at no further
-    computation.  ``drop`` deletes a table that nothing needs any more.  Where the
-    setting is absent (a local session), a temporary folder is used.
+    computation.  ``drop`` frees a table that nothing needs any more.  Where the
+    setting is absent, a local session uses a temporary folder, which is removed when
+    Python ends; on a cluster it is an error, since a folder of one machine is no
+    place for tables.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not is_local(spark):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="spark-scratch-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         self.root = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.count = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df``, written and read again.  Arrow batches are kept to 2,000 rows
+        (Spark bounds their bytes too) for as long as the writing takes."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}"
-        df.write.parquet(path)
+        with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=2000):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -60,12 +105,31 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Frees the files of saved tables by overwriting them with an empty table."""
+        for df in tables:
+            if path := getattr(df, "_scratch_path", None):
+                self.spark.range(0).write.mode("overwrite").parquet(path)
+
+
+BITS = 1 << 24
+
+
+def bit_filter(df: DataFrame, column: str, bits: int = BITS):
+    """A broadcast filter of fixed size (``bits``) over a long column: ``maybe_in`` is true
+    for every value of the column, and for few others while the column has far fewer
+    values than bits.  It only ever spares work; what passes is joined as usual."""
+    at = F.pmod(F.col(column), F.lit(bits))
+    words = df.select(F.shiftright(at, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    table_ = np.zeros(bits // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # at most bits / 64 rows
+        table_[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return df.sparkSession.sparkContext.broadcast(table_)
+
+
+def maybe_in(table_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = x.astype(np.int64) % (64 * len(table_))
+    return (table_[at >> 6] >> (at & 63)) & 1 == 1
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -95,8 +159,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None =
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        scratch.drop(edges)
-        scratch.drop(large)
+        scratch.drop(edges, large)
         edges = after
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -1,178 +1,210 @@
 """Line deduplication with a log-template tree.
 
-Every line becomes tokens; tokens with a digit are variable fields.  A fixed-depth
-tree sorts lines by token count and then by their first tokens.  In a leaf, lines
-join the first template that agrees with them in three quarters of their parts (a
-line's tokens in up to eight runs), most frequent lines first, so fields that vary
-without digits are generalised too.  A template recurs if ``min_docs`` different
-documents hold it, or two if it is a passage of more than ``LONG`` tokens; its lines
-are dropped from all documents.  Near copies (as near-duplicate removal links them)
-count as one document, so copies alone make no template recur.  Only documents mostly
-made of lines that others have are looked at as possible copies.
-
-Scale: the tree's leaves only see distinct lines, only of leaves that could recur.
-A leaf of more than ``leaf_limit`` distinct lines gets the same templates from rounds
-of joins on the parts that lines share (``spread_clusters``), so no task holds a whole
-leaf.  Counting is by partial aggregation; texts are never shuffled except for
-documents that lose lines.
-
-Defined results: null text counts as empty and stays null; lines of fewer than
-``min_words`` tokens and blank lines are never dropped; a line repeated inside one
-document counts once; repeated rows (same id and text) are one document; an empty
-table gives no rows; other columns pass through unread.
+Every line becomes tokens; a token with a digit is a variable field.  A fixed-depth
+tree sorts lines by token count and then by their first ``LEADING`` tokens (variable
+fields count as equal).  In a leaf, the token at a place is constant if lines of
+``needed`` different texts have it there, and a variable field otherwise; a line's
+template is what is left of it when its variable fields are taken out.  Only lines
+with at least ``LEAST`` constants, which are at least ``SHARE`` of their tokens without
+digits, have a template: a word alone on its line is no pattern, since prose has such
+lines by chance.
+
+A template recurs if ``needed`` documents hold it of which no two are near copies:
+``min_docs``, or two if the line has more than ``LONG`` tokens.  Its lines are dropped
+from all documents.  Equal texts count once; near copies are texts of whose word
+5-shingle minhashes (one permutation, 128 values) at least ``NEAR`` agree, which also
+holds for two copies of similarity 0.75 of one original.  Different documents are
+found greedily by text hash: the first, the first that is no near copy of it, and so on.
+
+Scale: the leaves are never gathered.  Supports, templates and holders are joins and
+partial aggregations; tokens are only written for lines of leaves that two texts share
+(a bit filter of fixed size spares most others), sketches only for texts that hold a
+template.  Holders are compared with one or two leaders each, never with one another.
+
+Defined results: null text counts as empty and stays null; blank lines, lines of one
+word and lines of variable fields alone are never dropped; a line repeated inside one document counts
+once; repeated rows and equal texts are treated alike; null ids are like others; an
+empty table gives no rows; other columns pass through unread.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
-from .hashing import mix, releasing, slices, text_bytes, word_spans
-from .jaccard import jaccard_components
+from .common import Scratch, bit_filter, maybe_in, table
+from .hashing import mix, releasing, shingles, slices, text_bytes, word_spans, words
 
 MIN_DOCS = 3
-MIN_WORDS = 3
 #: Passages of more tokens recur from two documents on.
 LONG = 50
-#: Share of a document's tokens in lines of other documents from which on it may be a copy.
-COPY_SHARE = 0.5
-LEAF_LIMIT = 512
-_PARTS, _AGREE = 8, 0.75
-_LEADING = 3
+LEADING, LEAST, SHARE = 3, 2, 0.75
+SKETCH, NEAR = 128, 0.5
+_DIGITS = np.uint64(7)
+
+
+def _parsed(column: pa.Array):
+    """Of every line with a word: row, number inside its row, tokens, key, leaf; and the token
+    hashes (0: with a digit) with the place of each line's first."""
+    data, offsets = text_bytes(column)
+    breaks = np.flatnonzero(data == 0x0A)
+    # a line starts with its row or after a line break
+    starts = np.union1d(offsets[:-1], breaks + 1)
+    starts = starts[starts < len(data)]
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1][row])
+    hashes, begin, digit = word_spans(data, np.r_[starts, len(data)] if len(starts) else np.zeros(1, np.int64))
+    lo = np.searchsorted(begin, starts)
+    n = np.searchsorted(begin, np.r_[starts[1:], len(data)] if len(starts) else starts) - lo
+    place = np.arange(len(hashes)) - np.repeat(lo, n)
+    token = np.where(digit, 0, (hashes >> np.uint64(33)).astype(np.int32) + 1).astype(np.int32)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(np.where(digit, _DIGITS, hashes) ^ mix(place.astype(np.uint64))), out=total[1:])
+    size = mix(n.astype(np.uint64))
+    key, leaf = mix((total[lo + n] - total[lo]) ^ size), mix((total[lo + np.minimum(n, LEADING)] - total[lo]) ^ size)
+    keep = np.flatnonzero(n > 0)
+    return row[keep], number[keep], n[keep], key[keep].view(np.int64), leaf[keep].view(np.int64), token, lo[keep]
+
+
+def _lines(batches):
+    """(text_hash, line, n, key, leaf) of every line with a word."""
+    for batch in batches:
+        for start, column in slices(batch.column(1)):
+            row, number, n, key, leaf, *_ = _parsed(column)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(start, len(column)).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(leaf)],
+                names=["text_hash", "line", "n", "key", "leaf"])
+
+
+def _tokens(leaves):
+    """(text_hash, n, key, leaf, tokens) of the lines whose leaf passes the filter, once a text."""
+    def run(batches):
+        for batch in batches:
+            for start, column in slices(batch.column(1)):
+                row, _, n, key, leaf, token, lo = _parsed(column)
+                at = np.flatnonzero(maybe_in(leaves.value, leaf))
+                _, once = np.unique(np.stack([row[at], key[at]]), axis=1, return_index=True) if len(at) else (None, at)
+                at = at[np.sort(once)]
+                sizes = n[at]
+                inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo[at], sizes)
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(token[inside]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(column)).take(pa.array(row[at])), pa.array(sizes.astype(np.int32)), pa.array(key[at]), pa.array(leaf[at]), listed], names=["text_hash", "n", "key", "leaf", "tokens"])
+    return run
+
 
+def sketch_rows(column: pa.Array) -> np.ndarray:
+    """One-permutation minhashes of every row's word 5-shingles (0: none in that range)."""
+    value, row = shingles(*words(column, lower=True), 5)
+    out = np.full(len(column) * SKETCH, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(out, row * SKETCH + (value >> np.uint64(57)).astype(np.int64), value)
+    low = np.maximum((out & np.uint64(0xFFFF)).astype(np.uint16), 1)
+    return np.where(out == np.uint64(0xFFFFFFFFFFFFFFFF), 0, low).astype(np.uint16).reshape(-1, SKETCH)
 
-def _lines(min_words: int):
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketches in the rows of ``a`` and ``b`` are those of near copies."""
+    some = ((a > 0) | (b > 0)).sum(axis=1)
+    return ((a == b) & (a > 0)).sum(axis=1) >= np.maximum(1, NEAR * some)
+
+
+def _sketches(holders):
     def run(batches):
         for batch in batches:
-            for start, column in slices(batch.column(2)):
-                data, offsets = text_bytes(column)
-                breaks = np.flatnonzero(data == 0x0A)
-                # a line starts with its row or after a line break
-                starts = np.union1d(offsets[:-1], breaks + 1)
-                starts = starts[starts < len(data)]
-                row = np.searchsorted(offsets, starts, side="right") - 1
-                ends = np.r_[starts[1:], len(data)]
-                first = np.searchsorted(starts, offsets[:-1][row])
-                number = np.arange(len(starts)) - first
-                hashes, begin, digit = word_spans(data, np.r_[starts, len(data)] if len(starts) else np.zeros(1, np.int64))
-                hashes = np.where(digit, np.uint64(7), hashes)
-                lo = np.searchsorted(begin, starts)
-                n = np.searchsorted(begin, ends) - lo
-                place = np.arange(len(hashes)) - np.repeat(lo, n)
-                total = np.zeros(len(hashes) + 1, np.uint64)
-                np.cumsum(mix(hashes ^ mix(place.astype(np.uint64))), out=total[1:])
-                run_of = lambda a, b: total[b] - total[a]
-                parts = [run_of(lo + n * k // _PARTS, lo + n * (k + 1) // _PARTS) for k in range(_PARTS)]
-                size = n.astype(np.uint64)
-                key = mix(run_of(lo, lo + n) ^ mix(size))
-                lead = mix(run_of(lo, lo + np.minimum(n, _LEADING)) ^ mix(size))
-                half = mix(run_of(lo, lo + np.maximum((n + 1) // 2, np.minimum(n, _LEADING))) ^ mix(size) ^ np.uint64(1))
-                keep = n >= min_words
-                parts = np.stack(parts, axis=1)[keep].view(np.int64)
-                at = pa.array(row[keep])
-                longs = lambda x: pa.array(x[keep].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(column)).take(at), batch.column(1).slice(start, len(column)).take(at), pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), longs(key), longs(lead),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * _PARTS), pa.array(parts.ravel()))],
-                    names=["doc_id", "text_hash", "line", "n", "key", "lead", "parts"])
+            batch = batch.filter(pa.array(maybe_in(holders.value, batch.column(0).to_numpy())))
+            for start, column in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(column)), pa.array([r.tobytes() for r in sketch_rows(column)], pa.binary())], names=["text_hash", "sketch"])
     return run
 
 
-def cluster(leaf: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one leaf: (key, template).  ``leaf`` has key, parts and docs."""
-    leaf = leaf.sort_values(["docs", "key"], ascending=[False, True])
-    parts = np.stack(leaf["parts"].to_numpy())
-    keys = leaf["key"].to_numpy()
-    found = np.full(len(keys), -1)
-    for i in range(len(keys)):
-        if found[i] < 0:
-            same = (parts == parts[i]).mean(axis=1) >= _AGREE
-            found[same & (found < 0)] = i
-    return pd.DataFrame({"key": keys, "template": keys[found]})
-
-
-def spread_clusters(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """The templates of ``cluster`` (key, template) for leaves too large for one task.
-
-    Lines that agree in three quarters of their parts are equal in one choice of so
-    many parts, so they meet in a join on a hash of each choice.  A round makes
-    templates of the lines with no earlier open line beside them and closes what they
-    cover; these are the templates the loop of ``cluster`` finds in turn, and at the end
-    every line goes to the earliest template it agrees with.
-    """
-    agree = [F.xxhash64("leaf", F.lit(i), *[F.col("parts")[k] for k in c]) for i, c in enumerate(combinations(range(_PARTS), int(_PARTS * _AGREE)))]
-    choices = lambda df: df.select("me", F.explode(F.array(*agree)).alias("p"))
-    first = lambda df: choices(df).groupBy("p").agg(F.min("me").alias("m"))
-    every = still = lines.select(F.struct((-F.col("docs")).alias("order"), "key").alias("me"), "leaf", "parts")
-    found = None
-    while not still.isEmpty():
-        least = choices(still).join(first(still), "p").groupBy("me").agg(F.min("m").alias("m"))
-        seeds = scratch.save(still.join(least.where("me = m").select("me"), "me", "left_semi"))
-        covered = choices(still).join(first(seeds).select("p"), "p", "left_semi").select("me").distinct()
-        still = scratch.save(still.join(covered, "me", "left_anti"))
-        found = seeds if found is None else found.unionByName(seeds)
-    if found is None:
-        return lines.select("key", F.col("key").alias("template"))
-    return choices(every).join(first(found), "p").groupBy("me").agg(F.min("m").alias("m")).select(F.col("me.key").alias("key"), F.col("m.key").alias("template"))
-
-
-def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, copy_share: float = COPY_SHARE, leaf_limit: int = LEAF_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, line, template) of the lines of recurring templates."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    schema = "doc_id long, text_hash long, line int, n int, key long, lead long, parts array<long>"
-    lines = scratch.save(texts.mapInArrow(releasing(_lines(min_words)), schema))
-    held = lines.groupBy("doc_id", "text_hash", "key", "lead").agg(F.first("parts").alias("parts"))
-    distinct = scratch.save(held.groupBy("lead", "key").agg(F.count("*").alias("docs"), F.first("parts").alias("parts")))
-    least = min(2, min_docs)
-    by_lead = distinct.groupBy("lead").agg(F.sum("docs").alias("ld"), F.count("*").alias("lk")).where(F.col("ld") >= least)
-    some = distinct.join(by_lead, "lead")
-    some = scratch.save(some.select("key", "docs", "parts", F.col("lead").alias("leaf"), "lk"))
-    alone = some.where("lk = 1").select("key", F.col("key").alias("template"))
-    shared = some.where((F.col("lk") > 1) & (F.col("lk") <= leaf_limit)).groupBy("leaf").applyInPandas(lambda pdf: cluster(pdf), "key long, template long")
-    templates = scratch.save(alone.unionByName(shared).unionByName(spread_clusters(some.where(F.col("lk") > max(1, leaf_limit)), scratch)))
-    found = scratch.save(lines.select("doc_id", "text_hash", "line", "n", "key").join(templates, "key").drop("key"))
-    per_doc = found.groupBy("template", "doc_id", "text_hash").agg(F.sum("n").alias("n"), F.max("n").alias("longest"))
-    often = per_doc.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least).select("template")
-    held = per_doc.join(often, "template").select("template", "doc_id", "text_hash", "n", "longest")
-    size = lines.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("size"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    inside = held.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("inside"))
-    # every line of a text that two documents share is in ``held``, so equal texts may be copies together
-    maybe = size.join(inside, same(size, inside)).where(F.col("inside") > copy_share * F.col("size")).select(size["doc_id"], size["text_hash"]).groupBy("text_hash").agg(F.min("doc_id").alias("one"))
-    maybe = scratch.save(maybe)
-    by_text = held.groupBy("template", "text_hash").agg(F.max("longest").alias("longest")).join(maybe.select("text_hash", F.lit(1).alias("copy")), "text_hash", "left")
-    by_text = scratch.save(by_text)
-    needed = F.when(F.max("longest") > LONG, least).otherwise(min_docs)
-    votes = by_text.groupBy("template").agg(F.count("*").alias("most"), F.count(F.when(F.col("copy").isNull(), 1)).alias("sure"), needed.alias("needed")).where("most >= needed")
-    votes = scratch.save(votes)
-    # only where the possible copies decide are they compared
-    unsure = by_text.join(votes.where("sure < needed").select("template", "needed"), "template").select("template", "text_hash", "copy", "needed")
-    ask = unsure.where("copy = 1").select("text_hash").distinct().join(maybe, "text_hash")
-    copies = scratch.save(texts.join(ask, (texts["text_hash"] == ask["text_hash"]) & texts["doc_id"].eqNullSafe(ask["one"]), "left_semi").select("text_hash", "text"))
-    copies = jaccard_components(copies, id_col="text_hash").where("doc_id <> component_id").select(F.col("doc_id").alias("text_hash"), "component_id").distinct()
-    groups = unsure.join(copies, "text_hash", "left").select("template", "needed", F.coalesce("component_id", "text_hash").alias("of")).distinct()
-    decided = groups.groupBy("template", "needed").agg(F.count("*").alias("docs")).where("docs >= needed").select("template")
-    counted = votes.where("sure >= needed").select("template").unionByName(decided)
-    return found.join(counted, "template").select("doc_id", "text_hash", "line", "template")
-
-
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with recurring lines taken out of the text, and ``n_dropped`` beside it."""
+def _apart(batches):
+    """The pairs (text_hash, leader, sketch, other) that are no near copies."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["text_hash", "leader"]).filter(pa.array(~near(a, b)))
+
+
+def line_templates(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_docs: int) -> DataFrame:
+    """(key, template, needed) of the lines that have a template which may recur."""
+    needed = F.when(F.col("n") > LONG, min(2, min_docs)).otherwise(min_docs)
+    shared = scratch.save(lines.groupBy("leaf").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b" if min_docs > 1 else "true").select("leaf"))
+    tokens = texts.mapInArrow(releasing(_tokens(bit_filter(shared, "leaf"))), "text_hash long, n int, key long, leaf long, tokens array<int>")
+    held = scratch.save(tokens.join(shared, "leaf", "left_semi"))
+    # a line's content with its texts: how many, and the first and last
+    per_text = held.groupBy("leaf", "key", "text_hash").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    keys = per_text.groupBy("leaf", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("texts"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
+    keys = scratch.save(keys.withColumn("needed", needed).withColumn("sure", F.col("texts") >= F.col("needed")))
+    scratch.drop(held)
+    # supports: contents of enough texts support all their tokens; of the others, each text counts
+    owner = F.when(F.col("sure"), F.array(F.lit(None).cast("long"))).otherwise(F.array_distinct(F.array("a", "b")))
+    spread = keys.select("leaf", "needed", F.explode(owner).alias("t"), "tokens").select("leaf", "needed", "t", F.posexplode("tokens").alias("at", "token")).where("token <> 0")
+    counted = spread.groupBy("leaf", "at", "token", "needed", "t").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "token", "needed").agg(F.count("t").alias("texts"), F.count_if(F.col("t").isNull()).alias("sure"))
+    rare = counted.where("sure = 0 AND texts < needed").select("leaf", "at", "token")
+    mark = lambda at, token: F.xxhash64(at, token)
+    own = keys.where("NOT sure").select("key", "leaf", F.posexplode("tokens").alias("at", "token")).where("token <> 0")
+    fields = own.join(rare, ["leaf", "at", "token"]).groupBy("leaf", "key").agg(F.count("*").alias("fields"), F.bit_xor(mark(F.col("at"), F.col("token"))).alias("out"))
+    marks = F.aggregate(F.transform("tokens", lambda t, i: F.when(t != 0, mark(i, t)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    solid = keys.withColumn("marks", marks).withColumn("plain", F.size(F.filter("tokens", lambda t: t != 0))).select("leaf", "key", "needed", "texts", "marks", "plain").join(fields, ["leaf", "key"], "left")
+    constant = F.col("plain") - F.coalesce("fields", F.lit(0))
+    solid = solid.where((constant >= LEAST) & (constant >= SHARE * F.col("plain")))
+    named = scratch.save(solid.select("key", "needed", "texts", F.xxhash64("leaf", F.col("marks").bitwiseXOR(F.coalesce("out", F.lit(0).cast("long")))).alias("template")))
+    may = named.groupBy("template").agg(F.sum("texts").alias("held"), F.max("needed").alias("needed")).where("held >= needed").select("template")
+    return scratch.save(named.join(may, "template").select("key", "template", "needed"))
+
+
+def recurring_templates(by_text: DataFrame, texts: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """Templates of ``by_text`` (template, needed, text_hash) that ``needed`` texts hold of
+    which no two are near copies."""
+    enough = by_text.groupBy("template", "needed").agg(F.count("*").alias("n")).where("n >= needed")
+    left = scratch.save(by_text.join(enough.select("template"), "template", "left_semi"))
+    done = left.where("needed <= 1").select("template").distinct()
+    sketches = None
+    for step in range(2, most + 1):
+        if sketches is None:
+            holders = left.select("text_hash").distinct()
+            sketches = texts.mapInArrow(releasing(_sketches(bit_filter(holders, "text_hash"))), "text_hash long, sketch binary")
+            sketches = scratch.save(sketches.join(holders, "text_hash", "left_semi").dropDuplicates(["text_hash"]))
+        leaders = left.groupBy("template").agg(F.min("text_hash").alias("leader"))
+        led = scratch.save(left.join(leaders, "template").where("text_hash <> leader"))
+        pairs = led.select("text_hash", "leader").distinct().join(sketches, "text_hash").join(sketches.select(F.col("text_hash").alias("leader"), F.col("sketch").alias("other")), "leader")
+        apart = scratch.save(pairs.select("text_hash", "leader", "sketch", "other").mapInArrow(_apart, "text_hash long, leader long"))
+        after = scratch.save(led.join(apart, ["text_hash", "leader"]).drop("leader"))
+        found = after.where(F.col("needed") == step).select("template").distinct()
+        done, left = done.unionByName(found), scratch.save(after.where(F.col("needed") > step))
+    return done
+
+
+def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, text_col: str = "text") -> DataFrame:
+    """(text_hash, line, template) of the lines of recurring templates, by texts."""
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    lines = scratch.save(texts.mapInArrow(releasing(_lines), "text_hash long, line int, n int, key long, leaf long"))
+    templates = line_templates(lines, texts, scratch, min_docs)
+    held = scratch.save(lines.select("text_hash", "line", "key").join(templates, "key").drop("key"))
+    scratch.drop(lines)
+    by_text = held.select("template", "needed", "text_hash").distinct()
+    done = scratch.save(recurring_templates(by_text, texts, scratch, max(2, min_docs)))
+    return held.join(done, "template", "left_semi").select("text_hash", "line", "template")
+
+
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with recurring lines taken out of the text, and ``n_dropped`` (or, if taken,
+    a like name: the last column) beside it."""
     scratch = Scratch(docs.sparkSession)
-    drops = recurring_lines(docs, scratch, id_col=id_col, text_col=text_col, **options)
-    drops = scratch.save(drops.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("_lines")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "_lines"))
-    joined = docs.join(drops, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th")), "left")
-    lines = F.split(docs[text_col], "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_lines"), i))
-    text = F.when(F.col("_lines").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(F.size("_lines"), F.lit(0)).alias("n_dropped"))
+    drops = recurring_lines(docs, scratch, min_docs, text_col)
+    drops = scratch.save(drops.groupBy("text_hash").agg(F.collect_set("line").alias("lines")).select(F.struct("text_hash", "lines").alias("drops")))
+    body, gone = docs[text_col], drops["drops"]["lines"]
+    joined = docs.join(drops, F.xxhash64(body) == drops["drops"]["text_hash"], "left")
+    kept = F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(gone.isNull(), body).otherwise(F.array_join(kept, "\n"))
+    name = fresh_name(docs.columns, "n_dropped")
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(F.size(gone), F.lit(0)).alias(name))
+
+
+def fresh_name(taken: list[str], wanted: str) -> str:
+    while wanted in taken:
+        wanted = f"_{wanted}"
+    return wanted
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +215,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linededup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without recurring lines; those left without a word go."""
     out = drop_recurring_lines(docs)
+    dropped = F.col(out.columns[-1])
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    gone = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+        out = out.withColumn("n_chars", F.when(dropped > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    gone = (dropped > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from locusflow.llm import hashing, jaccard, lmscore, mixing, packing, quality, secrets, urls, vectors, warc
 from locusflow.llm.common import Scratch, components
-from locusflow.llm.linededup import cluster, drop_recurring_lines, linededup_stage, recurring_lines, spread_clusters
 
 DATA = "/root/testdata/sf0.001"
 
@@ -198,73 +197,6 @@ def test_quality_stage_agrees_with_the_query(spark):
     assert {r.doc_id for r in quality.quality_stage(spark, docs, DATA).collect()} == want
 
 
-def test_line_dedup_drops_shared_lines_only(spark):
-    rng = random.Random(3)
-    words = [f"x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)]
-    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    passage, notice = line(60), "All rights reserved by example number {}"
-    own = [[line(12) for _ in range(6)] for _ in range(30)]
-    texts = ["\n".join([*o[:3], *([passage] if i < 8 else []), *([notice.format(1900 + i)] if i % 3 == 0 else []), *o[3:]]) for i, o in enumerate(own)]
-    copies = ["\n".join(line(12) for _ in range(6))] * 5
-    out = {r.doc_id: r for r in drop_recurring_lines(frame(spark, [*texts, *copies, None, ""])).collect()}
-    for i, o in enumerate(own):
-        assert out[i].text == "\n".join(o), i
-    assert all(out[30 + k].text == copies[0] and out[30 + k].n_dropped == 0 for k in range(5))
-    assert out[35].text is None and out[36].text == ""
-
-
-def letters(i):
-    return "".join(chr(97 + i // 26**k % 26) for k in range(4))
-
-
-def test_line_dedup_finds_templates_of_large_leaves(spark):
-    texts = [f"own {letters(i)}\nthis page was last changed by {letters(i)} in our wiki\nthe user {letters(7 * i)} {letters(i)} wrote {letters(3 * i)} as a note of {letters(5 * i)} on one day" for i in range(600)]
-    docs = frame(spark, texts)
-    out = drop_recurring_lines(docs).collect()
-    assert all(r.text.split("\n") == [t.split("\n")[k] for k in (0, 2)] for r, t in zip(sorted(out), texts, strict=True))
-    stage = {r.doc_id: r.text for r in linededup_stage(spark, docs, DATA).collect()}
-    assert stage == {r.doc_id: r.text for r in out}
-
-
-def test_line_dedup_tells_boilerplate_from_copies(spark):
-    rng = random.Random(12)
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
-    line = lambda n: " ".join(word() for _ in range(n))
-    lines = lambda *sizes: [line(n) for n in sizes]
-    notice, blocks, passage, short, copied = line(60), lines(20, 20, 20), line(55), line(45), lines(15, 55, 15, 15, 15, 15, 15)
-    own = [lines(10, 10, 10, 10) for _ in range(12)]
-    texts = [[notice, *o] for o in own[:4]] + [[blocks[0], *o[:2], *blocks[1:], *o[2:]] for o in own[4:8]]
-    texts += [[*own[8], passage], [passage, *own[9]], [*own[10], short], [short, *own[11]]]
-    want = own[:10] + [[*own[10], short], [short, *own[11]]]
-    near = [[*copied[:6], line(15)] for _ in range(3)]
-    near += [copied, copied]
-    out = sorted(drop_recurring_lines(frame(spark, ["\n".join(t) for t in texts + near])).collect())
-    assert [r.text.split("\n") for r in out] == want + near
-
-
-def test_spread_clusters_are_the_clusters_of_one_task(spark):
-    rng = random.Random(11)
-    rows = [(leaf, 1000 * leaf + i, rng.choice([1, 1, 1, 2, 5]), [leaf, 0, 0, *(rng.randrange(3) for _ in range(5))]) for leaf in range(2) for i in range(150)]
-    df = spark.createDataFrame(rows, "leaf long, key long, docs long, parts array<long>")
-    want = {}
-    for leaf in range(2):
-        seeds = []
-        for _, key, _, parts in sorted((r for r in rows if r[0] == leaf), key=lambda r: (-r[2], r[1])):
-            near = [k for k, p in seeds if sum(a == b for a, b in zip(p, parts, strict=True)) >= 6]
-            seeds += [] if near else [(key, parts)]
-            want[key] = near[0] if near else key
-    assert len(set(want.values())) > 10
-    assert {r.key: r.template for r in spread_clusters(df, Scratch(spark)).collect()} == want
-    pdf = df.toPandas()
-    assert {r.key: r.template for leaf in range(2) for r in cluster(pdf[pdf.leaf == leaf]).itertuples()} == want
-
-
-def test_line_dedup_does_not_depend_on_the_leaf_limit(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    found = [{tuple(r) for r in recurring_lines(docs, Scratch(spark), leaf_limit=n).collect()} for n in (1, 1 << 30)]
-    assert found[0] == found[1] and found[0]
-
-
 def test_vectors_recall_against_brute_force(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 32))
