@@ -2,12 +2,15 @@
 
 Every line becomes tokens; a token with a digit is a variable field.  A fixed-depth
 tree sorts lines by token count and then by their first ``LEADING`` tokens (variable
-fields count as equal).  In a leaf, the token at a place is constant if lines of
-``needed`` different texts have it there, and a variable field otherwise; a line's
-template is what is left of it when its variable fields are taken out.  Only lines
-with at least ``LEAST`` constants, which are at least ``SHARE`` of their tokens without
-digits, have a template: a word alone on its line is no pattern, since prose has such
-lines by chance.
+fields count as equal).  The other places are dealt over so many groups that one of
+them has no variable field, whichever places vary; lines are only compared with lines
+that agree in a group, if ``needed`` lines do and not all are of one text.  Among these, the
+token at a place is constant if lines of ``needed`` different texts have it there, and a
+variable field otherwise; a line's template is what is left of it when its variable
+fields are taken out.  A template has at least ``LEAST`` constants, which are at least
+``SHARE`` of the tokens without digits, and at most ``FIELDS`` variable fields besides
+those with digits: a word alone on its line is no pattern, since prose has such lines by
+chance.
 
 A template recurs if ``needed`` documents hold it of which no two are near copies:
 ``min_docs``, or two if the line has more than ``LONG`` tokens.  Its lines are dropped
@@ -17,9 +20,9 @@ holds for two copies of similarity 0.75 of one original.  Different documents ar
 found greedily by text hash: the first, the first that is no near copy of it, and so on.
 
 Scale: the leaves are never gathered.  Supports, templates and holders are joins and
-partial aggregations; tokens are only written for lines of leaves that two texts share
-(a bit filter of fixed size spares most others), sketches only for texts that hold a
-template.  Holders are compared with one or two leaders each, never with one another.
+partial aggregations; tokens are only written for lines that share a group (a bit
+filter of fixed size spares most others), sketches only for texts that hold a template,
+and texts that lose nothing aren't shuffled.  Holders are compared with one or two leaders each, never with one another.
 
 Defined results: null text counts as empty and stays null; blank lines, lines of one
 word and lines of variable fields alone are never dropped; a line repeated inside one document counts
@@ -30,6 +33,7 @@ empty table gives no rows; other columns pass through unread.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +44,15 @@ from .hashing import mix, releasing, shingles, slices, text_bytes, word_spans, w
 MIN_DOCS = 3
 #: Passages of more tokens recur from two documents on.
 LONG = 50
-LEADING, LEAST, SHARE = 3, 2, 0.75
+LEADING, LEAST, SHARE, FIELDS = 3, 2, 0.75, 4
 SKETCH, NEAR = 128, 0.5
 _DIGITS = np.uint64(7)
 
 
 def _parsed(column: pa.Array):
-    """Of every line with a word: row, number inside its row, tokens, key, leaf; and the token
-    hashes (0: with a digit) with the place of each line's first."""
+    """Of every line with a word: row, number inside its row, tokens, key, leaf and groups (of
+    ``FIELDS + 1`` places, 0 where a line has fewer; odd for long lines); and the token hashes (0: with a digit)
+    with the place of each line's first."""
     data, offsets = text_bytes(column)
     breaks = np.flatnonzero(data == 0x0A)
     # a line starts with its row or after a line break
@@ -58,39 +63,53 @@ def _parsed(column: pa.Array):
     hashes, begin, digit = word_spans(data, np.r_[starts, len(data)] if len(starts) else np.zeros(1, np.int64))
     lo = np.searchsorted(begin, starts)
     n = np.searchsorted(begin, np.r_[starts[1:], len(data)] if len(starts) else starts) - lo
-    place = np.arange(len(hashes)) - np.repeat(lo, n)
+    keep = np.flatnonzero(n > 0)
+    row, number, n, lo = row[keep], number[keep], n[keep], lo[keep]
+    line = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(hashes)) - lo[line]
     token = np.where(digit, 0, (hashes >> np.uint64(33)).astype(np.int32) + 1).astype(np.int32)
+    mark = mix(np.where(digit, _DIGITS, hashes) ^ mix(place.astype(np.uint64)))
     total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(np.where(digit, _DIGITS, hashes) ^ mix(place.astype(np.uint64))), out=total[1:])
+    np.cumsum(mark, out=total[1:])
     size = mix(n.astype(np.uint64))
     key, leaf = mix((total[lo + n] - total[lo]) ^ size), mix((total[lo + np.minimum(n, LEADING)] - total[lo]) ^ size)
-    keep = np.flatnonzero(n > 0)
-    return row[keep], number[keep], n[keep], key[keep].view(np.int64), leaf[keep].view(np.int64), token, lo[keep]
+    most = np.minimum(FIELDS, (n * (1 - SHARE)).astype(np.int64)) + 1
+    sums = np.zeros((len(n), FIELDS + 1), np.uint64)
+    inner = np.flatnonzero(place >= LEADING)
+    np.add.at(sums.ravel(), line[inner] * (FIELDS + 1) + place[inner] % most[line[inner]], mark[inner])
+    which = np.arange(FIELDS + 1)
+    groups = (mix(sums ^ mix(leaf)[:, None] ^ mix(which.astype(np.uint64))[None, :]) >> np.uint64(17)).astype(np.int64) * 2 + 2 + (n > LONG)[:, None]
+    groups = np.where(which[None, :] < most[:, None], groups, 0)
+    return row, number, n, key.view(np.int64), leaf.view(np.int64), groups, token, lo
+
+
+def _listed(groups: np.ndarray) -> pa.Array:
+    """The groups of each line as a list."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((groups > 0).sum(axis=1))].astype(np.int32)), pa.array(groups[groups > 0]))
 
 
 def _lines(batches):
-    """(text_hash, line, n, key, leaf) of every line with a word."""
+    """(text_hash, line, key, groups) of every line with a word."""
     for batch in batches:
         for start, column in slices(batch.column(1)):
-            row, number, n, key, leaf, *_ = _parsed(column)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, len(column)).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(leaf)],
-                names=["text_hash", "line", "n", "key", "leaf"])
+            row, number, _, key, _, groups, *_ = _parsed(column)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(column)).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(key), _listed(groups)], names=["text_hash", "line", "key", "groups"])
 
 
-def _tokens(leaves):
-    """(text_hash, n, key, leaf, tokens) of the lines whose leaf passes the filter, once a text."""
+def _tokens(shared):
+    """(text_hash, n, key, leaf, groups, tokens) of the lines of which a group passes the filter, once a text."""
     def run(batches):
         for batch in batches:
             for start, column in slices(batch.column(1)):
-                row, _, n, key, leaf, token, lo = _parsed(column)
-                at = np.flatnonzero(maybe_in(leaves.value, leaf))
+                row, _, n, key, leaf, groups, token, lo = _parsed(column)
+                at = np.flatnonzero((maybe_in(shared.value, groups.ravel()).reshape(groups.shape) & (groups > 0)).any(axis=1))
                 _, once = np.unique(np.stack([row[at], key[at]]), axis=1, return_index=True) if len(at) else (None, at)
                 at = at[np.sort(once)]
                 sizes = n[at]
                 inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo[at], sizes)
-                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(token[inside]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(column)).take(pa.array(row[at])), pa.array(sizes.astype(np.int32)), pa.array(key[at]), pa.array(leaf[at]), listed], names=["text_hash", "n", "key", "leaf", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(token[inside]))
+                hashes = batch.column(0).slice(start, len(column)).take(pa.array(row[at]))
+                yield pa.RecordBatch.from_arrays([hashes, pa.array(sizes.astype(np.int32)), pa.array(key[at]), pa.array(leaf[at]), _listed(groups[at]), tokens], names=["text_hash", "n", "key", "leaf", "groups", "tokens"])
     return run
 
 
@@ -128,27 +147,37 @@ def _apart(batches):
 def line_templates(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_docs: int) -> DataFrame:
     """(key, template, needed) of the lines that have a template which may recur."""
     needed = F.when(F.col("n") > LONG, min(2, min_docs)).otherwise(min_docs)
-    shared = scratch.save(lines.groupBy("leaf").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b" if min_docs > 1 else "true").select("leaf"))
-    tokens = texts.mapInArrow(releasing(_tokens(bit_filter(shared, "leaf"))), "text_hash long, n int, key long, leaf long, tokens array<int>")
-    held = scratch.save(tokens.join(shared, "leaf", "left_semi"))
+    tag = F.col("text_hash").bitwiseAND((1 << 32) - 1)
+    shared = lines.select(F.explode("groups").alias("group"), tag.alias("tag")).groupBy("group").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.count("*").alias("k"))
+    enough = F.col("k") >= F.when(F.col("group") % 2 == 1, min(2, min_docs)).otherwise(min_docs)
+    shared = scratch.save(shared.where(enough & (F.lit(min_docs < 2) | (F.col("a") != F.col("b")))).select("group"))
+    maybe = scratch.save(texts.mapInArrow(releasing(_tokens(bit_filter(shared, "group"))), "text_hash long, n int, key long, leaf long, groups array<long>, tokens array<int>"))
+    agree = maybe.select("key", F.explode("groups").alias("group")).join(shared, "group", "left_semi").select("key").distinct()
+    held = maybe.drop("groups").join(agree, "key", "left_semi")
     # a line's content with its texts: how many, and the first and last
     per_text = held.groupBy("leaf", "key", "text_hash").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     keys = per_text.groupBy("leaf", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("texts"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
     keys = scratch.save(keys.withColumn("needed", needed).withColumn("sure", F.col("texts") >= F.col("needed")))
-    scratch.drop(held)
-    # supports: contents of enough texts support all their tokens; of the others, each text counts
+    scratch.drop(maybe, shared)
+    # a mark for each place and its token; contents of enough texts support all their marks, else each text counts
+    # a content alone in its leaf recurs by itself or not at all
+    shared_leaf = keys.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
+    marks = F.transform("tokens", lambda t, i: F.when(t != 0, F.xxhash64("leaf", i, t)))
+    keys = keys.select("leaf", "key", "n", "needed", "texts", "sure", "a", "b", F.filter(marks, lambda x: x.isNotNull()).alias("marks"))
+    several = keys.join(shared_leaf, "leaf", "left_semi")
     owner = F.when(F.col("sure"), F.array(F.lit(None).cast("long"))).otherwise(F.array_distinct(F.array("a", "b")))
-    spread = keys.select("leaf", "needed", F.explode(owner).alias("t"), "tokens").select("leaf", "needed", "t", F.posexplode("tokens").alias("at", "token")).where("token <> 0")
-    counted = spread.groupBy("leaf", "at", "token", "needed", "t").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "token", "needed").agg(F.count("t").alias("texts"), F.count_if(F.col("t").isNull()).alias("sure"))
-    rare = counted.where("sure = 0 AND texts < needed").select("leaf", "at", "token")
-    mark = lambda at, token: F.xxhash64(at, token)
-    own = keys.where("NOT sure").select("key", "leaf", F.posexplode("tokens").alias("at", "token")).where("token <> 0")
-    fields = own.join(rare, ["leaf", "at", "token"]).groupBy("leaf", "key").agg(F.count("*").alias("fields"), F.bit_xor(mark(F.col("at"), F.col("token"))).alias("out"))
-    marks = F.aggregate(F.transform("tokens", lambda t, i: F.when(t != 0, mark(i, t)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    solid = keys.withColumn("marks", marks).withColumn("plain", F.size(F.filter("tokens", lambda t: t != 0))).select("leaf", "key", "needed", "texts", "marks", "plain").join(fields, ["leaf", "key"], "left")
+    spread = lambda rows: rows.select("needed", F.explode(owner).alias("t"), "marks").select("needed", "t", F.explode("marks").alias("mark"))
+    is_sure = F.max(F.col("t").isNull()).alias("sure")
+    of_two = spread(several.where("needed <= 2")).groupBy("mark").agg(F.min("t").alias("a"), F.max("t").alias("b"), is_sure, F.max("needed").alias("needed")).where("NOT sure AND needed = 2 AND a = b")
+    of_more = spread(several.where("needed > 2")).groupBy("mark", "t", "needed").agg(F.lit(1)).groupBy("mark", "needed").agg(F.count("t").alias("texts"), is_sure).where("NOT sure AND texts < needed")
+    rare = of_two.select("mark").unionByName(of_more.select("mark"))
+    own = several.where("NOT sure").select("key", "leaf", F.explode("marks").alias("mark"))
+    fields = own.join(rare, "mark").groupBy("leaf", "key").agg(F.count("*").alias("fields"), F.bit_xor("mark").alias("out"))
+    whole = F.aggregate("marks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    solid = keys.withColumn("plain", F.size("marks")).withColumn("all", whole).select("leaf", "key", "needed", "texts", "all", "plain").join(fields, ["leaf", "key"], "left")
     constant = F.col("plain") - F.coalesce("fields", F.lit(0))
-    solid = solid.where((constant >= LEAST) & (constant >= SHARE * F.col("plain")))
-    named = scratch.save(solid.select("key", "needed", "texts", F.xxhash64("leaf", F.col("marks").bitwiseXOR(F.coalesce("out", F.lit(0).cast("long")))).alias("template")))
+    solid = solid.where((constant >= LEAST) & (constant >= SHARE * F.col("plain")) & (F.coalesce("fields", F.lit(0)) <= FIELDS))
+    named = scratch.save(solid.select("key", "needed", "texts", F.xxhash64("leaf", F.col("all").bitwiseXOR(F.coalesce("out", F.lit(0).cast("long")))).alias("template")))
     may = named.groupBy("template").agg(F.sum("texts").alias("held"), F.max("needed").alias("needed")).where("held >= needed").select("template")
     return scratch.save(named.join(may, "template").select("key", "template", "needed"))
 
@@ -178,7 +207,7 @@ def recurring_templates(by_text: DataFrame, texts: DataFrame, scratch: Scratch,
 def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, text_col: str = "text") -> DataFrame:
     """(text_hash, line, template) of the lines of recurring templates, by texts."""
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    lines = scratch.save(texts.mapInArrow(releasing(_lines), "text_hash long, line int, n int, key long, leaf long"))
+    lines = scratch.save(texts.mapInArrow(releasing(_lines), "text_hash long, line int, key long, groups array<long>"))
     templates = line_templates(lines, texts, scratch, min_docs)
     held = scratch.save(lines.select("text_hash", "line", "key").join(templates, "key").drop("key"))
     scratch.drop(lines)
@@ -193,12 +222,17 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession)
     drops = recurring_lines(docs, scratch, min_docs, text_col)
     drops = scratch.save(drops.groupBy("text_hash").agg(F.collect_set("line").alias("lines")).select(F.struct("text_hash", "lines").alias("drops")))
-    body, gone = docs[text_col], drops["drops"]["lines"]
-    joined = docs.join(drops, F.xxhash64(body) == drops["drops"]["text_hash"], "left")
+    changed = bit_filter(drops.select("drops.text_hash"), "text_hash")
+    may_change = F.pandas_udf(lambda h: pd.Series(maybe_in(changed.value, h.to_numpy())), "boolean")
+    name = fresh_name(docs.columns, "n_dropped")
+    same = docs.where(~may_change(F.xxhash64(text_col))).withColumn(name, F.lit(0))
+    some = docs.where(may_change(F.xxhash64(text_col)))
+    body, gone = some[text_col], drops["drops"]["lines"]
+    # the same plan at every size: a sort-merge join
+    joined = some.join(drops.hint("merge"), F.xxhash64(body) == drops["drops"]["text_hash"], "left")
     kept = F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains(gone, i))
     text = F.when(gone.isNull(), body).otherwise(F.array_join(kept, "\n"))
-    name = fresh_name(docs.columns, "n_dropped")
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(F.size(gone), F.lit(0)).alias(name))
+    return same.unionByName(joined.select(*[text.alias(c) if c == text_col else some[c] for c in docs.columns], F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).alias(name)))
 
 
 def fresh_name(taken: list[str], wanted: str) -> str:
@@ -209,7 +243,7 @@ def fresh_name(taken: list[str], wanted: str) -> str:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.greatest(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"), "text")
+    return out.select("doc_id", F.col("n_dropped").cast("long").alias("n_dropped"), "text")
 
 
 def linededup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,14 @@ def brute_force(texts, min_docs=3):
     fields = lambda line: tuple("#" if any(c in "0123456789" for c in w) else w for w in line.split())
     lines = {(t, fields(x)) for t in plain for x in t.split("\n") if x.split()}
     leaf = lambda w: (len(w), w[:3])
+    groups = lambda w: [(k, tuple(x for i, x in enumerate(w) if i > 2 and i % m == k)) for m in [min(4, len(w) // 4) + 1] for k in range(m)]
     need = lambda w: min(2, min_docs) if len(w) > 50 else min_docs
+    agree = defaultdict(list)
+    for t in filter(None, texts):
+        for w in (fields(x) for x in t.split("\n") if x.split()):
+            for g in groups(w):
+                agree[leaf(w), g].append(t)
+    lines = {(t, w) for t, w in lines if any(len(set(a)) > 1 and len(a) >= need(w) for g in groups(w) for a in [agree[leaf(w), g]])}
     support = defaultdict(set)
     for t, w in lines:
         for i, x in enumerate(w):
@@ -31,7 +38,7 @@ def brute_force(texts, min_docs=3):
     template, holders = {}, defaultdict(set)
     for t, w in lines:
         constant = [x != "#" and len(support[leaf(w), i, x]) >= need(w) for i, x in enumerate(w)]
-        if sum(constant) >= 2 and sum(constant) >= 0.75 * sum(x != "#" for x in w):
+        if sum(constant) >= 2 and sum(constant) >= 0.75 * sum(x != "#" for x in w) and sum(x != "#" for x in w) - sum(constant) <= 4:
             template[w] = leaf(w), tuple(x if c else None for x, c in zip(w, constant, strict=True))
             holders[template[w]].add(t)
     recurring = set()
