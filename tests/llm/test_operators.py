@@ -62,9 +62,11 @@ def near_copies(seed=5, groups=12, base=60):
     return out + [passage + " " + " ".join(rng.choice(words) for _ in range(40)) for _ in range(40)]
 
 
-@pytest.mark.parametrize("light", [0, jaccard.LIGHT_MAX])
-def test_jaccard_components_are_exact(spark, monkeypatch, light):
+@pytest.mark.parametrize(("light", "piece", "block"), [(0, 50_000, 2048), (jaccard.LIGHT_MAX, 50_000, 2048), (jaccard.LIGHT_MAX, 4, 3)])
+def test_jaccard_components_are_exact(spark, monkeypatch, light, piece, block):
     monkeypatch.setattr(jaccard, "light_boundary", lambda *a: light)
+    monkeypatch.setattr(jaccard, "_PIECE", piece)
+    monkeypatch.setattr(jaccard, "_BLOCK", block)
     texts = near_copies()
     sets = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
     comp = list(range(len(texts)))
@@ -88,6 +90,18 @@ def test_size_bounds_lose_no_pair():
                 assert c in jaccard.subset_sizes(n) and c in jaccard.subset_sizes(m)
 
 
+def test_places_bound_the_overlap():
+    rng = random.Random(3)
+    for _ in range(3000):
+        n, m = rng.randrange(1, 60), rng.randrange(1, 60)
+        x, y = set(rng.sample(range(80), n)), set(rng.sample(range(80), m))
+        y = y if rng.random() < 0.2 else set(list(x)[: rng.randrange(n + 1)]) | set(rng.sample(range(80), rng.randrange(1, 6)))
+        common, m = x & y, len(y)
+        if common and 100 * len(common) >= 75 * len(x | y):
+            p, q = (1000 * sorted(s).index(min(common)) // len(s) for s in (x, y))
+            assert jaccard.can_reach(np.array([n]), np.array([p]), np.array([m]), np.array([q]))[0]
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (50, 60, 1000, 3000, 9000)]
