@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than ASCII white space.
@@ -132,6 +133,31 @@ def maybe_in(table_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (table_[at >> 6] >> (at & 63)) & 1 == 1
 
 
+def fresh_name(taken: list[str], wanted: str) -> str:
+    while wanted in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def rank_within(rows: DataFrame, keys: list[str], name: str, scratch: Scratch, chunk: int = 4096) -> DataFrame:
+    """Adds ``name``, 0 to n - 1 among the rows of equal keys, in some fixed order.
+
+    Rows of a key are dealt into chunks of about ``chunk`` rows by their place in a saved
+    table, so equal rows spread too; counts of chunks are summed, and rows ranked inside.
+    """
+    row, part, total, before = (fresh_name(rows.columns, x) for x in ("row_", "part_", "total_", "before_"))
+    rows = scratch.save(rows).withColumn(row, F.monotonically_increasing_id())
+    at = F.struct(*keys)
+    totals = rows.groupBy(at.alias("k")).agg(F.ceil(F.count("*") / chunk).alias(total))
+    dealt = rows.join(totals, at.eqNullSafe(totals["k"])).drop("k").withColumn(part, F.pmod(F.xxhash64(row), F.col(total))).drop(total)
+    counts = dealt.groupBy(at.alias("k"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("k").orderBy("p").rowsBetween(W.unboundedPreceding, 0))
+    starts = counts.select("k", "p", (upto - F.col("n")).alias(before))
+    joined = dealt.join(starts, at.eqNullSafe(starts["k"]) & (dealt[part] == starts["p"])).drop("k", "p")
+    inside = F.row_number().over(W.partitionBy(*keys, part).orderBy(row)) - 1
+    return joined.withColumn(name, F.col(before) + inside).drop(row, part, before)
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of ``edges`` (src, dst): rows (node, component), component
     the smallest node reachable.  Nodes without an edge don't appear.

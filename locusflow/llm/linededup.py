@@ -33,12 +33,11 @@ empty table gives no rows; other columns pass through unread.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_filter, maybe_in, table
+from .common import Scratch, bit_filter, fresh_name, maybe_in, table
 from .hashing import mix, releasing, shingles, slices, text_bytes, word_spans, words
 
 MIN_DOCS = 3
@@ -46,6 +45,9 @@ MIN_DOCS = 3
 LONG = 50
 LEADING, LEAST, SHARE, FIELDS = 3, 2, 0.75, 4
 SKETCH, NEAR = 128, 0.5
+SLOTS = 1 << 19
+#: Bytes of text whose lines are parsed together.
+_TOGETHER = 1 << 20
 _DIGITS = np.uint64(7)
 
 
@@ -91,7 +93,7 @@ def _listed(groups: np.ndarray) -> pa.Array:
 def _lines(batches):
     """(text_hash, line, key, groups) of every line with a word."""
     for batch in batches:
-        for start, column in slices(batch.column(1)):
+        for start, column in slices(batch.column(1), _TOGETHER):
             row, number, _, key, _, groups, *_ = _parsed(column)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(column)).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(key), _listed(groups)], names=["text_hash", "line", "key", "groups"])
 
@@ -100,7 +102,7 @@ def _tokens(shared):
     """(text_hash, n, key, leaf, groups, tokens) of the lines of which a group passes the filter, once a text."""
     def run(batches):
         for batch in batches:
-            for start, column in slices(batch.column(1)):
+            for start, column in slices(batch.column(1), _TOGETHER):
                 row, _, n, key, leaf, groups, token, lo = _parsed(column)
                 at = np.flatnonzero((maybe_in(shared.value, groups.ravel()).reshape(groups.shape) & (groups > 0)).any(axis=1))
                 _, once = np.unique(np.stack([row[at], key[at]]), axis=1, return_index=True) if len(at) else (None, at)
@@ -132,7 +134,7 @@ def _sketches(holders):
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(maybe_in(holders.value, batch.column(0).to_numpy())))
-            for start, column in slices(batch.column(1)):
+            for start, column in slices(batch.column(1), _TOGETHER):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(column)), pa.array([r.tobytes() for r in sketch_rows(column)], pa.binary())], names=["text_hash", "sketch"])
     return run
 
@@ -222,11 +224,12 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession)
     drops = recurring_lines(docs, scratch, min_docs, text_col)
     drops = scratch.save(drops.groupBy("text_hash").agg(F.collect_set("line").alias("lines")).select(F.struct("text_hash", "lines").alias("drops")))
-    changed = bit_filter(drops.select("drops.text_hash"), "text_hash")
-    may_change = F.pandas_udf(lambda h: pd.Series(maybe_in(changed.value, h.to_numpy())), "boolean")
+    # texts whose slot loses no line are passed on as they are; at most SLOTS rows are broadcast
+    slots = F.broadcast(scratch.save(drops.select(F.pmod("drops.text_hash", F.lit(SLOTS)).alias("slot")).distinct()))
+    in_slot = F.pmod(F.xxhash64(docs[text_col]), F.lit(SLOTS)) == slots["slot"]
     name = fresh_name(docs.columns, "n_dropped")
-    same = docs.where(~may_change(F.xxhash64(text_col))).withColumn(name, F.lit(0))
-    some = docs.where(may_change(F.xxhash64(text_col)))
+    same = docs.join(slots, in_slot, "left_anti").withColumn(name, F.lit(0))
+    some = docs.join(slots, in_slot, "left_semi")
     body, gone = some[text_col], drops["drops"]["lines"]
     # the same plan at every size: a sort-merge join
     joined = some.join(drops.hint("merge"), F.xxhash64(body) == drops["drops"]["text_hash"], "left")
@@ -235,12 +238,6 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return same.unionByName(joined.select(*[text.alias(c) if c == text_col else some[c] for c in docs.columns], F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).alias(name)))
 
 
-def fresh_name(taken: list[str], wanted: str) -> str:
-    while wanted in taken:
-        wanted = f"_{wanted}"
-    return wanted
-
-
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_dropped").cast("long").alias("n_dropped"), "text")
