@@ -128,6 +128,25 @@ def test_entropy_balancing_meets_two_constraints(spark):
             assert sum(r["size"] * r.rate for r in rows if r[name] == t.level) == pytest.approx(t.target, rel=1e-5)
 
 
+@pytest.mark.parametrize("levels", [1000, 0])
+def test_two_constraint_groups_share_a_dual(spark, monkeypatch, levels):
+    """Both ways of several groups against plain gradient ascent of the dual."""
+    monkeypatch.setattr(mixing, "LEVELS", levels)
+    rng = np.random.default_rng(5)
+    size = rng.integers(20, 300, (4, 3)).astype(float)
+    goal = size * rng.uniform(0.5, 2.0, (4, 3))
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", float(size[i, j])) for i in range(4) for j in range(3)], "source string, lang string, size double")
+    sources = spark.createDataFrame([(f"s{i}", float(x)) for i, x in enumerate(goal.sum(1))], "level string, target double")
+    langs = spark.createDataFrame([(f"l{j}", float(x)) for j, x in enumerate(goal.sum(0))], "level string, target double")
+    a, b = np.zeros(4), np.zeros(3)
+    for _ in range(5000):
+        a += np.log(goal.sum(1) / (size * np.exp(a[:, None] + b)).sum(1))
+        b += np.log(goal.sum(0) / (size * np.exp(a[:, None] + b)).sum(0))
+    want = np.exp(a[:, None] + b)
+    got = {(r.source, r.lang): r.rate for r in mixing.newton_rates(cells, {"source": sources, "lang": langs}, Scratch(spark), cap=100).collect()}
+    assert all(got[f"s{i}", f"l{j}"] == pytest.approx(want[i, j], rel=1e-4) for i in range(4) for j in range(3))
+
+
 def test_mix_meets_targets_and_repeats(spark):
     rng = random.Random(2)
     docs = frame(spark, [" ".join("w" for _ in range(int(rng.lognormvariate(4, 1)))) for _ in range(900)]).withColumn("source", F.when(F.col("doc_id") < 600, "s0").otherwise(F.col("source")))
@@ -142,9 +161,45 @@ def test_mix_meets_targets_and_repeats(spark):
     assert all(abs(taken[s] - target[s]) < 0.01 * target[s] for s in target)
 
 
+def plain_targets(sizes):
+    """Targets by source (in order), shared again until none is above three times its size."""
+    weight = {s: k % 3 + 1.0 for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    full = set()
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in full)) / (sum(weight[s] for s in sizes if s not in full) or 1)
+        more = {s for s in sizes if s not in full and weight[s] * level > 3 * sizes[s]}
+        if not more:
+            return {s: 3.0 * sizes[s] if s in full else weight[s] * level for s in sizes}
+        full |= more
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_of_repeated_and_null_ids(spark, seed):
+    """Sizes, targets and bounds on tables of few ids, whose texts differ, and of nulls."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(12)]), " ".join("w" for _ in range(rng.choice([0, 1, 3, 20, 100]))) or None, rng.choice([None, "a", "b", "\U0001f600", "\uffff"])) for _ in range(rng.choice([60, 300]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    size = lambda t: len((t or "").split())
+    sizes = {s: sum(size(t) for _, t, x in rows if x == s) for s in {r[2] for r in rows}}
+    want = plain_targets(sizes)
+    assert sorted((str(r.doc_id), r["size"], str(r.source)) for r in got) == sorted((str(i), size(t), str(s)) for i, t, s in rows)
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        assert 0 <= r.copies <= 3 and r.taken == r.copies * r["size"]
+    for s in sizes:
+        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= 60
+    staged = mixing.mixing_stage(spark, docs.withColumn("kind", F.lit(1)).withColumn("copy", F.lit(2)).withColumn("rank", F.lit(3)), "")
+    assert staged.columns == ["doc_id", "text", "source", "kind", "copy", "rank"]
+    words = {s: 0 for s in sizes}
+    for r in staged.collect():
+        words[r.source] += size(r.text)
+    assert words == {s: sum(r.taken for r in got if r.source == s) for s in sizes}
+
+
 def test_targets_are_capped_and_reshared(spark):
     rows = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 1000)], "source string, source_size long")
-    got = {r.source: r.target for r in mixing.capped_targets(rows).collect()}
+    got = {r.source: r.target for r in mixing.capped_targets(rows, Scratch(spark)).collect()}
     assert got["a"] == 30 and got["c"] == 300
     assert got["b"] == pytest.approx(2 * got[None]) and sum(got.values()) == pytest.approx(2110)
 
