@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, n_partitions, small_batches, table
+from .common import Scratch, hash_sample, n_partitions, table
 from .hashing import mix, release_memory, releasing, slices, words
 
 ALPHA, MIN_COUNT = 0.4, 2
@@ -282,10 +282,11 @@ def _join_words(model, buckets: int):
 def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, score, mean_score) of every document by the model of all of them."""
     spark = docs.sparkSession
-    small_batches(spark)
+    scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = "kind int, hash long, n long"
-    sample = bounded_sample(texts.select("text"), SAMPLE).mapInArrow(releasing(_frequent(HOT)), counted).groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    sample = hash_sample(texts, SAMPLE, ["doc_id"]).select("text").mapInArrow(releasing(_frequent(HOT)), counted).groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    sample = scratch.save(sample)
     tops = [np.sort(np.array([r["hash"] for r in sample.where(F.col("kind") == k).orderBy(F.desc("n"), "hash").limit(HOT - 1).collect()], np.int64).view(np.uint64)) for k in (1, 2)]
     hot = spark.sparkContext.broadcast(tops)
     rows = texts.select("text").mapInArrow(_count_hot(hot), counted).groupBy("kind", "hash").agg(F.sum("n").alias("n")).collect()  # at most 2 HOT rows
@@ -293,8 +294,9 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT,
     buckets = max(n_partitions(spark), model.n // _TOKENS_PER_BUCKET + 1)
     model = spark.sparkContext.broadcast(model)
     joined, unigrams = _join_bigrams(model, buckets), _join_words(model, buckets)
-    packed = texts.mapInArrow(releasing(_deal(model, buckets)), _PACKED).groupBy("bucket").applyInArrow(lambda t: joined(t), _PACKED)
-    sums = packed.groupBy("bucket").applyInArrow(lambda t: unigrams(t), "doc long, score double, n long").groupBy("doc").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+    packed = texts.mapInArrow(releasing(_deal(model, buckets)), _PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: joined(t), _PACKED)
+    sums = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: unigrams(t), "doc long, score double, n long").groupBy("doc").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+    sums = scratch.save(sums)
     ids = texts.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc")).distinct()
     out = ids.join(sums, "doc", "left").select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
