@@ -6,10 +6,12 @@ residual codebooks are fitted on a bounded sample; every vector is indexed: its
 (nearest centroid), its residual's subspace codes and the length of what the codes
 miss.  A vector probes every list c that can hold a neighbour: since a neighbour in c
 is nearer to c than to the vector's own centroid o, the vector lies within r of the
-plane between them, d(x,c)^2 - d(x,o)^2 <= 2 r |c - o|.  Inside a list, asymmetric
-distances by table lookup give d^; a neighbour has d^ <= r + miss.  What passes is
-reranked by exact cosine in double precision.  Both bounds are sufficient, so no link
-is lost to quantisation, whatever the sample.
+plane between them, d(x,c)^2 - d(x,o)^2 <= 2 r |c - o|; and it lies within r of the
+list's farthest vector from c.  Lists grow in number with the square root of the rows
+of the largest label, so that a list grows no faster than that.  Inside a list,
+asymmetric distances by table lookup give d^; a neighbour has d^ <= r + miss.  What
+passes is reranked by exact cosine in double precision.  All bounds are sufficient, so
+no link is lost to quantisation, whatever the sample.
 
 Lists are compared in blocks of bounded size (chunks of a list against chunks of its
 probing vectors), so a hot label or list spreads over tasks.  A block returns counts
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, table
 
 THRESHOLD = 0.98
-#: Vectors of the fitting sample, at most; coarse lists, subspaces and codes per subspace, at most.
-TRAIN, LISTS, SUBSPACES, CODES = 20_000, 256, 8, 256
+#: Vectors of the fitting sample, at most; subspaces and codes per subspace, at most.
+TRAIN, SUBSPACES, CODES = 20_000, 8, 256
 _BLOCK = 2048
 _EPS = 1e-9
 
@@ -50,31 +52,39 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(1)[None, :] - 2 * x @ c.T, axis=1)
+    square = (c * c).sum(1)[None, :]
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmin(square - 2 * x[s: s + 2048] @ c.T, axis=1) for s in range(0, len(x), 2048))])
+
+
+def list_count(rows: int, sample: int) -> int:
+    """Coarse lists for labels of so many rows, as far as the sample can place them."""
+    return int(max(1, min(2 * np.sqrt(rows), sample // 16)))
 
 
 class Quantiser:
     """Coarse centroids and residual codebooks, fitted on the rows of ``x``."""
 
-    def __init__(self, x: np.ndarray, lists: int = LISTS, subspaces: int = SUBSPACES, codes: int = CODES):
-        self.coarse = kmeans(x, max(1, min(lists, len(x) // 64)))
+    def __init__(self, x: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES):
+        self.coarse = kmeans(x, lists)
+        self.between = np.sqrt(np.maximum(0, (self.coarse**2).sum(1)[:, None] + (self.coarse**2).sum(1)[None, :] - 2 * self.coarse @ self.coarse.T))
         rest = x - self.coarse[nearest(x, self.coarse)]
         self.parts = [p for p in np.array_split(np.arange(x.shape[1]), min(subspaces, x.shape[1])) if len(p)]
         self.books = [kmeans(rest[:, p], max(1, min(codes, len(x) // 16))) for p in self.parts]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes and missed length of every row."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, missed length and distance from the list's centroid of every row."""
         own = nearest(x, self.coarse)
         rest = x - self.coarse[own]
         codes = np.stack([nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], axis=1)
         miss = sum(((rest[:, p] - b[codes[:, i]]) ** 2).sum(1) for i, (p, b) in enumerate(zip(self.parts, self.books, strict=True)))
-        return own, codes.astype(np.uint8), np.sqrt(miss)
+        return own, codes.astype(np.uint8), np.sqrt(miss), np.sqrt((rest**2).sum(1))
 
-    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
-        """For every row and list whether the list can hold a neighbour."""
-        far = ((x[:, None, :] - self.coarse[None, :, :]) ** 2).sum(2) if x.shape[1] < 8 else (x * x).sum(1)[:, None] + (self.coarse**2).sum(1)[None, :] - 2 * x @ self.coarse.T
-        between = np.sqrt(np.maximum(0, ((self.coarse[:, None, :] - self.coarse[None, :, :]) ** 2).sum(2)))
-        return far - far[np.arange(len(x)), own][:, None] <= 2 * radius * between[own] + 1e-6
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float, reach: np.ndarray) -> np.ndarray:
+        """For every row and list whether the list, whose vectors lie within ``reach`` of its
+        centroid, can hold a neighbour."""
+        far = np.maximum(0, (x * x).sum(1)[:, None] + (self.coarse**2).sum(1)[None, :] - 2 * x @ self.coarse.T)
+        plane = far - far[np.arange(len(x)), own][:, None] <= 2 * radius * self.between[own] + 1e-6
+        return plane & (np.sqrt(far) <= reach[None, :] + radius + 1e-6)
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of the rows of ``x`` to coded vectors of one list."""
@@ -90,23 +100,24 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
-def _encode(quantiser, width: int, radius: float):
+def _encode(quantiser, width: int):
+    def run(batches):
+        for batch in batches:
+            own, codes, miss, far = quantiser.value.encode(_unit(batch.column("x"), width))
+            more = [pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(miss), pa.array(far)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "list", "codes", "miss", "far"])
+    return run
+
+
+def _probes(quantiser, reach, width: int, radius: float):
+    """A row for each list that a vector probes."""
     def run(batches):
-        q = quantiser.value
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
-                x = _unit(part.column("x"), width)
-                own, codes, miss = q.encode(x)
-                row, which = np.nonzero(q.probes(x, own, radius))
-                n = len(x)
-                take = np.r_[np.arange(n), row]
-                at = pa.array(take)
-                kind = np.r_[np.zeros(n, np.int32), np.ones(len(row), np.int32)]
-                coded = [c.tobytes() for c in codes] + [None] * len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(at) for c in ("label", "dim", "rep", "copies", "x")), pa.array(np.r_[own, which].astype(np.int32)), pa.array(kind), pa.array(coded, pa.binary()), pa.array(np.r_[miss, np.zeros(len(row))])],
-                    names=["label", "dim", "rep", "copies", "x", "list", "probe", "codes", "miss"])
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                row, which = np.nonzero(quantiser.value.probes(_unit(part.column("x"), width), part.column("list").to_numpy(), radius, reach.value))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("label", "dim", "rep", "copies", "x")), pa.array(which.astype(np.int32))], names=["label", "dim", "rep", "copies", "x", "list"])
     return run
 
 
@@ -167,8 +178,8 @@ def vector_components(vectors: DataFrame, threshold: float = THRESHOLD, id_col:
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _EPS
     v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
     all_rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)
-    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce((square > 0) & (square < float("inf")) & ~F.isnan(square), F.lit(False))
+    finite = F.forall("v", lambda e: F.coalesce((F.abs(e) < float("inf")) & ~F.isnan(e), F.lit(False)))
+    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("v", lambda e: e != 0), F.lit(False))
     all_rows = all_rows.withColumn("ok", usable).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     key = ["label", "h1", "h2"]
     classes = all_rows.where("ok").groupBy(*key).agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("copies"))
@@ -189,9 +200,20 @@ def vector_components(vectors: DataFrame, threshold: float = THRESHOLD, id_col:
         label = classes.schema["label"].dataType.simpleString()
         units = scratch.save(classes.select("label", "dim", "rep", "copies", "v").mapInArrow(unit, f"label {label}, dim int, rep long, copies long, x binary"))
         sample = units.orderBy(F.xxhash64("rep"), "rep").limit(TRAIN).select("x").collect()
-        quantiser = spark.sparkContext.broadcast(Quantiser(np.frombuffer(b"".join(r.x for r in sample), np.float64).reshape(-1, width)))
+        sample = np.frombuffer(b"".join(r.x for r in sample), np.float64).reshape(-1, width)
+        largest = units.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        lists = list_count(largest, len(sample))
+        quantiser = spark.sparkContext.broadcast(Quantiser(sample, lists))
         cells = ["label", "dim", "list"]
-        coded = scratch.save(units.mapInArrow(_encode(quantiser, width, radius), f"label {label}, dim int, rep long, copies long, x binary, list int, probe int, codes binary, miss double"))
+        unit_columns = f"label {label}, dim int, rep long, copies long, x binary, list int"
+        held = scratch.save(units.mapInArrow(_encode(quantiser, width), f"{unit_columns}, codes binary, miss double, far double"))
+        reach = np.full(lists, -np.inf)
+        for r in held.groupBy("list").agg(F.max("far").alias("far")).collect():  # a row per list
+            reach[r.list] = r.far
+        reach = spark.sparkContext.broadcast(reach)
+        asking = held.select("label", "dim", "rep", "copies", "x", "list").mapInArrow(_probes(quantiser, reach, width, radius), unit_columns)
+        none = lambda kind: F.lit(None).cast(kind)
+        coded = scratch.save(held.drop("far").withColumn("probe", F.lit(0)).unionByName(asking.withColumns({"codes": none("binary"), "miss": none("double"), "probe": F.lit(1)})))
         sizes = coded.groupBy(*cells).agg(F.ceil(F.count_if(F.col("probe") == 0) / _BLOCK).cast("int").alias("held"), F.ceil(F.count_if(F.col("probe") == 1) / _BLOCK).cast("int").alias("asking")).where("held > 0 AND asking > 0")
         own, other = F.when(F.col("probe") == 0, F.col("held")).otherwise(F.col("asking")), F.when(F.col("probe") == 0, F.col("asking")).otherwise(F.col("held"))
         dealt = coded.join(sizes, cells).withColumn("mine", F.pmod(F.xxhash64("rep"), own).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), other - 1)))
