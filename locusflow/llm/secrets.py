@@ -1,14 +1,18 @@
 """Secret scanning: fixed patterns, and a linear-chain CRF that adds spans.
 
-The patterns (assignments, access keys, hex runs) always hold.  The CRF tags tokens as
-secret begin, inside or outside.  Its features are a token's shape, length, character
-mix and entropy, the words beside it, and of the file its language and whether it
-names a credential.  Begin and inside are only allowed on tokens of 12 characters or
-more with a letter and a digit; all others are outside by construction, so a line
-falls apart into independent runs of such tokens, and Viterbi over the runs is exact
-Viterbi over the text.  Training labels are the pattern matches in a bounded sample of
-documents; fitting maximises the regularised conditional likelihood (forward-backward,
-Adagrad).  Spans that overlap a pattern's are not added.
+The patterns (assignments, access keys, hex runs) always hold.  The CRF tags every token
+of a line (words, and punctuation marks one by one) as secret begin, inside or outside.
+Its features are a token's shape, length, character mix and variety, the words beside
+it, and of the file its language and whether it names a credential.  Viterbi decodes
+whole lines; a line is left out only if a bound over its tokens' weights shows that
+"outside throughout" is its best tagging.
+
+Training labels are the pattern matches in a bounded sample of documents.  So that the
+CRF learns more than the patterns, each labelled line is also used with its secret drawn
+anew in other alphabets, and so once more without the words and quotes that give it
+away; lines with a long mixed token that no pattern knows are left out, since nobody has
+said what it is.  Fitting maximises the regularised conditional likelihood
+(forward-backward, Adagrad).  Spans that overlap a pattern's are not added.
 
 Defined results: null text counts as empty; without a pattern match in the sample the
 CRF adds nothing; repeated rows are scanned alike; a null id is carried through; an
@@ -18,31 +22,33 @@ empty table gives no rows; other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-import zlib
-from collections import Counter
-from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches, table
+from .common import hash_sample, table
 
-#: Documents and runs of the fitting sample, at most.
-SAMPLE_DOCS, SAMPLE_RUNS = 20_000, 6_000
-FEATURES, EPOCHS = 1 << 15, 6
+#: Documents of the fitting sample, about, and labelled lines, at most.
+SAMPLE_DOCS, SAMPLE_LINES = 20_000, 2_000
+EPOCHS = 4
 KINDS = ("assign", "access", "hex", "crf")
 # The patterns and the least lengths of what they must match.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_CORE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+_TOKEN = re.compile(r"[\w+/=~-](?:[\w+/=~.-]*[\w+/=~-])?|[^\w\s]")
+_HEXADECIMAL, _RUN = re.compile(r"[0-9a-fA-F]+"), re.compile(r"(.)\1+")
+_MARKED = re.compile(r"[^\w\s.,]|" + "|".join(_KEYWORDS), re.I)
+#: Alphabets in which secrets of training lines are drawn anew.
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789_-")
 _O, _B, _I = 0, 1, 2
+#: Forms of tokens whose weights a worker remembers.
+_REMEMBERED = 50_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,68 +67,118 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _shape(word: str) -> str:
-    kinds = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", word)))
-    return kinds[:12]
+def value_spans(text: str) -> list[tuple[int, int]]:
+    """Where the secrets of the pattern matches stand, without the words before them."""
+    out = [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    return sorted(out + [m.span() for p in (_ACCESS, _HEX) for m in p.finditer(text)])
 
 
-def _entropy(word: str) -> int:
-    n = len(word)
-    return round(-sum(c / n * log2(c / n) for c in Counter(word).values()))
+def _kind(c: str) -> str:
+    return "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "."
 
 
-def _features(core: str, token: str, before: str, after: str, file: tuple[str, ...]) -> list[int]:
-    digits, uppers = sum(c.isdigit() for c in core), sum(c.isupper() for c in core)
-    n = len(core)
-    names = [
-        "bias", f"shape={_shape(core)}", f"start={core[:3]}", f"length={min(n // 4, 16)}", f"digits={10 * digits // n}", f"upper={10 * uppers // n}",
-        f"entropy={_entropy(core)}", f"hex={all(c in '0123456789abcdef' for c in core)}", f"marks={sum(not c.isalnum() for c in core)}",
-        f"edge={token[:1] if not token[:1].isalnum() else 'a'}{token[-1:] if not token[-1:].isalnum() else 'a'}",
-        f"before={before.lower()[-16:]}", f"after={after.lower()[:8]}", f"sets={before[-1:] in (':', '=')}", *file,
+class _Kinds(dict):
+    """The kind of every character, for ``str.translate``."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = _kind(chr(c))
+        return self[c]
+
+
+_KINDS = _Kinds()
+
+
+def _form(word: str) -> tuple[str, int, bool, bool]:
+    """All that a token's own features look at: the kinds of its characters, how many
+    different ones there are, whether it is hexadecimal and whether it is ASCII."""
+    return word.translate(_KINDS), len(set(word)), len(word) >= 8 and _HEXADECIMAL.fullmatch(word) is not None, word.isascii()
+
+
+def own_features(word: str) -> list[str]:
+    """Names of the features of a token by itself."""
+    form, different, hexadecimal, ascii_ = _form(word)
+    n = len(form)
+    changes = sum(a != b for a, b in zip(form, form[1:], strict=False))
+    share = lambda k: 5 * form.count(k) // n
+    return [
+        "bias", f"shape={_RUN.sub(lambda m: m[1], form)[:6]}", f"length={min(n // 4, 12)}", f"digits={share('0')}", f"upper={share('A')}", f"lower={share('a')}", f"marks={share('.')}",
+        f"different={min(different // 4, 8)}:{min(n // 8, 3)}", f"changes={min(changes // 2, 8)}:{min(n // 8, 3)}", f"mixed={n >= 12 and '0' in form and ('a' in form or 'A' in form)}", f"hex={hexadecimal}", f"ascii={ascii_}",
     ]
-    return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
-def runs(text: str, lang: str | None):
-    """Runs of tokens that may be secret: lists of (start, end, features)."""
-    if not _DIGIT.search(text):
-        return
+def _beside(word: str) -> str:
+    """What a neighbour is: a mark, a word that names credentials, a number or another word."""
+    if len(word) == 1 and not word.isalnum():
+        return word
+    low = word.lower()
+    return next((k for k in _KEYWORDS if k in low), "number" if any(c.isdigit() for c in word) else "word")
+
+
+def context_features(words: list[str], k: int) -> list[str]:
+    """Names of the features of the words beside a token."""
+    before = _beside(words[k - 1]) if k else "^"
+    far = _beside(words[k - 2]) if k > 1 else "^"
+    return [f"before={before}", f"far={far}", f"after={_beside(words[k + 1]) if k + 1 < len(words) else '$'}", f"sets={any(w in (':', '=', '=>') for w in words[max(0, k - 3): k])}"]
+
+
+def file_features(text: str, lang: str | None) -> list[str]:
     low = text.lower()
-    file = (f"lang={lang}", f"named={any(k in low for k in _KEYWORDS)}")
-    at = 0
-    for line in text.split("\n"):
-        if len(line) >= 12 and _DIGIT.search(line) and _CORE.search(line):
-            tokens = list(_TOKEN.finditer(line))
-            run = []
-            for k, m in enumerate(tokens):
-                core = next((c for c in _CORE.finditer(m[0]) if _DIGIT.search(c[0]) and re.search("[A-Za-z]", c[0])), None)
-                if core is None:
-                    if run:
-                        yield run
-                    run = []
-                    continue
-                before = m[0][: core.start()] or (tokens[k - 1][0] if k else "")
-                after = tokens[k + 1][0] if k + 1 < len(tokens) else ""
-                start = at + m.start() + core.start()
-                run.append((start, start + len(core[0]), _features(core[0], m[0], before, after, file)))
-            if run:
-                yield run
-        at += len(line) + 1
+    return [f"lang={lang}", f"named={any(k in low for k in _KEYWORDS)}"]
 
 
 class Crf:
     """Weights of a linear chain over outside, begin, inside; outside stands at both ends."""
 
-    def __init__(self):
-        self.w = np.zeros((3, FEATURES))
+    def __init__(self, names: list[str] = ()):
+        self.at = {name: k for k, name in enumerate(names)}
+        self.w = np.zeros((3, len(self.at)))
         self.t = np.zeros((3, 3))
         self.t[_O, _I] = -1e9  # inside must follow begin or inside
-
-    def emit(self, run) -> np.ndarray:
-        return np.stack([self.w[:, f].sum(axis=1) for _, _, f in run])
-
-    def viterbi(self, run) -> list[int]:
-        e = self.emit(run)
+        self.known: dict[tuple, tuple[np.ndarray, float]] = {}
+
+    def places(self, names: list[str]) -> list[int]:
+        """Columns of the features that training has seen."""
+        return [k for x in names if (k := self.at.get(x)) is not None]
+
+    def gain(self) -> np.ndarray:
+        """By how much each feature speaks for begin or inside."""
+        return np.maximum(self.w[_B], self.w[_I]) - self.w[_O]
+
+    def own(self, word: str) -> tuple[np.ndarray, float]:
+        """Weights of a token by itself, and by how much it is rather begin or inside."""
+        form = _form(word)
+        if form not in self.known:
+            if len(self.known) >= _REMEMBERED:
+                self.known.clear()
+            at = self.places(own_features(word))
+            self.known[form] = self.w[:, at].sum(axis=1), float(self.gain()[at].sum())
+        return self.known[form]
+
+    def slack(self) -> tuple[float, float]:
+        """What context, file and chain can add at most in favour of begin or inside: in a
+        line of words, numbers, dots and commas alone, and in any line.
+
+        A run of tokens that are not outside enters and leaves it once and goes on in
+        between; if no token by itself outweighs the dearer of both, no run does.
+        """
+        gain = self.gain()
+        plain: dict[str, float] = {}
+        every: dict[str, float] = {}
+        for name, k in self.at.items():
+            kind, _, value = name.partition("=")
+            if kind in ("before", "far", "after", "sets", "lang", "named"):
+                every[kind] = max(every.get(kind, 0.0), gain[k])
+                if kind in ("lang", "named") or value in ("word", "number", "^", "$", "False", ".", ","):
+                    plain[kind] = max(plain.get(kind, 0.0), gain[k])
+        inner = self.t[1:, 1:].max() - self.t[_O, _O]
+        around = self.t[_O, _B] + self.t[1:, _O].max() - 2 * self.t[_O, _O]
+        return tuple(sum(x.values()) + max(inner, around) for x in (plain, every))
+
+    def emit(self, words: list[str], file: list[int]) -> np.ndarray:
+        more = [self.places(context_features(words, k)) for k in range(len(words))]
+        return np.array([self.own(w)[0] for w in words]) + np.array([self.w[:, m].sum(axis=1) for m in more]) + self.w[:, file].sum(axis=1)
+
+    def viterbi(self, e: np.ndarray) -> list[int]:
         score, back = self.t[_O] + e[0], []
         for row in e[1:]:
             every = score[:, None] + self.t
@@ -134,7 +190,7 @@ class Crf:
         return tags[::-1]
 
     def fit(self, data, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-3) -> Crf:
-        """``data``: (features of each token, tags) of each run."""
+        """``data``: (columns of each token, tags) of each line."""
         gw, gt = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
         order = np.random.default_rng(7)
         for _ in range(epochs):
@@ -157,8 +213,7 @@ class Crf:
                     dt[x, y] += 1
                 dt[_O] -= p[0]
                 dt[:, _O] -= p[-1]
-                for i in range(1, n):
-                    dt -= np.exp(a[i - 1][:, None] + self.t + (e[i] + b[i])[None, :] - z)
+                dt -= np.exp(a[:-1, :, None] + self.t[None] + (e[1:] + b[1:])[:, None, :] - z).sum(axis=0)
                 dt[_O, _I] = 0
                 gt += dt * dt
                 self.t += rate * dt / np.sqrt(gt)
@@ -171,50 +226,88 @@ class Crf:
         return self
 
 
+def _tagged(line: str, spans: list[tuple[int, int]]) -> tuple[list[str], list[int]]:
+    words, tags, last = [], [], None
+    for m in _TOKEN.finditer(line):
+        hit = next((x for x in spans if x[0] < m.end() and m.start() < x[1]), None)
+        tags.append(_O if hit is None else _I if hit == last else _B)
+        last = hit
+        words.append(m[0])
+    return words, tags
+
+
 def labelled(text: str, lang: str | None):
-    """(features, tags) of each run; tags from the pattern matches."""
-    spans = base_spans(text)
-    for run in runs(text, lang):
-        tags, last = [], None
-        for start, end, _ in run:
-            hit = next(((a, b) for a, _, b in spans if a < end and start < b), None)
-            tags.append(_O if hit is None else _I if hit == last else _B)
-            last = hit
-        yield [f for _, _, f in run], tags
+    """(feature names of each token, tags) of training lines: those with a pattern match in
+    three forms, and lines without that have a digit or come in every twentieth place."""
+    file = file_features(text, lang)
+    spans, at = value_spans(text), 0
+    names = lambda words, file: [[*own_features(w), *context_features(words, k), *file] for k, w in enumerate(words)]
+    for number, line in enumerate(text.split("\n")):
+        own = [(max(0, a - at), b - at) for a, b in spans if a < at + len(line) and at < b]
+        rng = random.Random(f"{line[:200]}:{number}")
+        if own:
+            words, tags = _tagged(line, own)
+            yield names(words, file), tags
+            for copy in range(6):
+                letters = rng.choice(_ALPHABETS)
+                redrawn = [w if t == _O else "".join(rng.choice(letters) for _ in range(rng.randrange(14, 49))) for w, t in zip(words, tags, strict=True)]
+                if copy % 3 == 0:
+                    yield names(redrawn, file), tags
+                    continue
+                plain = [k for k, (w, t) in enumerate(zip(words, tags, strict=True)) if t != _O or (w.lower() not in _KEYWORDS and w not in "\"'=:")]
+                yield names([redrawn[k] for k in plain], [x for x in file if not x.startswith("named")] + ["named=False"]), [tags[k] for k in plain]
+        elif line.strip() and (number % 20 == 0 or any(c.isdigit() for c in line)):
+            words, tags = _tagged(line, [])
+            if not any(len(w) >= 16 and "mixed=True" in own_features(w) for w in words):
+                yield names(words, file), tags
+        at += len(line) + 1
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS) -> Crf:
-    """A CRF fitted on at most ``sample_runs`` runs of ``sample_docs`` documents (text, lang).
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, id_col: str = "doc_id") -> Crf:
+    """A CRF fitted on at most ``sample_lines`` lines of about ``sample_docs`` documents
+    (id, text, lang), half of them with a secret if there are so many.
 
-    Runs are taken in order of a hash, so reruns agree on the same files."""
+    Documents and lines are taken by hash, so reruns agree however the table is laid out."""
     def cut(batches):
         for batch in batches:
-            rows = [(f, t) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f, t in labelled(text or "", lang)]
-            flat = [(sum(f, []), t) for f, t in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.list_(pa.int32())), pa.array([x[1] for x in flat], pa.list_(pa.int32()))], names=["features", "tags"])
-
-    found = bounded_sample(docs, sample_docs).mapInArrow(cut, "features array<int>, tags array<int>")
-    rows = found.orderBy(F.xxhash64("features"), "tags").limit(sample_runs).collect()
-    data = [(np.array(r.features).reshape(len(r.tags), -1), r.tags) for r in rows]
-    return Crf().fit(data) if any(1 in t for _, t in data) else Crf()
+            rows = [x for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in labelled(text or "", lang) if 0 < len(x[1]) <= 200]
+            flat = [(["\t".join(f) for f in names], tags) for names, tags in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.list_(pa.string())), pa.array([x[1] for x in flat], pa.list_(pa.int32()))], names=["features", "tags"])
+
+    found = hash_sample(docs, sample_docs, [id_col]).select("text", "lang").mapInArrow(cut, "features array<string>, tags array<int>").distinct()
+    found = found.withColumn("hit", F.array_contains("tags", _B))
+    rows = [r for hit in (True, False) for r in found.where(F.col("hit") == hit).orderBy(F.xxhash64("features", "tags"), "tags").limit(sample_lines // 2).collect()]
+    if not any(r.hit for r in rows):
+        return Crf()
+    split = [([f.split("\t") for f in r.features], r.tags) for r in rows]
+    crf = Crf(sorted({x for names, _ in split for f in names for x in f}))
+    return crf.fit([([crf.places(f) for f in names], tags) for names, tags in split])
+
+
+def crf_spans(text: str, lang: str | None, crf: Crf, slack: tuple[float, float]) -> list[tuple[int, int]]:
+    """Spans that the CRF tags, as (start, end)."""
+    out, at, file = [], 0, None
+    for line in text.split("\n"):
+        more = slack[1 if _MARKED.search(line) else 0]
+        if any(crf.own(w)[1] + more > 0 for w in set(_TOKEN.findall(line))):
+            found = list(_TOKEN.finditer(line))
+            file = crf.places(file_features(text, lang)) if file is None else file
+            begin = False
+            for m, tag in zip(found, crf.viterbi(crf.emit([m[0] for m in found], file)), strict=True):
+                if tag == _B or (tag == _I and not begin):
+                    out.append((at + m.start(), at + m.end()))
+                elif tag == _I:
+                    out[-1] = (out[-1][0], at + m.end())
+                begin = tag != _O
+        at += len(line) + 1
+    return out
 
 
-def scan_text(text: str, lang: str | None, crf: Crf | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan_text(text: str, lang: str | None, crf: Crf | None, slack: tuple[float, float] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Pattern spans, and all spans with those the CRF adds."""
     base = base_spans(text)
-    added = []
-    for run in runs(text, lang) if crf is not None else ():
-        tags, k = crf.viterbi(run), 0
-        while k < len(tags):
-            if tags[k] == _B:
-                end = k
-                while end + 1 < len(tags) and tags[end + 1] == _I:
-                    end += 1
-                a, b = run[k][0], run[end][1]
-                if not any(x < b and a < y for x, _, y in base):
-                    added.append((a, 3, b))
-                k = end
-            k += 1
+    found = crf_spans(text, lang, crf, crf.slack() if slack is None else slack) if crf is not None and len(crf.at) else []
+    added = [(a, 3, b) for a, b in found if not any(x < b and a < y for x, _, y in base)]
     return base, sorted(base + added)
 
 
@@ -222,17 +315,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_assign, n_access, n_hex, n_crf, base, spans) of every document; base and
     spans are lists kind:start:end in code points."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("doc_id"))
-    model = spark.sparkContext.broadcast(crf or train(rows.select("text", "lang")))
+    model = spark.sparkContext.broadcast(crf or train(rows))
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
-        m = model.value if model.value.w.any() else None
+        m = model.value
+        slack = m.slack() if len(m.at) else None
         for batch in batches:
-            found = [scan_text(t or "", lang, m) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            counts = [[sum(s[1] == k for s in spans) for _, spans in found] for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), *[pa.array(c, pa.int64()) for c in counts], pa.array([joined(b) for b, _ in found], pa.string()), pa.array([joined(s) for _, s in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base", "spans"])
+            for s in range(0, batch.num_rows, 500):
+                part = batch.slice(s, 500)
+                found = [scan_text(t or "", lang, m, slack) for t, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                counts = [[sum(s[1] == k for s in spans) for _, spans in found] for k in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(2), *[pa.array(c, pa.int64()) for c in counts], pa.array([joined(b) for b, _ in found], pa.string()), pa.array([joined(x) for _, x in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base", "spans"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_crf long, base string, spans string")
 
