@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"): ord("Z") + 1] += 32
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 19
 
 
 def release_memory() -> None:

@@ -47,7 +47,7 @@ LEADING, LEAST, SHARE, FIELDS = 3, 2, 0.75, 4
 SKETCH, NEAR = 128, 0.5
 SLOTS = 1 << 19
 #: Bytes of text whose lines are parsed together.
-_TOGETHER = 1 << 20
+_TOGETHER = 1 << 19
 _DIGITS = np.uint64(7)
 
 
