@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions.ordinal import with_ordinal
 from .operators import aggregates as A
+from .operators import joins as J
 from .operators.joins import partition_variants
+from .operators.sampling import perturb, random_gene_sets, random_variants
 from .plans import models as M
 from .plans.convert import convert_store
 from .sources import annotations, ldgm, store, sumstats
@@ -42,20 +44,36 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--min-chisq", type=float, default=30.0)
             p.add_argument("--max-rsq", type=_fraction, default=0.1)
         if name == "reml":
-            p.add_argument("--annot-dir", required=True)
+            p.add_argument("--annot-dir")
+            p.add_argument("--gene-annot-dir", help="folder of GMT files")
+            p.add_argument("--genes", help="gene table, for gene sets")
+            p.add_argument("--annot-names", nargs="+")
+            p.add_argument("--binary-annotations-only", action="store_true")
+            p.add_argument("--trait", action="append", help="trait of a Parquet file; all of them without")
             p.add_argument("--iterations", type=int, default=50)
             p.add_argument("--denominator", type=float)
-    p = sub.add_parser("simulate", parents=[shared])
-    p.add_argument("out")
-    p.add_argument("--heritability", type=_fraction, default=0.2)
-    p.add_argument("--alpha", type=float, default=-0.5)
-    p.add_argument("--sample-size", type=int, required=True)
-    p.add_argument("--seed", type=int)
-    for name, more in {"test": ["annotations", "out"], "show": [], "add-meta": ["group", "patterns"], "rm": ["pattern"], "mv": ["old", "new"], "convert": ["genes", "target"]}.items():
+            p.add_argument("--intercept", type=float, default=1.0)
+            p.add_argument("--max-chisq", type=float, help="leave out blocks with a larger squared Z")
+            p.add_argument("--surrogates", help="surrogate map")
+            p.add_argument("--scores", help="score store to write to")
+            p.add_argument("--hessian", action="store_true")
+            p.add_argument("--convergence", help="where to write the likelihoods of the iterations")
+    for name, more in {"test": ["out"], "show": [], "add-meta": ["group", "patterns"], "rm": ["pattern"], "mv": ["old", "new"], "convert": ["genes", "target"]}.items():
         p = sub.add_parser(name)
         p.add_argument("store")
         for a in more:
             p.add_argument(a, nargs="+" if a == "patterns" else None)
+        if name == "test":
+            p.add_argument("--annotations", help="one table with the store's keys")
+            p.add_argument("--annot-dir", help="folder of annotation and BED files")
+            p.add_argument("--gene-annot-dir", help="folder of GMT files")
+            p.add_argument("--genes", help="gene table, for gene sets")
+            p.add_argument("--annot-names", nargs="+")
+            p.add_argument("--trait", help="trait or group; all of them without")
+            p.add_argument("--random-genes", type=float, nargs="+", default=[], help="shares of genes in random sets")
+            p.add_argument("--random-variants", type=float, nargs="+", default=[], help="probabilities of random annotations")
+            p.add_argument("--perturb", type=_fraction, help="share of rows to redraw in binary annotations")
+            p.add_argument("--seed", type=int, default=0)
     return out
 
 
@@ -66,17 +84,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         return _store(spark, args)
     blocks = ldgm.read_metadata(spark, args.metadata, [args.population], args.chromosome)
     edges, variants = ldgm.compact(ldgm.read_edges(spark, args.blocks, blocks), ldgm.read_snplists(spark, args.blocks, blocks, args.population))
-    if args.command == "simulate":
-        spec = M.SimulationSpec(args.sample_size, args.heritability, args.alpha, seed=args.seed)
-        return store.write_tsv(M.simulate(variants, edges, spec), args.out)
+    if args.command == "reml":
+        return _reml(spark, args, blocks, edges, variants)
     options = {} if args.maximum_missingness is None else {"maximum_missingness": args.maximum_missingness}
     rows = with_ordinal(sumstats.read_sumstats(spark, args.sumstats, **options))
     vcf = ".vcf" in args.sumstats.lower()
     how = {"by_position": vcf or args.command == "clump", "ref": "REF", "alt": "ALT"}
-    if args.command == "reml":
-        annots = annotations.load_annotations(spark, args.annot_dir, args.chromosome)
-        names = [c for c in annots.columns if c not in annotations.COORDINATES]
-        rows = rows.drop("CHR", "POS").join(annots.select("SNP", "CHR", "POS", *[F.col(c).cast("double").alias(c) for c in names]), "SNP")
     inside = partition_variants(rows, blocks)
     if args.command == "blup":
         size = args.sample_size or A.sample_size(rows, "NS" if "NS" in rows.columns else "N", "median")
@@ -85,14 +98,66 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         found = M.clump(variants, inside, edges, rows, args.max_rsq, args.min_chisq, **how)
         return store.write_tsv(found.where("is_index").drop("ordinal", "is_index"), args.out)
     if args.command == "surrogates":
-        found = M.surrogates(variants, inside, edges, **how).join(F.broadcast(blocks.select("block_id", F.col("name").alias("block_name"))), "block_id").drop("block_id")
+        found = M.surrogates(variants, inside, edges, **how).join(J.small(blocks.select("block_id", F.col("name").alias("block_name"))), "block_id").drop("block_id")
         return store.write_surrogates(found, args.out)
-    settings = M.RemlOptions(A.sample_size(rows), iterations=args.iterations, denominator=args.denominator or float(rows.count()))
-    packed = M.reml_blocks(variants, inside, edges, names, settings, **how).persist()
-    fit = M.fit_reml(packed, names, settings)
-    report = M.reml_report(rows, names, fit, settings)
-    packed.unpersist()
-    return store.write_tall_results(spark.createDataFrame(report), args.out)
+    raise ValueError(args.command)
+
+
+def reml_annotations(spark: SparkSession, args: argparse.Namespace, variants) -> tuple:
+    """(annotations by SNP, their names): files, gene sets or both, over the blocks' variants."""
+    if args.annot_dir:
+        annots = annotations.load_annotations(spark, args.annot_dir, args.chromosome)
+        names = [c for c in annots.columns if c not in annotations.COORDINATES]
+        if args.binary_annotations_only:
+            names, _ = annotations.binary_subset(annots, names)
+    else:
+        annots, names = ldgm.block_annotations(variants), ["base"]
+    if args.gene_annot_dir:
+        if not args.genes:
+            raise ValueError("gene sets need a gene table")
+        places = annots.select(F.col("SNP").alias("variant_id"), "CHR", "POS").dropDuplicates(["variant_id"])
+        sets, more = annotations.gene_set_columns(spark, args.gene_annot_dir, places, annotations.load_gene_table(spark, args.genes, args.chromosome))
+        annots, names = annots.join(sets.withColumnRenamed("variant_id", "SNP"), "SNP"), [*names, *more]
+    names = [c for c in names if not args.annot_names or c in args.annot_names]
+    return annots.select("SNP", "CHR", "POS", *[F.col(c).cast("double").alias(c) for c in names]), names
+
+
+def _reml(spark: SparkSession, args: argparse.Namespace, blocks, edges, variants) -> object:
+    """One fit per trait, over annotations that are read once.  A single trait's results are
+    a tall table; of several, each adds a row to tables of estimates, errors and p."""
+    options = {} if args.maximum_missingness is None else {"maximum_missingness": args.maximum_missingness}
+    parquet = args.sumstats.lower().endswith(".parquet")
+    traits = (args.trait or sumstats.parquet_traits(spark, args.sumstats)) if parquet else [args.trait[0] if args.trait else "trait"]
+    annots, names = reml_annotations(spark, args, variants)
+    annots = annots.persist()
+    surrogate_map = None
+    if args.surrogates:
+        by_name = spark.read.parquet(args.surrogates)
+        surrogate_map = by_name.join(J.small(blocks.select("block_id", F.col("name").alias("block_name"))), "block_name").select("block_id", F.col("index").cast("int"), F.col("surrogate_index").cast("int"))
+    how = {"by_position": ".vcf" in args.sumstats.lower(), "ref": "REF", "alt": "ALT"}
+    for trait in traits:
+        rows = sumstats.read_parquet_sumstats(spark, args.sumstats, trait, **options) if parquet else sumstats.read_sumstats(spark, args.sumstats, **options)
+        rows = with_ordinal(rows).drop("CHR", "POS").join(annots, "SNP")
+        inside = partition_variants(rows, blocks)
+        if args.max_chisq is not None:
+            inside = A.drop_extreme_blocks(inside, args.max_chisq)
+        settings = M.RemlOptions(A.sample_size(rows), args.intercept, args.denominator or float(rows.count()), args.iterations)
+        packed = M.reml_blocks(variants, inside, edges, names, settings, surrogate_map, **how).persist()
+        fit = M.fit_reml(packed, names, settings)
+        report = M.reml_report(rows, names, fit, settings)
+        if args.scores:
+            M.write_scores(store.ScoreStore(spark, args.scores), trait, packed, variants, fit, names, settings, args.hessian)
+        packed.unpersist()
+        if args.convergence:
+            store.write_convergence(fit, f"{args.convergence}/{trait}" if len(traits) > 1 else args.convergence, spark)
+        if len(traits) == 1:
+            store.write_tall_results(spark.createDataFrame(report), args.out)
+            continue
+        for kind in [c for c in report.columns if c != "annotation"]:
+            values = [trait, *[float(x) for x in report[kind]]]
+            store.append_results(spark.createDataFrame([values], ", ".join(["trait string", *[f"`{n}` double" for n in names]])), f"{args.out}/{kind}")
+    annots.unpersist()
+    return traits
 
 
 def _store(spark: SparkSession, args: argparse.Namespace) -> object:
@@ -109,18 +174,70 @@ def _store(spark: SparkSession, args: argparse.Namespace) -> object:
         return s.rename(args.old, args.new)
     if args.command == "convert":
         return convert_store(s, store.ScoreStore(spark, args.target), annotations.load_gene_table(spark, args.genes))
-    annots = spark.read.csv(args.annotations, sep="\t", header=True, inferSchema=True)
-    keys = s.meta()[1]
-    names = [c for c in annots.columns if c not in keys]
-    tested = [A.score_statistics(_long(s.load_trait(t).join(annots, keys), names)).withColumn("trait", F.lit(t)) for t in s.traits()]
+    return _test(spark, args, s)
+
+
+def test_annotations(spark: SparkSession, args: argparse.Namespace, s: store.ScoreStore) -> tuple:
+    """(annotations, names, merge keys) of a score test: a table, files, gene sets, random ones."""
+    rows, (kind, keys) = s.rows(), s.meta()
+    found, names = rows.select(*keys).dropDuplicates(keys), []
+    if args.annotations:
+        table = spark.read.csv(args.annotations, sep="\t", header=True, inferSchema=True)
+        names += [c for c in table.columns if c not in keys]
+        found = found.join(table, keys)
+    if args.annot_dir:
+        more, own, on = annotations.load_variant_annotations(spark, args.annot_dir, rows, args.annot_names)
+        found = found.join(more, on) if set(on) <= set(keys) else found.join(rows.select(*{*keys, *on}), keys).join(more, on)
+        names += own
+    sets = None
+    if args.gene_annot_dir:
+        sets = annotations.load_gene_sets(spark, args.gene_annot_dir, args.annot_names)
+    if args.random_genes:
+        genes = rows if kind == "gene" else annotations.load_gene_table(spark, args.genes)
+        drawn = random_gene_sets(genes, {f"random_{x}": x for x in args.random_genes}, args.seed)
+        sets = drawn if sets is None else sets.unionByName(drawn)
+    if sets is not None:
+        if kind == "gene":
+            members = rows.select(*keys, F.explode(F.array_distinct(F.array("gene_id", "gene_name"))).alias("gene")).join(sets, "gene").select(*keys, "set_name").distinct()
+            own = sorted(r.set_name for r in sets.select("set_name").distinct().collect())
+            wide = members.groupBy(*keys).pivot("set_name", own).agg(F.lit(1.0))
+            found = found.join(wide, keys, "left").fillna(0.0, own)
+        else:
+            places = rows.select(F.col("ordinal").alias("variant_id"), "CHR", "POS")
+            long = J.gene_set_annotations(J.nearest_genes(places, genes := annotations.load_gene_table(spark, args.genes)), genes, sets)
+            own = sorted(r.set_name for r in sets.select("set_name").distinct().collect())
+            wide = long.groupBy(F.col("variant_id").alias("ordinal")).pivot("set_name", own).agg(F.first("value"))
+            found = found.join(rows.select("ordinal", *keys).join(wide, "ordinal").drop("ordinal"), keys, "left").fillna(0.0, own)
+        names += own
+    if args.random_variants:
+        drawn = {f"random_{x}": x for x in args.random_variants}
+        found, names = random_variants(found, drawn, keys[0], args.seed), [*names, *drawn]
+    if not names:
+        raise ValueError("no annotations to test")
+    if args.perturb is not None:
+        found = perturb(found, names, args.perturb, keys[0], args.seed)
+        names = [n for n in names if n in found.columns]
+    return found, names, keys
+
+
+def _test(spark: SparkSession, args: argparse.Namespace, s: store.ScoreStore) -> object:
+    annots, names, keys = test_annotations(spark, args, s)
+    traits = s.names(args.trait)
+    if not traits:
+        raise KeyError(args.trait)
+    tested = [A.score_statistics(_long(s.load_trait(t).join(annots, keys), names)).withColumn("trait", F.lit(t)) for t in traits]
     stats = sumstats.union_all(tested)
     z = A.score_z(stats, ("trait", "annot")).select(F.concat("trait", F.lit("_Z")).alias("name"), "annot", "z")
-    rows = [(g, t) for g, ts in s.groups().items() for t in ts]
-    if rows:
-        meta = A.meta_analysis(stats, spark.createDataFrame(rows, "group string, trait string"))
+    groups = {g: ts for g, ts in s.groups().items() if set(ts) <= set(traits)}
+    if groups:
+        meta = A.meta_analysis(stats, spark.createDataFrame([(g, t) for g, ts in groups.items() for t in ts], "group string, trait string"))
         z = z.unionByName(meta.select(F.concat("group", F.lit("_Z")).alias("name"), "annot", "z"))
-    wide = z.groupBy(F.col("annot").alias("annotation")).pivot("name", sorted({f"{x}_Z" for x in [*s.traits(), *s.groups()]})).agg(F.first("z"))
-    return store.write_tsv(wide, args.out, one_file=True)
+    columns = sorted({f"{x}_Z" for x in [*traits, *groups]})
+    wide = z.groupBy(F.col("annot").alias("annotation")).pivot("name", columns).agg(F.first("z"))
+    store.write_tsv(wide, args.out, one_file=True)
+    rms = {r["name"]: r.rms for r in A.rms_z(wide, columns).collect()}
+    print("root mean square of Z:", rms)
+    return rms
 
 
 def _long(rows, names: list[str]):

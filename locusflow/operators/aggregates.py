@@ -60,6 +60,36 @@ def meta_analysis(stats: DataFrame, groups: DataFrame, keys: tuple[str, ...] = (
     return score_z(combined, ("group", *keys))
 
 
+def offsets(df: DataFrame, n: str, order: str, name: str = "offset", chunk: int = 4096) -> DataFrame:
+    """Adds the sum of ``n`` over all rows before, in order; summed inside ranges of ``order``
+    and over the ranges, so only a row per range meets in one task."""
+    part = F.floor(F.col(order) / chunk)
+    inside = F.sum(n).over(W.partitionBy("_part").orderBy(order)) - F.col(n)
+    rows = df.withColumn("_part", part)
+    sums = rows.groupBy("_part").agg(F.sum(n).alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.withColumn(name, inside).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
+def rms_z(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, rms): the root mean square of the finite values of each column of Z."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("z")) for c in columns]))
+    long = df.select(pairs.alias("p")).select("p.name", F.when(is_finite(F.col("p.z")), F.col("p.z")).alias("z"))
+    return long.groupBy("name").agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("rms"))
+
+
+def nonzero_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n): how many values of each column are neither 0 nor missing."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns]))
+    return df.select(pairs.alias("p")).groupBy("p.name").agg(F.count_if((F.col("p.x") != 0) & ~F.isnan("p.x")).alias("n"))
+
+
+def chisq_summary(df: DataFrame, keys: tuple[str, ...] = (), z: str = "Z", n: str = "N") -> DataFrame:
+    """The largest N, and number, mean and largest of the finite squared Z, of each key."""
+    square = F.when(is_finite(F.col(z)), F.col(z) * F.col(z))
+    return df.groupBy(*keys).agg(F.max(n).alias("max_n"), F.count(square).alias("n_variants"), F.avg(square).alias("mean_chisq"), F.max(square).alias("max_chisq"))
+
+
 def jackknife_se(values: DataFrame, keys: tuple[str, ...], value: str = "value") -> DataFrame:
     """sqrt((n - 1) * sample variance) of jackknife values."""
     return values.groupBy(*keys).agg(F.sqrt((F.count("*") - 1) * F.var_samp(value)).alias("se"))
@@ -77,7 +107,7 @@ def genes_from_variants(nearest: DataFrame, variants: DataFrame, genes: DataFram
     starts = first.join(nearest, "variant_id").groupBy("jk").agg(F.min_by("gene_idx", "rank").alias("start"))
     w = W.orderBy("start", "jk")
     spans = starts.select("jk", "start", F.coalesce(F.lead("start").over(w), F.lit(1 << 62)).alias("stop"))
-    out = genes.select("gene_idx").join(scored, "gene_idx", "left").join(F.broadcast(spans), (F.col("gene_idx") >= F.col("start")) & (F.col("gene_idx") < F.col("stop")), "left")
+    out = genes.select("gene_idx").join(scored, "gene_idx", "left").join(small(spans), (F.col("gene_idx") >= F.col("start")) & (F.col("gene_idx") < F.col("stop")), "left")
     return out.select("gene_idx", F.coalesce("gradient", F.lit(0.0)).alias("gradient"), F.coalesce("jk", F.lit(0)).alias("jk"))
 
 

@@ -115,7 +115,9 @@ def nearest_genes(variants: DataFrame, genes: DataFrame, weights: tuple[float, .
     k = len(weights)
     if genes.limit(k).count() < k:
         raise ValueError("more weights than genes")
-    v = variants.select(F.col(variant_id).alias("variant_id"), F.col("CHR").cast("bigint").alias("CHR"), F.col("POS").cast("bigint").alias("POS"))
+    pos = F.col("POS").cast("bigint")
+    pos = F.when(pos >= SPAN, F.raise_error(F.lit("positions must be below 1,000,000,000")).cast("bigint")).otherwise(pos)
+    v = variants.select(F.col(variant_id).alias("variant_id"), F.col("CHR").cast("bigint").alias("CHR"), pos.alias("POS"))
     g = genes.select(F.col("CHR").cast("bigint").alias("CHR"), F.col("POS").cast("bigint").alias("POS"), F.col("gene_idx").cast("bigint").alias("gene_idx"))
     n = g.groupBy("CHR").agg(F.count("*").alias("n_own"), F.sort_array(F.collect_list(F.struct("POS", "gene_idx"))).alias("gs"), F.sort_array(F.collect_list(F.struct("POS", (-F.col("gene_idx")).alias("back")))).alias("low"))
     # genes below a variant: of those at one position the smallest index comes last, so a tie at the edge keeps it
@@ -124,12 +126,15 @@ def nearest_genes(variants: DataFrame, genes: DataFrame, weights: tuple[float, .
     # genes are a bounded table (some ten thousand); variants are not
     own = v.join(small(n), "CHR", "left")
     distance = lambda g: F.abs(g["POS"] - F.col("POS"))
-    lower = F.coalesce(F.size(F.filter("gs", lambda g: g["POS"] < F.col("POS"))), F.lit(0))
+    # how many genes lie below, by bisection of the sorted array
+    halve = lambda s, _: F.when(s["a"] >= s["b"], s).when(F.get("gs", F.floor((s["a"] + s["b"]) / 2).cast("int"))["POS"] < F.col("POS"), F.struct((F.floor((s["a"] + s["b"]) / 2) + 1).cast("int").alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b")))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("gs") + 1)).cast("int"))
+    lower = F.coalesce(F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.size("gs").alias("b")), halve, lambda s: s["a"]), F.lit(0))
     near = F.concat(F.slice("low", F.greatest(F.lit(1), F.col("_at") - k + 1), F.least(F.lit(k), F.col("_at"))), F.slice("gs", F.col("_at") + 1, F.lit(k)))
     own = own.withColumn("_at", lower).withColumn("_own", F.coalesce(near, F.array().cast("array<struct<POS:bigint,gene_idx:bigint>>")))
     ranked = F.slice(F.array_sort(F.transform("_own", lambda g: F.struct(F.lit(0).alias("far"), distance(g).alias("d"), g["gene_idx"].alias("gene_idx")))), 1, k)
     own = own.select("variant_id", "CHR", "POS", ranked.alias("own"))
-    short = own.where(F.size("own") < k).join(F.broadcast(every))
+    short = own.where(F.size("own") < k).join(F.broadcast(every))  # one row: the gene table
     here = F.col("CHR") * SPAN + F.col("POS")
     others = F.transform(F.filter("all_gs", lambda g: g["CHR"] != F.col("CHR")), lambda g: F.struct(F.lit(1).alias("far"), F.abs(g["G"] - here).alias("d"), g["gene_idx"].alias("gene_idx")))
     short = short.select("variant_id", F.slice(F.concat("own", F.array_sort(others)), 1, k).alias("own"))
@@ -138,6 +143,16 @@ def nearest_genes(variants: DataFrame, genes: DataFrame, weights: tuple[float, .
     return out.select("variant_id", "rank", F.col("g.gene_idx").alias("gene_idx"), F.element_at(F.array(*map(F.lit, weights)), F.col("rank") + 1).alias("weight"))
 
 
+def nearest_on_line(variants: DataFrame, genes: DataFrame, weights: tuple[float, ...] = NEAREST_WEIGHTS, variant_id: str = "variant_id") -> DataFrame:
+    """``nearest_genes`` by one coordinate POS alone; the rows may be in any order."""
+    return nearest_genes(variants.withColumn("CHR", F.lit(1)), genes.withColumn("CHR", F.lit(1)), weights, variant_id)
+
+
+def genes_by_id(gene: Column) -> Column:
+    """Whether a gene is named by its Ensembl id."""
+    return gene.contains("ENSG")
+
+
 def gene_set_annotations(nearest: DataFrame, genes: DataFrame, sets: DataFrame) -> DataFrame:
     """(variant_id, set_name, value): the summed rank weights of a variant's genes in each
     set; a set names genes by id or by symbol."""

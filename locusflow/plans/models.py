@@ -4,7 +4,7 @@ block as a stateless function; totals over blocks are DataFrame aggregations."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -106,46 +106,14 @@ def surrogates(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, **how
     return per_block(every, edges, "block_id long, index int, surrogate_index int", solve)
 
 
-@dataclass
-class SimulationSpec:
-    sample_size: int
-    heritability: float = 0.5
-    alpha: float = -1.0
-    variances: tuple[float, ...] = (1.0,)
-    weights: tuple[float, ...] = (1.0,)
-    columns: tuple[str, ...] = ("af",)
-    link: Callable[[np.ndarray], np.ndarray] = field(default=lambda a: np.ones(len(a)))
-    seed: int | None = None
-
-    def __post_init__(self):
-        if not 0 <= self.heritability <= 1:
-            raise ValueError("heritability must be in [0, 1]")
-        if len(self.weights) != len(self.variances) or sum(self.weights) > 1 + 1e-9 or min(self.weights) < 0:
-            raise ValueError("weights must match the variances and sum to 1 at most")
-        if self.sample_size < 1:
-            raise ValueError("sample size must be positive")
-
-
-def simulate(variants: DataFrame, edges: DataFrame, spec: SimulationSpec) -> DataFrame:
-    """``variants`` (block_id, ordinal, index, af, ...) with beta, beta_marginal, Z, N.  Each
-    block draws from its own seed; the scale to the target is one aggregation."""
+def block_likelihoods(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(block_id, ll): the Gaussian log-likelihood of the rows' ``pz`` (premultiplied by the
+    precision) at their indices, for covariance-inverse ``edges``."""
     def solve(r: pd.DataFrame, block: Block) -> pd.DataFrame:
-        rng = np.random.default_rng(None if spec.seed is None else spec.seed + int(r["block_id"].iloc[0]))
-        p, index = r["af"].to_numpy(), r["index"].to_numpy()
-        h2 = spec.link(r[list(spec.columns)].to_numpy()) * (2 * p * (1 - p)) ** (1 + spec.alpha)
-        kinds = np.array([*spec.variances, 0.0])
-        beta = rng.standard_normal(len(r)) * np.sqrt(h2 * kinds[rng.choice(len(kinds), len(r), p=[*spec.weights, max(0.0, 1 - sum(spec.weights))])])
-        node = np.bincount(index, beta, len(block))
-        alpha = block.solve(node)[index]
-        return pd.DataFrame({"block_id": r["block_id"], "ordinal": r["ordinal"], "_beta": beta, "_alpha": alpha, "_noise": block.draw(rng)[index]})
-
-    used = list(dict.fromkeys(["block_id", "ordinal", "index", "af", *spec.columns]))
-    out = per_block(variants.select(*used), edges, "block_id long, ordinal long, _beta double, _alpha double, _noise double", solve)
-    total = F.sum(F.col("_beta") * F.col("_alpha")).alias("total")
-    scale = out.agg(total).select(F.when(F.col("total") > 0, F.sqrt(F.lit(spec.heritability) / F.col("total"))).otherwise(1.0).alias("_s"))
-    out = variants.join(out, ["block_id", "ordinal"]).join(F.broadcast(scale))
-    return out.select(*variants.columns, (F.col("_beta") * F.col("_s")).alias("beta"), (F.col("_alpha") * F.col("_s")).alias("beta_marginal"),
-                      (F.col("_noise") + float(np.sqrt(spec.sample_size)) * F.col("_alpha") * F.col("_s")).alias("Z"), F.lit(spec.sample_size).alias("N"))
+        r = r.sort_values("index")
+        return pd.DataFrame({"block_id": [r["block_id"].iloc[0]], "ll": [log_likelihood(r["pz"].to_numpy(float), block[r["index"].to_numpy()])]})
+
+    return per_block(rows.select("block_id", "ordinal", "index", "pz"), edges, "block_id long, ll double", solve)
 
 
 @dataclass
@@ -156,7 +124,7 @@ class RemlOptions:
     iterations: int = 50
     tolerance: float = 0.01
     window: int = 3
-    trust: float = 1e-3
+    trust: float = 1e-1
     trust_factor: float = 5.0
     groups: int = 100
 
@@ -174,18 +142,26 @@ def _logistic(x):
     return np.where(x >= 0, 1 / (1 + small), small / (1 + small))
 
 
-def reml_blocks(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, annotations: list[str], options: RemlOptions, **how) -> DataFrame:
+def reml_blocks(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, annotations: list[str], options: RemlOptions, surrogate_map: DataFrame | None = None, **how) -> DataFrame:
     """One packed row per block, computed once: the scaled matrix on its active indices, Pz,
-    and each matched row's active index and annotations."""
+    and each matched row's ordinal, active index and annotations.
+
+    A row without a finite Z stands at its surrogate of ``surrogate_map`` (block_id, index,
+    surrogate_index), if that has a value, else at the index with the largest squared correlation.
+    """
     merged = merge_snplists(variants, sumstats, add_allelic=("Z",), add=tuple(annotations), **how)
     k = len(annotations)
+    if surrogate_map is None:
+        merged = merged.withColumn("surrogate_index", F.col("index"))
+    else:
+        merged = merged.join(surrogate_map.select("block_id", "index", "surrogate_index"), ["block_id", "index"], "left").withColumn("surrogate_index", F.coalesce("surrogate_index", "index"))
 
     def solve(r: pd.DataFrame, block: Block) -> pd.DataFrame:
         z = r["Z"].to_numpy(float)
         seen = np.isfinite(z)
         if not seen.any():
-            return pd.DataFrame(columns=["block_id", "n", "matrix", "pz", "index", "a"])
-        index = r["index"].to_numpy().copy()
+            return pd.DataFrame(columns=["block_id", "n", "matrix", "pz", "row", "index", "a"])
+        index = np.where(seen, r["index"].to_numpy(), r["surrogate_index"].to_numpy())
         have = np.unique(index[seen])
         corr = block.correlation() if not seen.all() else None
         for t in np.flatnonzero(~seen):
@@ -197,10 +173,10 @@ def reml_blocks(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, anno
         p = block[have]
         pz = p.multiply(np.array([value[i] for i in have])) / np.sqrt(options.sample_size)
         schur = p.multiply(np.eye(len(have))) * (options.intercept / options.sample_size)
-        return pd.DataFrame({"block_id": [r["block_id"].iloc[0]], "n": [len(have)], "matrix": [schur.ravel()], "pz": [pz], "index": [np.searchsorted(have, index).astype(np.int32)], "a": [r[annotations].to_numpy(float).ravel()]})
+        return pd.DataFrame({"block_id": [r["block_id"].iloc[0]], "n": [len(have)], "matrix": [schur.ravel()], "pz": [pz], "row": [r["ordinal"].to_numpy(np.int64)], "index": [np.searchsorted(have, index).astype(np.int32)], "a": [r[annotations].to_numpy(float).ravel()]})
 
-    cols = ["block_id", "index", "ordinal", "Z", *annotations]
-    packed = per_block(merged.select(*cols), edges, "block_id long, n int, matrix array<double>, pz array<double>, index array<int>, a array<double>", solve)
+    cols = ["block_id", "index", "surrogate_index", "ordinal", "Z", *annotations]
+    packed = per_block(merged.select(*cols), edges, "block_id long, n int, matrix array<double>, pz array<double>, row array<long>, index array<int>, a array<double>", solve)
     return packed.withColumn("k", F.lit(k))
 
 
@@ -233,6 +209,53 @@ def evaluate(blocks: DataFrame, theta: np.ndarray, denominator: float, derivativ
     return blocks.select("block_id", "n", "matrix", "pz", "index", "a").mapInPandas(_evaluate(theta, denominator, derivatives), schema).orderBy("block_id").collect()
 
 
+def _variant_scores(theta: np.ndarray, denominator: float, hessian: bool):
+    k = len(theta)
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                n, a, index = r.n, np.asarray(r.a).reshape(-1, k), np.asarray(r.index)
+                x = a @ theta
+                p = _logistic(x)
+                slope, curve = p / denominator, p * (1 - p) / denominator
+                m = Block(np.asarray(r.matrix).reshape(n, n)).plus_diagonal(np.bincount(index, _softplus(x) / denominator, n))
+                m.correlation()
+                pz = np.asarray(r.pz)
+                node = likelihood_gradient(pz, m)[index]
+                out = {"block_id": int(r.block_id), "ordinal": np.asarray(r.row), "gradient": node * slope}
+                if hessian:
+                    out["hessian"] = likelihood_hessian(pz, m)[index] * slope**2 + node * curve
+                yield pd.DataFrame(out)
+    return run
+
+
+def variant_scores(blocks: DataFrame, theta: np.ndarray, denominator: float, hessian: bool = False) -> DataFrame:
+    """(block_id, ordinal, gradient and, if wanted, hessian): first and second derivative of
+    the log-likelihood by each variant's argument of the link."""
+    schema = "block_id long, ordinal long, gradient double" + (", hessian double" if hessian else "")
+    return blocks.select("block_id", "n", "matrix", "pz", "row", "index", "a").mapInPandas(_variant_scores(theta, denominator, hessian), schema)
+
+
+def write_scores(store, trait: str, blocks: DataFrame, variants: DataFrame, fit: dict, annotations: list[str], options: RemlOptions, hessian: bool = False) -> None:
+    """A trait's variant scores and parameters into a score store, which is made if there is
+    none; the rows of an existing one must be the same."""
+    spark = blocks.sparkSession
+    parts = np.array_split([b.block_id for b in fit["blocks"]], min(options.groups, len(fit["blocks"])))
+    group = spark.createDataFrame([(int(b), g) for g, part in enumerate(parts) for b in part], "block_id long, jackknife_blocks long")  # a row per block
+    scored = variant_scores(blocks, fit["theta"], options.denominator, hessian).dropDuplicates(["ordinal"])
+    place = variants.select("ordinal", *[F.col(c) for c in ("CHR",) if c in variants.columns], F.col("position").alias("POS"), F.col("site_ids").alias("RSID"))
+    rows = scored.select("block_id", "ordinal").join(place, "ordinal").join(group, "block_id").drop("block_id")
+    try:
+        store.rows()
+    except FileNotFoundError:
+        store.create(rows, "variant", ["RSID"])
+    else:
+        store.validate_rows(rows)
+    store.write_trait(trait, scored.drop("block_id"))
+    store.write_parameters(trait, annotations, list(fit["theta"]))
+
+
 def trust_region_step(g: np.ndarray, h: np.ndarray, trust: float) -> tuple[np.ndarray, float]:
     """Step of (H + trust * diag(H)) s = -g, and the increase it predicts."""
     s = np.linalg.lstsq(h + trust * np.diag(np.diag(h) - 1e-12), -g, rcond=None)[0]
@@ -270,7 +293,11 @@ def fit_reml(blocks: DataFrame, annotations: list[str], options: RemlOptions, st
 
 
 def jackknife_thetas(theta: np.ndarray, blocks: list, groups: int) -> np.ndarray:
-    """One Newton step from theta with each group of blocks left out."""
+    """One Newton step from theta with each group of blocks left out.
+
+    The log-likelihood is concave near its maximum (H is negative), so the step that goes
+    uphill subtracts H^-1 g.
+    """
     k, n = len(theta), len(blocks)
     g, h = np.array([b.g for b in blocks]), np.array([np.array(b.h).reshape(k, k) for b in blocks])
     parts = np.array_split(np.arange(n), min(groups, n))

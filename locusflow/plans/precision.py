@@ -35,6 +35,20 @@ class Block:
     def rest(self) -> np.ndarray:
         return np.setdiff1d(np.arange(len(self.matrix)), self.selected)
 
+    def diagonal(self) -> np.ndarray:
+        """The selected diagonal elements."""
+        return np.diag(self.matrix)[self.selected]
+
+    def plus_element(self, i: int, v: float) -> Block:
+        """One selected diagonal element changed."""
+        d = np.zeros(len(self))
+        d[i] = v
+        return self.plus_diagonal(d)
+
+    def inv(self):
+        """The correlation matrix as a function of vectors."""
+        return self.solve
+
     def scaled(self, by: float) -> Block:
         return Block(self.matrix * by, self.selected)
 
@@ -114,12 +128,17 @@ def log_likelihood(pz: np.ndarray, m: Block) -> float:
     return -0.5 * (len(pz) * np.log(2 * np.pi) + m.logdet() + pz @ m.solve(pz))
 
 
-def likelihood_gradient(pz: np.ndarray, m: Block, jacobian: np.ndarray | None = None) -> np.ndarray:
+def likelihood_gradient(pz: np.ndarray, m: Block, jacobian: np.ndarray | None = None, method: str = "exact", samples: int = 100, seed: int | None = None) -> np.ndarray:
+    """By diagonal element, or by parameter through a Jacobian; the inverse's diagonal exactly
+    or estimated with random probes."""
     b = m.solve(pz)
-    node = -0.5 * (m.inverse_diagonal() - b * b)
+    node = -0.5 * (m.inverse_diagonal(method, samples, seed) - b * b)
     return node if jacobian is None else node @ jacobian
 
 
-def likelihood_hessian(pz: np.ndarray, m: Block, jacobian: np.ndarray) -> np.ndarray:
+def likelihood_hessian(pz: np.ndarray, m: Block, jacobian: np.ndarray | None = None, method: str = "exact", samples: int = 100, seed: int | None = None) -> np.ndarray:
+    """By parameter, or without a Jacobian the diagonal by diagonal element."""
+    if jacobian is None:
+        return -0.5 * m.solve(pz) ** 2 * m.inverse_diagonal(method, samples, seed)
     scaled = m.solve(pz)[:, None] * jacobian
     return -0.5 * scaled.T @ m.solve(scaled)

@@ -84,15 +84,70 @@ def load_annotations(spark: SparkSession, path: str, chromosomes: list[int] | No
 
 
 def zip_coordinates(thin: DataFrame, positions: DataFrame | None, chrom: int) -> DataFrame:
-    """Coordinates by row order for a file that has annotation columns only; counts must agree."""
+    """Coordinates (and alleles, if the positions have them) by row order for a file that has
+    annotation columns only; counts must agree."""
     if positions is None:
         raise ValueError("annotation files without coordinates need a positions table")
-    mine = with_ordinal(positions.where(F.col("chrom") == chrom)).select("ordinal", F.col("chrom").cast("bigint").alias("CHR"), F.col("position").cast("bigint").alias("BP"), F.col("site_ids").alias("SNP"))
+    mine = with_ordinal(positions.where(F.col("chrom") == chrom)).select("ordinal", F.col("chrom").cast("bigint").alias("CHR"), F.col("position").cast("bigint").alias("BP"), F.col("site_ids").alias("SNP"), *[F.col(c).alias(to) for c, to in (("anc_alleles", "A2"), ("deriv_alleles", "A1")) if c in positions.columns])
     if (a := thin.count()) != (b := mine.count()):
         raise ValueError(f"{a} annotation rows but {b} positions on chromosome {chrom}")
     return thin.join(mine, "ordinal")
 
 
+def rows_as_annotations(rows: DataFrame, chromosomes: list[int] | None = None) -> DataFrame:
+    """Row data of a variant store in the columns of an annotation table."""
+    out = rows.select(F.col("CHR").cast("bigint").alias("CHR"), F.col("POS").cast("bigint").alias("POS"), F.col("RSID").alias("SNP"), F.lit(0.0).alias("CM"))
+    return out.where(F.col("CHR").isin(list(chromosomes))) if chromosomes else out
+
+
+def load_variant_annotations(spark: SparkSession, path: str, rows: DataFrame, names: list[str] | None = None, chromosomes: list[int] | None = None, exclude_bed: bool = False) -> tuple[DataFrame, list[str], list[str]]:
+    """(annotations, names, merge keys) for the rows of a variant store: RSID is the key, or
+    (CHR, POS) where the files have no ids.  A folder of BED files alone takes its
+    coordinates from the rows.  Columns are in order of their names."""
+    from ..operators.joins import bed_membership
+
+    if files_below(spark, path, "*.annot*"):
+        found = load_annotations(spark, path, chromosomes, exclude_bed=exclude_bed)
+    else:
+        beds = [] if exclude_bed else files_below(spark, path, "*.bed")
+        if not beds:
+            raise FileNotFoundError(f"no annotation files below {path}")
+        found = rows_as_annotations(rows, chromosomes)
+        for f in beds:
+            found = bed_membership(found, read_bed(spark, f), f.rsplit("/", 1)[-1].removesuffix(".bed"))
+    keys = ["RSID"] if "SNP" in found.columns else ["CHR", "POS"]
+    found = found.withColumnRenamed("SNP", "RSID")
+    known = sorted(c for c in found.columns if c not in (*COORDINATES, "RSID"))
+    if unknown := sorted(set(names or []) - set(known)):
+        raise ValueError(f"no annotations {unknown}; there are {known}")
+    chosen = [c for c in known if not names or c in names]
+    return found.select(*keys, *chosen), chosen, keys
+
+
+def gene_set_columns(spark: SparkSession, path: str, variants: DataFrame, genes: DataFrame, weights: tuple[float, ...] | None = None, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """(variant_id and a column per gene set, the sets' names): GMT files as annotations of
+    ``variants`` (variant_id, CHR, POS), 0 where no gene of a set is near."""
+    from ..operators.joins import NEAREST_WEIGHTS, gene_set_annotations, nearest_genes
+
+    sets = load_gene_sets(spark, path, names)
+    found = sorted(r.set_name for r in sets.select("set_name").distinct().collect())  # a row per set
+    long = gene_set_annotations(nearest_genes(variants, genes, weights or NEAREST_WEIGHTS), genes, sets)
+    wide = long.groupBy("variant_id").pivot("set_name", found).agg(F.first("value"))
+    return variants.select("variant_id").join(wide, "variant_id", "left").fillna(0.0, found), found
+
+
+def binary_subset(df: DataFrame, columns: list[str], parameters: list[float] | None = None) -> tuple[list[str], list[float] | None]:
+    """Of ``columns`` those with values 0 and 1 (or Booleans) alone, and their parameters."""
+    if parameters is not None and len(parameters) != len(columns):
+        raise ValueError("as many parameters as annotations are needed")
+    whole = [c for c, kind in df.select(*columns).dtypes if kind in ("boolean", "tinyint", "smallint", "int", "bigint")]
+    found = df.agg(*[F.count_if(~F.coalesce(F.col(c).cast("int").isin(0, 1), F.lit(False))).alias(c) for c in whole]).first() if whole else {}
+    kept = [c for c in columns if c in whole and found[c] == 0]
+    if not kept:
+        raise ValueError("no annotation is binary")
+    return kept, None if parameters is None else [p for c, p in zip(columns, parameters, strict=True) if c in kept]
+
+
 def load_gene_table(spark: SparkSession, path: str, chromosomes: list[int] | None = None) -> DataFrame:
     """Autosomal genes with an id, by chromosome and midpoint; ``gene_idx`` is that order."""
     df = spark.read.csv(path, sep="\t", header=True, schema=GENE_SCHEMA, enforceSchema=True)

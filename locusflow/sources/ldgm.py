@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import with_ordinal
+from ..operators.joins import small
 
 # The columns of block metadata and the shape of block file names.
 METADATA_COLUMNS = ("chrom", "chromStart", "chromEnd", "name", "snplistName", "population", "numVariants", "numIndices", "numEntries", "info")
@@ -34,7 +35,7 @@ def read_edges(spark: SparkSession, folder: str, blocks: DataFrame) -> DataFrame
     """(block_id, i, j, value) of the blocks' edge lists, from one scan."""
     df = spark.read.schema("i int, j int, value double").option("pathGlobFilter", "*.edgelist").csv(folder)
     df = df.withColumn("name", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return df.join(F.broadcast(blocks.select("block_id", "name")), "name").select("block_id", "i", "j", "value")
+    return df.join(small(blocks.select("block_id", "name")), "name").select("block_id", "i", "j", "value")
 
 
 def read_snplists(spark: SparkSession, folder: str, blocks: DataFrame, population: str = "EUR") -> DataFrame:
@@ -44,10 +45,15 @@ def read_snplists(spark: SparkSession, folder: str, blocks: DataFrame, populatio
     if column is None:
         raise ValueError(f"neither {population} nor af is a column")
     df = with_ordinal(df.withColumn("snplistName", F.element_at(F.split(F.input_file_name(), "/"), -1)))
-    df = df.join(F.broadcast(blocks.select("block_id", "snplistName", F.col("chrom").alias("CHR"))), "snplistName")
+    df = df.join(small(blocks.select("block_id", "snplistName", F.col("chrom").alias("CHR"))), "snplistName")
     return df.select("block_id", "ordinal", F.col("index").cast("int").alias("index"), "site_ids", F.col("position").cast("bigint").alias("position"), "anc_alleles", "deriv_alleles", F.col(column).cast("double").alias("af"), "CHR")
 
 
+def block_annotations(variants: DataFrame) -> DataFrame:
+    """Variant lists in the columns of an annotation table."""
+    return variants.select("CHR", F.col("position").alias("POS"), F.col("site_ids").alias("SNP"), F.col("anc_alleles").alias("A2"), F.col("deriv_alleles").alias("A1"), F.lit(1.0).alias("base"))
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both triangles; the diagonal counts once."""
     return edges.unionByName(edges.where("i <> j").select("block_id", F.col("j").alias("i"), F.col("i").alias("j"), "value"))

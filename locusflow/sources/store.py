@@ -56,11 +56,26 @@ class ScoreStore:
 
     def write_trait(self, trait: str, scores: DataFrame, overwrite: bool = False) -> None:
         """``scores``: ordinal, gradient and any more columns."""
-        name = trait.replace("/", "_")
+        name = self._name(trait)
         if name in self.traits() and not overwrite:
             raise FileExistsError(f"trait {name} is in the store")
         scores.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{self.path}/traits/trait={name}")
 
+    @staticmethod
+    def _name(name: str) -> str:
+        if not name or any(c in name for c in "/\\=") or name.startswith((".", "_")):
+            raise ValueError(f"{name!r} can't be the name of a trait")
+        return name
+
+    def write_parameters(self, trait: str, names: list[str], values: list[float]) -> None:
+        """A model's parameters beside a trait's scores."""
+        rows = self.spark.createDataFrame([(k, n, float(v)) for k, (n, v) in enumerate(zip(names, values, strict=True))], "place int, name string, value double")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/parameters/trait={self._name(trait)}")
+
+    def parameters(self, trait: str) -> DataFrame | None:
+        found = self._read("parameters")
+        return None if found is None else found.where(F.col("trait") == trait).drop("trait").orderBy("place")
+
     def load_trait(self, trait: str) -> DataFrame:
         """Row data with the trait's scores beside them."""
         found = self._read("traits")
@@ -116,7 +131,7 @@ class ScoreStore:
         if new in traits or new in groups:
             raise ValueError(f"{new} is in use")
         if old in traits:
-            self._move(old, new)
+            self._move(old, self._name(new))
             self.write_groups({g: [new if t == old else t for t in ts] for g, ts in groups.items()})
         elif old in groups:
             self.write_groups({new if g == old else g: ts for g, ts in groups.items()})
@@ -142,6 +157,12 @@ def write_tall_results(rows: DataFrame, path: str) -> None:
     write_tsv(rows, path, one_file=True)
 
 
+def write_convergence(fit: dict, path: str, spark: SparkSession) -> None:
+    """Whether a fit converged, after how many iterations, and the likelihood of each."""
+    rows = [(k, float(ll), bool(fit["converged"]), len(fit["likelihood"]) - 1) for k, ll in enumerate(fit["likelihood"])]
+    write_tsv(spark.createDataFrame(rows, "iteration int, log_likelihood double, converged boolean, iterations int"), path, one_file=True)
+
+
 def append_results(rows: DataFrame, path: str) -> None:
     """One row per trait behind those there are; the columns must agree."""
     spark = rows.sparkSession

@@ -102,8 +102,12 @@ def read_gwas_vcf(spark: SparkSession, path: str, num_rows: int | None = None, m
 
 
 def parquet_traits(spark: SparkSession, path: str) -> list[str]:
+    """Traits by name; one with only a BETA or only an SE column is an error."""
     names = set(spark.read.parquet(path).columns)
-    return sorted(c[:-5] for c in names if c.endswith("_BETA") and f"{c[:-5]}_SE" in names)
+    traits = {c[:-5] for c in names if c.endswith("_BETA")} | {c[:-3] for c in names if c.endswith("_SE")}
+    if half := sorted(f"{t}{end}" for t in traits for end in ("_BETA", "_SE") if f"{t}{end}" not in names):
+        raise ValueError(f"missing columns {half}")
+    return sorted(traits)
 
 
 def _resolved(columns: list[str]) -> dict[str, str]:
@@ -124,8 +128,8 @@ def read_parquet_sumstats(spark: SparkSession, path: str, trait: str | None = No
     return keep_complete(out, "N", maximum_missingness) if "N" in names and maximum_missingness < 1 else out
 
 
-def read_parquet_sumstats_multi(spark: SparkSession, path: str, traits: list[str] | None = None) -> DataFrame:
-    """All traits as rows (trait, Z, ...) from one scan."""
+def read_parquet_sumstats_multi(spark: SparkSession, path: str, traits: list[str] | None = None, maximum_missingness: float = 1.0) -> DataFrame:
+    """All traits as rows (trait, Z, ...) from one scan; N is the table's, so missingness is too."""
     known = parquet_traits(spark, path)
     traits = traits or known
     if unknown := sorted(set(traits) - set(known)):
@@ -133,6 +137,8 @@ def read_parquet_sumstats_multi(spark: SparkSession, path: str, traits: list[str
     df = spark.read.parquet(path)
     names = _resolved(df.columns)
     pairs = F.array(*[F.struct(F.lit(t).alias("trait"), ieee_div(F.col(f"{t}_BETA"), F.col(f"{t}_SE")).alias("Z")) for t in traits])
+    if "N" in names and maximum_missingness < 1:
+        df = keep_complete(df, names["N"], maximum_missingness)
     long = df.select(*[F.col(c).alias(to) for to, c in names.items()], F.explode(pairs).alias("_t"))
     return long.select("_t.trait", *names, "_t.Z").where(is_finite(F.col("Z")))
 

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusflow.plans import models as M
-from locusflow.plans.precision import Block, likelihood_hessian, log_likelihood
+from locusflow.plans.precision import Block, likelihood_gradient, likelihood_hessian, log_likelihood
 
 
 @pytest.fixture
@@ -79,14 +80,35 @@ def test_surrogates_map_missing_to_matched(spark):
     assert got == {0: 0, 1: 1, 2: 0}
 
 
-def test_simulation_hits_its_heritability(spark):
-    v, _, e = _tables(spark)
-    rows = M.simulate(v, e, M.SimulationSpec(sample_size=100, heritability=0.3, seed=2)).collect()
-    assert sum(r.beta * r.beta_marginal for r in rows) == pytest.approx(0.3)
-    again = M.simulate(v, e, M.SimulationSpec(sample_size=100, heritability=0.3, seed=2)).collect()
-    assert sorted(r.Z for r in rows) == sorted(r.Z for r in again)
-    with pytest.raises(ValueError):
-        M.SimulationSpec(sample_size=100, weights=(0.7, 0.7), variances=(1, 2))
+def test_stochastic_traces_agree_with_exact_ones(matrix):
+    m, pz = Block(matrix), np.arange(6.0)
+    exact_g, exact_h = likelihood_gradient(pz, m), likelihood_hessian(pz, m)
+    assert np.allclose(likelihood_gradient(pz, m, method="xdiag", samples=6, seed=1), exact_g, atol=0.05)
+    assert np.allclose(likelihood_hessian(pz, m, method="hutchinson", samples=4000, seed=1), exact_h, rtol=0.3, atol=0.05)
+    assert np.allclose(exact_h, np.diag(likelihood_hessian(pz, m, np.eye(6))))
+    assert np.allclose(m.plus_element(2, 1.5).diagonal() - m.diagonal(), [0, 0, 1.5, 0, 0, 0]) and np.allclose(m.inv()(pz), m.solve(pz))
+
+
+def test_variant_scores_are_derivatives(spark):
+    """Gradient and Hessian by a variant's argument of the link, against differences."""
+    v, s, e = _tables(spark)
+    e = e.union(spark.createDataFrame([(0, 0, 1, 0.3), (0, 1, 2, -0.2)], "block_id long, i int, j int, value double"))
+    s = s.withColumn("SNP", F.when(F.col("SNP") == "x", "c").otherwise(F.col("SNP"))).withColumn("A1", F.when(F.col("SNP") == "c", "C").otherwise(F.col("A1"))).withColumn("A2", F.when(F.col("SNP") == "c", "T").otherwise(F.col("A2")))
+    s = s.withColumns({f"v{k}": F.when(F.col("ordinal") == k, 1.0).otherwise(0.0) for k in range(3)})  # a parameter for each variant
+    names, options = ["v0", "v1", "v2"], M.RemlOptions(sample_size=50.0, denominator=20.0)
+    packed = M.reml_blocks(v, s, e, names, options).persist()
+    theta, h = np.array([0.3, -0.4, 0.1]), 1e-4
+    ll = lambda t: sum(r.ll for r in M.evaluate(packed, t, options.denominator, False))
+    scores = {r.ordinal: r for r in M.variant_scores(packed, theta, options.denominator, hessian=True).collect()}
+    for k in range(3):
+        step = h * np.eye(3)[k]
+        assert scores[k].gradient == pytest.approx((ll(theta + step) - ll(theta - step)) / (2 * h), rel=1e-3, abs=1e-7)
+    total = M.evaluate(packed, theta, options.denominator)
+    assert np.allclose([scores[k].gradient for k in range(3)], total[0].g)
+    p = 1 / (1 + np.exp(-theta))
+    slope, curve = p / 20, p * (1 - p) / 20
+    hessian = np.diag(np.array(total[0].h).reshape(3, 3)) + [scores[k].gradient / slope[k] * curve[k] for k in range(3)]
+    assert np.allclose([scores[k].hessian for k in range(3)], hessian)
 
 
 def test_reml_increases_the_likelihood(spark):
@@ -103,3 +125,19 @@ def test_reml_increases_the_likelihood(spark):
     rows = s.select("base", "odd").toPandas().to_numpy(float)
     h2 = np.log1p(np.exp(rows @ fit["theta"])) / options.denominator
     assert np.allclose(report.heritability, h2 @ rows) and report.enrichment[0] == 1 and report.enrichment_log10p[0] == 0
+
+
+def test_jackknife_steps_go_uphill():
+    """For a quadratic likelihood the step from anywhere ends at the maximum without the group."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(2)
+    h = [-np.eye(2) * x for x in rng.uniform(1, 3, 6)]
+    top = rng.normal(size=(6, 2))
+    theta = np.zeros(2)
+    blocks = [SimpleNamespace(g=(-a @ (m - theta)).tolist(), h=a.ravel().tolist()) for a, m in zip(h, top, strict=True)]
+    got = M.jackknife_thetas(theta, blocks, 6)
+    for k in range(6):
+        rest = [i for i in range(6) if i != k]
+        best = np.linalg.solve(sum(h[i] for i in rest), sum(h[i] @ top[i] for i in rest))
+        assert np.allclose(got[k], best, atol=1e-6)
