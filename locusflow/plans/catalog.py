@@ -7,6 +7,7 @@ missing values, ``embeddings`` the correlation structure of blocks (one per labe
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,16 +17,17 @@ from ..functions.ordinal import keep_first
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..sources.annotations import detect_binary
-from ..sources.sumstats import keep_complete
+from ..sources.sumstats import keep_complete, read_parquet_sumstats_multi
 from . import models as M
+from .files import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 _V = """v AS (SELECT o_orderkey AS rid, o_custkey % 22 + 1 AS chr, o_orderkey AS pos, (o_totalprice - 250000) / 100000 AS z, o_orderkey // 150 AS jk,
   (o_orderpriority = '1-URGENT')::INT::DOUBLE AS a1, (o_orderstatus = 'F')::INT::DOUBLE AS a2, o_orderstatus AS st FROM orders)"""
-_G = "g AS (SELECT p_partkey AS gene_idx, p_partkey::VARCHAR AS gene_id, p_name AS gene_name, (p_size % 22 + 1)::BIGINT AS chr, p_partkey * 7 AS pos, p_brand FROM part WHERE p_partkey < 300)"
-_B = "b AS (SELECT p_partkey AS block_id, p_partkey % 22 + 1 AS chrom, p_partkey * 37 AS lo, p_partkey * 37 + 2000 AS hi FROM part WHERE p_partkey < 400)"
+_G = "g AS (SELECT p_partkey AS gene_idx, p_partkey::VARCHAR AS gene_id, p_name AS gene_name, (p_size % 22 + 1)::BIGINT AS chr, p_partkey * 7 AS pos, p_brand FROM part)"
+_B = "b AS (SELECT p_partkey AS block_id, p_partkey % 22 + 1 AS chrom, p_partkey * 9 AS lo, p_partkey * 9 + 700 AS hi FROM part)"
 
 
 def query(sql: str | None = None):
@@ -49,12 +51,12 @@ def variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genes(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "part").where("p_partkey < 300").select(
+    return _t(spark, d, "part").select(
         F.col("p_partkey").alias("gene_idx"), F.col("p_partkey").cast("string").alias("gene_id"), F.col("p_name").alias("gene_name"), (F.col("p_size") % 22 + 1).cast("long").alias("CHR"), (F.col("p_partkey") * 7).alias("POS"), "p_brand")
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("block_id"), (F.col("p_partkey") % 22 + 1).alias("chrom"), (F.col("p_partkey") * 37).alias("chromStart"), (F.col("p_partkey") * 37 + 2000).alias("chromEnd"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("block_id"), (F.col("p_partkey") % 22 + 1).alias("chrom"), (F.col("p_partkey") * 9).alias("chromStart"), (F.col("p_partkey") * 9 + 700).alias("chromEnd"))
 
 
 _LOO = """per AS (SELECT annot, jk, sum(g * a) AS u FROM long GROUP BY annot, jk), tot AS (SELECT annot, sum(u) AS ut FROM per GROUP BY annot),
@@ -107,8 +109,10 @@ def q_merge_intervals(spark, d):
     return J.merge_intervals(blocks(spark, d))
 
 
-_KNN = f"""{_V}, {_G}, k AS (SELECT rid, gene_idx, row_number() OVER (PARTITION BY rid ORDER BY (v.chr <> g.chr)::INT,
-  CASE WHEN v.chr = g.chr THEN abs(v.pos - g.pos) ELSE abs(v.chr * 1000000000 + v.pos - g.chr * 1000000000 - g.pos) END, gene_idx) - 1 AS rank FROM v, g),
+_KNN = f"""{_V}, {_G}, few AS (SELECT v.rid FROM v LEFT JOIN (SELECT chr, count(*) AS n FROM g GROUP BY chr) c USING (chr) WHERE coalesce(n, 0) < 7),
+c AS (SELECT rid, gene_idx, 0 AS far, abs(v.pos - g.pos) AS d FROM v JOIN g USING (chr) UNION ALL
+  SELECT rid, gene_idx, 1, abs(v.chr * 1000000000 + v.pos - g.chr * 1000000000 - g.pos) FROM v JOIN few USING (rid) JOIN g ON v.chr <> g.chr),
+k AS (SELECT rid, gene_idx, row_number() OVER (PARTITION BY rid ORDER BY far, d, gene_idx) - 1 AS rank FROM c),
 n AS (SELECT rid, rank::INT AS rank, gene_idx, [0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05][rank + 1]::DOUBLE AS weight FROM k WHERE rank < 7)"""
 
 
@@ -183,19 +187,26 @@ _TRAITS = "t AS (SELECT 'price' AS trait, l_extendedprice / l_quantity AS z, l_q
 
 
 def _traits(spark, d):
-    x = _t(spark, d, "lineitem").select(F.col("l_quantity").alias("n"), "l_extendedprice", "l_tax")
-    pairs = F.array(F.struct(F.lit("price").alias("trait"), ieee_div(F.col("l_extendedprice"), F.col("n")).alias("z")), F.struct(F.lit("tax").alias("trait"), ieee_div(F.col("l_tax"), F.col("n")).alias("z")))
-    return x.select("n", F.explode(pairs).alias("p")).select("p.trait", "p.z", "n")
+    """A wide table of two traits, written and read by the reader of such files."""
+    x = _t(spark, d, "lineitem").select(F.monotonically_increasing_id().cast("string").alias("site_ids"), F.col("l_quantity").alias("N"), F.col("l_extendedprice").alias("price_BETA"), F.col("l_quantity").alias("price_SE"), F.col("l_tax").alias("tax_BETA"), F.col("l_quantity").alias("tax_SE"))
+    return read_parquet_sumstats_multi(spark, written(x, "parquet"))
 
 
 @query(f"WITH {_TRAITS} SELECT trait, count(*) AS rows, round(sum(z), 3) AS total, round(sum(z * z), 2) AS chisq FROM t GROUP BY trait")
 def q_traits_unpivot(spark, d):
-    return _traits(spark, d).groupBy("trait").agg(F.count("*").alias("rows"), F.round(F.sum("z"), 3).alias("total"), F.round(F.sum(F.col("z") * F.col("z")), 2).alias("chisq"))
+    return _traits(spark, d).groupBy("trait").agg(F.count("*").alias("rows"), F.round(F.sum("Z"), 3).alias("total"), F.round(F.sum(F.col("Z") * F.col("Z")), 2).alias("chisq"))
 
 
-@query(f"WITH {_TRAITS} SELECT trait, median(n) AS median_n, round(avg(n) FILTER (WHERE n > 0), 6) AS mean_n FROM t GROUP BY trait")
+@query(f"WITH {_TRAITS} SELECT trait, max(n) AS max_n, count(*) AS n_variants, round(avg(z * z), 4) AS mean_chisq, round(max(z * z), 4) AS max_chisq FROM t GROUP BY trait")
+def q_chisq_summary(spark, d):
+    out = A.chisq_summary(_traits(spark, d), ("trait",))
+    return out.select("trait", "max_n", "n_variants", F.round("mean_chisq", 4).alias("mean_chisq"), F.round("max_chisq", 4).alias("max_chisq"))
+
+
+@query("SELECT median(l_quantity) AS median_n, round(avg(l_quantity) FILTER (WHERE l_quantity > 0), 6) AS mean_n FROM lineitem")
 def q_traits_sample_size(spark, d):
-    return _traits(spark, d).groupBy("trait").agg(F.median("n").alias("median_n"), F.round(F.avg(F.when(F.col("n") > 0, F.col("n"))), 6).alias("mean_n"))
+    n = _t(spark, d, "lineitem").select(F.col("l_quantity").alias("N"))
+    return spark.createDataFrame([(A.sample_size(n, "N", "median"), round(A.sample_size(n), 6))], "median_n double, mean_n double")
 
 
 @query(f"""WITH {_V}, m AS (SELECT sum(a1 * a1) AS aa, sum(a1 * a2) AS ab, sum(a2 * a2) AS bb, sum(a1 * z) AS ay, sum(a2 * z) AS bz FROM v)
@@ -244,11 +255,11 @@ def q_frequency_term(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_linenumber").agg(F.round(F.sum(frequency_term(F.col("l_quantity") / 100, -0.5)), 5).alias("total"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS k, o_totalprice AS z FROM orders WHERE o_orderkey % 3 = 0), a AS (SELECT l_orderkey AS k, min(l_partkey) AS p FROM lineitem GROUP BY 1)
-SELECT a.k AS snp, p, round(z, 2) AS z FROM a LEFT JOIN s USING (k)""")
+@query("""WITH s AS (SELECT o_custkey AS k, arg_min(o_totalprice, o_orderkey) AS z FROM orders GROUP BY 1)
+SELECT c_custkey AS snp, c_nationkey AS p, round(z, 2) AS z FROM customer LEFT JOIN s ON c_custkey = k""")
 def q_merge_annotations(spark, d):
-    stats = _t(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("SNP"), F.col("o_totalprice").alias("Z"))
-    annots = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("SNP"), F.col("l_partkey").alias("p"), F.col("l_partkey").alias("annot_ordinal"))
+    stats = _t(spark, d, "orders").select(F.col("o_custkey").alias("SNP"), F.col("o_totalprice").alias("Z"), F.col("o_orderkey").alias("ordinal"))
+    annots = _t(spark, d, "customer").select(F.col("c_custkey").alias("SNP"), F.col("c_nationkey").alias("p"), F.col("c_custkey").alias("annot_ordinal"))
     return J.merge_annotations(stats, annots, ("SNP",), keep_unmatched=True).select(F.col("SNP").alias("snp"), "p", F.round("Z", 2).alias("z"))
 
 
@@ -261,39 +272,94 @@ def q_restore_rows(spark, d):
 
 @query(f"WITH {_B}, n AS (SELECT block_id, hi - lo + block_id AS n FROM b) SELECT block_id, (sum(n) OVER (ORDER BY block_id) - n)::BIGINT AS \"offset\" FROM n")
 def q_block_offsets(spark, d):
-    b = blocks(spark, d).select("block_id", (F.col("chromEnd") - F.col("chromStart") + F.col("block_id")).alias("n"))  # one row per block
-    return b.select("block_id", (F.sum("n").over(W.orderBy("block_id")) - F.col("n")).alias("offset"))
+    b = blocks(spark, d).select("block_id", (F.col("chromEnd") - F.col("chromStart") + F.col("block_id")).alias("n"))
+    return A.offsets(b, "n", "block_id").select("block_id", "offset")
+
+
+#: Blocks of 150 variants from ``orders``; with x = place in the block, (x, y) are correlated by 0.8 ^ |x - y|.
+_BLOCKS = f"""{_V}, w AS (SELECT *, (row_number() OVER (PARTITION BY jk ORDER BY rid) - 1)::INT AS x, count(*) OVER (PARTITION BY jk) AS n FROM v)"""
+RHO = 0.8
 
 
-@query(f"WITH {_V} SELECT rid, round(sqrt(1000) * 0.0001 / (1 + 1000 * 0.0001) * z, 9) AS weight FROM v")
+def ordered_blocks(spark: SparkSession, d: str, rho: float = 0.0, keep=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Variants, statistics and precision entries of blocks of neighbours in ``orders``: the
+    identity, or the tridiagonal inverse of correlations rho ^ distance.  ``keep`` is a
+    condition on the statistics there are."""
+    v = variants(spark, d).withColumn("index", (F.row_number().over(W.partitionBy("jk").orderBy("rid")) - 1).cast("int")).withColumn("n", F.count("*").over(W.partitionBy("jk")))
+    v = v.withColumn("block_id", F.col("jk").cast("long"))
+    one = 1 / (1 - rho * rho)
+    middle = (F.col("index") > 0) & (F.col("index") < F.col("n") - 1)
+    own = v.select("block_id", F.col("index").alias("i"), F.col("index").alias("j"), F.when(F.col("n") == 1, 1.0).otherwise(F.when(middle, one * (1 + rho * rho)).otherwise(one)).alias("value"))
+    edges = own if rho == 0 else own.unionByName(v.where(F.col("index") < F.col("n") - 1).select("block_id", F.col("index").alias("i"), (F.col("index") + 1).alias("j"), F.lit(-one * rho).alias("value")))
+    lists = v.select("block_id", F.col("rid").alias("ordinal"), "index", F.col("rid").cast("string").alias("site_ids"), F.col("POS").alias("position"), F.col("CHR").cast("long").alias("CHR"), F.lit("A").alias("anc_alleles"), F.lit("C").alias("deriv_alleles"))
+    stats = (v if keep is None else v.where(keep)).select("block_id", F.col("rid").alias("ordinal"), F.col("rid").cast("string").alias("SNP"), "POS", F.lit("C").alias("A1"), F.lit("A").alias("A2"), F.col("z").alias("Z"), F.lit(1.0).alias("base"), F.col("a1").alias("urgent"), F.col("a2").alias("filled"))
+    return lists, stats, edges
+
+
+@query(f"WITH {_V}, m AS (SELECT 0.2 / count(*) AS s FROM v) SELECT rid, round(sqrt(1000) * s / (1 + 1000 * s) * z, 9) AS weight FROM v, m")
 def q_blup_identity(spark, d):
-    n, s2 = 1000.0, 0.0001
-    return variants(spark, d).select("rid", F.round(F.col("z") * (n**0.5 * s2 / (1 + n * s2)), 9).alias("weight"))
+    lists, stats, edges = ordered_blocks(spark, d)
+    return M.blup(lists, stats, edges, 0.2, 1000.0).select(F.col("ordinal").alias("rid"), F.round("weight", 9).alias("weight"))
+
+
+@query(f"WITH {_V} SELECT rid, z * z >= 2 AS is_index FROM v")
+def q_clump_identity(spark, d):
+    lists, stats, edges = ordered_blocks(spark, d)
+    return M.clump(lists, stats, edges, stats.select("ordinal", "Z"), 0.1, 2.0).select(F.col("ordinal").alias("rid"), "is_index")
 
 
 @query(f"""WITH {_V}, x AS (SELECT jk, z, 0.5 + a1 AS m FROM v) SELECT jk, round(-0.5 * sum(ln(2 * pi()) + ln(m) + z * z / m), 5) AS ll FROM x GROUP BY jk""")
 def q_loglik_diagonal(spark, d):
-    x = variants(spark, d).withColumn("m", 0.5 + F.col("a1"))
-    return x.groupBy("jk").agg(F.round(F.lit(-0.5) * F.sum(F.log(F.lit(2.0) * F.pi()) + F.log("m") + F.col("z") * F.col("z") / F.col("m")), 5).alias("ll"))
+    lists, stats, edges = ordered_blocks(spark, d)
+    own = stats.select(F.col("ordinal"), (0.5 + F.col("urgent")).alias("m"), F.col("Z").alias("pz"))
+    rows = lists.join(own, "ordinal")
+    diagonal = rows.select("block_id", F.col("index").alias("i"), F.col("index").alias("j"), F.col("m").alias("value"))
+    return M.block_likelihoods(rows, diagonal).select(F.col("block_id").alias("jk"), F.round("ll", 5).alias("ll"))
+
+
+@query(f"""WITH {_BLOCKS}, o AS (SELECT * FROM w WHERE a1 = 0), c AS (SELECT w.jk, w.x, o.x AS y, row_number() OVER (PARTITION BY w.jk, w.x ORDER BY abs(w.x - o.x), o.x) AS k FROM w JOIN o ON w.jk = o.jk)
+SELECT w.jk AS block_id, w.x AS "index", abs(coalesce(c.y, w.x) - w.x) AS distance FROM w LEFT JOIN c ON w.jk = c.jk AND w.x = c.x AND k = 1""")
+def q_surrogate_neighbours(spark, d):
+    """With correlations that fall with distance, a missing index stands at one of its nearest
+    (which of two, the last digits of an inverse decide)."""
+    out = M.surrogates(*ordered_blocks(spark, d, RHO, F.col("a1") == 0))
+    return out.select("block_id", "index", F.abs(F.col("surrogate_index") - F.col("index")).alias("distance"))
+
+
+_REML = f"""{_V}, m AS (SELECT (SELECT count(*) FROM v)::DOUBLE AS den), t AS (SELECT *, 0.4 - 0.3 * a1 + 0.2 * a2 AS x FROM v),
+l AS (SELECT t.*, (greatest(x, 0) + ln(1 + exp(-abs(x)))) / den AS h, 1 / (1 + exp(-x)) AS p, den FROM t, m),
+e AS (SELECT *, 1 / 1000.0 + h AS c, z / sqrt(1000.0) AS y, p / den AS slope, p * (1 - p) / den AS curve FROM l),
+g AS (SELECT *, -0.5 * (1 / c - y * y / (c * c)) AS node, -0.5 * y * y / (c * c) / c AS node2 FROM e)"""
+THETA = (0.4, -0.3, 0.2)
+
 
+def _reml_blocks(spark, d):
+    lists, stats, edges = ordered_blocks(spark, d)
+    options = M.RemlOptions(sample_size=1000.0, denominator=float(stats.count()))
+    return lists, M.reml_blocks(lists, stats, edges, ["base", "urgent", "filled"], options), options
 
-_DOT = "round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) ** 2, 9)"
 
+@query(f"""WITH {_REML} SELECT jk AS block_id, round(-0.5 * sum(ln(2 * pi()) + ln(c) + y * y / c), 4) AS ll, round(sum(node * slope), 7) AS g0, round(sum(node * slope * a1), 7) AS g1, round(sum(node * slope * a2), 7) AS g2 FROM g GROUP BY jk""")
+def q_reml_likelihood(spark, d):
+    """Likelihood and gradient of the blocks at fixed parameters."""
+    _, packed, options = _reml_blocks(spark, d)
+    rows = [(r.block_id, r.ll, *r.g) for r in M.evaluate(packed, np.array(THETA), options.denominator)]
+    out = spark.createDataFrame(rows, "block_id long, ll double, g0 double, g1 double, g2 double")
+    return out.select("block_id", F.round("ll", 4).alias("ll"), *[F.round(f"g{k}", 7).alias(f"g{k}") for k in range(3)])
 
-@query(f"""WITH c AS (SELECT a.vec_id AS m, b.vec_id AS c, {_DOT} AS r2 FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)
-SELECT m AS missing, c AS surrogate, r2 FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY r2 DESC, c) AS k FROM c) WHERE k = 1""")
-def q_surrogate(spark, d):
-    e = _t(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    a, b = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("m"), "label", F.col("e").alias("x")), e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("c"), "label", F.col("e").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, "label").select("m", "c", F.round(dot * dot, 9).alias("r2"))
-    best = pairs.groupBy("m").agg(F.max_by(F.struct("c", "r2"), F.struct("r2", (-F.col("c")).alias("k"))).alias("b"))
-    return best.select(F.col("m").alias("missing"), F.col("b.c").alias("surrogate"), F.col("b.r2").alias("r2"))
+
+@query(f"WITH {_REML} SELECT rid, round(node * slope, 8) AS gradient, round(node2 * slope * slope + node * curve, 8) AS hessian FROM g")
+def q_variant_scores(spark, d):
+    _, packed, options = _reml_blocks(spark, d)
+    out = M.variant_scores(packed, np.array(THETA), options.denominator, hessian=True)
+    return out.select(F.col("ordinal").alias("rid"), F.round("gradient", 8).alias("gradient"), F.round("hessian", 8).alias("hessian"))
 
 
 def block_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Variants, statistics and precision entries of blocks made from embeddings."""
-    e = _t(spark, d, "embeddings").where("label IS NOT NULL").select("vec_id", F.col("label").cast("long").alias("block_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    """Variants, statistics and precision entries of blocks made from embeddings: the vectors
+    of a label and a range of 500 ids, so a block is bounded however many rows a label has."""
+    block = F.col("label").cast("long") + 1000 * F.floor(F.col("vec_id") / 500)
+    e = _t(spark, d, "embeddings").where("label IS NOT NULL").select("vec_id", block.alias("block_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     at = (F.row_number().over(W.partitionBy("block_id").orderBy("vec_id")) - 1).cast("int")
     e = e.withColumn("index", at)
     v = e.select("block_id", F.col("vec_id").alias("ordinal"), "index", F.col("vec_id").cast("string").alias("site_ids"), F.col("vec_id").alias("position"), F.lit("A").alias("anc_alleles"), F.lit("C").alias("deriv_alleles"), (F.lit(0.05) + F.pmod("vec_id", F.lit(9)) / 20).alias("af"))
@@ -322,13 +388,6 @@ def q_surrogate_map(spark, d):
     return M.surrogates(v, s.where("ordinal % 5 <> 0"), e)
 
 
-@query()
-def q_simulate(spark, d):
-    v, _, e = block_tables(spark, d)
-    out = M.simulate(v, e, M.SimulationSpec(sample_size=1000, seed=1))
-    return out.select(F.col("ordinal").alias("vec_id"), F.round("beta", 6).alias("beta"), F.round("beta_marginal", 6).alias("beta_marginal"), F.round("Z", 6).alias("z"))
-
-
 @query()
 def q_reml(spark, d):
     v, s, e = block_tables(spark, d)
@@ -338,3 +397,30 @@ def q_reml(spark, d):
     packed.unpersist()
     rows = [(a, float(t), i) for i, (a, t) in enumerate(zip(["base", "odd"], fit["theta"], strict=True))]
     return spark.createDataFrame(rows, "annot string, theta double, place int")
+
+
+@query("SELECT l_linenumber AS name, round(sqrt(avg(l_discount * l_discount)), 9) AS rms FROM lineitem GROUP BY 1")
+def q_rms_z(spark, d):
+    wide = _t(spark, d, "lineitem").select(*[F.when(F.col("l_linenumber") == k, F.col("l_discount")).alias(str(k)) for k in range(1, 8)])
+    out = A.rms_z(wide, wide.columns).where("rms IS NOT NULL")
+    return out.select(F.col("name").cast("int").alias("name"), F.round("rms", 9).alias("rms"))
+
+
+@query("SELECT 'l_tax' AS name, count(*) FILTER (WHERE l_tax <> 0) AS n FROM lineitem UNION ALL SELECT 'l_discount', count(*) FILTER (WHERE l_discount <> 0) FROM lineitem")
+def q_nonzero_counts(spark, d):
+    return A.nonzero_counts(_t(spark, d, "lineitem"), ["l_tax", "l_discount"])
+
+
+@query(f"""WITH {_V}, {_G}, c AS (SELECT rid, gene_idx, row_number() OVER (PARTITION BY rid ORDER BY abs(v.pos - g.pos), gene_idx) - 1 AS rank FROM v JOIN g ON g.pos BETWEEN v.pos - 14 AND v.pos + 14 OR g.gene_idx >= (SELECT max(gene_idx) FROM g) - 3 OR g.gene_idx <= 3)
+SELECT rid AS variant_id, rank::INT AS rank, gene_idx FROM c WHERE rank < 2""")
+def q_nearest_on_line(spark, d):
+    out = J.nearest_on_line(variants(spark, d), genes(spark, d), (0.6, 0.4), "rid")
+    return out.select("variant_id", F.col("rank").cast("int").alias("rank"), "gene_idx")
+
+
+@query("""SELECT o_custkey % 22 + 1 AS chr, count(*) AS n, sum(n)::BIGINT AS first FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey % 22 ORDER BY o_orderkey) AS n, o_orderkey FROM orders) GROUP BY 1""")
+def q_active_indices(spark, d):
+    """Indices of a block renumbered in order."""
+    v = variants(spark, d).select(F.col("CHR").alias("block_id"), (F.col("rid") * 3).alias("index"))
+    out = J.active_indices(v).withColumn("active", F.col("active").cast("long") + 1)
+    return out.groupBy(F.col("block_id").alias("chr")).agg(F.count("*").alias("n"), F.sum("active").alias("first"))

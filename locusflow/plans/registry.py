@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import file_queries as _  # registers its queries
 from .catalog import ORACLES, QUERIES, q_score_test
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

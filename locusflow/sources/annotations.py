@@ -158,9 +158,9 @@ def load_gene_table(spark: SparkSession, path: str, chromosomes: list[int] | Non
     return with_ordinal(df.orderBy("CHR", "midpoint", "gene_id"), "gene_idx")
 
 
-def load_gene_sets(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+def load_gene_sets(spark: SparkSession, path: str, names: list[str] | None = None, pattern: str = "*.gmt") -> DataFrame:
     """(set_name, gene) of all GMT files; of sets with one name the last line of the last file holds."""
-    files = files_below(spark, path, "*.gmt")
+    files = files_below(spark, path, pattern)
     frames = [with_ordinal(spark.read.text(f), "line").withColumn("file", F.lit(i)) for i, f in enumerate(files)]
     if not frames:
         raise FileNotFoundError(f"no GMT files below {path}")

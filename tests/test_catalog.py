@@ -8,7 +8,7 @@ import pytest
 from locusflow.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "orders part lineitem events embeddings".split()
+TABLES = "region nation customer orders part lineitem events embeddings".split()
 
 
 def _plain(x):
