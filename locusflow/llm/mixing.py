@@ -278,7 +278,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every document as often as the mix takes it (its repeats carry the same id)."""
     scratch = Scratch(spark)
     kinds = scratch.save(mixed_kinds(docs, scratch).where("copies > 0").select(F.struct("doc_id", "source", "size", "n", "copies").alias("kind")))
-    like = docs.join(kinds, docs["doc_id"].eqNullSafe(kinds["kind"]["doc_id"]) & docs["source"].eqNullSafe(kinds["kind"]["source"]) & (word_count(docs["text"]) == kinds["kind"]["size"]))
+    # the same plan at every size: a sort-merge join
+    like = docs.join(kinds.hint("merge"), docs["doc_id"].eqNullSafe(kinds["kind"]["doc_id"]) & docs["source"].eqNullSafe(kinds["kind"]["source"]) & (word_count(docs["text"]) == kinds["kind"]["size"]))
     kind, rank, copy = (fresh_name(docs.columns, x) for x in ("kind", "rank", "copy"))
     like = scratch.save(like.select(*[docs[c] for c in docs.columns], kinds["kind"].alias(kind)))
     single = like.where(F.col(kind)["n"] == 1).withColumn(rank, F.lit(0).cast("long"))
