@@ -4,8 +4,12 @@ Rules are (host, path prefix) with a verdict; a rule fits its host and all subdo
 and of the rules that fit the longest wins.  Urls without a rule are judged by a
 multinomial naive Bayes over tokens: host labels are split into words by a unigram
 Viterbi search (word counts from the titles of all pages, unknown words by length),
-paths at non-alphanumerics, numbers become one token.  The classifier is fitted on a
-bounded sample of urls that rules decide.
+paths at non-alphanumerics, numbers become one token.  The classifier is fitted on all
+tokens of a bounded sample of urls that rules decide.
+
+Scale: the word counts stay a table.  The substrings of each different host label (at
+most 63 characters; what is longer is no name and stays whole) are joined to it, and a
+label is searched with what it has found; hosts and pages then take their words by joins.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; with
 nothing to fit on (no url under a rule of either kind) the verdict is allow; repeated
@@ -16,20 +20,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 from math import log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import Scratch, hash_sample, table
 
 #: (verdict, host and path prefix)
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Labelled urls of the fitting sample; words of the segmenter; features of the classifier, at most.
-TRAIN_ROWS, VOCABULARY, FEATURES = 50_000, 50_000, 65_536
-_MAX_WORD = 24
+#: Labelled urls of the fitting sample, about.
+TRAIN_ROWS = 50_000
+#: Fixed value: the longest label of a host name.
+LABEL = 63
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,46 +55,66 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return out
 
 
+def likeliest_words(name: str, count: Callable[[int, int], int | None], total: int) -> list[str]:
+    """The split of ``name`` with the largest product of word probabilities; ``count(start,
+    end)`` is that of a known word.  Of equal ones, the longest last word."""
+    best, back = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        def cost(start: int, end: int = end) -> float:
+            n = count(start, end)
+            return -log(n / total) if n else log(total) + 2.302585 * (end - start)
+
+        c, start = min((best[s] + cost(s), s) for s in range(end))
+        best.append(c)
+        back.append(start)
+    out, end = [], len(name)
+    while end:
+        out.append(name[back[end]: end])
+        end = back[end]
+    return out[::-1]
+
+
 def segmenter(counts: dict[str, int]) -> Callable[[str], list[str]]:
-    """Splits a concatenated name into the likeliest words."""
+    """Splits a concatenated name into the likeliest words of a small table."""
     total = sum(counts.values()) or 1
-    longest = min(_MAX_WORD, max(map(len, counts), default=1))
+    return lambda name: likeliest_words(name, lambda a, b: counts.get(name[a:b]), total)
 
-    def cost(word: str) -> float:
-        n = counts.get(word)
-        return -log(n / total) if n else log(total) + 2.302585 * len(word)
 
-    @lru_cache(maxsize=65_536)
-    def split(name: str) -> list[str]:
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            c, start = min((best[s] + cost(name[s:end]), s) for s in range(max(0, end - longest), end))
-            best.append(c)
-            back.append(start)
-        out, end = [], len(name)
-        while end:
-            out.append(name[back[end]: end])
-            end = back[end]
-        return out[::-1]
+def _segmented(total: int):
+    def run(batches):
+        for batch in batches:
+            words = []
+            for label, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = {(r["a"], r["a"] + r["k"]): r["n"] for r in found or ()}
+                words.append(likeliest_words(label, lambda a, b: known.get((a, b)), total))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+    return run
 
-    return split
 
+def host_words(hosts: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, words): the words of every different host in order, its last label at the end."""
+    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.length("w")), F.lit(1))).first()
+    labels = hosts.select("host").distinct().select("host", F.posexplode(F.filter(F.split("host", "[^0-9a-z]+"), lambda x: x != "")).alias("at", "label"))
+    labels = scratch.save(labels)
+    names = labels.select("label").distinct().where(~F.col("label").rlike("^[0-9]+$") & (F.length("label") <= LABEL))
+    parts = names.withColumn("a", F.explode(F.sequence(F.lit(0), F.length("label") - 1))).withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("label") - F.col("a")))))
+    known = parts.withColumn("w", F.substring("label", F.col("a") + 1, F.col("k"))).join(counts, "w").groupBy("label").agg(F.collect_list(F.struct("a", "k", "n")).alias("found"))
+    split = names.join(known, "label", "left").mapInArrow(_segmented(max(1, total)), "label string, words array<string>")
+    rest = F.when(F.col("label").rlike("^[0-9]+$"), "#").otherwise(F.col("label"))
+    each = labels.join(split, "label", "left").select("host", "at", F.coalesce("words", F.array(rest)).alias("words"), "label")
+    inside = F.transform(F.sort_array(F.collect_list(F.struct("at", "words", "label"))), lambda x: F.transform(x["words"], lambda w: F.concat(F.lit("h:"), w)))
+    last = F.concat(F.lit("tld:"), F.max_by("label", "at"))
+    return each.groupBy("host").agg(F.concat(F.flatten(inside), F.array(last)).alias("words"))
 
-def url_tokens(host: str, path: str, split: Callable[[str], list[str]]) -> list[str]:
-    labels = [x for x in re.split(r"[^0-9a-z]+", host) if x]
-    out = [f"h:{w}" for x in labels for w in (split(x) if not x.isdigit() else ["#"])]
-    if labels:
-        out.append(f"tld:{labels[-1]}")
-    return out + [f"p:{'#' if x.isdigit() else x}" for x in re.split(r"[^0-9A-Za-z]+", path) if x]
 
+def path_tokens(path: str) -> list[str]:
+    return [f"p:{'#' if x.isdigit() else x}" for x in re.split(r"[^0-9A-Za-z]+", path) if x]
 
-def _tokens(split_of):
-    def run(batches):
-        split = segmenter(split_of.value)
-        for batch in batches:
-            tokens = [url_tokens(h, p, split) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], names=["verdict", "tokens"])
-    return run
+
+def _tokens(batches):
+    for batch in batches:
+        tokens = [(w or []) + path_tokens(p) for w, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], names=["verdict", "tokens"])
 
 
 def naive_bayes(rows: list, n_docs: dict[str, int]) -> dict:
@@ -106,38 +130,45 @@ def naive_bayes(rows: list, n_docs: dict[str, int]) -> dict:
     return {"prior": prior, "odds": {t: log(p(t, "block") / p(t, "allow")) for t in counts}}
 
 
-def _scores(split_of, model):
+def _scores(model):
     def run(batches):
-        split, m = segmenter(split_of.value), model.value
+        m = model.value
         odds = m["odds"]
         for batch in batches:
-            hosts, paths, done = batch.column("host").to_pylist(), batch.column("path").to_pylist(), batch.column("rule").to_pylist()
-            score = [None if r is not None else m["prior"] + sum(odds.get(t, 0.0) for t in url_tokens(h, p, split)) for h, p, r in zip(hosts, paths, done, strict=True)]
+            words, paths, done = batch.column("words").to_pylist(), batch.column("path").to_pylist(), batch.column("rule").to_pylist()
+            score = [None if r is not None else m["prior"] + sum(odds.get(t, 0.0) for t in (w or []) + path_tokens(p)) for w, p, r in zip(words, paths, done, strict=True)]
             verdict = [v if v is not None else "block" if s > 0 else "allow" for v, s in zip(batch.column("verdict").to_pylist(), score, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), batch.column("rule"), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
     return run
 
 
-def title_words(pages: DataFrame, html_col: str = "html", most: int = VOCABULARY) -> dict[str, int]:
-    """The ``most`` commonest words of all titles (lower case, letters and digits) and their counts."""
+def title_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(w, n): all words of all titles (lower case, letters and digits) and their counts."""
     title = F.translate(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<title>(.*?)</title>", 1), _UPPER, _LOWER)
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return {r.w: r.n for r in words.orderBy(F.desc("n"), "w").limit(most).collect()}
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).where(F.length("w") <= LABEL)
+    return words.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def parsed_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict): rule and verdict null where no rule fits."""
+    parsed = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    return parsed.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, train_rows: int = TRAIN_ROWS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, score): score (log-odds of block) where the model decides."""
     spark = pages.sparkSession
-    parsed = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    parsed = parsed.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"))
-    vocabulary = spark.sparkContext.broadcast(title_words(pages, html_col))
-    sample = bounded_sample(parsed.where("rule IS NOT NULL"), train_rows).select("verdict", "host", "path")
-    tokens = sample.mapInArrow(_tokens(vocabulary), "verdict string, tokens array<string>")
-    counts = tokens.select("verdict", F.explode("tokens").alias("token")).groupBy("token", "verdict").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token", "verdict").limit(FEATURES).collect()
+    scratch = Scratch(spark)
+    parsed = scratch.save(parsed_urls(pages, rules, id_col, url_col))
+    words = scratch.save(host_words(parsed, scratch.save(title_words(pages, html_col)), scratch))
+    with_words = lambda rows: rows.join(words, "host", "left").select(*rows.columns, "words")
+    sample = scratch.save(hash_sample(parsed.where("rule IS NOT NULL"), train_rows, ["page_id", "host", "path"]))
+    tokens = with_words(sample).select("verdict", "words", "path").mapInArrow(_tokens, "verdict string, tokens array<string>")
+    counts = tokens.select("verdict", F.explode("tokens").alias("token")).groupBy("token", "verdict").agg(F.count("*").alias("n")).collect()  # bounded by the sample
     docs = {r.verdict: r["count"] for r in sample.groupBy("verdict").count().collect()}
     model = naive_bayes(counts, docs) if len(docs) == 2 else {"prior": -1.0, "odds": {}}
     kind = dict(parsed.dtypes)["page_id"]
-    return parsed.mapInArrow(_scores(vocabulary, spark.sparkContext.broadcast(model)), f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return with_words(parsed).mapInArrow(_scores(spark.sparkContext.broadcast(model)), f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
