@@ -37,21 +37,6 @@ def hash_sample(df: DataFrame, rows: int, by: list[str]) -> DataFrame:
     return drawn.withColumn("_inside", inside).where(F.col("_inside") < rows).drop("_inside")
 
 
-def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows, never more: the first few of every partition, without a shuffle.
-    The same on reruns over the same files."""
-    parts = (df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
-    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    few = df.withColumn("_row", inside).where(F.col("_row") < max(1, rows // parts)).drop("_row")
-    return few if parts <= rows else few.limit(rows)
-
-
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of whole texts of at most so many rows, to keep Python workers small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 @contextmanager
 def settings(spark: SparkSession, **values):
     """Session settings for the time of a block (dots as double underscores)."""
@@ -146,7 +131,7 @@ def rank_within(rows: DataFrame, keys: list[str], name: str, scratch: Scratch, c
     table, so equal rows spread too; counts of chunks are summed, and rows ranked inside.
     """
     row, part, total, before = (fresh_name(rows.columns, x) for x in ("row_", "part_", "total_", "before_"))
-    rows = scratch.save(rows).withColumn(row, F.monotonically_increasing_id())
+    rows = (rows if getattr(rows, "_scratch_path", None) else scratch.save(rows)).withColumn(row, F.monotonically_increasing_id())
     at = F.struct(*keys)
     totals = rows.groupBy(at.alias("k")).agg(F.ceil(F.count("*") / chunk).alias(total))
     dealt = rows.join(totals, at.eqNullSafe(totals["k"])).drop("k").withColumn(part, F.pmod(F.xxhash64(row), F.col(total))).drop(total)

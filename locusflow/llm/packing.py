@@ -3,17 +3,18 @@
 Documents become token ids (byte-level BPE and an end id); only documents longer
 than a sequence are cut, into whole sequences after a first, shorter piece.
 
-Packing is bulk-synchronous best fit, decreasing.  Pieces are range-sorted by length
+Packing is best fit, decreasing, in supersteps.  Pieces are range-sorted by length
 (a class per length) and ranked inside their class by distributed running counts.
 One superstep takes one class, longest first: its pieces, by rank, meet the open
 gaps sorted by size; each piece's successor is the smallest gap it fits, equal
 claims are resolved by rank (the k-th piece gets the k-th place among the gaps, a
 gap counting as often as the piece fits), the gaps taken shrink, and pieces without
 a gap open new sequences.  Because pieces of a class differ only in rank and gaps of
-a size only in number, a superstep works on runs (rank interval, sequence interval):
-the sweep state has at most one entry per gap size and run boundary, however many
-documents there are, and every piece is then placed by its (length, rank) in
-parallel.  The result is exactly sequential best-fit decreasing.
+a size only in number, a superstep works on runs (rank interval, sequence interval).
+Their table has at most ``max_tokens`` lengths and gap sizes however many documents
+there are, so the supersteps run over it on the driver, without jobs; counting, ranking
+and placing every piece by its (length, rank) run on Spark.  The result is exactly
+sequential best-fit decreasing.
 
 Defined results: null and empty texts are one piece holding the end id; repeated rows
 are packed one by one; an empty table gives no rows; other columns are never read.
@@ -32,14 +33,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, rank_within, table
 
 MAX_TOKENS = 1024
 END_ID = 2
-_CHUNK = 4096
 _SPECIAL = "<|endoftext|>"
 
 
@@ -136,26 +135,10 @@ def best_fit_runs(counts: dict[int, int], most: int) -> list[tuple[int, int, int
     return runs
 
 
-def rank_in_class(rows: DataFrame, cls: str, by: list[str], counts: dict[int, int], scratch: Scratch) -> DataFrame:
-    """Adds ``rank``, 0 to n - 1 inside each class, by running counts over chunks of
-    bounded size and over the chunks of a class."""
-    spark = rows.sparkSession
-    sizes = spark.createDataFrame([(int(k), -(-n // _CHUNK)) for k, n in counts.items()], "_class long, _chunks long")
-    mark = F.xxhash64(*by)
-    dealt = rows.join(F.broadcast(sizes), rows[cls] == F.col("_class")).withColumn("_mark", mark).withColumn("_chunk", F.pmod(F.col("_mark"), F.col("_chunks"))).drop("_class", "_chunks")
-    chunks = dealt.groupBy(cls, "_chunk").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy(cls).orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0))
-    before = chunks.select(F.col(cls).alias("_class"), F.col("_chunk").alias("_k"), (upto - F.col("_n")).alias("_before"))
-    joined = dealt.join(before, (dealt[cls] == F.col("_class")) & (dealt["_chunk"] == F.col("_k")))
-    inside = F.row_number().over(W.partitionBy(cls, "_chunk").orderBy("_mark", *by)) - 1
-    return joined.withColumn("rank", F.col("_before") + inside).drop("_class", "_k", "_before", "_chunk", "_mark")
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) per piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = scratch.save(texts.mapInArrow(_pieces(max_tokens, end_id, with_ids, tokenizer_path, ranks_path, pattern), "doc_id long, piece int, start long, length long, crc long, ids array<int>"))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_tokens rows
@@ -179,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
             out[1, at] = offset[run]
         return pd.DataFrame({"sequence_id": out[0], "offset": out[1]})
 
-    ranked = rank_in_class(pieces, "length", ["doc_id", "piece"], counts, scratch).withColumn("at", place("length", "rank"))
+    ranked = rank_within(pieces, ["length"], "rank", scratch).withColumn("at", place("length", "rank"))
     return ranked.select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), "ids", F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
 
 

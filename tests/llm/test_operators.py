@@ -251,6 +251,40 @@ def test_packing_round_trip(spark):
     assert all([o for o, _ in sorted(s)] == list(np.cumsum([0, *(n for _, n in sorted(s))])[:-1]) for s in seen.values())
 
 
+def test_packing_through_spark_is_best_fit_decreasing(spark):
+    """Sequences of real and odd documents against the loop over single pieces, ids repeated."""
+    files = packing._public_files()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(9).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = packing.pack_documents(docs, **files).collect()
+    gaps = []
+    for n in sorted((r.length for r in rows), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((1024 if fit is None else fit) - n)
+    seen: dict[int, list] = {}
+    for r in rows:
+        seen.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(1024 - sum(n for _, n in s) for s in seen.values()) == sorted(gaps)
+    assert all([o for o, _ in sorted(s)] == list(np.cumsum([0, *(n for _, n in sorted(s))])[:-1]) for s in seen.values())
+
+
+def test_ids_are_those_of_the_tokenizer_file(spark):
+    """The rank file's encoder against the tokenizer file: all documents, and random Unicode."""
+    from tokenizers import Tokenizer
+
+    files = packing._public_files()
+    whole = Tokenizer.from_file(files["tokenizer_path"])
+    rng = random.Random(1)
+    ranges = [(32, 127), (9, 14), (160, 0x17F), (0x300, 0x370), (0x370, 0x500), (0x5D0, 0x700), (0x900, 0xA00), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x4F00), (0xAC00, 0xAC80), (0x1F300, 0x1F6FF), (0x1D400, 0x1D440), (0xFE00, 0xFE10)]
+    draw = lambda: chr(rng.randrange(*rng.choice(ranges)))
+    texts = ["".join(draw() if rng.random() < 0.5 else rng.choice(" 's'll're\n\t  ") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    want = whole.encode_batch(texts, add_special_tokens=False)
+    assert all(packing.encode(t, **files) == w.ids for t, w in zip(texts, want, strict=True))
+
+
 def test_cascade_order_follows_rejections_per_cost(spark):
     docs = spark.createDataFrame([(i, "word " * (5 if i % 2 else 40)) for i in range(200)], "doc_id long, text string")
     rules = [quality.Rule("never", F.col("n_words") < 0), quality.Rule("half", F.col("n_words") < 20)]
