@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample, table
 
 #: Documents of the fitting sample, about, and labelled lines, at most.
-SAMPLE_DOCS, SAMPLE_LINES = 20_000, 2_000
+SAMPLE_DOCS, SAMPLE_LINES = 20_000, 1_200
 EPOCHS = 4
 KINDS = ("assign", "access", "hex", "crf")
 # The patterns and the least lengths of what they must match.
@@ -47,7 +47,7 @@ _MARKED = re.compile(r"[^\w\s.,]|" + "|".join(_KEYWORDS), re.I)
 #: Alphabets in which secrets of training lines are drawn anew.
 _ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789_-")
 _O, _B, _I = 0, 1, 2
-#: Forms of tokens whose weights a worker remembers.
+#: Tokens, and forms of tokens, whose weights a worker remembers.
 _REMEMBERED = 50_000
 
 
@@ -135,6 +135,8 @@ class Crf:
         self.t = np.zeros((3, 3))
         self.t[_O, _I] = -1e9  # inside must follow begin or inside
         self.known: dict[tuple, tuple[np.ndarray, float]] = {}
+        self.words: dict[str, float] = {}
+        self.contexts: dict[frozenset, float] = {}
 
     def places(self, names: list[str]) -> list[int]:
         """Columns of the features that training has seen."""
@@ -154,25 +156,47 @@ class Crf:
             self.known[form] = self.w[:, at].sum(axis=1), float(self.gain()[at].sum())
         return self.known[form]
 
-    def slack(self) -> tuple[float, float]:
-        """What context, file and chain can add at most in favour of begin or inside: in a
-        line of words, numbers, dots and commas alone, and in any line.
-
-        A run of tokens that are not outside enters and leaves it once and goes on in
-        between; if no token by itself outweighs the dearer of both, no run does.
-        """
-        gain = self.gain()
-        plain: dict[str, float] = {}
-        every: dict[str, float] = {}
-        for name, k in self.at.items():
-            kind, _, value = name.partition("=")
-            if kind in ("before", "far", "after", "sets", "lang", "named"):
-                every[kind] = max(every.get(kind, 0.0), gain[k])
-                if kind in ("lang", "named") or value in ("word", "number", "^", "$", "False", ".", ","):
-                    plain[kind] = max(plain.get(kind, 0.0), gain[k])
+    def gain_of(self, word: str) -> float:
+        """The second part of ``own``, remembered by word."""
+        if (found := self.words.get(word)) is None:
+            found = self.own(word)[1]
+            if len(self.words) < _REMEMBERED:
+                self.words[word] = found
+        return found
+
+    def chain(self) -> tuple[float, float]:
+        """What going on inside a run of begin and inside costs at least against outside, and
+        what entering and leaving it costs beyond that."""
         inner = self.t[1:, 1:].max() - self.t[_O, _O]
         around = self.t[_O, _B] + self.t[1:, _O].max() - 2 * self.t[_O, _O]
-        return tuple(sum(x.values()) + max(inner, around) for x in (plain, every))
+        return float(inner), float(around - inner)
+
+    def context_gain(self, line: str) -> float:
+        """What context and file can add at most in favour of begin or inside, by the marks
+        and credential words in the line."""
+        marks = frozenset(x.lower() for x in _MARKED.findall(line))
+        if marks not in self.contexts:
+            best: dict[str, float] = {}
+            for (name, k), gain in zip(self.at.items(), self.gain(), strict=True):
+                kind, _, value = name.partition("=")
+                beside = kind in ("before", "far", "after") and (value in ("word", "number", "^", "$", ".", ",") or value in marks)
+                if beside or kind in ("lang", "named") or name == "sets=False" or (name == "sets=True" and marks & {":", "="}):
+                    best[kind] = max(best.get(kind, 0.0), float(gain))
+            if len(self.contexts) >= _REMEMBERED:
+                self.contexts.clear()
+            self.contexts[marks] = sum(best.values())
+        return self.contexts[marks]
+
+    def may_hold(self, words: list[str], more: float, inner: float, around: float) -> bool:
+        """Whether some run of tokens could be worth tagging: else "outside throughout" is best."""
+        gains = [self.gain_of(w) + more + inner for w in words]
+        if not gains or max(gains) + around <= 0 and max(gains) <= 0:
+            return False
+        best = run = gains[0]
+        for g in gains[1:]:
+            run = g + (run if run > 0 else 0.0)
+            best = run if run > best else best
+        return best + around > 0
 
     def emit(self, words: list[str], file: list[int]) -> np.ndarray:
         more = [self.places(context_features(words, k)) for k in range(len(words))]
@@ -284,16 +308,16 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = S
     return crf.fit([([crf.places(f) for f in names], tags) for names, tags in split])
 
 
-def crf_spans(text: str, lang: str | None, crf: Crf, slack: tuple[float, float]) -> list[tuple[int, int]]:
-    """Spans that the CRF tags, as (start, end)."""
-    out, at, file = [], 0, None
+def crf_spans(text: str, lang: str | None, crf: Crf, bounded: bool = True) -> list[tuple[int, int]]:
+    """Spans that the CRF tags, as (start, end); ``bounded`` leaves out lines that can have none."""
+    out, at, file, chain = [], 0, None, crf.chain()
     for line in text.split("\n"):
-        more = slack[1 if _MARKED.search(line) else 0]
-        if any(crf.own(w)[1] + more > 0 for w in set(_TOKEN.findall(line))):
+        words = _TOKEN.findall(line)
+        if words and (not bounded or crf.may_hold(words, crf.context_gain(line), *chain)):
             found = list(_TOKEN.finditer(line))
             file = crf.places(file_features(text, lang)) if file is None else file
             begin = False
-            for m, tag in zip(found, crf.viterbi(crf.emit([m[0] for m in found], file)), strict=True):
+            for m, tag in zip(found, crf.viterbi(crf.emit(words, file)), strict=True):
                 if tag == _B or (tag == _I and not begin):
                     out.append((at + m.start(), at + m.end()))
                 elif tag == _I:
@@ -303,10 +327,10 @@ def crf_spans(text: str, lang: str | None, crf: Crf, slack: tuple[float, float])
     return out
 
 
-def scan_text(text: str, lang: str | None, crf: Crf | None, slack: tuple[float, float] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan_text(text: str, lang: str | None, crf: Crf | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Pattern spans, and all spans with those the CRF adds."""
     base = base_spans(text)
-    found = crf_spans(text, lang, crf, crf.slack() if slack is None else slack) if crf is not None and len(crf.at) else []
+    found = crf_spans(text, lang, crf) if crf is not None and len(crf.at) else []
     added = [(a, 3, b) for a, b in found if not any(x < b and a < y for x, _, y in base)]
     return base, sorted(base + added)
 
@@ -321,11 +345,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         m = model.value
-        slack = m.slack() if len(m.at) else None
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 part = batch.slice(s, 500)
-                found = [scan_text(t or "", lang, m, slack) for t, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                found = [scan_text(t or "", lang, m) for t, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 counts = [[sum(s[1] == k for s in spans) for _, spans in found] for k in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column(2), *[pa.array(c, pa.int64()) for c in counts], pa.array([joined(b) for b, _ in found], pa.string()), pa.array([joined(x) for _, x in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base", "spans"])
 

@@ -504,11 +504,10 @@ def other_secrets(seed, texts):
 def test_crf_finds_what_no_pattern_knows(spark, crf):
     """Recall on secrets planted in real documents, and what it adds to the documents as they are."""
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 25 = 7 AND text != ''").select("text").collect()]
-    slack = crf.slack()
     planted = list(other_secrets(9, docs[:300]))
-    found = [any(k == 3 and x < b and a < y for x, k, y in secrets.scan_text(t, "en", crf, slack)[1]) for t, a, b in planted]
+    found = [any(k == 3 and x < b and a < y for x, k, y in secrets.scan_text(t, "en", crf)[1]) for t, a, b in planted]
     assert sum(found) >= 0.9 * len(found)
-    added = sum(k == 3 for t in docs for _, k, _ in secrets.scan_text(t, "en", crf, slack)[1])
+    added = sum(k == 3 for t in docs for _, k, _ in secrets.scan_text(t, "en", crf)[1])
     assert added <= 0.02 * len(docs)  # so precision on a document with one such secret is 0.98 or more
 
 
@@ -518,8 +517,8 @@ def test_crf_bound_leaves_out_no_span(crf):
     word = lambda: rng.choice(["plain", "Über", "a1b2", "0f" * 9, "Xq7" * 6, "=", ":", "token", "12", ",", "e", '"'])
     for _ in range(300):
         text = "\n".join(" ".join(word() for _ in range(rng.randrange(0, 9))) for _ in range(3))
-        everything = secrets.crf_spans(text, "en", crf, (1e9, 1e9))
-        assert secrets.crf_spans(text, "en", crf, crf.slack()) == everything
+        everything = secrets.crf_spans(text, "en", crf, bounded=False)
+        assert secrets.crf_spans(text, "en", crf) == everything
 
 
 def test_lm_scores_do_not_depend_on_the_hot_table(spark, monkeypatch):
