@@ -87,11 +87,14 @@ class Quantiser:
         return plane & (np.sqrt(far) <= reach[None, :] + radius + 1e-6)
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of the rows of ``x`` to coded vectors of one list."""
-        rest, total = x - self.coarse[which], 0.0
+        """Asymmetric distances of the rows of ``x`` to coded vectors of one list, by a table
+        for each subspace of the codes that occur."""
+        rest = x - self.coarse[which]
+        total = (rest**2).sum(1)[:, None]
         for i, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            tables = ((rest[:, p][:, None, :] - b[None, :, :]) ** 2).sum(2)
-            total = total + tables[:, codes[:, i]]
+            used, at = np.unique(codes[:, i], return_inverse=True)
+            table_ = (b[used] ** 2).sum(1)[None, :] - 2 * rest[:, p] @ b[used].T
+            total = total + table_[:, at]
         return np.sqrt(np.maximum(total, 0))
 
 
