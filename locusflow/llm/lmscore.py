@@ -7,8 +7,12 @@ their predecessors v (the first word follows the mark <s>) of
     log(alpha * c(w) / N)         otherwise,
 
 natural logarithms, c counted over all documents (c(<s>): documents with a word), N
-all words.  Bigrams keep the count tables, exploded n-grams and their join within the
-disk of a small cluster; a third order would triple them.
+all words.  An n-gram seen once is this very text's own and so counts as unseen.
+
+``relational_scores`` says this for any order in plain joins: exploded n-grams are
+grouped and joined to the counts of each order.  Its shuffles take many times the
+input's disk (README has the figures), so ``lm_scores``, the query's form, does the
+bigram case with packed rows.
 
 How it runs: exploded n-grams are pre-aggregated per slice of documents and dealt by
 hash, packed, into buckets.  A bucket holds its part of the count tables together
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_sample, n_partitions, table
+from .common import WORD, Scratch, hash_sample, n_partitions, table
 from .hashing import mix, release_memory, releasing, slices, words
 
 ALPHA, MIN_COUNT = 0.4, 2
@@ -302,6 +306,36 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT,
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
 
 
+def relational_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, score) by a model of any order: n-gram counts joined to exploded n-grams."""
+    start = "<s>"  # no word: words begin with a blank here
+    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words_ = F.transform(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), lambda w: F.concat(F.lit(" "), w))
+    padded = F.concat(F.array_repeat(F.lit(start), max(1, order - 1)), words_)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), padded.alias("p"))
+    first = max(1, order - 1)
+    tokens = texts.select("doc_id", "p", F.explode(F.when(F.size("p") > first, F.sequence(F.lit(first + 1), F.size("p")))).alias("i"))
+    # g1..gn end at the word, c1..cn-1 before it
+    grams = {f"g{k}": F.xxhash64(F.slice("p", F.col("i") - k + 1, k)) for k in range(1, order + 1)}
+    before = {f"c{k}": F.xxhash64(F.slice("p", F.col("i") - k, k)) for k in range(1, order)}
+    tokens = tokens.select("doc_id", *[c.alias(name) for name, c in {**grams, **before}.items()])
+    starts = texts.where(F.size("p") > first).agg(F.count("*").alias("n"))
+    total = tokens.agg(F.count("*")).first()[0]
+    counts = {}
+    for k in range(1, order + 1):
+        own = tokens.groupBy(F.col(f"g{k}").alias("g")).agg(F.count("*").alias("n"))
+        counts[k] = own.unionByName(starts.select(F.xxhash64(F.array_repeat(F.lit(start), k)).alias("g"), "n"))
+    scored = tokens
+    for name, k in [*((f"g{k}", k) for k in range(1, order + 1)), *((f"c{k}", k) for k in range(1, order))]:
+        scored = scored.join(counts[k].select(F.col("g").alias(name), F.col("n").alias(f"n_{name}")), name).drop(name)
+    value = F.log(F.lit(alpha) ** (order - 1) * F.col("n_g1") / total)
+    for k in range(2, order + 1):
+        value = F.when(F.col(f"n_g{k}") >= min_count, F.log(F.lit(alpha) ** (order - k) * F.col(f"n_g{k}") / F.col(f"n_c{k - 1}"))).otherwise(value)
+    sums = scored.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(value).alias("score")).withColumnRenamed("doc_id", "_of")
+    ids = texts.select("doc_id").distinct()
+    return ids.join(sums, ids["doc_id"].eqNullSafe(sums["_of"]), "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_scores(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("score", 3).alias("score"), F.round("mean_score", 5).alias("mean_score"))

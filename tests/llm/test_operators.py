@@ -527,3 +527,28 @@ def test_lm_scores_do_not_depend_on_the_hot_table(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "HOT", 64)
     got = {r.doc_id: r.score for r in lmscore.lm_scores(docs.repartition(3)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_relational_scores_of_any_order(spark, order):
+    from collections import Counter
+    from math import log
+
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice(["a", "B", "b", "c", "d", "<s>"]) for _ in range(rng.randrange(0, 12))) for _ in range(30)] + [None, "", " "]
+    rows = {r.doc_id: (r.n_words, r.score) for r in lmscore.relational_scores(frame(spark, texts), order).collect()}
+    padded = [[None] * max(1, order - 1) + (t or "").lower().split() for t in texts]
+    first = max(1, order - 1)
+    seen = Counter(tuple(p[i - k + 1: i + 1]) for p in padded for i in range(first, len(p)) for k in range(1, order + 1))
+    for k in range(1, order + 1):
+        seen[(None,) * k] += sum(len(p) > first for p in padded)
+    total = sum(max(0, len(p) - first) for p in padded)
+    for i, p in enumerate(padded):
+        score = 0.0
+        for at in range(first, len(p)):
+            k = next((k for k in range(order, 1, -1) if seen[tuple(p[at - k + 1: at + 1])] >= 2), 1)
+            below = total if k == 1 else seen[tuple(p[at - k + 1: at])]
+            score += log(0.4 ** (order - k) * seen[tuple(p[at - k + 1: at + 1])] / below)
+        assert rows[i][0] == max(0, len(p) - first) and rows[i][1] == pytest.approx(score)
+    if order == 2:
+        assert all(rows[r.doc_id][1] == pytest.approx(r.score) for r in lmscore.lm_scores(frame(spark, texts)).collect())
