@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table
+from .common import Scratch, hash_sample, table
 
 #: Documents of the fitting sample, about, and labelled lines, at most.
 SAMPLE_DOCS, SAMPLE_LINES = 20_000, 1_200
@@ -299,7 +299,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = S
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.list_(pa.string())), pa.array([x[1] for x in flat], pa.list_(pa.int32()))], names=["features", "tags"])
 
     found = hash_sample(docs, sample_docs, [id_col]).select("text", "lang").mapInArrow(cut, "features array<string>, tags array<int>").distinct()
-    found = found.withColumn("hit", F.array_contains("tags", _B))
+    found = Scratch(docs.sparkSession).save(found.withColumn("hit", F.array_contains("tags", _B)))
     rows = [r for hit in (True, False) for r in found.where(F.col("hit") == hit).orderBy(F.xxhash64("features", "tags"), "tags").limit(sample_lines // 2).collect()]
     if not any(r.hit for r in rows):
         return Crf()
