@@ -177,6 +177,10 @@ def _store(spark: SparkSession, args: argparse.Namespace) -> object:
     return _test(spark, args, s)
 
 
+def _random_name(share: float) -> str:
+    return f"random_{share:g}".replace(".", "_")
+
+
 def test_annotations(spark: SparkSession, args: argparse.Namespace, s: store.ScoreStore) -> tuple:
     """(annotations, names, merge keys) of a score test: a table, files, gene sets, random ones."""
     rows, (kind, keys) = s.rows(), s.meta()
@@ -194,7 +198,7 @@ def test_annotations(spark: SparkSession, args: argparse.Namespace, s: store.Sco
         sets = annotations.load_gene_sets(spark, args.gene_annot_dir, args.annot_names)
     if args.random_genes:
         genes = rows if kind == "gene" else annotations.load_gene_table(spark, args.genes)
-        drawn = random_gene_sets(genes, {f"random_{x}": x for x in args.random_genes}, args.seed)
+        drawn = random_gene_sets(genes, {_random_name(x): x for x in args.random_genes}, args.seed)
         sets = drawn if sets is None else sets.unionByName(drawn)
     if sets is not None:
         if kind == "gene":
@@ -210,7 +214,7 @@ def test_annotations(spark: SparkSession, args: argparse.Namespace, s: store.Sco
             found = found.join(rows.select("ordinal", *keys).join(wide, "ordinal").drop("ordinal"), keys, "left").fillna(0.0, own)
         names += own
     if args.random_variants:
-        drawn = {f"random_{x}": x for x in args.random_variants}
+        drawn = {_random_name(x): x for x in args.random_variants}
         found, names = random_variants(found, drawn, keys[0], args.seed), [*names, *drawn]
     if not names:
         raise ValueError("no annotations to test")
