@@ -14,14 +14,15 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     scan, whose partitions are the same each time it runs.
     """
     shift = 1 << 33
+    part, at, before = (fresh_name(df.columns, x) for x in ("part_", "at_", "before_"))
     counts = {r.p: r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        starts.append(total)
-        total += counts.get(p, 0)
-    begin = F.element_at(F.array(*map(F.lit, starts or [0])), F.spark_partition_id() + 1)
-    inside = F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * shift
-    return df.withColumn(name, (begin + inside).cast("long"))
+    for p in sorted(counts):
+        starts.append((p, total))
+        total += counts[p]
+    offsets = df.sparkSession.createDataFrame(starts, f"{part} int, {before} long")  # a row per partition
+    placed = df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id() - F.col(part).cast("long") * shift)
+    return placed.join(F.broadcast(offsets), part).withColumn(name, F.col(before) + F.col(at)).drop(part, at, before)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -107,7 +107,7 @@ def test_score_store(spark, tmp_path):
         s.write_trait("t1", rows.select("ordinal"))
     assert main(["add-meta", path, "g", "t*"], spark) == ["t1", "t2"]
     (tmp_path / "a.tsv").write_text("RSID\ta\tb\n" + "".join(f"r{i}\t{a}\t{b}\n" for i, (a, b) in enumerate(zip([1, 0, 1, 0, 1], [0, 1, 1, 1, 0], strict=True))))
-    main(["test", path, str(tmp_path / "a.tsv"), str(tmp_path / "out")], spark)
+    main(["test", path, str(tmp_path / "out"), "--annotations", str(tmp_path / "a.tsv")], spark)
     got = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True)
     assert got.columns == ["annotation", "g_Z", "t1_Z", "t2_Z"] and got.count() == 2
     main(["mv", path, "t1", "t9"], spark)
