@@ -37,6 +37,8 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
+#: Rows of the table that tells repeated payloads, at most.
+SLOTS = 1 << 19
 #: Bytes of payload an archive holds at least, once there are many.
 ARCHIVE_BYTES = 256 << 20
 
@@ -46,9 +48,9 @@ _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_u
 _PUSHED = {c: h for c, h in _HEADERS.items() if c != "payload_digest"}
 
 
-def sha1_base32(data: Column) -> Column:
-    """SHA-1 in bare upper-case base32: each 20 bits (5 hex digits) are 4 letters."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.conv(F.substr(F.sha1(data), g * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+def base32(sha: Column) -> Column:
+    """A SHA-1 in hex as bare upper-case base32: each 20 bits (5 hex digits) are 4 letters."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.conv(F.substr(sha, g * 5 + 1, F.lit(5)), 16, 10).cast("int"))
     letter = lambda v, by: F.substr(F.lit(_BASE32), F.shiftright(v, by).bitwiseAND(31) + 1, F.lit(1))
     return F.array_join(F.transform(groups, lambda v: F.concat(*[letter(v, by) for by in (15, 10, 5, 0)])), "")
 
@@ -58,11 +60,17 @@ def page_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     ``min_bytes`` or more the one with the largest id is a response, the others revisit it."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", sha1_base32(F.col("payload")))
-    kept = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("kept"))
+    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1("payload"))
+    repeated = rows.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.max("id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = Scratch(pages.sparkSession).save(repeated)
+    # payloads that surely come once need no join: at most SLOTS rows are broadcast to tell them
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = F.broadcast(repeated.select(slot("sha").alias("slot")).distinct())
+    single = rows.join(slots, slot(rows["sha"]) == slots["slot"], "left_anti").withColumn("kept", F.lit(None).cast("long"))
+    several = rows.join(slots, slot(rows["sha"]) == slots["slot"], "left_semi").join(repeated, ["sha", "bytes"], "left").select("id", "url", "payload", "bytes", "sha", "kept")
     again = (F.col("kept") != F.coalesce("id", F.lit(-(1 << 62))))
-    return rows.join(kept, ["digest", "bytes"], "left").select(
-        "id", "url", "payload", "bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("kept")).alias("refers_to"))
+    return single.unionByName(several).select(
+        "id", "url", "payload", "bytes", base32(F.col("sha")).alias("digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("kept")).alias("refers_to"))
 
 
 def write_warc(records: DataFrame, path: str, total_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
@@ -230,9 +238,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.regexp_extract(c, "urn:page:(-?[0-9]+)", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     read = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    # a response's digest is that of the payload that was read, a revisit's the one it names
+    digest = F.when(F.col("payload").isNotNull(), base32(F.sha1("payload"))).otherwise(F.col("payload_digest"))
     return read.select(
         number("record_id").alias("page_id"), F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"),
-        "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+        digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
 
 
 OP7_SQL = r"""
