@@ -125,22 +125,22 @@ def fresh_name(taken: list[str], wanted: str) -> str:
 
 
 def rank_within(rows: DataFrame, keys: list[str], name: str, scratch: Scratch, chunk: int = 4096) -> DataFrame:
-    """Adds ``name``, 0 to n - 1 among the rows of equal keys, in some fixed order.
+    """Adds ``name``, 0 to n - 1 among the rows of equal keys (never null), in some fixed order.
 
     Rows of a key are dealt into chunks of about ``chunk`` rows by their place in a saved
     table, so equal rows spread too; counts of chunks are summed, and rows ranked inside.
+    The tables of keys and chunks are saved: while they are small, Spark broadcasts them
+    and ``rows`` are shuffled once, for the ranks.
     """
     row, part, total, before = (fresh_name(rows.columns, x) for x in ("row_", "part_", "total_", "before_"))
     rows = (rows if getattr(rows, "_scratch_path", None) else scratch.save(rows)).withColumn(row, F.monotonically_increasing_id())
-    at = F.struct(*keys)
-    totals = rows.groupBy(at.alias("k")).agg(F.ceil(F.count("*") / chunk).alias(total))
-    dealt = rows.join(totals, at.eqNullSafe(totals["k"])).drop("k").withColumn(part, F.pmod(F.xxhash64(row), F.col(total))).drop(total)
-    counts = dealt.groupBy(at.alias("k"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("k").orderBy("p").rowsBetween(W.unboundedPreceding, 0))
-    starts = counts.select("k", "p", (upto - F.col("n")).alias(before))
-    joined = dealt.join(starts, at.eqNullSafe(starts["k"]) & (dealt[part] == starts["p"])).drop("k", "p")
+    totals = scratch.save(rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).alias(total)))
+    dealt = rows.join(totals, keys).withColumn(part, F.pmod(F.xxhash64(row), F.col(total))).drop(total)
+    counts = dealt.groupBy(*keys, part).agg(F.count("*").alias(before))
+    upto = F.sum(before).over(W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, 0))
+    starts = scratch.save(counts.withColumn(before, upto - F.col(before)))
     inside = F.row_number().over(W.partitionBy(*keys, part).orderBy(row)) - 1
-    return joined.withColumn(name, F.col(before) + inside).drop(row, part, before)
+    return dealt.join(starts, [*keys, part]).withColumn(name, F.col(before) + inside).drop(row, part, before)
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
