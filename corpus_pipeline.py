@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's documents.  All but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever more columns there are and however they are called.
+
+Defined results: null and blank texts have too few words and go in the first stage;
+null ids are kept like others until the near duplicates, which leave rows without an id
+alone; a null source is one of its own; repeated rows are one group of near duplicates,
+of which the smallest id stays with all its rows; of equal texts with different ids one
+stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
