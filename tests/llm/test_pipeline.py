@@ -5,6 +5,8 @@ import duckdb
 import corpus_pipeline
 from locusflow.llm.quality import OP6_SQL
 
+from .test_linededup import brute_force
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -25,6 +27,9 @@ def test_stages(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     assert set(kept["quality_rules"].doc_id) == {r[0] for r in con.sql(f"SELECT doc_id FROM ({OP6_SQL}) WHERE kept").fetchall()}
+    good = kept["quality_rules"].sort_values("doc_id")
+    want = {i: new for i, old, new in zip(good.doc_id, good.text, brute_force(good.text.tolist()), strict=True) if new == old or (new or "").split()}
+    assert dict(zip(kept["line_dedup"].doc_id, kept["line_dedup"].text, strict=True)) == want
     before = {r.doc_id: _sets(r.text) for r in kept["line_dedup"].itertuples()}
     comp = {k: k for k in before}
     for _ in range(3):
@@ -41,3 +46,23 @@ def test_stages(spark, tmp_path):
 
 def test_run_ends_with_the_last_stage(spark):
     assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+
+
+def test_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeats, an empty table."""
+    prose = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    texts = [None, "", " \n", prose, prose, prose + " end", "x " * 9000, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(9000))]
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 == 0 else "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[3], (None, prose.upper().lower() + " other tail of this text", "en", "s", 5), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("kind", "rank", "copy", "text_hash", "drops", "lines", "words", "prefix", "component_id", "_inside", "row_", "size"):
+        docs = docs.selectExpr("*", f"1 AS `{name}`")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert k == 4 or docs.columns == columns
+    assert {r.doc_id for r in docs.select("doc_id").collect()} <= {None, 3, 7}
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
