@@ -155,12 +155,13 @@ def line_templates(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_doc
     shared = scratch.save(shared.where(enough & (F.lit(min_docs < 2) | (F.col("a") != F.col("b")))).select("group"))
     maybe = scratch.save(texts.mapInArrow(releasing(_tokens(bit_filter(shared, "group"))), "text_hash long, n int, key long, leaf long, groups array<long>, tokens array<int>"))
     agree = maybe.select("key", F.explode("groups").alias("group")).join(shared, "group", "left_semi").select("key").distinct()
-    held = maybe.drop("groups").join(agree, "key", "left_semi")
+    # saved, so that the counts below start anew: joined in place, a common line's rows would stay in its task
+    held = scratch.save(maybe.drop("groups").join(agree, "key", "left_semi"))
     # a line's content with its texts: how many, and the first and last
     per_text = held.groupBy("leaf", "key", "text_hash").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     keys = per_text.groupBy("leaf", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("texts"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
     keys = scratch.save(keys.withColumn("needed", needed).withColumn("sure", F.col("texts") >= F.col("needed")))
-    scratch.drop(maybe, shared)
+    scratch.drop(maybe, shared, held)
     # a mark for each place and its token; contents of enough texts support all their marks, else each text counts
     # a content alone in its leaf recurs by itself or not at all
     shared_leaf = keys.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
