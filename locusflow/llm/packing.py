@@ -18,17 +18,15 @@ sequential best-fit decreasing.
 
 Defined results: null and empty texts are one piece holding the end id; repeated rows
 are packed one by one; an empty table gives no rows; other columns are never read.
-Ids are those of the tokenizer file; its encoder is read from the rank file of the
-same vocabulary, which gives the same ids several times faster, except for texts
-that spell the special token, which take the tokenizer file itself.
+Ids are those of the tokenizer file, found from the rank file of the same vocabulary
+where that gives them (``encoders``).  A very long text is encoded in one task, in
+memory of its ids; its pieces are rows like others.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_left
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, rank_within, table
+from .encoders import byte_bpe_ids
 
 MAX_TOKENS = 1024
 END_ID = 2
-_SPECIAL = "<|endoftext|>"
-
-
-@lru_cache(maxsize=2)
-def _encoder(ranks_path: str, pattern: str):
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def encode(text: str, tokenizer_path: str, ranks_path: str, pattern: str) -> list[int]:
-    if _SPECIAL in text:
-        return _tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids
-    return _encoder(ranks_path, pattern).encode_ordinary(text)
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -77,7 +53,7 @@ def _pieces(most: int, end_id: int, with_ids: bool, tokenizer_path: str, ranks_p
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "crc", "ids")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "", tokenizer_path, ranks_path, pattern)
+                ids = list(byte_bpe_ids(text or "", tokenizer_path, ranks_path, pattern))
                 ids.append(end_id)
                 raw = np.array(ids, dtype="<u4")
                 for k, (start, length) in enumerate(cut(len(ids), most)):

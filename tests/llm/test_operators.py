@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.llm import hashing, jaccard, lmscore, mixing, packing, quality, secrets, urls, vectors, warc
+from locusflow.llm import encoders, hashing, jaccard, lmscore, mixing, packing, quality, secrets, urls, vectors, warc
 from locusflow.llm.common import Scratch, components
 
 DATA = "/root/testdata/sf0.001"
@@ -282,7 +282,7 @@ def test_ids_are_those_of_the_tokenizer_file(spark):
     texts = ["".join(draw() if rng.random() < 0.5 else rng.choice(" 's'll're\n\t  ") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
     texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     want = whole.encode_batch(texts, add_special_tokens=False)
-    assert all(packing.encode(t, **files) == w.ids for t, w in zip(texts, want, strict=True))
+    assert all(encoders.byte_bpe_ids(t, **files) == w.ids for t, w in zip(texts, want, strict=True))
 
 
 def test_cascade_order_follows_rejections_per_cost(spark):
