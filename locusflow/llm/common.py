@@ -6,9 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +100,18 @@ class Scratch:
                 self.spark.range(0).write.mode("overwrite").parquet(path)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about ``most`` bytes of a string column (elements of a list column),
+    one row at least, so that what a function makes of a slice stays small beside a task."""
+    for batch in batches:
+        ends = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset:][:batch.num_rows + 1] if batch.num_rows else []
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 BITS = 1 << 24
 
 

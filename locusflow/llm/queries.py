@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .align import op13_token_alignment
+from .bpe import op12_bpe_round_trip
+from .infill import OP11_SQL, op11_fill_in_middle
 from .jaccard import OP4_SQL, op4_jaccard_join
 from .linededup import op10_line_dedup
 from .lmscore import OP8_SQL, op8_lm_scoring
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_pq_near_dedup": op9_pq_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {
@@ -32,4 +38,5 @@ ORACLES = {
     "op7_warc": OP7_SQL,
     "op8_lm_scoring": OP8_SQL,
     "op9_pq_near_dedup": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
