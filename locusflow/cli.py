@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions.ordinal import with_ordinal
 from .operators import aggregates as A
 from .operators import joins as J
+from .operators import sparse as S
 from .operators.joins import partition_variants
-from .operators.sampling import perturb, random_gene_sets, random_variants
+from .operators.sampling import random_gene_sets
 from .plans import models as M
 from .plans.convert import convert_store
 from .sources import annotations, ldgm, store, sumstats
@@ -182,16 +183,21 @@ def _random_name(share: float) -> str:
 
 
 def test_annotations(spark: SparkSession, args: argparse.Namespace, s: store.ScoreStore) -> tuple:
-    """(annotations, names, merge keys) of a score test: a table, files, gene sets, random ones."""
+    """(rows, entries, names, keys) of a score test: the store's rows that are tested, with
+    their keys, and the annotations of a table, files, gene sets and chance as sparse entries."""
     rows, (kind, keys) = s.rows(), s.meta()
-    found, names = rows.select(*keys).dropDuplicates(keys), []
+    tested, names, parts = rows.select("ordinal", *keys, *[c for c in ("CHR", "POS") if c in rows.columns and c not in keys]), [], []
+    if sum(map(bool, (args.annotations, args.annot_dir))) > 1:
+        raise ValueError("a table or a folder of annotations, not both")
     if args.annotations:
         table = spark.read.csv(args.annotations, sep="\t", header=True, inferSchema=True)
         names += [c for c in table.columns if c not in keys]
-        found = found.join(table, keys)
+        tested = tested.join(table.select(*keys).distinct(), keys, "left_semi")
+        parts.append((keys, S.entries(table, keys, names)))
     if args.annot_dir:
         more, own, on = annotations.load_variant_annotations(spark, args.annot_dir, rows, args.annot_names)
-        found = found.join(more, on) if set(on) <= set(keys) else found.join(rows.select(*{*keys, *on}), keys).join(more, on)
+        tested = tested.join(more.select(*on).distinct(), on, "left_semi")
+        parts.append((on, S.entries(more, on, own)))
         names += own
     sets = None
     if args.gene_annot_dir:
@@ -202,52 +208,48 @@ def test_annotations(spark: SparkSession, args: argparse.Namespace, s: store.Sco
         sets = drawn if sets is None else sets.unionByName(drawn)
     if sets is not None:
         if kind == "gene":
-            members = rows.select(*keys, F.explode(F.array_distinct(F.array("gene_id", "gene_name"))).alias("gene")).join(sets, "gene").select(*keys, "set_name").distinct()
-            own = sorted(r.set_name for r in sets.select("set_name").distinct().collect())
-            wide = members.groupBy(*keys).pivot("set_name", own).agg(F.lit(1.0))
-            found = found.join(wide, keys, "left").fillna(0.0, own)
+            members = rows.select("ordinal", F.explode(F.array_distinct(F.array("gene_id", "gene_name"))).alias("gene")).join(sets, "gene").select("ordinal", F.col("set_name").alias("annot")).distinct()
+            parts.append((["ordinal"], members.withColumn("value", F.lit(1.0))))
         else:
             places = rows.select(F.col("ordinal").alias("variant_id"), "CHR", "POS")
             long = J.gene_set_annotations(J.nearest_genes(places, genes := annotations.load_gene_table(spark, args.genes)), genes, sets)
-            own = sorted(r.set_name for r in sets.select("set_name").distinct().collect())
-            wide = long.groupBy(F.col("variant_id").alias("ordinal")).pivot("set_name", own).agg(F.first("value"))
-            found = found.join(rows.select("ordinal", *keys).join(wide, "ordinal").drop("ordinal"), keys, "left").fillna(0.0, own)
-        names += own
+            parts.append((["ordinal"], long.select(F.col("variant_id").alias("ordinal"), F.col("set_name").alias("annot"), "value")))
+        names += sorted(r.set_name for r in sets.select("set_name").distinct().collect())  # a row per set
     if args.random_variants:
         drawn = {_random_name(x): x for x in args.random_variants}
-        found, names = random_variants(found, drawn, keys[0], args.seed), [*names, *drawn]
+        parts.append((["ordinal"], S.random_entries(rows, ["ordinal"], drawn, keys[0], args.seed)))
+        names += list(drawn)
     if not names:
         raise ValueError("no annotations to test")
+    found = sumstats.union_all([tested.select("ordinal", *on).join(part, on).select("ordinal", "annot", "value") if on != ["ordinal"] else part.join(tested.select("ordinal"), "ordinal") for on, part in parts])
     if args.perturb is not None:
-        found = perturb(found, names, args.perturb, keys[0], args.seed)
-        names = [n for n in names if n in found.columns]
-    return found, names, keys
+        keyed = tested.select("ordinal", keys[0])
+        found = S.perturbed(keyed, found.join(keyed, "ordinal"), ["ordinal"], args.perturb, keys[0], args.seed)
+        left = {r.annot for r in found.select("annot").distinct().collect()}  # a row per annotation
+        names = [n for n in names if n in left]
+    return tested, found, names, keys
 
 
 def _test(spark: SparkSession, args: argparse.Namespace, s: store.ScoreStore) -> object:
-    annots, names, keys = test_annotations(spark, args, s)
+    tested, found, names, _ = test_annotations(spark, args, s)
     traits = s.names(args.trait)
     if not traits:
         raise KeyError(args.trait)
-    tested = [A.score_statistics(_long(s.load_trait(t).join(annots, keys), names)).withColumn("trait", F.lit(t)) for t in traits]
-    stats = sumstats.union_all(tested)
-    z = A.score_z(stats, ("trait", "annot")).select(F.concat("trait", F.lit("_Z")).alias("name"), "annot", "z")
+    scores = s.load_traits(traits).join(tested.select("ordinal"), "ordinal", "left_semi").select("ordinal", "trait", F.col("jackknife_blocks").alias("jk"), F.col("gradient").alias("grad"))
+    sums, blocks = S.block_sums(scores, found, ["ordinal"], ("trait",)), S.n_blocks(scores, ("trait",))
+    every = spark.createDataFrame([(n,) for n in names], "annot string")
+    z = S.with_all(S.score_z(sums, blocks, ("trait",)), every, ("trait",)).select(F.concat("trait", F.lit("_Z")).alias("name"), "annot", "z")
     groups = {g: ts for g, ts in s.groups().items() if set(ts) <= set(traits)}
     if groups:
-        meta = A.meta_analysis(stats, spark.createDataFrame([(g, t) for g, ts in groups.items() for t in ts], "group string, trait string"))
+        meta = S.with_all(S.meta_z(sums, blocks, spark.createDataFrame([(g, t) for g, ts in groups.items() for t in ts], "group string, trait string")), every, ("group",))
         z = z.unionByName(meta.select(F.concat("group", F.lit("_Z")).alias("name"), "annot", "z"))
     columns = sorted({f"{x}_Z" for x in [*traits, *groups]})
-    wide = z.groupBy(F.col("annot").alias("annotation")).pivot("name", columns).agg(F.first("z"))
+    wide = z.groupBy(F.col("annot").alias("annotation")).agg(*[F.max(F.when(F.col("name") == c, F.col("z"))).alias(c) for c in columns])  # a column per trait
     store.write_tsv(wide, args.out, one_file=True)
     rms = {r["name"]: r.rms for r in A.rms_z(wide, columns).collect()}
     print("root mean square of Z:", rms)
     return rms
 
 
-def _long(rows, names: list[str]):
-    pairs = F.array(*[F.struct(F.lit(a).alias("annot"), F.col(a).cast("double").alias("a")) for a in names])
-    return rows.select(F.col("jackknife_blocks").alias("jk"), F.col("gradient").alias("grad"), F.explode(pairs).alias("p")).select("jk", "grad", "p.annot", "p.a")
-
-
 if __name__ == "__main__":
     main()

@@ -9,31 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import is_finite
 from .joins import small
+from .sweep import running
 
 
 def with_runs(df: DataFrame, column: str, order: str = "ordinal", name: str = "run", chunks: int = 1 << 16) -> DataFrame:
     """Numbers the runs of equal neighbours of ``column`` in row order, from 0.
 
-    Changes are found and counted inside ranges of ``chunks`` rows; only one row per
-    range goes through the running sum over ranges.
+    Changes are found inside ranges of ``chunks`` rows, with the last value of the range
+    before carried over, and counted by a sweep.
     """
-    part = F.floor(F.col(order) / chunks)
     edges = df.select(F.col(order).alias("_o"), F.col(column).alias("_v")).where((F.col(order) + 1) % chunks == 0).select((F.col("_o") + 1).alias("_next"), F.struct("_v").alias("_last"))
     w = W.partitionBy("_part").orderBy(order)
-    out = df.withColumn("_part", part).join(edges, df[order] == F.col("_next"), "left").drop("_next")
+    out = df.withColumn("_part", F.floor(F.col(order) / chunks)).join(edges, df[order] == F.col("_next"), "left").drop("_next")
     before = F.coalesce(F.lag(F.struct(F.col(column).alias("_v"))).over(w), F.col("_last"))
-    out = out.withColumn("_new", F.when(before.isNull(), F.when(F.col(order) == 0, 0).otherwise(1)).when(before["_v"].eqNullSafe(F.col(column)), 0).otherwise(1)).drop("_last")
-    sums = out.groupBy("_part").agg(F.sum("_new").alias("_k"))
-    sums = sums.select("_part", (F.sum("_k").over(W.orderBy("_part")) - F.col("_k")).alias("_before"))
-    out = out.join(sums, "_part").withColumn(name, (F.col("_before") + F.sum("_new").over(w)).cast("long"))
-    return out.drop("_part", "_new", "_before")
+    out = out.withColumn("_new", F.when(before.isNull(), F.when(F.col(order) == 0, 0).otherwise(1)).when(before["_v"].eqNullSafe(F.col(column)), 0).otherwise(1)).drop("_last", "_part")
+    return running(out, F.col("_new"), order, name, inclusive=True).withColumn(name, F.col(name).cast("long")).drop("_new")
 
 
 def score_statistics(long: DataFrame, keys: tuple[str, ...] = ("annot",), block: str = "jk", gradient: str = "grad", value: str = "a") -> DataFrame:
     """Per block and annotation the sum of gradient times annotation, and the leave-one-out sum."""
     per = long.groupBy(*keys, block).agg(F.sum(F.col(gradient) * F.col(value)).alias("u"))
     total = per.groupBy(*keys).agg(F.sum("u").alias("u_total"))
-    return per.join(small(total), list(keys)).withColumn("u_loo", F.col("u_total") - F.col("u"))
+    return per.join(total, list(keys)).withColumn("u_loo", F.col("u_total") - F.col("u"))
 
 
 def score_z(stats: DataFrame, keys: tuple[str, ...] = ("annot",), blocks: int | None = None) -> DataFrame:
@@ -55,20 +52,14 @@ def meta_analysis(stats: DataFrame, groups: DataFrame, keys: tuple[str, ...] = (
     """(group, annot, z): traits of a group combined with weights 1 / population variance
     of their leave-one-out sums.  ``stats`` has a column trait, ``groups`` (group, trait)."""
     per = stats.groupBy("trait", *keys).agg((1 / F.nullif(F.var_pop("u_loo"), F.lit(0.0))).alias("w"))
-    joined = stats.join(small(per), ["trait", *keys]).join(small(groups), "trait")
+    joined = stats.join(per, ["trait", *keys]).join(small(groups), "trait")
     combined = joined.groupBy("group", *keys, block).agg(F.sum(F.col("w") * F.col("u_loo")).alias("u_loo"), F.sum(F.col("w") * F.col("u_total")).alias("u_total"))
     return score_z(combined, ("group", *keys))
 
 
-def offsets(df: DataFrame, n: str, order: str, name: str = "offset", chunk: int = 4096) -> DataFrame:
-    """Adds the sum of ``n`` over all rows before, in order; summed inside ranges of ``order``
-    and over the ranges, so only a row per range meets in one task."""
-    part = F.floor(F.col(order) / chunk)
-    inside = F.sum(n).over(W.partitionBy("_part").orderBy(order)) - F.col(n)
-    rows = df.withColumn("_part", part)
-    sums = rows.groupBy("_part").agg(F.sum(n).alias("_n"))
-    before = sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return rows.withColumn(name, inside).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+def offsets(df: DataFrame, n: str, order: str, name: str = "offset") -> DataFrame:
+    """Adds the sum of ``n`` over all rows before, in order."""
+    return running(df, F.col(n), order, name)
 
 
 def rms_z(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,15 +91,17 @@ def genes_from_variants(nearest: DataFrame, variants: DataFrame, genes: DataFram
 
     A gene's gradient sums weight * gradient over its variants (0 without any).  Its
     jackknife block is that of the last block whose first variant's nearest gene comes
-    no later.  Weights are applied before the shuffle; only blocks are ranked.
+    no later, carried along the genes by a sweep.  Gene and block sums come from one
+    aggregation of the variants' genes, so these are found once.
     """
-    scored = nearest.join(variants.select("variant_id", "grad"), "variant_id").groupBy("gene_idx").agg(F.sum(F.col("weight") * F.col("grad")).alias("gradient"))
-    first = variants.groupBy("jk").agg(F.min_by("variant_id", "variant_id").alias("variant_id"))
-    starts = first.join(nearest, "variant_id").groupBy("jk").agg(F.min_by("gene_idx", "rank").alias("start"))
-    w = W.orderBy("start", "jk")
-    spans = starts.select("jk", "start", F.coalesce(F.lead("start").over(w), F.lit(1 << 62)).alias("stop"))
-    out = genes.select("gene_idx").join(scored, "gene_idx", "left").join(small(spans), (F.col("gene_idx") >= F.col("start")) & (F.col("gene_idx") < F.col("stop")), "left")
-    return out.select("gene_idx", F.coalesce("gradient", F.lit(0.0)).alias("gradient"), F.coalesce("jk", F.lit(0)).alias("jk"))
+    first = variants.groupBy(F.col("jk").alias("_jk")).agg(F.min("variant_id").alias("variant_id"))
+    rows = nearest.join(variants.select("variant_id", "grad").join(first, "variant_id", "left"), "variant_id")
+    starts = F.max(F.when(F.col("rank") == 0, F.col("_jk")))
+    scored = rows.groupBy("gene_idx").agg(F.sum(F.col("weight") * F.col("grad")).alias("gradient"), starts.alias("_start"))
+    out = genes.select("gene_idx").join(scored, "gene_idx", "left")
+    at = F.when(F.col("_start").isNotNull(), F.struct(F.col("gene_idx").alias("_at"), F.col("_start").alias("_block")))
+    out = running(out, at, "gene_idx", "_last", "max", inclusive=True)
+    return out.select("gene_idx", F.coalesce("gradient", F.lit(0.0)).alias("gradient"), F.coalesce("_last._block", F.lit(0)).alias("jk"))
 
 
 def project_out(rows: DataFrame, y: str, columns: list[str], name: str | None = None) -> DataFrame:

@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import fresh_name, keep_first
+from .sweep import running
 
 #: A side with at most so many rows may be broadcast.
 BROADCAST_ROWS = 100_000
 # What coordinates and chromosomes may be called, and the span of a chromosome.
 CHROMOSOME_NAMES, POSITION_NAMES = ("chrom", "chromosome", "CHR"), ("position", "POS", "BP")
 SPAN = 1_000_000_000
+#: Places of genes in a run.
+RUN = 64
 #: Rank weights of a variant's nearest genes.
 NEAREST_WEIGHTS = (0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05)
 
@@ -79,11 +82,13 @@ def partition_variants(variants: DataFrame, blocks: DataFrame, width: int = 1_00
 
 
 def merge_intervals(regions: DataFrame) -> DataFrame:
-    """Overlapping or touching regions (chrom, chromStart, chromEnd) merged."""
-    w = W.partitionBy("chrom").orderBy("chromStart", "chromEnd")
-    before = F.max("chromEnd").over(w.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(before >= F.col("chromStart"), 0).otherwise(1)).over(w)
-    return regions.withColumn("_island", island).groupBy("chrom", "_island").agg(F.min("chromStart").alias("chromStart"), F.max("chromEnd").alias("chromEnd")).drop("_island")
+    """Overlapping or touching regions (chrom, chromStart, chromEnd) merged: a sweep along all
+    chromosomes carries the furthest end so far, and another numbers the islands."""
+    line = F.coalesce(F.col("chrom").cast("long"), F.lit(-1)) * SPAN
+    r = regions.groupBy("chrom", "chromStart").agg(F.max("chromEnd").alias("chromEnd")).withColumn("_start", line + F.col("chromStart"))
+    r = running(r, F.col("_start") - F.col("chromStart") + F.col("chromEnd"), "_start", "_reach", "max")
+    r = running(r, F.when(F.col("_reach") >= F.col("_start"), 0).otherwise(1), "_start", "_island", inclusive=True)
+    return r.groupBy("chrom", "_island").agg(F.min("chromStart").alias("chromStart"), F.max("chromEnd").alias("chromEnd")).drop("_island")
 
 
 def bed_membership(variants: DataFrame, regions: DataFrame, name: str, width: int = 1_000_000, chromosome: str | None = None, position: str | None = None) -> DataFrame:
@@ -103,44 +108,55 @@ def bed_membership(variants: DataFrame, regions: DataFrame, name: str, width: in
     return out.withColumn(fresh_name(variants.columns, name), F.coalesce("_hit", F.lit(False))).drop("_vc", "_vp", "_hit")
 
 
+def place_runs(places: DataFrame, reach: int) -> DataFrame:
+    """(run, first, places): the ranked places of ranks ``RUN`` r to RUN (r + 1) in one sorted
+    array, with ``reach`` more carried over from either neighbour; its first rank is ``first``."""
+    runs = F.sequence(F.greatest(F.floor((F.col("rank") - reach) / RUN), F.lit(0)), F.floor((F.col("rank") + reach) / RUN))
+    each = places.withColumn("run", F.explode(runs)).where((F.col("rank") >= F.col("run") * RUN - reach) & (F.col("rank") < (F.col("run") + 1) * RUN + reach))
+    inside = F.sort_array(F.collect_list(F.struct("G", "CHR", "ids")))  # at most RUN + 2 reach
+    return each.groupBy("run").agg(inside.alias("places")).withColumn("first", F.greatest(F.col("run") * RUN - reach, F.lit(0)))
+
+
 def nearest_genes(variants: DataFrame, genes: DataFrame, weights: tuple[float, ...] = NEAREST_WEIGHTS, variant_id: str = "variant_id") -> DataFrame:
     """(variant_id, rank, gene_idx, weight): the k nearest genes of each variant's own
     chromosome; where those run out, genes of other chromosomes by global position.
     Ties go to the smaller gene index.
 
-    Genes are a small table (some ten thousand): each chromosome's are one sorted array,
-    joined to the variants, and a variant looks only at the genes around its place in
-    that array.  Chromosomes with fewer than k genes take the rest from all others.
+    A sweep along one line of all chromosomes ranks the genes' different places and finds
+    how many lie before each different position of a variant.  Ranks are cut into runs,
+    with the places at a run's border carried over from its neighbours, so a position
+    joins one run and looks 2k places up and down; variants then take the genes of their
+    position.  Neither side is ever gathered, whole or by chromosome.
     """
     k = len(weights)
     if genes.limit(k).count() < k:
         raise ValueError("more weights than genes")
-    pos = F.col("POS").cast("bigint")
+    pos, line = F.col("POS").cast("bigint"), F.col("CHR") * SPAN + F.col("POS")
     pos = F.when(pos >= SPAN, F.raise_error(F.lit("positions must be below 1,000,000,000")).cast("bigint")).otherwise(pos)
-    v = variants.select(F.col(variant_id).alias("variant_id"), F.col("CHR").cast("bigint").alias("CHR"), pos.alias("POS"))
-    g = genes.select(F.col("CHR").cast("bigint").alias("CHR"), F.col("POS").cast("bigint").alias("POS"), F.col("gene_idx").cast("bigint").alias("gene_idx"))
-    n = g.groupBy("CHR").agg(F.count("*").alias("n_own"), F.sort_array(F.collect_list(F.struct("POS", "gene_idx"))).alias("gs"), F.sort_array(F.collect_list(F.struct("POS", (-F.col("gene_idx")).alias("back")))).alias("low"))
-    # genes below a variant: of those at one position the smallest index comes last, so a tie at the edge keeps it
-    n = n.withColumn("low", F.transform("low", lambda g: F.struct(g["POS"].alias("POS"), (-g["back"]).alias("gene_idx"))))
-    every = g.agg(F.sort_array(F.collect_list(F.struct((F.col("CHR") * SPAN + F.col("POS")).alias("G"), "CHR", "gene_idx"))).alias("all_gs"))
-    # genes are a bounded table (some ten thousand); variants are not
-    own = v.join(small(n), "CHR", "left")
-    distance = lambda g: F.abs(g["POS"] - F.col("POS"))
-    # how many genes lie below, by bisection of the sorted array
-    halve = lambda s, _: F.when(s["a"] >= s["b"], s).when(F.get("gs", F.floor((s["a"] + s["b"]) / 2).cast("int"))["POS"] < F.col("POS"), F.struct((F.floor((s["a"] + s["b"]) / 2) + 1).cast("int").alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b")))
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("gs") + 1)).cast("int"))
-    lower = F.coalesce(F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.size("gs").alias("b")), halve, lambda s: s["a"]), F.lit(0))
-    near = F.concat(F.slice("low", F.greatest(F.lit(1), F.col("_at") - k + 1), F.least(F.lit(k), F.col("_at"))), F.slice("gs", F.col("_at") + 1, F.lit(k)))
-    own = own.withColumn("_at", lower).withColumn("_own", F.coalesce(near, F.array().cast("array<struct<POS:bigint,gene_idx:bigint>>")))
-    ranked = F.slice(F.array_sort(F.transform("_own", lambda g: F.struct(F.lit(0).alias("far"), distance(g).alias("d"), g["gene_idx"].alias("gene_idx")))), 1, k)
-    own = own.select("variant_id", "CHR", "POS", ranked.alias("own"))
-    short = own.where(F.size("own") < k).join(F.broadcast(every))  # one row: the gene table
-    here = F.col("CHR") * SPAN + F.col("POS")
-    others = F.transform(F.filter("all_gs", lambda g: g["CHR"] != F.col("CHR")), lambda g: F.struct(F.lit(1).alias("far"), F.abs(g["G"] - here).alias("d"), g["gene_idx"].alias("gene_idx")))
-    short = short.select("variant_id", F.slice(F.concat("own", F.array_sort(others)), 1, k).alias("own"))
-    found = own.where(F.size("own") >= k).select("variant_id", "own").unionByName(short)
-    out = found.select("variant_id", F.posexplode("own").alias("rank", "g"))
-    return out.select("variant_id", "rank", F.col("g.gene_idx").alias("gene_idx"), F.element_at(F.array(*map(F.lit, weights)), F.col("rank") + 1).alias("weight"))
+    v = variants.select(F.col(variant_id).alias("variant_id"), F.col("CHR").cast("bigint").alias("CHR"), pos.alias("POS")).withColumn("G", line)
+    g = genes.select(F.col("CHR").cast("bigint").alias("CHR"), F.col("POS").cast("bigint").alias("POS"), F.col("gene_idx").cast("bigint").alias("gene_idx")).withColumn("G", line)
+    # of genes at one place only the first k can be among a variant's
+    at = F.row_number().over(W.partitionBy("G", "CHR").orderBy("gene_idx"))
+    places = g.withColumn("_at", at).where(F.col("_at") <= k).groupBy("G", "CHR").agg(F.sort_array(F.collect_list("gene_idx")).alias("ids"))
+    positions = v.where("G IS NOT NULL").select("G", "CHR").distinct()
+    ranked = running(places.withColumn("n", F.lit(1)).unionByName(positions.withColumns({"ids": F.lit(None).cast("array<bigint>"), "n": F.lit(0)})), F.col("n"), "G", "rank", ties=("n",))
+    here = ranked.where("n = 0").select("G", "CHR", F.col("rank").alias("low"), F.floor(F.col("rank") / RUN).alias("run"))
+    here = here.join(place_runs(ranked.where("n = 1"), 2 * k), "run")
+
+    def around(reach: int):
+        start = F.greatest(F.col("low") - reach, F.lit(0)) - F.col("first")
+        return F.slice("places", (start + 1).cast("int"), (F.col("low") + reach - F.col("first") - start).cast("int"))
+
+    def genes_of(reach: int, own: bool):
+        kept = F.filter(around(reach), lambda p: p["CHR"] == F.col("CHR")) if own else around(reach)
+        far = lambda p: F.when(p["CHR"] == F.col("CHR"), 0).otherwise(1)
+        return F.flatten(F.transform(kept, lambda p: F.transform(p["ids"], lambda x: F.struct(far(p).alias("far"), F.abs(p["G"] - F.col("G")).alias("d"), x.alias("gene_idx")))))
+
+    near = here.withColumn("_own", genes_of(k, True))
+    near = near.withColumn("_own", F.when(F.size("_own") >= k, F.col("_own")).otherwise(genes_of(2 * k, False)))
+    near = near.select("G", F.transform(F.slice(F.array_sort("_own"), 1, k), lambda x: x["gene_idx"]).alias("own"))
+    out = v.select("variant_id", "G").join(near, "G").select("variant_id", F.posexplode("own").alias("rank", "gene_idx"))
+    return out.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("rank") + 1))
 
 
 def nearest_on_line(variants: DataFrame, genes: DataFrame, weights: tuple[float, ...] = NEAREST_WEIGHTS, variant_id: str = "variant_id") -> DataFrame:
@@ -159,7 +175,7 @@ def gene_set_annotations(nearest: DataFrame, genes: DataFrame, sets: DataFrame)
     by_id = genes.select(F.col("gene_id").alias("gene"), "gene_idx")
     by_name = genes.select(F.col("gene_name").alias("gene"), "gene_idx")
     members = sets.join(by_id.unionByName(by_name), "gene").select("set_name", "gene_idx").distinct()
-    return nearest.join(small(members), "gene_idx").groupBy("variant_id", "set_name").agg(F.sum("weight").alias("value"))
+    return nearest.join(members, "gene_idx").groupBy("variant_id", "set_name").agg(F.sum("weight").alias("value"))
 
 
 def merge_annotations(sumstats: DataFrame, annotations: DataFrame, on: tuple[str, ...] = ("SNP",), keep_unmatched: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions.numeric import frequency_term, ieee_div, is_finite, jackknife_g
 from ..functions.ordinal import keep_first
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import sparse as S
 from ..sources.annotations import detect_binary
 from ..sources.sumstats import keep_complete, read_parquet_sumstats_multi
 from . import models as M
@@ -92,6 +93,39 @@ def q_meta(spark, d):
     return A.meta_analysis(stats, groups).select("group", "annot", F.round("z", 6).alias("z"))
 
 
+_SETS = f"""{_V}, e AS (SELECT l_orderkey AS rid, l_partkey AS annot, sum(l_quantity) AS a FROM lineitem GROUP BY 1, 2),
+t AS (SELECT 't1' AS trait, rid, jk, z AS g FROM v UNION ALL SELECT 't2', rid, jk, z * z FROM v),
+u AS (SELECT trait, annot, jk, sum(g * a) AS u FROM t JOIN e USING (rid) GROUP BY ALL), nb AS (SELECT count(DISTINCT jk) AS b FROM v),
+f AS (SELECT trait, annot, n.jk, coalesce(u.u, 0) AS u FROM (SELECT DISTINCT trait, annot FROM u) CROSS JOIN (SELECT DISTINCT jk FROM v) n LEFT JOIN u USING (trait, annot, jk))"""
+
+
+def part_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(scores of two traits, entries): a set per part, holding the orders with that part, so
+    there are thousands of sets of some thirty members each."""
+    v = variants(spark, d)
+    traits = F.array(F.struct(F.lit("t1").alias("trait"), F.col("z").alias("grad")), F.struct(F.lit("t2").alias("trait"), (F.col("z") * F.col("z")).alias("grad")))
+    scores = v.select("rid", "jk", F.explode(traits).alias("t")).select("rid", "jk", "t.trait", "t.grad")
+    found = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("annot")).agg(F.sum("l_quantity").alias("value"))
+    return scores, found
+
+
+@query(f"""WITH {_SETS} SELECT trait, annot, round(sum(u), 8) AS u, round(sum(u) / (stddev_pop(u) * sqrt(count(*) - 1)), 6) AS z FROM f GROUP BY trait, annot""")
+def q_sparse_sets(spark, d):
+    """Score tests of thousands of sets and two traits at once; the SQL spells out every block."""
+    scores, found = part_sets(spark, d)
+    z = S.score_z(S.block_sums(scores, found, ["rid"], ("trait",)), S.n_blocks(scores, ("trait",)), ("trait",))
+    return z.select("trait", "annot", F.round("u", 8).alias("u"), F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {_SETS}, w AS (SELECT trait, annot, 1 / var_pop(u) AS w FROM f GROUP BY trait, annot), c AS (SELECT annot, jk, sum(w * u) AS u FROM f JOIN w USING (trait, annot) GROUP BY annot, jk)
+SELECT 'm' AS "group", annot, round(sum(u) / (stddev_pop(u) * sqrt(count(*) - 1)), 6) AS z FROM c GROUP BY annot""")
+def q_sparse_meta(spark, d):
+    scores, found = part_sets(spark, d)
+    groups = spark.createDataFrame([("m", "t1"), ("m", "t2")], "group string, trait string")
+    z = S.meta_z(S.block_sums(scores, found, ["rid"], ("trait",)), S.n_blocks(scores, ("trait",)), groups)
+    return z.select("group", "annot", F.round("z", 6).alias("z"))
+
+
 @query(f"WITH {_V}, {_B} SELECT block_id, count(*) AS n, sum(pos)::BIGINT AS total FROM v JOIN b ON v.chr = b.chrom AND pos >= lo AND pos < hi GROUP BY block_id")
 def q_partition(spark, d):
     return J.partition_variants(variants(spark, d), blocks(spark, d)).groupBy("block_id").agg(F.count("*").alias("n"), F.sum("POS").alias("total"))

@@ -83,6 +83,13 @@ class ScoreStore:
             raise KeyError(trait)
         return self.rows().join(found.where(F.col("trait") == trait).drop("trait"), "ordinal")
 
+    def load_traits(self, traits: list[str]) -> DataFrame:
+        """Row data with the scores of several traits beside them, a row per trait."""
+        found = self._read("traits")
+        if found is None or (gone := set(traits) - set(self.traits())):
+            raise KeyError(sorted(gone) if found is not None else traits)
+        return self.rows().join(found.where(F.col("trait").cast("string").isin(list(traits))).withColumn("trait", F.col("trait").cast("string")), "ordinal")
+
     def groups(self) -> dict[str, list[str]]:
         found = self._read("groups")
         return {r.group: sorted(r.traits) for r in found.groupBy("group").agg(F.collect_list("trait").alias("traits")).collect()} if found is not None else {}
