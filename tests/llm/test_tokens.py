@@ -93,7 +93,15 @@ def test_segment_tree_merges_the_leftmost_lowest_rank(symbols, seed):
     pairs = list({(rng.randrange(8), rng.randrange(8)) for _ in range(14)})
     rng.shuffle(pairs)
     ranks, products = {p: k for k, p in enumerate(pairs)}, [4 + k % 4 for k in range(len(pairs))]
-    assert bpe.merge_all(list(symbols), ranks, products) == naive_merges(symbols, ranks, products)
+    want = naive_merges(symbols, ranks, products)
+    merges = bpe.Merges(pairs, products)
+    assert bpe.merge_all(list(symbols), merges.ranks, products) == want
+    if symbols:  # side by side with its own beginnings
+        rows = np.full((len(symbols), len(symbols)), (1 << 20) - 1, np.int64)
+        for k in range(len(symbols)):
+            rows[k, : k + 1] = symbols[: k + 1]
+        ids, counts = merges.many(rows, np.arange(1, len(symbols) + 1))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [naive_merges(symbols[: k + 1], ranks, products) for k in range(len(symbols))]
 
 
 def word_library():
@@ -104,9 +112,7 @@ def word_library():
 
 
 def ids_of(text):
-    out = bpe.array("i")
-    bpe._model(WORD_FILE).text(text, out)
-    return list(out)
+    return np.frombuffer(bpe._model(WORD_FILE).encode([text])[0], np.int32).tolist()
 
 
 @settings(max_examples=400, deadline=None)
