@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.links import LINKS
 from .functions.ordinal import with_ordinal
 from .operators import aggregates as A
 from .operators import joins as J
@@ -58,6 +59,12 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--surrogates", help="surrogate map")
             p.add_argument("--scores", help="score store to write to")
             p.add_argument("--hessian", action="store_true")
+            p.add_argument("--link", default="softplus", choices=sorted(LINKS))
+            p.add_argument("--trace", default="exact", choices=("exact", "hutchinson", "xdiag"), help="how the inverse's diagonal is found")
+            p.add_argument("--samples", type=int, default=100, help="probes of a trace estimate")
+            p.add_argument("--seed", type=int, default=0)
+            p.add_argument("--trust-steps", type=int, default=20, help="most trust values of an iteration")
+            p.add_argument("--reset-trust", action="store_true", help="begin each iteration at the first trust value")
             p.add_argument("--convergence", help="where to write the likelihoods of the iterations")
     for name, more in {"test": ["out"], "show": [], "add-meta": ["group", "patterns"], "rm": ["pattern"], "mv": ["old", "new"], "convert": ["genes", "target"]}.items():
         p = sub.add_parser(name)
@@ -100,7 +107,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         return store.write_tsv(found.where("is_index").drop("ordinal", "is_index"), args.out)
     if args.command == "surrogates":
         found = M.surrogates(variants, inside, edges, **how).join(J.small(blocks.select("block_id", F.col("name").alias("block_name"))), "block_id").drop("block_id")
-        return store.write_surrogates(found, args.out)
+        return store.write_surrogates(found, args.out, store.block_fingerprints(variants, blocks))
     raise ValueError(args.command)
 
 
@@ -124,8 +131,8 @@ def reml_annotations(spark: SparkSession, args: argparse.Namespace, variants) ->
 
 
 def _reml(spark: SparkSession, args: argparse.Namespace, blocks, edges, variants) -> object:
-    """One fit per trait, over annotations that are read once.  A single trait's results are
-    a tall table; of several, each adds a row to tables of estimates, errors and p."""
+    """All traits in one fit, over annotations that are read once.  A single trait's results are
+    a table of annotations; of several, each adds a row to tables of estimates, errors and p."""
     options = {} if args.maximum_missingness is None else {"maximum_missingness": args.maximum_missingness}
     parquet = args.sumstats.lower().endswith(".parquet")
     traits = (args.trait or sumstats.parquet_traits(spark, args.sumstats)) if parquet else [args.trait[0] if args.trait else "trait"]
@@ -133,22 +140,25 @@ def _reml(spark: SparkSession, args: argparse.Namespace, blocks, edges, variants
     annots = annots.persist()
     surrogate_map = None
     if args.surrogates:
-        by_name = spark.read.parquet(args.surrogates)
-        surrogate_map = by_name.join(J.small(blocks.select("block_id", F.col("name").alias("block_name"))), "block_name").select("block_id", F.col("index").cast("int"), F.col("surrogate_index").cast("int"))
+        found = store.read_surrogate_map(spark, args.surrogates, store.block_fingerprints(variants, blocks))
+        surrogate_map = found.join(J.small(blocks.select("block_id", F.col("name").alias("block_name"))), "block_name").select("block_id", F.col("index").cast("int"), F.col("surrogate_index").cast("int"))
     how = {"by_position": ".vcf" in args.sumstats.lower(), "ref": "REF", "alt": "ALT"}
+    rows, settings, packed = {}, {}, None
     for trait in traits:
-        rows = sumstats.read_parquet_sumstats(spark, args.sumstats, trait, **options) if parquet else sumstats.read_sumstats(spark, args.sumstats, **options)
-        rows = with_ordinal(rows).drop("CHR", "POS").join(annots, "SNP")
-        inside = partition_variants(rows, blocks)
+        one = sumstats.read_parquet_sumstats(spark, args.sumstats, trait, **options) if parquet else sumstats.read_sumstats(spark, args.sumstats, **options)
+        rows[trait] = one = with_ordinal(one).drop("CHR", "POS").join(annots, "SNP")
+        inside = partition_variants(one, blocks)
         if args.max_chisq is not None:
             inside = A.drop_extreme_blocks(inside, args.max_chisq)
-        settings = M.RemlOptions(A.sample_size(rows), args.intercept, args.denominator or float(rows.count()), args.iterations)
-        packed = M.reml_blocks(variants, inside, edges, names, settings, surrogate_map, **how).persist()
-        fit = M.fit_reml(packed, names, settings)
-        report = M.reml_report(rows, names, fit, settings)
+        settings[trait] = M.RemlOptions(A.sample_size(one), args.intercept, args.denominator or float(one.count()), args.iterations, trust_steps=args.trust_steps, reset_trust=args.reset_trust, link=args.link, trace=args.trace, samples=args.samples, seed=args.seed)
+        mine = M.reml_blocks(variants, inside, edges, names, settings[trait], surrogate_map, **how).withColumn("trait", F.lit(trait))
+        packed = mine if packed is None else packed.unionByName(mine)
+    packed = M.with_groups(packed.persist(), next(iter(settings.values())).groups).persist()
+    fits = M.fit_traits(packed, {t: [0.0] * len(names) for t in traits}, settings)
+    for trait in traits:
+        fit, report = fits[trait], M.reml_report(rows[trait], names, fits[trait], settings[trait])
         if args.scores:
-            M.write_scores(store.ScoreStore(spark, args.scores), trait, packed, variants, fit, names, settings, args.hessian)
-        packed.unpersist()
+            M.write_scores(store.ScoreStore(spark, args.scores), trait, packed.where(F.col("trait") == trait), variants, fit, names, settings[trait], args.hessian)
         if args.convergence:
             store.write_convergence(fit, f"{args.convergence}/{trait}" if len(traits) > 1 else args.convergence, spark)
         if len(traits) == 1:
@@ -157,6 +167,7 @@ def _reml(spark: SparkSession, args: argparse.Namespace, blocks, edges, variants
         for kind in [c for c in report.columns if c != "annotation"]:
             values = [trait, *[float(x) for x in report[kind]]]
             store.append_results(spark.createDataFrame([values], ", ".join(["trait string", *[f"`{n}` double" for n in names]])), f"{args.out}/{kind}")
+    packed.unpersist()
     annots.unpersist()
     return traits
 

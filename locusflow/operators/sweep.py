@@ -32,7 +32,7 @@ def _joined(how: str, *parts: Column) -> Column:
 def _carried(sums: DataFrame, how: str, levels: int = LEVELS) -> DataFrame:
     """(_at, _before): what the ranges before each range come to; ``sums`` are (_at, _x)."""
     f = getattr(F, how)
-    up = F.shiftright("_at", BITS)
+    up = F.shiftright("_at", BITS) if levels > 1 else F.pmod(F.shiftright("_at", BITS), F.lit(1))  # both signs meet at the top
     w = W.partitionBy("_up").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     inside = sums.withColumn("_up", up).withColumn("_in", f("_x").over(w))
     if levels == 1:

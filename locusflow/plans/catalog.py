@@ -351,6 +351,18 @@ def q_loglik_diagonal(spark, d):
     return M.block_likelihoods(rows, diagonal).select(F.col("block_id").alias("jk"), F.round("ll", 5).alias("ll"))
 
 
+@query(f"""WITH RECURSIVE {_BLOCKS}, c AS (SELECT jk, x, a1 = 0 AS s, CASE WHEN a1 = 0 THEN z ELSE 0 END AS y, CASE WHEN n = 1 THEN 1.0 WHEN x > 0 AND x < n - 1 THEN (1 + 0.64) / 0.36 ELSE 1 / 0.36 END AS a FROM w),
+r AS (SELECT jk, x, s, a::DOUBLE AS d, y AS t, CASE WHEN s THEN NULL ELSE a END::DOUBLE AS u FROM c WHERE x = 0 UNION ALL
+  SELECT c.jk, c.x, c.s, c.a - (0.8 / 0.36) * (0.8 / 0.36) / r.d, c.y + (0.8 / 0.36) / r.d * r.t, CASE WHEN NOT c.s THEN c.a - coalesce((0.8 / 0.36) * (0.8 / 0.36) / r.u, 0) END FROM r JOIN c ON c.jk = r.jk AND c.x = r.x + 1)
+SELECT jk, round(-0.5 * (count(*) FILTER (WHERE s) * ln(2 * pi()) + sum(ln(d)) - coalesce(sum(ln(u)), 0) + sum(t * t / d)), 5) AS ll FROM r GROUP BY jk HAVING bool_or(s)""")
+def q_loglik_tridiagonal(spark, d):
+    """Likelihoods of a selection in blocks of neighbours, on sparse factors; the SQL eliminates
+    index by index, for the whole block and for what isn't selected."""
+    lists, stats, edges = ordered_blocks(spark, d, RHO)
+    rows = lists.join(stats.where("urgent = 0").select("ordinal", F.col("Z").alias("pz")), "ordinal")
+    return M.block_likelihoods(rows, edges).select(F.col("block_id").alias("jk"), F.round("ll", 5).alias("ll"))
+
+
 @query(f"""WITH {_BLOCKS}, o AS (SELECT * FROM w WHERE a1 = 0), c AS (SELECT w.jk, w.x, o.x AS y, row_number() OVER (PARTITION BY w.jk, w.x ORDER BY abs(w.x - o.x), o.x) AS k FROM w JOIN o ON w.jk = o.jk)
 SELECT w.jk AS block_id, w.x AS "index", abs(coalesce(c.y, w.x) - w.x) AS distance FROM w LEFT JOIN c ON w.jk = c.jk AND w.x = c.x AND k = 1""")
 def q_surrogate_neighbours(spark, d):
@@ -377,15 +389,14 @@ def _reml_blocks(spark, d):
 def q_reml_likelihood(spark, d):
     """Likelihood and gradient of the blocks at fixed parameters."""
     _, packed, options = _reml_blocks(spark, d)
-    rows = [(r.block_id, r.ll, *r.g) for r in M.evaluate(packed, np.array(THETA), options.denominator)]
-    out = spark.createDataFrame(rows, "block_id long, ll double, g0 double, g1 double, g2 double")
-    return out.select("block_id", F.round("ll", 4).alias("ll"), *[F.round(f"g{k}", 7).alias(f"g{k}") for k in range(3)])
+    out = M.evaluate(packed, np.array(THETA), options)
+    return out.select("block_id", F.round("ll", 4).alias("ll"), *[F.round(F.get("g", F.lit(k)), 7).alias(f"g{k}") for k in range(3)])
 
 
 @query(f"WITH {_REML} SELECT rid, round(node * slope, 8) AS gradient, round(node2 * slope * slope + node * curve, 8) AS hessian FROM g")
 def q_variant_scores(spark, d):
     _, packed, options = _reml_blocks(spark, d)
-    out = M.variant_scores(packed, np.array(THETA), options.denominator, hessian=True)
+    out = M.variant_scores(packed, np.array(THETA), options, hessian=True)
     return out.select(F.col("ordinal").alias("rid"), F.round("gradient", 8).alias("gradient"), F.round("hessian", 8).alias("hessian"))
 
 

@@ -9,8 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.links import Link, named
 from ..functions.numeric import log10_two_sided
 from ..operators.joins import active_indices, merge_snplists, restore_rows
 from .precision import Block, likelihood_gradient, likelihood_hessian, log_likelihood
@@ -62,15 +64,17 @@ def blup(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, heritabilit
     return sumstats.join(out, ["block_id", "ordinal"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
-def greedy_clump(z: np.ndarray, r: np.ndarray, min_chisq: float, max_rsq: float) -> np.ndarray:
-    """Index variants in descending chi-square, each pruning its correlates."""
+def greedy_clump(z: np.ndarray, r: np.ndarray | Callable[[int], np.ndarray], min_chisq: float, max_rsq: float) -> np.ndarray:
+    """Index variants in descending chi-square, each pruning its correlates; ``r`` is the
+    correlation matrix or a function that gives a row, which is asked for index variants only."""
+    row = r if callable(r) else r.__getitem__
     chisq, lead, pruned = z * z, np.zeros(len(z), bool), np.zeros(len(z), bool)
     for i in np.argsort(-chisq, kind="stable"):
         if chisq[i] < min_chisq:
             break
         if not pruned[i]:
             lead[i] = True
-            pruned |= r[i] ** 2 >= max_rsq
+            pruned |= row(i) ** 2 >= max_rsq
     return lead
 
 
@@ -80,13 +84,19 @@ def clump(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, rows: Data
 
     def solve(r: pd.DataFrame, block: Block) -> pd.DataFrame:
         r = r.sort_values("index")
-        lead = greedy_clump(r["Z"].to_numpy(), block[r["index"].to_numpy()].correlation(), min_chisq, max_rsq)
+        lead = greedy_clump(r["Z"].to_numpy(), block[r["index"].to_numpy()].correlation_row(), min_chisq, max_rsq)
         return pd.DataFrame({"ordinal": r["stats_ordinal"], "is_index": lead})
 
     marks = per_block(found.select("block_id", "index", "ordinal", "stats_ordinal", "Z"), edges, "ordinal long, is_index boolean", solve)
     return restore_rows(rows, marks)
 
 
+def closest(block: Block, index: np.ndarray, have: np.ndarray, some: int = 128) -> np.ndarray:
+    """For each index the one of ``have`` with the largest squared correlation, the first on ties."""
+    parts = [have[np.argmax(block.correlations(index[k: k + some])[:, have] ** 2, axis=1)] for k in range(0, len(index), some)]
+    return np.concatenate(parts) if parts else index
+
+
 def surrogates(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, **how) -> DataFrame:
     """(block_id, index, surrogate_index) of every index: itself if matched, else the matched
     index with the largest squared correlation, the first on ties; itself without any."""
@@ -97,10 +107,8 @@ def surrogates(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, **how
         index, have = r["index"].to_numpy(), np.sort(r.loc[r["matched"], "index"].to_numpy())
         out = index.copy()
         if len(have):
-            corr = block.correlation()
-            for k, (i, ok) in enumerate(zip(index, r["matched"], strict=True)):
-                if not ok:
-                    out[k] = have[np.argmax(corr[i, have] ** 2)]
+            gone = np.flatnonzero(~r["matched"].to_numpy(bool))
+            out[gone] = closest(block, index[gone], have)
         return pd.DataFrame({"block_id": r["block_id"], "index": index, "surrogate_index": out})
 
     return per_block(every, edges, "block_id long, index int, surrogate_index int", solve)
@@ -126,25 +134,30 @@ class RemlOptions:
     window: int = 3
     trust: float = 1e-1
     trust_factor: float = 5.0
+    trust_steps: int = 20
+    reset_trust: bool = False
+    trials: int = 4
     groups: int = 100
+    link: str | Link = "softplus"
+    trace: str = "exact"
+    samples: int = 100
+    seed: int = 0
 
     def __post_init__(self):
         if self.iterations < 1:
             raise ValueError("at least one iteration is needed")
+        if self.trace not in ("exact", "hutchinson", "xdiag"):
+            raise ValueError("the trace estimator is exact, hutchinson or xdiag")
+        self.link = named(self.link)  # goes to the executors with the options
 
 
-def _softplus(x):
-    return np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
-
-
-def _logistic(x):
-    small = np.exp(-np.abs(x))
-    return np.where(x >= 0, 1 / (1 + small), small / (1 + small))
+_PACKED = "block_id long, n int, i array<int>, j array<int>, v array<double>, order array<int>, selected array<int>, rest double, pz array<double>, row array<long>, index array<int>, a array<double>"
 
 
 def reml_blocks(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, annotations: list[str], options: RemlOptions, surrogate_map: DataFrame | None = None, **how) -> DataFrame:
-    """One packed row per block, computed once: the scaled matrix on its active indices, Pz,
-    and each matched row's ordinal, active index and annotations.
+    """One packed row per block, computed once: the scaled matrix's entries and an elimination
+    order, the active indices, Pz, each matched row's ordinal, active index and annotations,
+    and the block's jackknife group ``jk``.
 
     A row without a finite Z stands at its surrogate of ``surrogate_map`` (block_id, index,
     surrogate_index), if that has a value, else at the index with the largest squared correlation.
@@ -155,73 +168,134 @@ def reml_blocks(variants: DataFrame, sumstats: DataFrame, edges: DataFrame, anno
         merged = merged.withColumn("surrogate_index", F.col("index"))
     else:
         merged = merged.join(surrogate_map.select("block_id", "index", "surrogate_index"), ["block_id", "index"], "left").withColumn("surrogate_index", F.coalesce("surrogate_index", "index"))
+    names = [c.split(" ")[0] for c in _PACKED.split(", ")]
 
     def solve(r: pd.DataFrame, block: Block) -> pd.DataFrame:
         z = r["Z"].to_numpy(float)
         seen = np.isfinite(z)
         if not seen.any():
-            return pd.DataFrame(columns=["block_id", "n", "matrix", "pz", "row", "index", "a"])
+            return pd.DataFrame(columns=names)
         index = np.where(seen, r["index"].to_numpy(), r["surrogate_index"].to_numpy())
         have = np.unique(index[seen])
-        corr = block.correlation() if not seen.all() else None
-        for t in np.flatnonzero(~seen):
-            if index[t] not in have:
-                index[t] = have[np.argmax(corr[index[t], have] ** 2)]
-        value = {}
-        for i, v in zip(r["index"].to_numpy()[seen], z[seen], strict=True):
-            value.setdefault(i, v)
-        p = block[have]
-        pz = p.multiply(np.array([value[i] for i in have])) / np.sqrt(options.sample_size)
-        schur = p.multiply(np.eye(len(have))) * (options.intercept / options.sample_size)
-        return pd.DataFrame({"block_id": [r["block_id"].iloc[0]], "n": [len(have)], "matrix": [schur.ravel()], "pz": [pz], "row": [r["ordinal"].to_numpy(np.int64)], "index": [np.searchsorted(have, index).astype(np.int32)], "a": [r[annotations].to_numpy(float).ravel()]})
+        lost = np.flatnonzero(~seen & ~np.isin(index, have))
+        index[lost] = closest(block, index[lost], have)
+        first = np.unique(r["index"].to_numpy()[seen], return_index=True)[1]
+        p = block[have].scaled(options.intercept / options.sample_size)
+        pz = p.multiply(z[seen][first]) * (options.sample_size / options.intercept) / np.sqrt(options.sample_size)
+        i, j, v, order = p.entries()
+        row = [r["block_id"].iloc[0], p.size, i, j, v, order, have, p.rest_logdet(), pz, r["ordinal"].to_numpy(np.int64), np.searchsorted(have, index).astype(np.int32), r[annotations].to_numpy(float).ravel()]
+        return pd.DataFrame({name: [x] for name, x in zip(names, row, strict=True)})
 
     cols = ["block_id", "index", "surrogate_index", "ordinal", "Z", *annotations]
-    packed = per_block(merged.select(*cols), edges, "block_id long, n int, matrix array<double>, pz array<double>, row array<long>, index array<int>, a array<double>", solve)
-    return packed.withColumn("k", F.lit(k))
+    packed = per_block(merged.select(*cols), edges, _PACKED, solve).withColumn("k", F.lit(k))
+    return packed
 
 
-def _evaluate(theta: np.ndarray, denominator: float, derivatives: bool):
-    k = len(theta)
+def with_groups(packed: DataFrame, groups: int) -> DataFrame:
+    """Packed rows of one or more traits with their jackknife group: blocks in order, in runs
+    of equal length (the first ones a block longer).  Only (trait, block) is ranked."""
+    packed = packed if "trait" in packed.columns else packed.withColumn("trait", F.lit(""))
+    w = W.partitionBy("trait")
+    at, n = F.row_number().over(w.orderBy("block_id")) - 1, F.count("*").over(w)
+    ranked = packed.select("trait", "block_id").select("trait", "block_id", at.alias("_at"), n.alias("_n"))
+    each = F.expr(f"_n div least({int(groups)}, _n)")
+    wide = F.expr(f"(_n % least({int(groups)}, _n))") * (each + 1)
+    jk = F.when(F.col("_at") < wide, F.floor(F.col("_at") / (each + 1))).otherwise(F.expr(f"_n % least({int(groups)}, _n)") + F.floor((F.col("_at") - wide) / each))
+    return packed.join(ranked.select("trait", "block_id", jk.cast("int").alias("jk")), ["trait", "block_id"])
+
+
+def _block_of(r) -> Block:
+    return Block.from_entries(r.i, r.j, r.v, int(r.n), np.asarray(r.order, np.int64))[np.asarray(r.selected, np.int64)]
+
+
+def _terms(r, theta: np.ndarray, options: RemlOptions, derivatives: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """Likelihood of a packed block at ``theta``, and its gradient and Hessian if wanted."""
+    a, index, pz = np.asarray(r.a, float).reshape(-1, len(theta)), np.asarray(r.index), np.asarray(r.pz, float)
+    value, slope, _ = options.link.arrays(a @ theta)
+    m = _block_of(r).plus_diagonal(np.bincount(index, value / options.denominator, len(pz)))
+    m.known_rest_logdet = float(r.rest)
+    ll = float(log_likelihood(pz, m))
+    if not derivatives:
+        return ll, np.zeros(0), np.zeros((0, 0))
+    jac = np.zeros((len(pz), len(theta)))
+    np.add.at(jac, index, (slope / options.denominator)[:, None] * a)
+    seed = None if options.trace == "exact" else (options.seed * 1_000_003 + int(r.block_id)) % (1 << 32)
+    return ll, likelihood_gradient(pz, m, jac, options.trace, options.samples, seed), likelihood_hessian(pz, m, jac)
 
+
+_USED = ["block_id", "n", "i", "j", "v", "order", "selected", "rest", "pz", "index", "a"]
+
+
+def evaluate(blocks: DataFrame, theta: np.ndarray, options: RemlOptions, derivatives: bool = True) -> DataFrame:
+    """(block_id, ll, g, h): likelihood, gradient and Hessian of every block."""
     def run(batches):
         for pdf in batches:
-            out = []
+            rows = [(int(r.block_id), *_terms(r, theta, options, derivatives)) for r in pdf.itertuples()]
+            yield pd.DataFrame([(b, ll, g, h.ravel()) for b, ll, g, h in rows], columns=["block_id", "ll", "g", "h"])
+
+    return blocks.select(*_USED).mapInPandas(run, "block_id long, ll double, g array<double>, h array<double>")
+
+
+def totals(blocks: DataFrame, trials: dict[str, list[np.ndarray]], options: dict[str, RemlOptions], derivatives: bool) -> DataFrame:
+    """(trait, trial, jk, x): likelihood, gradient and Hessian, one behind the other, summed by
+    jackknife group (by trait alone without derivatives) at each trial's parameters.
+
+    Tasks sum their blocks before anything leaves them, and the numbers are added up by
+    place, so however many blocks there are, a group is one row of p² + p + 1 numbers.
+    """
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
             for r in pdf.itertuples():
-                n, a = r.n, np.asarray(r.a).reshape(-1, k)
-                x = a @ theta
-                index = np.asarray(r.index)
-                d = np.bincount(index, _softplus(x) / denominator, n)
-                m, pz = Block(np.asarray(r.matrix).reshape(n, n)).plus_diagonal(d), np.asarray(r.pz)
-                row = [int(r.block_id), float(log_likelihood(pz, m)), [], []]
-                if derivatives:
-                    m.correlation()
-                    jac = np.zeros((n, k))
-                    np.add.at(jac, index, (_logistic(x) / denominator)[:, None] * a)
-                    row[2], row[3] = likelihood_gradient(pz, m, jac), likelihood_hessian(pz, m, jac).ravel()
-                out.append(row)
-            yield pd.DataFrame(out, columns=["block_id", "ll", "g", "h"])
-    return run
+                for t, theta in enumerate(trials[r.trait]):
+                    ll, g, h = _terms(r, theta, options[r.trait], derivatives)
+                    key, x = (r.trait, t, int(r.jk) if derivatives else 0), np.concatenate([[ll], g, h.ravel()])
+                    sums[key] = sums[key] + x if key in sums else x
+        yield pd.DataFrame([(*key, x) for key, x in sums.items()], columns=["trait", "trial", "jk", "x"])
+
+    running = blocks.where(F.col("trait").isin(list(trials))).select("trait", "jk", *_USED)
+    parts = running.mapInPandas(run, "trait string, trial int, jk int, x array<double>")
+    summed = parts.select("trait", "trial", "jk", F.posexplode("x").alias("place", "x")).groupBy("trait", "trial", "jk", "place").agg(F.sum("x").alias("x"))
+    return summed.groupBy("trait", "trial", "jk").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("x"))
+
+
+@dataclass
+class GroupSum:
+    """A jackknife group's likelihood, gradient and Hessian."""
+
+    jk: int
+    ll: float
+    g: np.ndarray
+    h: np.ndarray
 
 
-def evaluate(blocks: DataFrame, theta: np.ndarray, denominator: float, derivatives: bool = True) -> list:
-    """(block_id, ll, gradient, Hessian) of every block, in order: a few numbers per block."""
-    schema = "block_id long, ll double, g array<double>, h array<double>"
-    return blocks.select("block_id", "n", "matrix", "pz", "index", "a").mapInPandas(_evaluate(theta, denominator, derivatives), schema).orderBy("block_id").collect()
+def group_sums(blocks: DataFrame, thetas: dict[str, np.ndarray], options: dict[str, RemlOptions]) -> dict[str, list[GroupSum]]:
+    """Per trait its groups' sums, in order: at most ``groups`` rows of p² + p + 1 numbers each."""
+    out: dict[str, list[GroupSum]] = {t: [] for t in thetas}
+    for r in totals(blocks, {t: [x] for t, x in thetas.items()}, options, True).orderBy("trait", "jk").collect():
+        x, k = np.array(r.x), len(thetas[r.trait])
+        out[r.trait].append(GroupSum(r.jk, float(x[0]), x[1: 1 + k], x[1 + k:].reshape(k, k)))
+    return out
 
 
-def _variant_scores(theta: np.ndarray, denominator: float, hessian: bool):
+def likelihoods(blocks: DataFrame, trials: dict[str, list[np.ndarray]], options: dict[str, RemlOptions]) -> dict[str, list[float]]:
+    """Per trait the likelihood at each trial's parameters, all in one job."""
+    out = {t: [0.0] * len(x) for t, x in trials.items()}
+    for r in totals(blocks, trials, options, False).collect():  # a row per trait and trial
+        out[r.trait][r.trial] = float(r.x[0])
+    return out
+
+
+def _variant_scores(theta: np.ndarray, options: RemlOptions, hessian: bool):
     k = len(theta)
 
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                n, a, index = r.n, np.asarray(r.a).reshape(-1, k), np.asarray(r.index)
-                x = a @ theta
-                p = _logistic(x)
-                slope, curve = p / denominator, p * (1 - p) / denominator
-                m = Block(np.asarray(r.matrix).reshape(n, n)).plus_diagonal(np.bincount(index, _softplus(x) / denominator, n))
-                m.correlation()
-                pz = np.asarray(r.pz)
+                a, index, pz = np.asarray(r.a, float).reshape(-1, k), np.asarray(r.index), np.asarray(r.pz, float)
+                value, slope, curve = (x / options.denominator for x in options.link.arrays(a @ theta))
+                m = _block_of(r).plus_diagonal(np.bincount(index, value, len(pz)))
+                m.known_rest_logdet = float(r.rest)
                 node = likelihood_gradient(pz, m)[index]
                 out = {"block_id": int(r.block_id), "ordinal": np.asarray(r.row), "gradient": node * slope}
                 if hessian:
@@ -230,21 +304,19 @@ def _variant_scores(theta: np.ndarray, denominator: float, hessian: bool):
     return run
 
 
-def variant_scores(blocks: DataFrame, theta: np.ndarray, denominator: float, hessian: bool = False) -> DataFrame:
+def variant_scores(blocks: DataFrame, theta: np.ndarray, options: RemlOptions, hessian: bool = False) -> DataFrame:
     """(block_id, ordinal, gradient and, if wanted, hessian): first and second derivative of
     the log-likelihood by each variant's argument of the link."""
     schema = "block_id long, ordinal long, gradient double" + (", hessian double" if hessian else "")
-    return blocks.select("block_id", "n", "matrix", "pz", "row", "index", "a").mapInPandas(_variant_scores(theta, denominator, hessian), schema)
+    return blocks.select(*_USED, "row").mapInPandas(_variant_scores(theta, options, hessian), schema)
 
 
 def write_scores(store, trait: str, blocks: DataFrame, variants: DataFrame, fit: dict, annotations: list[str], options: RemlOptions, hessian: bool = False) -> None:
     """A trait's variant scores and parameters into a score store, which is made if there is
-    none; the rows of an existing one must be the same."""
-    spark = blocks.sparkSession
-    parts = np.array_split([b.block_id for b in fit["blocks"]], min(options.groups, len(fit["blocks"])))
-    group = spark.createDataFrame([(int(b), g) for g, part in enumerate(parts) for b in part], "block_id long, jackknife_blocks long")  # a row per block
-    scored = variant_scores(blocks, fit["theta"], options.denominator, hessian).dropDuplicates(["ordinal"])
+    none; the rows of an existing one must be the same.  ``blocks`` are the trait's."""
+    scored = variant_scores(blocks, fit["theta"], options, hessian).dropDuplicates(["ordinal"])
     place = variants.select("ordinal", *[F.col(c) for c in ("CHR",) if c in variants.columns], F.col("position").alias("POS"), F.col("site_ids").alias("RSID"))
+    group = blocks.select("block_id", F.col("jk").cast("long").alias("jackknife_blocks"))
     rows = scored.select("block_id", "ordinal").join(place, "ordinal").join(group, "block_id").drop("block_id")
     try:
         store.rows()
@@ -262,38 +334,78 @@ def trust_region_step(g: np.ndarray, h: np.ndarray, trust: float) -> tuple[np.nd
     return s, float(s @ g + 0.5 * s @ h @ s)
 
 
-def fit_reml(blocks: DataFrame, annotations: list[str], options: RemlOptions, start: np.ndarray | None = None) -> dict:
-    """Trust-region Newton on the blockwise likelihood; blocks are evaluated on executors, a
-    p-vector and a p x p matrix per block come back."""
-    k = len(annotations)
-    theta = np.zeros(k) if start is None else np.array(start, float)
-    history, trust, converged, rows = [], options.trust, False, []
-    for _ in range(options.iterations):
-        rows = evaluate(blocks, theta, options.denominator)
-        ll = sum(r.ll for r in rows)
-        g, h = sum(np.array(r.g) for r in rows), sum(np.array(r.h).reshape(k, k) for r in rows)
-        history = history or [ll]
-        while True:
-            step, predicted = trust_region_step(g, h, trust)
-            after = sum(r.ll for r in evaluate(blocks, theta + step, options.denominator, False))
-            rho = (after - ll) / predicted if predicted > 0 else -1.0
+class _Fit:
+    """One trait's fit between two jobs."""
+
+    def __init__(self, theta: np.ndarray, options: RemlOptions):
+        self.theta, self.o = theta, options
+        self.trust, self.history, self.converged, self.ended = options.trust, [], False, False
+        self.groups: list[GroupSum] = []
+
+    def begin(self, groups: list[GroupSum]) -> None:
+        self.groups, self.ll = groups, sum(x.ll for x in groups)
+        self.g, self.h = sum(x.g for x in groups), sum(x.h for x in groups)
+        self.history = self.history or [self.ll]
+        self.trust = self.o.trust if self.o.reset_trust else self.trust
+        self.tried, self.searching = 0, True
+
+    def proposals(self) -> list[tuple[np.ndarray, float, float]]:
+        """The next trust values with their steps, as many as one job tries at once."""
+        out, trust = [], self.trust
+        for _ in range(min(self.o.trials, self.o.trust_steps - self.tried)):
+            out.append((*trust_region_step(self.g, self.h, trust), trust))
+            trust = max(self.o.trust, trust * self.o.trust_factor)
+        return out
+
+    def choose(self, proposals: list, after: list[float]) -> None:
+        """What trying them one after the other would have done."""
+        for (step, predicted, trust), ll in zip(proposals, after, strict=True):
+            self.trust, self.tried = trust, self.tried + 1
+            rho = (ll - self.ll) / predicted if predicted > 0 else -1.0
             if rho >= 1e-4:
-                theta, ll = theta + step, after
-                trust = trust / options.trust_factor if rho > 0.99 else trust
-                break
+                self.theta, self.ll = self.theta + step, ll
+                self.trust = trust / self.o.trust_factor if rho > 0.99 else trust
+                self.searching = False
+                return
             if predicted < 1e-6 or trust > 1e12:
-                break
-            trust = max(options.trust, trust * options.trust_factor)
-        history.append(ll)
-        w = options.window
-        if len(history) >= w and abs(history[-1] - history[-w]) < w * options.tolerance:
-            converged = True
-            break
-    return {"theta": theta, "likelihood": history, "converged": converged, "blocks": rows}
+                self.searching = False
+                return
+        self.trust = max(self.o.trust, self.trust * self.o.trust_factor)
+        self.searching = self.tried < self.o.trust_steps
+
+    def finish(self) -> None:
+        self.history.append(self.ll)
+        w = self.o.window
+        if len(self.history) >= w and abs(self.history[-1] - self.history[-w]) < w * self.o.tolerance:
+            self.converged = True
+        self.ended = self.converged or len(self.history) > self.o.iterations
+
+
+def fit_traits(blocks: DataFrame, starts: dict[str, np.ndarray], options: dict[str, RemlOptions]) -> dict[str, dict]:
+    """Trust-region Newton on the blockwise likelihoods of all traits in step: a job evaluates
+    every trait that still runs, each at its own parameters, and a job tries several trust
+    values of each.  ``blocks`` have columns trait and jk (``with_groups``)."""
+    fits = {t: _Fit(np.array(x, float), options[t]) for t, x in starts.items()}
+    while running := {t: f for t, f in fits.items() if not f.ended}:
+        for t, groups in group_sums(blocks, {t: f.theta for t, f in running.items()}, options).items():
+            running[t].begin(groups)
+        while searching := {t: f.proposals() for t, f in running.items() if f.searching}:
+            found = likelihoods(blocks, {t: [running[t].theta + p[0] for p in ps] for t, ps in searching.items()}, options)
+            for t, ps in searching.items():
+                running[t].choose(ps, found[t])
+        for f in running.values():
+            f.finish()
+    return {t: {"theta": f.theta, "likelihood": f.history, "converged": f.converged, "blocks": f.groups} for t, f in fits.items()}
+
+
+def fit_reml(blocks: DataFrame, annotations: list[str], options: RemlOptions, start: np.ndarray | None = None) -> dict:
+    """``fit_traits`` of one trait."""
+    theta = np.zeros(len(annotations)) if start is None else np.array(start, float)
+    return fit_traits(blocks if "jk" in blocks.columns else with_groups(blocks, options.groups), {"": theta}, {"": options})[""]
 
 
 def jackknife_thetas(theta: np.ndarray, blocks: list, groups: int) -> np.ndarray:
-    """One Newton step from theta with each group of blocks left out.
+    """One Newton step from theta with each group of blocks (or of group sums) left out.
 
     The log-likelihood is concave near its maximum (H is negative), so the step that goes
     uphill subtracts H^-1 g.
@@ -311,16 +423,16 @@ def wald_log10_p(values: np.ndarray) -> float:
     return log10_two_sided(values.mean() / se) if se > 0 else 0.0
 
 
-def heritability_at(rows: DataFrame, annotations: list[str], thetas: np.ndarray, denominator: float) -> tuple[np.ndarray, np.ndarray]:
+def heritability_at(rows: DataFrame, annotations: list[str], thetas: np.ndarray, denominator: float, link: str | Link = "softplus") -> tuple[np.ndarray, np.ndarray]:
     """Per parameter vector and annotation the sum of h2 times annotation, and the annotation
     sizes.  Tasks return one partial sum each; nothing is multiplied by the vectors' number."""
-    t, k = np.atleast_2d(thetas), len(annotations)
+    t, k, value = np.atleast_2d(thetas), len(annotations), named(link).arrays
 
     def run(batches):
         h2, size = np.zeros((len(t), k)), np.zeros(k)
         for pdf in batches:
             a = pdf.to_numpy(float)
-            h2 += (_softplus(a @ t.T) / denominator).T @ a
+            h2 += (value(a @ t.T)[0] / denominator).T @ a
             size += a.sum(axis=0)
         yield pd.DataFrame({"h2": [h2.ravel()], "size": [size]})
 
@@ -335,7 +447,7 @@ def reml_report(rows: DataFrame, annotations: list[str], fit: dict, options: Rem
     standard error and log10 p.  The p of an enrichment tests the difference of the
     heritability per unit from that of the first annotation; its error is the quotient's."""
     thetas = jackknife_thetas(fit["theta"], fit["blocks"], options.groups)
-    h2, size = heritability_at(rows, annotations, np.vstack([fit["theta"], thetas]), options.denominator)
+    h2, size = heritability_at(rows, annotations, np.vstack([fit["theta"], thetas]), options.denominator, options.link)
     per = h2 / size
     quotient, difference = per / per[:, :1], per - per[:, :1]
     n = len(thetas)

@@ -1,4 +1,5 @@
-"""Dense algebra of one LD block: a precision matrix, some of whose indices are selected.
+"""Algebra of one LD block: a precision matrix, some of whose indices are selected, in dense
+form here and on its entries in ``sparse_block``.
 
 The matrix stands for the inverse of the LD matrix of the selected indices: products
 use the Schur complement over the unselected ones, solves restrict the full inverse.
@@ -10,19 +11,43 @@ import numpy as np
 
 
 class Block:
+    known_rest_logdet: float | None = None
+
     def __init__(self, matrix: np.ndarray, selected: np.ndarray | None = None):
         self.matrix = np.asarray(matrix, float)
         self.selected = np.arange(len(self.matrix)) if selected is None else np.arange(len(self.matrix))[selected]
         self._inverse: np.ndarray | None = None
 
     @classmethod
-    def from_entries(cls, i, j, v, n: int) -> Block:
-        """One triangle of entries, mirrored; the diagonal counts once."""
+    def from_entries(cls, i, j, v, n: int, order=None) -> Block:
+        """One triangle of entries, mirrored; the diagonal counts once.  Sparse where the factor
+        is, dense otherwise.  ``order`` is an elimination order found before (empty: dense)."""
+        from .sparse_block import DENSE, Graph, SparseBlock, least_degree_order
+
+        i, j, v = np.asarray(i, np.int64), np.asarray(j, np.int64), np.asarray(v, float)
+        inner = i != j
+        if order is None:
+            most = int(DENSE * n * (n - 1) / 2)
+            order = least_degree_order(n, i[inner], j[inner], most) if len(set(zip(i[inner].tolist(), j[inner].tolist(), strict=True))) <= most else None
+        if order is not None and len(order):
+            return SparseBlock(Graph(n, i[inner], j[inner], order), v[inner], np.bincount(i[~inner], v[~inner], n))
         m = np.zeros((n, n))
         np.add.at(m, (i, j), v)
-        np.add.at(m, (j, i), np.where(np.equal(i, j), 0.0, v))
+        np.add.at(m, (j, i), np.where(inner, v, 0.0))
         return cls(m)
 
+    @property
+    def size(self) -> int:
+        return len(self.matrix)
+
+    @property
+    def nbytes(self) -> int:
+        return self.matrix.nbytes
+
+    @property
+    def dtype(self) -> np.dtype:
+        return np.dtype(float)
+
     def __getitem__(self, which) -> Block:
         out = Block(self.matrix, np.atleast_1d(self.selected[which]))
         out._inverse = self._inverse
@@ -33,7 +58,7 @@ class Block:
 
     @property
     def rest(self) -> np.ndarray:
-        return np.setdiff1d(np.arange(len(self.matrix)), self.selected)
+        return np.setdiff1d(np.arange(self.size), self.selected)
 
     def diagonal(self) -> np.ndarray:
         """The selected diagonal elements."""
@@ -65,7 +90,7 @@ class Block:
         return y - m[np.ix_(s, u)] @ np.linalg.solve(m[np.ix_(u, u)], m[np.ix_(u, s)] @ x) if len(u) else y
 
     def _whole(self, b: np.ndarray) -> np.ndarray:
-        full = np.zeros((len(self.matrix), *b.shape[1:]))
+        full = np.zeros((self.size, *b.shape[1:]))
         full[self.selected] = b
         return full
 
@@ -74,26 +99,72 @@ class Block:
         x = self._inverse @ full if self._inverse is not None else np.linalg.solve(self.matrix, full)
         return x[self.selected]
 
-    def solve_iteratively(self, b: np.ndarray, tolerance: float = 1e-8, steps: int = 1000) -> np.ndarray:
-        """Conjugate gradients with a diagonal preconditioner."""
-        full, d = self._whole(np.asarray(b, float)), np.diag(self.matrix)
-        x, r = np.zeros_like(full), full.copy()
-        z = r / d
-        p, rz = z.copy(), r @ z
-        for _ in range(steps):
-            if np.linalg.norm(r) <= tolerance * max(1e-300, np.linalg.norm(full)):
-                return x[self.selected]
-            q = self.matrix @ p
-            step = rz / (p @ q)
+    def product(self, x: np.ndarray) -> np.ndarray:
+        """The whole matrix, unselected indices too, times ``x``."""
+        return self.matrix @ x
+
+    def solve_iteratively(self, b: np.ndarray, tolerance: float = 1e-8, steps: int = 1000, like: Block | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+        """(solution, steps) by conjugate gradients, all right sides at once.  ``like`` is a block
+        near this one whose factor is the preconditioner (else the diagonal is), ``start``
+        a solution to begin with."""
+        full = self._whole(np.asarray(b, float).reshape(len(self), -1))
+        own = self.whole_diagonal()[:, None]
+        nearly = (lambda r: r / own) if like is None else like.whole_solve
+        x = np.zeros_like(full) if start is None else self._from_selected(start)
+        r = full - self.product(x)
+        z = nearly(r)
+        p, rz = z.copy(), (r * z).sum(axis=0)
+        goal = tolerance * np.maximum(1e-300, np.linalg.norm(full, axis=0))
+        for k in range(steps + 1):
+            left = np.linalg.norm(r, axis=0) > goal
+            if not left.any():
+                out = x[self.selected]
+                return (out[:, 0] if np.ndim(b) == 1 else out), k
+            q = self.product(p)
+            step = np.where(left, rz / np.where(left, (p * q).sum(axis=0), 1.0), 0.0)
             x, r = x + step * p, r - step * q
-            z = r / d
-            rz, before = r @ z, rz
-            p = z + rz / before * p
+            z = nearly(r)
+            rz, before = (r * z).sum(axis=0), rz
+            p = z + np.where(left, rz / np.where(left, before, 1.0), 0.0) * p
         raise ArithmeticError("conjugate gradients did not converge")
 
+    def whole_solve(self, full: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(self.matrix, full)
+
+    def whole_diagonal(self) -> np.ndarray:
+        return np.diag(self.matrix)
+
+    def _from_selected(self, start: np.ndarray) -> np.ndarray:
+        """A solution on the selection carried to the unselected indices, whose right side is 0."""
+        return self._whole(np.asarray(start, float).reshape(len(self), -1))
+
     def logdet(self) -> float:
+        return float(np.linalg.slogdet(self.matrix)[1]) - self._of_rest()
+
+    def _of_rest(self) -> float:
+        """The unselected part's log-determinant, which changes of the selected diagonal leave
+        as it is: what is known from before, else found."""
+        return self.rest_logdet() if self.known_rest_logdet is None else self.known_rest_logdet
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, v, order) that ``from_entries`` takes; no order for a dense block."""
+        i, j = np.nonzero(np.tril(self.matrix))
+        return i.astype(np.int32), j.astype(np.int32), self.matrix[i, j], np.zeros(0, np.int32)
+
+    def rest_logdet(self) -> float:
         u = self.rest
-        return np.linalg.slogdet(self.matrix)[1] - (np.linalg.slogdet(self.matrix[np.ix_(u, u)])[1] if len(u) else 0.0)
+        return float(np.linalg.slogdet(self.matrix[np.ix_(u, u)])[1]) if len(u) else 0.0
+
+    def correlations(self, indices: np.ndarray) -> np.ndarray:
+        """Rows of the correlation matrix."""
+        return self.correlation()[indices]
+
+    def correlation_row(self):
+        """A function that gives one row."""
+        return self.correlation().__getitem__
+
+    def _exact_diagonal(self) -> np.ndarray:
+        return np.diag(self.correlation()).copy()
 
     def correlation(self) -> np.ndarray:
         """The inverse restricted to the selection; kept for further selections."""
@@ -103,7 +174,7 @@ class Block:
 
     def inverse_diagonal(self, method: str = "exact", samples: int = 100, seed: int | None = None) -> np.ndarray:
         if method == "exact":
-            return np.diag(self.correlation()).copy()
+            return self._exact_diagonal()
         rng, n = np.random.default_rng(seed), len(self)
         probes = rng.choice([-1.0, 1.0], size=(n, min(samples, n) if method == "xdiag" else samples))
         y = self.solve(probes)

@@ -146,22 +146,61 @@ class ScoreStore:
             raise KeyError(old)
 
 
-def write_surrogates(map_: DataFrame, path: str) -> None:
-    """(block_name, index, surrogate_index), one partition per block, never overwritten."""
-    map_.write.partitionBy("block_name").mode("errorifexists").parquet(path)
+def block_fingerprints(variants: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block_name, fingerprint): a block's name, population and variants with their indices and
+    alleles, in any order: a sum of row hashes, so it is found by partial aggregation."""
+    row = F.xxhash64("index", "site_ids", "position", "anc_alleles", "deriv_alleles")
+    per = variants.groupBy("block_id").agg(F.count("*").alias("_n"), F.bit_xor(row).alias("_x"), F.sum(F.pmod(row, F.lit(1 << 40))).alias("_s"))
+    named = blocks.select("block_id", F.col("name").alias("block_name"), *[F.col(c) for c in ("population",) if c in blocks.columns])
+    more = [c for c in named.columns if c not in ("block_id", "block_name")]
+    return named.join(per, "block_id").select("block_name", F.xxhash64("block_name", *more, "_n", "_x", "_s").alias("fingerprint"))
+
+
+# Fixed values of a surrogate map's contract: its version, and what its indices count.
+SURROGATE_FORMAT, SURROGATE_COORDINATES = "1", "block index"
+
+
+def write_surrogates(map_: DataFrame, path: str, fingerprints: DataFrame | None = None) -> None:
+    """(block_name, index, surrogate_index), one partition per block, never overwritten; with
+    the fingerprints of the blocks it was made for, and the contract's version, beside it."""
+    map_.write.partitionBy("block_name").mode("errorifexists").parquet(f"{path}/map")
+    if fingerprints is not None:
+        stamped = fingerprints.withColumns({"format": F.lit(SURROGATE_FORMAT), "coordinates": F.lit(SURROGATE_COORDINATES)})
+        stamped.join(map_.select("block_name").distinct(), "block_name").coalesce(1).write.mode("errorifexists").parquet(f"{path}/blocks")
 
 
 def read_surrogates(spark: SparkSession, path: str, block: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("block_name") == block)
+    return spark.read.parquet(f"{path}/map").where(F.col("block_name") == block)
+
+
+def read_surrogate_map(spark: SparkSession, path: str, fingerprints: DataFrame) -> DataFrame:
+    """The map, if it was made for these blocks; raises ValueError if it has no contract or
+    another version, lacks a block, or if a block's variants or population differ."""
+    try:
+        made = spark.read.parquet(f"{path}/blocks")
+    except AnalysisException as e:
+        raise ValueError(f"{path} is no surrogate map with fingerprints; make it again") from e
+    if not made.where((F.col("format") != SURROGATE_FORMAT) | (F.col("coordinates") != SURROGATE_COORDINATES)).isEmpty():
+        raise ValueError(f"{path} is of another format; make it again")
+    both = fingerprints.join(made.select("block_name", F.col("fingerprint").alias("_made")), "block_name", "left")
+    other = [r.block_name for r in both.where(~F.col("_made").eqNullSafe(F.col("fingerprint"))).select("block_name").orderBy("block_name").limit(5).collect()]
+    if other:
+        raise ValueError(f"{path} was made for other blocks than {other}")
+    return spark.read.parquet(f"{path}/map")
 
 
 def write_tsv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("errorifexists").csv(path, sep="\t", header=True)
 
 
+# The columns of a table of results.
+RESULT_COLUMNS = ["name", *[f"{q}{s}" for q in ("enrichment", "heritability", "parameter") for s in ("", "_SE", "_log10pval")]]
+
+
 def write_tall_results(rows: DataFrame, path: str) -> None:
-    """One row per annotation and statistic; refuses to overwrite."""
-    write_tsv(rows, path, one_file=True)
+    """One row per annotation, as comma-separated values; refuses to overwrite."""
+    mine = {"name": "annotation"} | {c: c.replace("_SE", "_se").replace("_log10pval", "_log10p") for c in RESULT_COLUMNS[1:]}
+    rows.select(*[F.col(mine[c]).alias(c) for c in RESULT_COLUMNS]).coalesce(1).write.mode("errorifexists").csv(path, header=True)
 
 
 def write_convergence(fit: dict, path: str, spark: SparkSession) -> None:

@@ -45,8 +45,8 @@ def run(spark, *args):
     return cli.main([str(a) for a in args], spark)
 
 
-def table(spark, path):
-    return {r[0]: r.asDict() for r in spark.read.csv(str(path), sep="\t", header=True, inferSchema=True).collect()}
+def table(spark, path, sep="\t"):
+    return {r[0]: r.asDict() for r in spark.read.csv(str(path), sep=sep, header=True, inferSchema=True).collect()}
 
 
 def test_blup_clump_and_surrogates(spark, files, tmp_path):
@@ -57,7 +57,7 @@ def test_blup_clump_and_surrogates(spark, files, tmp_path):
     run(spark, "clump", root / "one.sumstats", tmp_path / "clump", "--min-chisq", "1", *where)
     assert 0 < len(table(spark, tmp_path / "clump")) < 24
     run(spark, "surrogates", root / "one.sumstats", tmp_path / "map", *where)
-    assert spark.read.parquet(str(tmp_path / "map")).where("index = surrogate_index").count() == 24
+    assert spark.read.parquet(str(tmp_path / "map" / "map")).where("index = surrogate_index").count() == 24
 
 
 def test_reml_writes_a_store_that_test_and_convert_read(spark, files, tmp_path):
@@ -66,7 +66,7 @@ def test_reml_writes_a_store_that_test_and_convert_read(spark, files, tmp_path):
     scores = tmp_path / "scores"
     run(spark, "reml", root / "one.sumstats", tmp_path / "out", "--annot-dir", root / "annot", "--gene-annot-dir", root / "sets", "--genes", root / "genes.tsv",
         "--scores", scores, "--hessian", "--convergence", tmp_path / "steps", "--max-chisq", "1000", "--trait", "t", *where)
-    assert set(table(spark, tmp_path / "out")) == {"base", "coding", "score", "low", "high"}
+    assert set(table(spark, tmp_path / "out", ",")) == {"base", "coding", "score", "low", "high"}
     steps = table(spark, tmp_path / "steps")
     assert [steps[k]["log_likelihood"] for k in sorted(steps)] == sorted(s["log_likelihood"] for s in steps.values())
     store = ScoreStore(spark, str(scores))
