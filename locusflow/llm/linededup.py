@@ -7,10 +7,12 @@ them has no variable field, whichever places vary; lines are only compared with
 that agree in a group, if ``needed`` lines do and not all are of one text.  Among these, the
 token at a place is constant if lines of ``needed`` different texts have it there, and a
 variable field otherwise; a line's template is what is left of it when its variable
-fields are taken out.  A template has at least ``LEAST`` constants, which are at least
-``SHARE`` of the tokens without digits, and at most ``FIELDS`` variable fields besides
-those with digits: a word alone on its line is no pattern, since prose has such lines by
-chance.
+fields are taken out.  A template has a constant at least, its constants are at least
+``SHARE`` of the tokens without digits, and it has at most ``FIELDS`` variable fields
+besides those with digits, so ``Page <number>`` and ``Share`` are templates.  A word
+alone on its line that ends as a sentence does (``ENDS``) is prose and none: on the
+documents of sf0.1 these are 1,149 of 89,115 lines, ``Les.`` or ``And.``, and all that
+templates of one constant would take.
 
 A template recurs if ``needed`` documents hold it of which no two are near copies:
 ``min_docs``, or two if the line has more than ``LONG`` tokens.  Its lines are dropped
@@ -24,10 +26,11 @@ partial aggregations; tokens are only written for lines that share a group (a bi
 filter of fixed size spares most others), sketches only for texts that hold a template,
 and texts that lose nothing aren't shuffled.  Holders are compared with one or two leaders each, never with one another.
 
-Defined results: null text counts as empty and stays null; blank lines, lines of one
-word and lines of variable fields alone are never dropped; a line repeated inside one document counts
+Defined results: null text counts as empty and stays null; blank lines, sentences of
+one word and lines of variable fields alone are never dropped; a line repeated inside one document counts
 once; repeated rows and equal texts are treated alike; null ids are like others; an
-empty table gives no rows; other columns pass through unread.
+empty table gives no rows; other columns pass through unread.  A very long text is parsed
+in one task, some tens of bytes a word.
 """
 
 from __future__ import annotations
@@ -43,7 +46,9 @@ from .hashing import mix, releasing, shingles, slices, text_bytes, word_spans, w
 MIN_DOCS = 3
 #: Passages of more tokens recur from two documents on.
 LONG = 50
-LEADING, LEAST, SHARE, FIELDS = 3, 2, 0.75, 4
+LEADING, SHARE, FIELDS = 3, 0.75, 4
+#: How a sentence ends.
+ENDS = tuple(x.encode() for x in ".!?…。")
 SKETCH, NEAR = 128, 0.5
 SLOTS = 1 << 19
 #: Bytes of text whose lines are parsed together.
@@ -66,6 +71,9 @@ def _parsed(column: pa.Array):
     lo = np.searchsorted(begin, starts)
     n = np.searchsorted(begin, np.r_[starts[1:], len(data)] if len(starts) else starts) - lo
     keep = np.flatnonzero(n > 0)
+    for t in np.flatnonzero(n == 1):  # a word that is a sentence stands as a variable field
+        if data[begin[lo[t]]: starts[t + 1] if t + 1 < len(starts) else len(data)].tobytes().rstrip(b"\t\n\v\f\r ").endswith(ENDS):
+            digit[lo[t]] = True
     row, number, n, lo = row[keep], number[keep], n[keep], lo[keep]
     line = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(hashes)) - lo[line]
@@ -81,7 +89,8 @@ def _parsed(column: pa.Array):
     np.add.at(sums.ravel(), line[inner] * (FIELDS + 1) + place[inner] % most[line[inner]], mark[inner])
     which = np.arange(FIELDS + 1)
     groups = (mix(sums ^ mix(leaf)[:, None] ^ mix(which.astype(np.uint64))[None, :]) >> np.uint64(17)).astype(np.int64) * 2 + 2 + (n > LONG)[:, None]
-    groups = np.where(which[None, :] < most[:, None], groups, 0)
+    plain = np.r_[0, np.cumsum(token != 0)]
+    groups = np.where((which[None, :] < most[:, None]) & (plain[lo + n] > plain[lo])[:, None], groups, 0)  # without a plain token no template
     return row, number, n, key.view(np.int64), leaf.view(np.int64), groups, token, lo
 
 
@@ -179,7 +188,7 @@ def line_templates(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_doc
     whole = F.aggregate("marks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
     solid = keys.withColumn("plain", F.size("marks")).withColumn("all", whole).select("leaf", "key", "needed", "texts", "all", "plain").join(fields, ["leaf", "key"], "left")
     constant = F.col("plain") - F.coalesce("fields", F.lit(0))
-    solid = solid.where((constant >= LEAST) & (constant >= SHARE * F.col("plain")) & (F.coalesce("fields", F.lit(0)) <= FIELDS))
+    solid = solid.where((constant >= 1) & (constant >= SHARE * F.col("plain")) & (F.coalesce("fields", F.lit(0)) <= FIELDS))
     named = scratch.save(solid.select("key", "needed", "texts", F.xxhash64("leaf", F.col("all").bitwiseXOR(F.coalesce("out", F.lit(0).cast("long")))).alias("template")))
     may = named.groupBy("template").agg(F.sum("texts").alias("held"), F.max("needed").alias("needed")).where("held >= needed").select("template")
     return scratch.save(named.join(may, "template").select("key", "template", "needed"))
