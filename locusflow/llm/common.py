@@ -157,6 +157,22 @@ def rank_within(rows: DataFrame, keys: list[str], name: str, scratch: Scratch, c
     return dealt.join(starts, [*keys, part]).withColumn(name, F.col(before) + inside).drop(row, part, before)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join of ``left`` (saved) with ``right``, whose keys are unique: a key that more
+    than one in ``share`` rows of ``left`` have is dealt over many partitions, and its row of
+    ``right`` goes to each.  There are at most ``share`` such keys."""
+    total = left.count()
+    counts = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * share > total)
+    hot = {r[key]: min(n_partitions(left.sparkSession), -(-r["_n"] * share // total)) for r in counts.where(F.col(key).isNotNull()).collect()}
+    if not hot:
+        return left.join(right, key, "left")
+    table_ = left.sparkSession.createDataFrame(list(hot.items()), f"`{key}` {dict(left.dtypes)[key]}, _parts int")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(F.broadcast(table_), key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+    copies = right.join(F.broadcast(table_), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of ``edges`` (src, dst): rows (node, component), component
     the smallest node reachable.  Nodes without an edge don't appear.

@@ -7,33 +7,33 @@ Viterbi search (word counts from the titles of all pages, unknown words by lengt
 paths at non-alphanumerics, numbers become one token.  The classifier is fitted on all
 tokens of a bounded sample of urls that rules decide.
 
-Scale: the word counts stay a table.  The substrings of each different host label (at
-most 63 characters; what is longer is no name and stays whole) are joined to it, and a
-label is searched with what it has found; hosts and pages then take their words by joins.
+Scale: the word counts stay a table.  The substrings of each different host label, of the
+lengths that words have, are joined to it, and a label is searched with what it has found,
+in time of its length and its finds, whatever that length is; hosts and pages then take
+their words by joins that deal out labels and hosts which many rows have.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; with
-nothing to fit on (no url under a rule of either kind) the verdict is allow; repeated
+nothing to fit on (no url under a rule of either kind) the verdict is allow; a host label
+or title word of any length counts; repeated
 rows are judged alike; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from math import log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_sample, table
+from .common import Scratch, hash_sample, spread_join, table
 
 #: (verdict, host and path prefix)
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 #: Labelled urls of the fitting sample, about.
 TRAIN_ROWS = 50_000
-#: Fixed value: the longest label of a host name.
-LABEL = 63
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,18 +55,29 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return out
 
 
-def likeliest_words(name: str, count: Callable[[int, int], int | None], total: int) -> list[str]:
-    """The split of ``name`` with the largest product of word probabilities; ``count(start,
-    end)`` is that of a known word.  Of equal ones, the longest last word."""
-    best, back = [0.0], [0]
-    for end in range(1, len(name) + 1):
-        def cost(start: int, end: int = end) -> float:
-            n = count(start, end)
-            return -log(n / total) if n else log(total) + 2.302585 * (end - start)
+#: Cost of a letter in an unknown word: ten letters to choose from.
+_LETTER = log(10)
+
 
-        c, start = min((best[s] + cost(s), s) for s in range(end))
+def likeliest_words(name: str, known: Iterable[tuple[int, int, int]], total: int) -> list[str]:
+    """The split of ``name`` with the largest product of word probabilities; ``known`` has
+    (start, end, count) of the known words in it.  Of equal ones, the longest last word.
+
+    An unknown word costs by its length alone and never less than a known one, so the best
+    start of one is carried along instead of being searched for at every end.
+    """
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for a, b, n in known:
+        ending.setdefault(b, []).append((a, n))
+    best, back, low, low_at = [0.0], [0], 0.0, 0
+    for end in range(1, len(name) + 1):
+        c, start = log(total) + _LETTER * end + low, low_at
+        for a, n in ending.get(end, ()):
+            c, start = min((c, start), (best[a] - log(n / total), a))
         best.append(c)
         back.append(start)
+        if c - _LETTER * end < low:
+            low, low_at = c - _LETTER * end, end
     out, end = [], len(name)
     while end:
         out.append(name[back[end]: end])
@@ -76,32 +87,31 @@ def likeliest_words(name: str, count: Callable[[int, int], int | None], total: i
 
 def segmenter(counts: dict[str, int]) -> Callable[[str], list[str]]:
     """Splits a concatenated name into the likeliest words of a small table."""
-    total = sum(counts.values()) or 1
-    return lambda name: likeliest_words(name, lambda a, b: counts.get(name[a:b]), total)
+    total, sizes = sum(counts.values()) or 1, sorted({len(w) for w in counts})
+    found = lambda name: [(a, a + k, n) for k in sizes for a in range(len(name) - k + 1) if (n := counts.get(name[a: a + k]))]
+    return lambda name: likeliest_words(name, found(name), total)
 
 
 def _segmented(total: int):
     def run(batches):
         for batch in batches:
-            words = []
-            for label, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                known = {(r["a"], r["a"] + r["k"]): r["n"] for r in found or ()}
-                words.append(likeliest_words(label, lambda a, b: known.get((a, b)), total))  # noqa: B023
+            words = [likeliest_words(label, [(r["a"], r["a"] + r["k"], r["n"]) for r in found or ()], total) for label, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
     return run
 
 
 def host_words(hosts: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, words): the words of every different host in order, its last label at the end."""
-    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.length("w")), F.lit(1))).first()
+    total, sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sort_array(F.collect_set(F.length("w")))).first()
     labels = hosts.select("host").distinct().select("host", F.posexplode(F.filter(F.split("host", "[^0-9a-z]+"), lambda x: x != "")).alias("at", "label"))
     labels = scratch.save(labels)
-    names = labels.select("label").distinct().where(~F.col("label").rlike("^[0-9]+$") & (F.length("label") <= LABEL))
-    parts = names.withColumn("a", F.explode(F.sequence(F.lit(0), F.length("label") - 1))).withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("label") - F.col("a")))))
+    names = labels.select("label").distinct().where(~F.col("label").rlike("^[0-9]+$"))
+    fits = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda k: k <= F.length("label") - F.col("a"))
+    parts = names.withColumn("a", F.explode(F.sequence(F.lit(0), F.length("label") - 1))).withColumn("k", F.explode(fits))
     known = parts.withColumn("w", F.substring("label", F.col("a") + 1, F.col("k"))).join(counts, "w").groupBy("label").agg(F.collect_list(F.struct("a", "k", "n")).alias("found"))
     split = names.join(known, "label", "left").mapInArrow(_segmented(max(1, total)), "label string, words array<string>")
     rest = F.when(F.col("label").rlike("^[0-9]+$"), "#").otherwise(F.col("label"))
-    each = labels.join(split, "label", "left").select("host", "at", F.coalesce("words", F.array(rest)).alias("words"), "label")
+    each = spread_join(labels, split, "label").select("host", "at", F.coalesce("words", F.array(rest)).alias("words"), "label")
     inside = F.transform(F.sort_array(F.collect_list(F.struct("at", "words", "label"))), lambda x: F.transform(x["words"], lambda w: F.concat(F.lit("h:"), w)))
     last = F.concat(F.lit("tld:"), F.max_by("label", "at"))
     return each.groupBy("host").agg(F.concat(F.flatten(inside), F.array(last)).alias("words"))
@@ -145,7 +155,7 @@ def _scores(model):
 def title_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(w, n): all words of all titles (lower case, letters and digits) and their counts."""
     title = F.translate(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<title>(.*?)</title>", 1), _UPPER, _LOWER)
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).where(F.length("w") <= LABEL)
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
     return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
@@ -161,7 +171,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, train_ro
     scratch = Scratch(spark)
     parsed = scratch.save(parsed_urls(pages, rules, id_col, url_col))
     words = scratch.save(host_words(parsed, scratch.save(title_words(pages, html_col)), scratch))
-    with_words = lambda rows: rows.join(words, "host", "left").select(*rows.columns, "words")
+    with_words = lambda rows: spread_join(rows, words, "host").select(*rows.columns, "words")
     sample = scratch.save(hash_sample(parsed.where("rule IS NOT NULL"), train_rows, ["page_id", "host", "path"]))
     tokens = with_words(sample).select("verdict", "words", "path").mapInArrow(_tokens, "verdict string, tokens array<string>")
     counts = tokens.select("verdict", F.explode("tokens").alias("token")).groupBy("token", "verdict").agg(F.count("*").alias("n")).collect()  # bounded by the sample

@@ -356,16 +356,30 @@ def test_host_words_are_those_of_the_whole_table(spark):
     rng = random.Random(3)
     known = ["red", "fox", "redf", "shop", "the", "s", "online", "x" * 40]
     counts = {w: rng.randrange(1, 90) for w in known}
-    hosts = ["".join(rng.choice([*known, "zq", "7"]) for _ in range(rng.randrange(1, 5)))[:63] + rng.choice([".com", ".co.uk", "", "-2.net"]) for _ in range(60)] + ["", "12.34", "y" * 70 + ".org", "thefox.thefox"]
+    hosts = ["".join(rng.choice([*known, "zq", "7"]) for _ in range(rng.randrange(1, 5))) + rng.choice([".com", ".co.uk", "", "-2.net"]) for _ in range(60)] + ["", "12.34", "y" * 70 + ".org", "thefox.thefox", "redfox" * 400 + "zq.net", *["www.thefox.com"] * 40]
     rows = spark.createDataFrame([(h,) for h in hosts], "host string")
     got = {r.host: r.words for r in urls.host_words(rows, spark.createDataFrame(list(counts.items()), "w string, n long"), Scratch(spark)).collect()}
     split = urls.segmenter(counts)
     for h in set(hosts):
         labels = [x for x in re.split("[^0-9a-z]+", h) if x]
-        words = [w for x in labels for w in (["#"] if x.isdigit() else [x] if len(x) > 63 else split(x))]
+        words = [w for x in labels for w in (["#"] if x.isdigit() else split(x))]
         assert got.get(h, []) == ([f"h:{w}" for w in words] + [f"tld:{labels[-1]}"] if labels else [])
 
 
+def test_long_labels_are_searched_like_short_ones():
+    """The carried start of unknown words against a search of all starts."""
+    rng = random.Random(9)
+    counts = {"ab": 5, "abc": 2, "c": 9, "bca": 1, "x" * 80: 3}
+    total, cost = sum(counts.values()), lambda w: -np.log(counts[w] / sum(counts.values())) if w in counts else np.log(sum(counts.values())) + np.log(10) * len(w)
+    for n in (1, 5, 30, 63, 64, 65, 200):
+        name = "".join(rng.choice(["a", "b", "c", "ab", "x" * 80]) for _ in range(n))
+        best = [0.0]
+        for end in range(1, len(name) + 1):
+            best.append(min(best[s] + cost(name[s:end]) for s in range(end)))
+        got = urls.segmenter(counts)(name)
+        assert "".join(got) == name and sum(map(cost, got)) == pytest.approx(best[-1]) and total
+
+
 def test_url_columns_match_sql(spark):
     """What rules decide, against SQL over all pages."""
     import duckdb
