@@ -112,7 +112,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
 
 
 def reml_annotations(spark: SparkSession, args: argparse.Namespace, variants) -> tuple:
-    """(annotations by SNP, their names): files, gene sets or both, over the blocks' variants."""
+    """(annotations by SNP, their names): files or gene sets, over the blocks' variants; without
+    either the one annotation that all have."""
+    if args.annot_dir and args.gene_annot_dir:
+        raise ValueError("a folder of annotations or of gene sets, not both")
     if args.annot_dir:
         annots = annotations.load_annotations(spark, args.annot_dir, args.chromosome)
         names = [c for c in annots.columns if c not in annotations.COORDINATES]
@@ -125,7 +128,7 @@ def reml_annotations(spark: SparkSession, args: argparse.Namespace, variants) ->
             raise ValueError("gene sets need a gene table")
         places = annots.select(F.col("SNP").alias("variant_id"), "CHR", "POS").dropDuplicates(["variant_id"])
         sets, more = annotations.gene_set_columns(spark, args.gene_annot_dir, places, annotations.load_gene_table(spark, args.genes, args.chromosome))
-        annots, names = annots.join(sets.withColumnRenamed("variant_id", "SNP"), "SNP"), [*names, *more]
+        annots, names = annots.join(sets.withColumnRenamed("variant_id", "SNP"), "SNP"), more
     names = [c for c in names if not args.annot_names or c in args.annot_names]
     return annots.select("SNP", "CHR", "POS", *[F.col(c).cast("double").alias(c) for c in names]), names
 
@@ -175,7 +178,12 @@ def _reml(spark: SparkSession, args: argparse.Namespace, blocks, edges, variants
 def _store(spark: SparkSession, args: argparse.Namespace) -> object:
     s = store.ScoreStore(spark, args.store)
     if args.command == "show":
-        out = {"traits": s.traits(), "groups": s.groups(), "rows": s.rows().count(), "columns": s.rows().columns}
+        rows, traits = s.rows(), s.traits()
+        out = {"traits": traits, "groups": s.groups(), "rows": rows.count(), "columns": rows.columns, "datasets": {"rows": dict(rows.dtypes)}}
+        if traits:
+            counts = {r.trait: r.n for r in s.load_traits(traits).groupBy("trait").agg(F.count("*").alias("n")).collect()}  # a row per trait
+            own = {t: {c: k for c, k in s.load_trait(t).dtypes if c not in rows.columns} for t in traits}
+            out["datasets"] |= {t: {"rows": counts.get(t, 0), **own[t]} for t in traits}
         print(out)
         return out
     if args.command == "add-meta":
@@ -198,8 +206,10 @@ def test_annotations(spark: SparkSession, args: argparse.Namespace, s: store.Sco
     their keys, and the annotations of a table, files, gene sets and chance as sparse entries."""
     rows, (kind, keys) = s.rows(), s.meta()
     tested, names, parts = rows.select("ordinal", *keys, *[c for c in ("CHR", "POS") if c in rows.columns and c not in keys]), [], []
-    if sum(map(bool, (args.annotations, args.annot_dir))) > 1:
-        raise ValueError("a table or a folder of annotations, not both")
+    if sum(map(bool, (args.annotations, args.annot_dir, args.gene_annot_dir, args.random_genes, args.random_variants))) != 1:
+        raise ValueError("exactly one source of annotations is needed")
+    if args.random_variants and kind == "gene":
+        raise ValueError("random variants need a store at variant level")
     if args.annotations:
         table = spark.read.csv(args.annotations, sep="\t", header=True, inferSchema=True)
         names += [c for c in table.columns if c not in keys]

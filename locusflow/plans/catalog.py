@@ -175,9 +175,13 @@ def q_gene_scatter(spark, d):
     return A.genes_from_variants(_nearest(spark, d), v, genes(spark, d)).withColumn("gradient", F.round("gradient", 6)).withColumn("jk", F.col("jk").cast("long"))
 
 
-@query("SELECT i AS block, CASE WHEN i < 16 * 12 THEN i // 16 ELSE 12 + (i - 16 * 12) // 15 END AS jk FROM range(0, 1512) t(i) WHERE i < 1512")
+@query("""WITH b AS (SELECT p_partkey AS block_id, row_number() OVER (ORDER BY p_partkey) - 1 AS i, (SELECT count(*) FROM part) AS n FROM part), q AS (SELECT *, n // least(97, n) AS each, n % least(97, n) AS more FROM b)
+SELECT block_id, (CASE WHEN i < more * (each + 1) THEN i // (each + 1) ELSE more + (i - more * (each + 1)) // each END)::BIGINT AS jk FROM q""")
 def q_jackknife_groups(spark, d):
-    return spark.range(1512).select(F.col("id").alias("block"), jackknife_group(F.col("id"), 1512, 100).alias("jk"))
+    """Blocks in order, in 97 runs of equal length, the first ones a block longer."""
+    b = blocks(spark, d).select("block_id", F.lit(1).alias("one"))
+    placed = A.offsets(b, "one", "block_id", "at")
+    return placed.select("block_id", jackknife_group(F.col("at"), b.count(), 97).alias("jk"))
 
 
 @query("""SELECT o_orderkey AS rid, CASE WHEN o_orderstatus = 'F' AND o_custkey % 3 = 0 THEN 1.0 WHEN o_orderstatus = 'O' AND o_custkey % 3 = 0 THEN -1.0
@@ -342,6 +346,52 @@ def q_clump_identity(spark, d):
     return M.clump(lists, stats, edges, stats.select("ordinal", "Z"), 0.1, 2.0).select(F.col("ordinal").alias("rid"), "is_index")
 
 
+@query(f"""WITH {_BLOCKS} SELECT a.rid, c.twin, round(sum(1.5 * b.z * pow(0.8, abs(a.x - b.x))), 6) AS x FROM w a JOIN w b ON a.jk = b.jk CROSS JOIN (VALUES (0), (1)) c(twin) GROUP BY a.rid, c.twin""")
+def q_variant_solve(spark, d):
+    """Two variants at every index, of which the second has half the first one's value."""
+    lists, stats, edges = ordered_blocks(spark, d, RHO)
+    rows = lists.join(stats.select("ordinal", F.col("Z").alias("b")), "ordinal").select("block_id", "index", "ordinal", "b")
+    out = M.variant_solve(rows.unionByName(rows.withColumns({"ordinal": F.col("ordinal") + 1_000_000_000, "b": F.col("b") / 2})), edges)
+    twin = (F.col("ordinal") >= 1_000_000_000).cast("int")
+    return out.select((F.col("ordinal") - twin * 1_000_000_000).alias("rid"), twin.alias("twin"), F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS}, m AS (SELECT 0.2 / count(*) AS s FROM v), q AS (SELECT *, CASE WHEN n = 1 THEN 1.0 WHEN x > 0 AND x < n - 1 THEN 1.64 / 0.36 ELSE 1 / 0.36 END AS p FROM w),
+u AS (SELECT jk, x, n, rid, p + 1000 * s AS a, p * z - 0.8 / 0.36 * (coalesce(lag(z) OVER y, 0) + coalesce(lead(z) OVER y, 0)) AS b, s FROM q, m WINDOW y AS (PARTITION BY jk ORDER BY x)),
+f AS (SELECT jk, x, a::DOUBLE AS d, b::DOUBLE AS t FROM u WHERE x = 0 UNION ALL SELECT u.jk, u.x, u.a - (0.8 / 0.36) * (0.8 / 0.36) / f.d, u.b + (0.8 / 0.36) / f.d * f.t FROM f JOIN u ON u.jk = f.jk AND u.x = f.x + 1),
+g AS (SELECT f.jk, f.x, f.t / f.d AS w FROM f JOIN u USING (jk, x) WHERE f.x = u.n - 1 UNION ALL SELECT f.jk, f.x, (f.t + 0.8 / 0.36 * g.w) / f.d FROM g JOIN f ON f.jk = g.jk AND f.x = g.x - 1)
+SELECT rid, round(sqrt(1000) * s * w, 9) AS weight FROM g JOIN u USING (jk, x)""")
+def q_blup_tridiagonal(spark, d):
+    """Weights in blocks of neighbours; the SQL eliminates forth and back, index by index."""
+    lists, stats, edges = ordered_blocks(spark, d, RHO)
+    return M.blup(lists, stats, edges, 0.2, 1000.0).select(F.col("ordinal").alias("rid"), F.round("weight", 9).alias("weight"))
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS}, o AS (SELECT jk, x, row_number() OVER (PARTITION BY jk ORDER BY z * z DESC, x) AS k FROM w WHERE z * z >= 2),
+r AS (SELECT jk, 0::BIGINT AS k, []::INT[] AS leads FROM (SELECT DISTINCT jk FROM o) UNION ALL
+  SELECT r.jk, r.k + 1, CASE WHEN len(list_filter(r.leads, lambda l: abs(l - o.x) <= 5)) = 0 THEN list_append(r.leads, o.x) ELSE r.leads END FROM r JOIN o ON o.jk = r.jk AND o.k = r.k + 1),
+f AS (SELECT jk, unnest(max_by(leads, k)) AS x FROM r GROUP BY jk) SELECT rid, f.x IS NOT NULL AS is_index FROM w LEFT JOIN f ON w.jk = f.jk AND w.x = f.x""")
+def q_clump_neighbours(spark, d):
+    """An index variant prunes what it correlates with by 0.1 or more, which here is up to five
+    places away (0.64 ^ 5 = 0.107)."""
+    lists, stats, edges = ordered_blocks(spark, d, RHO)
+    return M.clump(lists, stats, edges, stats.select("ordinal", "Z"), 0.1, 2.0).select(F.col("ordinal").alias("rid"), "is_index")
+
+
+@query(f"""WITH {_BLOCKS}, s AS (SELECT jk, pos, rid AS stats_ordinal, z, rid % 3 AS k FROM w UNION ALL SELECT jk, pos, rid + 1000000000, z + 1, 1 FROM w WHERE rid % 7 = 0),
+m AS (SELECT w.jk, w.x, w.rid, stats_ordinal, CASE WHEN k = 0 THEN 1.0 ELSE -1.0 END AS phase, s.z * CASE WHEN k = 0 THEN 1 ELSE -1 END AS z FROM w JOIN s ON w.jk = s.jk AND w.pos = s.pos WHERE k < 2)
+SELECT rid, stats_ordinal, phase, round(z, 9) AS z, (row_number() OVER (PARTITION BY jk, x ORDER BY rid, stats_ordinal) = 1)::INT AS is_representative FROM m""")
+def q_merge_by_position(spark, d):
+    """Statistics matched by position: alleles as in the list, swapped, or others, which go; a
+    seventh of them twice, so that one of two represents its index."""
+    lists, stats, _ = ordered_blocks(spark, d)
+    k = F.col("ordinal") % 3
+    turned = stats.withColumns({"A1": F.when(k == 0, "c").when(k == 1, "A").otherwise("G"), "A2": F.when(k == 0, "a").when(k == 1, "C").otherwise("T")})
+    again = stats.where("ordinal % 7 = 0").withColumns({"ordinal": F.col("ordinal") + 1_000_000_000, "Z": F.col("Z") + 1, "A1": F.lit("A"), "A2": F.lit("C")})
+    out = J.merge_snplists(lists, turned.unionByName(again), by_position=True, add_allelic=("Z",))
+    return out.select(F.col("ordinal").alias("rid"), "stats_ordinal", "phase", F.round("Z", 9).alias("z"), F.col("is_representative").cast("int").alias("is_representative"))
+
+
 @query(f"""WITH {_V}, x AS (SELECT jk, z, 0.5 + a1 AS m FROM v) SELECT jk, round(-0.5 * sum(ln(2 * pi()) + ln(m) + z * z / m), 5) AS ll FROM x GROUP BY jk""")
 def q_loglik_diagonal(spark, d):
     lists, stats, edges = ordered_blocks(spark, d)

@@ -9,7 +9,7 @@ from ..functions.ordinal import with_ordinal
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..sources import annotations as N
-from ..sources import ldgm, store, sumstats
+from ..sources import bgzf, ldgm, store, sumstats
 from .catalog import _LOO, _V, _t, genes, query, variants
 from .files import scratch_path, written, written_lines
 
@@ -34,19 +34,47 @@ def q_read_ldsc(spark, d):
     return out.groupBy(F.col("ALT").alias("alt")).agg(F.count("*").alias("n"), F.sum("POS").alias("pos"), F.round(F.sum(F.when(good, F.col("Z"))), 4).alias("z"), F.count_if(~good | F.isnan("Z")).alias("odd"))
 
 
-@query(f"""WITH {_STATS}, k AS (SELECT *, beta / se AS z FROM s WHERE se <> 0 AND chr BETWEEN 1 AND 22 AND (rid % 3 = 0 OR rid % 3 = 1) AND n >= 0.9 * (SELECT max(n) FROM s WHERE se <> 0 AND chr BETWEEN 1 AND 22))
-SELECT chr AS chr, count(*) AS n, sum(pos)::BIGINT AS pos, round(sum(z), 4) AS z, count(af) AS n_af FROM (SELECT *, CASE WHEN rid % 3 = 0 THEN 0.5 END AS af FROM k) GROUP BY 1""")
+_VCF_SQL = f"""WITH {_STATS}, k AS (SELECT *, beta / se AS z FROM s WHERE se <> 0 AND chr BETWEEN 1 AND 22 AND (rid % 3 = 0 OR rid % 3 = 1) AND n >= 0.9 * (SELECT max(n) FROM s WHERE se <> 0 AND chr BETWEEN 1 AND 22))
+SELECT chr AS chr, count(*) AS n, sum(pos)::BIGINT AS pos, round(sum(z), 4) AS z, count(af) AS n_af FROM (SELECT *, CASE WHEN rid % 3 = 0 THEN 0.5 END AS af FROM k) GROUP BY 1"""
+
+
+@query(_VCF_SQL)
 def q_read_vcf(spark, d):
     """Rows with a FORMAT each, of which a third is left out by an empty field."""
+    path = written_lines(_vcf_rows(spark, d), ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"], VCF_COLUMNS, ".vcf")
+    return _vcf_sums(sumstats.read_gwas_vcf(spark, path))
+
+
+VCF_COLUMNS = ["c", "pos", "id", "ref", "a1", "q", "f", "i", "form", "sample"]
+
+
+def _vcf_rows(spark, d):
     s = _stats(spark, d)
     third, n = F.col("rid") % 3, F.coalesce(F.col("n").cast("string"), F.lit("."))
     fields = F.when(third == 0, F.concat_ws(":", F.col("beta").cast("string"), F.col("se").cast("string"), F.lit("1"), n, F.lit("0.5"))).when(third == 1, F.concat_ws(":", n, F.col("se").cast("string"), F.col("beta").cast("string"), F.lit("1"))).otherwise(F.concat_ws(":", F.lit("."), F.col("se").cast("string"), F.lit("1"), n))
     form = F.when(third == 0, "ES:SE:LP:NS:AF").when(third == 1, "NS:SE:ES:LP").otherwise("ES:SE:LP:NS")
     chrom = F.when(F.col("chr") > 22, "X").when(third == 0, F.concat(F.lit("chr"), F.col("chr").cast("string"))).otherwise(F.col("chr").cast("string"))
-    s = s.where("chr > 0").select("rid", chrom.alias("c"), "pos", F.col("rid").cast("string").alias("id"), F.lit("A").alias("ref"), "a1", F.lit(".").alias("q"), F.lit("PASS").alias("f"), F.lit("x").alias("i"), form.alias("form"), fields.alias("sample"))
-    path = written_lines(s, ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"], ["c", "pos", "id", "ref", "a1", "q", "f", "i", "form", "sample"], ".vcf")
-    out = sumstats.read_gwas_vcf(spark, path).where(F.abs("Z") < float("inf"))
-    return out.groupBy(F.col("CHR").alias("chr")).agg(F.count("*").alias("n"), F.sum("POS").alias("pos"), F.round(F.sum("Z"), 4).alias("z"), F.count("AF").alias("n_af"))
+    return s.where("chr > 0").select("rid", chrom.alias("c"), "pos", F.col("rid").cast("string").alias("id"), F.lit("A").alias("ref"), "a1", F.lit(".").alias("q"), F.lit("PASS").alias("f"), F.lit("x").alias("i"), form.alias("form"), fields.alias("sample"))
+
+
+def _vcf_sums(out):
+    return out.where(F.abs("Z") < float("inf")).groupBy(F.col("CHR").alias("chr")).agg(F.count("*").alias("n"), F.sum("POS").alias("pos"), F.round(F.sum("Z"), 4).alias("z"), F.count("AF").alias("n_af"))
+
+
+@query(_VCF_SQL)
+def q_read_bgzf_vcf(spark, d):
+    """The same file compressed in blocks, read in many ranges of 10,000 bytes."""
+    path = scratch_path(spark) + ".vcf.gz"
+    head = ["##fileformat=VCFv4.2", *[f'##FORMAT=<ID={k},Number=A,Type=Float,Description="x">' for k in ("ES", "SE", "LP", "NS", "AF")], "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]
+    body = _vcf_rows(spark, d).select("rid", F.concat_ws("\t", *[F.col(c).cast("string") for c in VCF_COLUMNS]).alias("value"))
+
+    def write(rows):
+        if (first := next(rows, None)) is not None:
+            lines = (f"{x}\n".encode() for x in [*head, first.value])
+            bgzf.write_bgzf(iter([*lines, *(f"{r.value}\n".encode() for r in rows)]), path, 9000)
+
+    body.repartition(1).sortWithinPartitions("rid").select("value").foreachPartition(write)
+    return _vcf_sums(sumstats.read_gwas_vcf(spark, path, split=10_000))
 
 
 @query("""SELECT o_orderkey::VARCHAR AS snp, o_custkey AS chr, o_orderkey * 2 AS pos FROM orders WHERE o_orderkey % 3 = 1""")
@@ -167,18 +195,21 @@ def q_ordinal(spark, d):
     return out.agg(F.count_distinct("ordinal").alias("n"), F.sum("ordinal").alias("total"), F.max("ordinal").alias("last"))
 
 
-@query("""WITH g AS (SELECT p_partkey, p_size, p_brand FROM part), f AS (SELECT o_orderkey AS rid, o_orderstatus AS st FROM orders)
-SELECT 'part' AS name, (SELECT count(*) FROM g)::BIGINT AS n UNION ALL SELECT 'orders', (SELECT count(*) FROM f)::BIGINT""")
+@query("""WITH u AS (SELECT 'part' AS name, p_partkey AS k, p_size FROM part UNION ALL BY NAME SELECT 'orders' AS name, o_orderkey AS k, o_orderstatus FROM orders)
+SELECT name, k, p_size, o_orderstatus FROM u""")
 def q_union_relaxed(spark, d):
-    """Frames of different columns, one below the other."""
-    a = _t(spark, d, "part").select(F.lit("part").alias("name"), "p_size")
-    b = _t(spark, d, "orders").select(F.lit("orders").alias("name"), "o_orderstatus")
-    return sumstats.union_all([a, b]).groupBy("name").agg(F.count("*").alias("n"))
+    """Frames of different columns, one below the other; what a frame lacks is null."""
+    a = _t(spark, d, "part").select("p_size", F.lit("part").alias("name"), F.col("p_partkey").alias("k"))
+    b = _t(spark, d, "orders").select(F.lit("orders").alias("name"), F.col("o_orderkey").alias("k"), "o_orderstatus")
+    return sumstats.union_all([a, b]).select("name", "k", "p_size", "o_orderstatus")
 
 
-@query("SELECT round(avg(CASE WHEN x THEN 1.0 ELSE 0.0 END), 0) AS share FROM (SELECT p_partkey >= 0 AS x FROM part)")
+@query("""WITH x AS (SELECT (l_orderkey % 2)::INT AS parity, l_linenumber AS line, (l_linenumber <= 7)::INT AS few, l_returnflag = 'R' AS returned, (l_discount * 100)::INT AS cents, l_quantity AS quantity FROM lineitem),
+k AS (SELECT 0.5 AS parameter, 'parity' AS name, bool_and(parity IN (0, 1)) AS kept FROM x UNION ALL SELECT 1.5, 'line', bool_and(line IN (0, 1)) FROM x UNION ALL SELECT 2.5, 'few', bool_and(few IN (0, 1)) FROM x
+UNION ALL SELECT 3.5, 'returned', true UNION ALL SELECT 4.5, 'cents', bool_and(cents IN (0, 1)) FROM x UNION ALL SELECT 5.5, 'quantity', false)
+SELECT name, parameter::DOUBLE AS parameter FROM k WHERE kept""")
 def q_binary_subset(spark, d):
-    """Of three columns only the binary ones stay."""
-    x = genes(spark, d).select((F.col("gene_idx") % 2).cast("int").alias("parity"), F.col("gene_idx").alias("number"), (F.col("gene_idx") >= 0).alias("yes"))
-    kept, parameters = N.binary_subset(x, x.columns, [0.5, 1.5, 2.5])
-    return spark.createDataFrame([(float(kept == ["parity", "yes"] and parameters == [0.5, 2.5]),)], "share double")
+    """Of several columns the binary ones stay, with their parameters; numbers with fractions never do."""
+    x = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 2).cast("int").alias("parity"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") <= 7).cast("int").alias("few"), (F.col("l_returnflag") == "R").alias("returned"), F.round(F.col("l_discount") * 100).cast("int").alias("cents"), F.col("l_quantity").alias("quantity"))
+    kept, parameters = N.binary_subset(x, x.columns, [0.5, 1.5, 2.5, 3.5, 4.5, 5.5])
+    return spark.createDataFrame(list(zip(kept, parameters, strict=True)), "name string, parameter double")

@@ -124,6 +124,15 @@ def block_likelihoods(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return per_block(rows.select("block_id", "ordinal", "index", "pz"), edges, "block_id long, ll double", solve)
 
 
+def variant_solve(rows: DataFrame, edges: DataFrame, value: str = "b") -> DataFrame:
+    """(block_id, ordinal, x): the correlation matrix times ``value`` by variant: values of
+    variants at one index are added, solved for, and each takes its index's result."""
+    def solve(r: pd.DataFrame, block: Block) -> pd.DataFrame:
+        return pd.DataFrame({"block_id": r["block_id"], "ordinal": r["ordinal"], "x": block.variant_solve(r["value"].to_numpy(float), r["index"].to_numpy())})
+
+    return per_block(rows.select("block_id", "ordinal", "index", F.col(value).alias("value")), edges, "block_id long, ordinal long, x double", solve)
+
+
 @dataclass
 class RemlOptions:
     sample_size: float
@@ -286,7 +295,7 @@ def likelihoods(blocks: DataFrame, trials: dict[str, list[np.ndarray]], options:
     return out
 
 
-def _variant_scores(theta: np.ndarray, options: RemlOptions, hessian: bool):
+def _variant_scores(theta: np.ndarray, options: RemlOptions, hessian: bool, with_annotations: bool):
     k = len(theta)
 
     def run(batches):
@@ -300,21 +309,44 @@ def _variant_scores(theta: np.ndarray, options: RemlOptions, hessian: bool):
                 out = {"block_id": int(r.block_id), "ordinal": np.asarray(r.row), "gradient": node * slope}
                 if hessian:
                     out["hessian"] = likelihood_hessian(pz, m)[index] * slope**2 + node * curve
+                if with_annotations:
+                    out["a"] = list(a)
                 yield pd.DataFrame(out)
     return run
 
 
-def variant_scores(blocks: DataFrame, theta: np.ndarray, options: RemlOptions, hessian: bool = False) -> DataFrame:
-    """(block_id, ordinal, gradient and, if wanted, hessian): first and second derivative of
-    the log-likelihood by each variant's argument of the link."""
-    schema = "block_id long, ordinal long, gradient double" + (", hessian double" if hessian else "")
-    return blocks.select(*_USED, "row").mapInPandas(_variant_scores(theta, options, hessian), schema)
+def variant_scores(blocks: DataFrame, theta: np.ndarray, options: RemlOptions, hessian: bool = False, with_annotations: bool = False) -> DataFrame:
+    """(block_id, ordinal, gradient and, if wanted, hessian and annotations ``a``): first and
+    second derivative of the log-likelihood by each variant's argument of the link."""
+    schema = "block_id long, ordinal long, gradient double" + (", hessian double" if hessian else "") + (", a array<double>" if with_annotations else "")
+    return blocks.select(*_USED, "row").mapInPandas(_variant_scores(theta, options, hessian, with_annotations), schema)
+
+
+def without_annotations(scored: DataFrame, k: int, y: str = "gradient") -> DataFrame:
+    """Takes the least-squares part of ``a`` (``k`` annotations a row) out of ``y``.  Tasks return
+    X'X and X'y, which are added up by place; the coefficients are literals of k numbers."""
+    def run(batches):
+        moments = np.zeros((k, k + 1))
+        for pdf in batches:
+            if len(pdf):
+                a = np.stack(pdf["a"].to_numpy())
+                moments += a.T @ np.column_stack([a, pdf["y"].to_numpy(float)])
+        yield pd.DataFrame({"x": [moments.ravel()]})
+
+    parts = scored.select("a", F.col(y).alias("y")).mapInPandas(run, "x array<double>")
+    sums = parts.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    moments = np.array([r.x for r in sums]).reshape(k, k + 1)
+    beta = np.linalg.lstsq(moments[:, :k], moments[:, k], rcond=None)[0]
+    fitted = F.aggregate(F.zip_with("a", F.array(*[F.lit(float(b)) for b in beta]), lambda x, b: x * b), F.lit(0.0), lambda t, x: t + x)
+    return scored.withColumn(y, F.col(y) - fitted)
 
 
 def write_scores(store, trait: str, blocks: DataFrame, variants: DataFrame, fit: dict, annotations: list[str], options: RemlOptions, hessian: bool = False) -> None:
-    """A trait's variant scores and parameters into a score store, which is made if there is
-    none; the rows of an existing one must be the same.  ``blocks`` are the trait's."""
-    scored = variant_scores(blocks, fit["theta"], options, hessian).dropDuplicates(["ordinal"])
+    """A trait's variant scores, with the model's annotations projected out, and parameters into
+    a score store, which is made if there is none; the rows of an existing one must be the
+    same.  ``blocks`` are the trait's."""
+    scored = variant_scores(blocks, fit["theta"], options, hessian, with_annotations=True).dropDuplicates(["ordinal"])
+    scored = without_annotations(scored, len(annotations)).drop("a")
     place = variants.select("ordinal", *[F.col(c) for c in ("CHR",) if c in variants.columns], F.col("position").alias("POS"), F.col("site_ids").alias("RSID"))
     group = blocks.select("block_id", F.col("jk").cast("long").alias("jackknife_blocks"))
     rows = scored.select("block_id", "ordinal").join(place, "ordinal").join(group, "block_id").drop("block_id")
@@ -324,8 +356,7 @@ def write_scores(store, trait: str, blocks: DataFrame, variants: DataFrame, fit:
         store.create(rows, "variant", ["RSID"])
     else:
         store.validate_rows(rows)
-    store.write_trait(trait, scored.drop("block_id"))
-    store.write_parameters(trait, annotations, list(fit["theta"]))
+    store.write_trait(trait, scored.drop("block_id"), parameters=(annotations, list(fit["theta"])))
 
 
 def trust_region_step(g: np.ndarray, h: np.ndarray, trust: float) -> tuple[np.ndarray, float]:

@@ -99,6 +99,12 @@ class Block:
         x = self._inverse @ full if self._inverse is not None else np.linalg.solve(self.matrix, full)
         return x[self.selected]
 
+    def variant_solve(self, b: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """The correlation matrix times ``b``, both by variant; ``index`` is each one's index."""
+        if len(b) != len(index):
+            raise ValueError("as many values as indices are needed")
+        return self.solve(np.bincount(index, b, len(self)))[index]
+
     def product(self, x: np.ndarray) -> np.ndarray:
         """The whole matrix, unselected indices too, times ``x``."""
         return self.matrix @ x

@@ -1,46 +1,107 @@
-"""The score store: row data, traits and groups as Parquet below one folder.
-
-``rows/`` holds one row per variant or gene in order (ordinal, keys, jackknife_blocks),
-``traits/trait=<name>/`` the scores by ordinal, ``groups/`` (group, trait), ``meta/`` the
-kind of data and the merge keys.  Traits are partitions, so reading one prunes the rest.
+"""The score store: row data, traits and groups below one folder, changed by commits.
+
+``rows/commit=<id>`` holds one row per variant or gene in order (ordinal, keys,
+jackknife_blocks), ``traits/trait=<name>/commit=<id>`` a trait's scores by ordinal; files
+are written once and never changed.  ``manifest/<n>.json`` is the n-th state: which rows,
+traits, parameters and groups there are.  A change writes its data first and then the
+next manifest, under a number that must be free.  So a reader always sees one whole
+state, a writer that is lost leaves the last one, and of two writers at once one fails.
+Traits are folders, so reading some of them leaves the rest alone.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another writer has committed since this one read the store."""
+
+
+class _Folder:
+    """Small files of one folder, through Spark's file systems."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._sc = spark.sparkContext
+        self._fs = self._sc._jvm.org.apache.hadoop.fs
+        self.path = path
+        self._system = self._fs.Path(path).getFileSystem(self._sc._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        at = self._fs.Path(self.path)
+        return sorted(s.getPath().getName() for s in self._system.listStatus(at)) if self._system.exists(at) else []
+
+    def read(self, name: str) -> str:
+        stream = self._system.open(self._fs.Path(f"{self.path}/{name}"))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def add(self, name: str, text: str) -> None:
+        """Makes a file that must not be there yet; it appears whole."""
+        draft = self._fs.Path(f"{self.path}/.{uuid.uuid4().hex}")
+        stream = self._system.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        rename = getattr(self._sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        none = self._sc._gateway.new_array(rename, 0)
+        context = self._fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._system.getUri(), self._sc._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, self._fs.Path(f"{self.path}/{name}"), none)
+        except Exception as e:
+            self._system.delete(draft, False)
+            if "AlreadyExists" in str(e):
+                raise FileExistsError(name) from e
+            raise
+
+    def drop(self, name: str) -> None:
+        self._system.delete(self._fs.Path(f"{self.path}/{name}"), True)
+
+
 class ScoreStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._manifests = _Folder(spark, f"{self.path}/manifest")
+
+    def _latest(self) -> tuple[int, dict]:
+        """(number, state) of the last commit; 0 and nothing where there is no store."""
+        names = [n for n in self._manifests.names() if n.endswith(".json") and not n.startswith(".")]
+        return (int(names[-1][:-5]), json.loads(self._manifests.read(names[-1]))) if names else (0, {})
+
+    def _state(self) -> dict:
+        number, state = self._latest()
+        if not number:
+            raise FileNotFoundError(f"no store at {self.path}")
+        return state
 
-    def _read(self, part: str) -> DataFrame | None:
+    def _commit(self, after: int, state: dict) -> None:
         try:
-            return self.spark.read.parquet(f"{self.path}/{part}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+            self._manifests.add(f"{after + 1:08d}.json", json.dumps(state, sort_keys=True))
+        except FileExistsError as e:
+            raise ConcurrentCommit(f"{self.path} has changed since it was read") from e
 
     def create(self, rows: DataFrame, kind: str, keys: list[str]) -> None:
         if not {"ordinal", "jackknife_blocks", *keys} <= set(rows.columns):
             raise ValueError("rows need ordinal, jackknife_blocks and the merge keys")
-        rows.write.mode("errorifexists").parquet(f"{self.path}/rows")
-        self.spark.createDataFrame([(kind, ",".join(keys))], "data_type string, keys string").write.mode("errorifexists").parquet(f"{self.path}/meta")
+        if self._latest()[0]:
+            raise FileExistsError(f"there is a store at {self.path}")
+        place = f"rows/commit={uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{place}")
+        self._commit(0, {"rows": place, "kind": kind, "keys": keys, "traits": {}, "parameters": {}, "groups": {}})
 
     def rows(self) -> DataFrame:
-        out = self._read("rows")
-        if out is None:
-            raise FileNotFoundError(f"no store at {self.path}")
-        return out
+        return self.spark.read.parquet(f"{self.path}/{self._state()['rows']}")
 
     def meta(self) -> tuple[str, list[str]]:
-        r = self._read("meta").first()
-        return r.data_type, r["keys"].split(",")
+        state = self._state()
+        return state["kind"], state["keys"]
 
     def validate_rows(self, rows: DataFrame) -> None:
         """Raises unless ``rows`` equal the stored ones in every shared key column."""
@@ -50,63 +111,82 @@ class ScoreStore:
         if not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty():
             raise ValueError("the rows differ from those of the store")
 
+    def replace_rows(self, rows: DataFrame, kind: str, keys: list[str]) -> None:
+        """Other rows, in one commit; the traits and groups of the old ones go with them."""
+        number, _ = self._latest()
+        place = f"rows/commit={uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{place}")
+        self._commit(number, {"rows": place, "kind": kind, "keys": keys, "traits": {}, "parameters": {}, "groups": {}})
+
     def traits(self) -> list[str]:
-        found = self._read("traits")
-        return sorted(str(r.trait) for r in found.select("trait").distinct().collect()) if found is not None else []
+        return sorted(self._latest()[1].get("traits", {}))
 
-    def write_trait(self, trait: str, scores: DataFrame, overwrite: bool = False) -> None:
-        """``scores``: ordinal, gradient and any more columns."""
-        name = self._name(trait)
-        if name in self.traits() and not overwrite:
+    def write_trait(self, trait: str, scores: DataFrame, overwrite: bool = False, parameters: tuple[list[str], list[float]] | None = None) -> None:
+        """``scores``: ordinal, gradient and any more columns; and the model's parameters."""
+        name, (number, state) = self._name(trait), self._latest()
+        if not number:
+            raise FileNotFoundError(f"no store at {self.path}")
+        if name in state["traits"] and not overwrite:
             raise FileExistsError(f"trait {name} is in the store")
-        scores.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{self.path}/traits/trait={name}")
+        place = f"trait={name}/commit={uuid.uuid4().hex}"
+        scores.write.parquet(f"{self.path}/traits/{place}")
+        state["traits"][name] = place
+        state["parameters"].pop(name, None)
+        if parameters is not None:
+            state["parameters"][name] = [[n, float(v)] for n, v in zip(*parameters, strict=True)]
+        self._commit(number, state)
 
     @staticmethod
     def _name(name: str) -> str:
-        if not name or any(c in name for c in "/\\=") or name.startswith((".", "_")):
+        name = name.replace("/", "_")
+        if not name or any(c in name for c in "\\=") or name.startswith((".", "_")):
             raise ValueError(f"{name!r} can't be the name of a trait")
         return name
 
     def write_parameters(self, trait: str, names: list[str], values: list[float]) -> None:
         """A model's parameters beside a trait's scores."""
-        rows = self.spark.createDataFrame([(k, n, float(v)) for k, (n, v) in enumerate(zip(names, values, strict=True))], "place int, name string, value double")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/parameters/trait={self._name(trait)}")
+        number, state = self._latest()
+        if self._name(trait) not in state.get("traits", {}):
+            raise KeyError(trait)
+        state["parameters"][self._name(trait)] = [[n, float(v)] for n, v in zip(names, values, strict=True)]
+        self._commit(number, state)
 
     def parameters(self, trait: str) -> DataFrame | None:
-        found = self._read("parameters")
-        return None if found is None else found.where(F.col("trait") == trait).drop("trait").orderBy("place")
+        found = self._state()["parameters"].get(trait)
+        return None if found is None else self.spark.createDataFrame([(k, n, v) for k, (n, v) in enumerate(found)], "place int, name string, value double").orderBy("place")
 
     def load_trait(self, trait: str) -> DataFrame:
         """Row data with the trait's scores beside them."""
-        found = self._read("traits")
-        if found is None or trait not in self.traits():
-            raise KeyError(trait)
-        return self.rows().join(found.where(F.col("trait") == trait).drop("trait"), "ordinal")
+        return self.load_traits([trait]).drop("trait")
 
     def load_traits(self, traits: list[str]) -> DataFrame:
-        """Row data with the scores of several traits beside them, a row per trait."""
-        found = self._read("traits")
-        if found is None or (gone := set(traits) - set(self.traits())):
-            raise KeyError(sorted(gone) if found is not None else traits)
-        return self.rows().join(found.where(F.col("trait").cast("string").isin(list(traits))).withColumn("trait", F.col("trait").cast("string")), "ordinal")
+        """Row data with the scores of several traits beside them, a row per trait; all of one state."""
+        state = self._state()
+        if gone := sorted(set(traits) - set(state["traits"])):
+            raise KeyError(gone[0] if len(gone) == 1 else gone)
+        places = {state["traits"][t]: t for t in traits}
+        found = self.spark.read.option("basePath", f"{self.path}/traits").option("mergeSchema", "true").parquet(*[f"{self.path}/traits/{p}" for p in places])
+        names = F.create_map(*[F.lit(x) for p, t in places.items() for x in (p.split("commit=")[1], t)])
+        rows = self.spark.read.parquet(f"{self.path}/{state['rows']}")
+        return rows.join(found.withColumn("trait", names[F.col("commit").cast("string")]).drop("commit"), "ordinal")
 
     def groups(self) -> dict[str, list[str]]:
-        found = self._read("groups")
-        return {r.group: sorted(r.traits) for r in found.groupBy("group").agg(F.collect_list("trait").alias("traits")).collect()} if found is not None else {}
+        return {g: sorted(ts) for g, ts in self._latest()[1].get("groups", {}).items()}
 
     def write_groups(self, groups: dict[str, list[str]]) -> None:
-        rows = [(g, t) for g, traits in groups.items() for t in traits]
-        self.spark.createDataFrame(rows, "group string, trait string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/groups")
+        number, state = self._latest()
+        self._commit(number, {**state, "groups": groups})
 
     def add_group(self, group: str, patterns: list[str]) -> list[str]:
         """A group of the traits that match any glob; two at least, the name unused."""
-        known = self.traits()
+        number, state = self._latest()
+        known = sorted(state.get("traits", {}))
         found = [t for t in known if any(fnmatch.fnmatch(t, p) for p in patterns)]
-        if group in known or group in self.groups():
+        if group in known or group in state.get("groups", {}):
             raise ValueError(f"{group} is in use")
         if len(found) < 2:
             raise ValueError("a group needs two traits")
-        self.write_groups({**self.groups(), group: found})
+        self._commit(number, {**state, "groups": {**state["groups"], group: found}})
         return found
 
     def names(self, name: str | None = None) -> list[str]:
@@ -115,36 +195,50 @@ class ScoreStore:
             return self.traits()
         return self.groups().get(name) or ([name] if name in self.traits() else [])
 
-    def _move(self, old: str, new: str | None) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = lambda t: jvm.org.apache.hadoop.fs.Path(f"{self.path}/traits/trait={t}")
-        fs = path(old).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.rename(path(old), path(new)) if new else fs.delete(path(old), True)
-
     def remove(self, pattern: str) -> list[str]:
-        """Traits or groups by exact name, else by glob; groups left with one trait go."""
-        traits, groups = self.traits(), self.groups()
-        hit = [x for x in [*traits, *groups] if x == pattern] or [x for x in [*traits, *groups] if fnmatch.fnmatch(x, pattern)]
+        """Traits or groups by exact name, else by glob; groups left with one trait go.  The
+        files stay for readers of the state before, until ``vacuum``."""
+        number, state = self._latest()
+        every = [*sorted(state.get("traits", {})), *state.get("groups", {})]
+        hit = [x for x in every if x == pattern] or [x for x in every if fnmatch.fnmatch(x, pattern)]
         if not hit:
             raise KeyError(pattern)
-        for t in set(hit) & set(traits):
-            self._move(t, None)
-        left = {g: [t for t in ts if t not in hit] for g, ts in groups.items() if g not in hit}
-        self.write_groups({g: ts for g, ts in left.items() if len(ts) > 1})
+        left = {g: [t for t in ts if t not in hit] for g, ts in state["groups"].items() if g not in hit}
+        kept = {k: {t: x for t, x in state[k].items() if t not in hit} for k in ("traits", "parameters")}
+        self._commit(number, {**state, **kept, "groups": {g: ts for g, ts in left.items() if len(ts) > 1}})
         return hit
 
     def rename(self, old: str, new: str) -> None:
-        traits, groups = self.traits(), self.groups()
+        number, state = self._latest()
+        traits, groups = state.get("traits", {}), state.get("groups", {})
         if new in traits or new in groups:
             raise ValueError(f"{new} is in use")
         if old in traits:
-            self._move(old, self._name(new))
-            self.write_groups({g: [new if t == old else t for t in ts] for g, ts in groups.items()})
+            new = self._name(new)
+            kept = {k: {new if t == old else t: x for t, x in state[k].items()} for k in ("traits", "parameters")}
+            self._commit(number, {**state, **kept, "groups": {g: [new if t == old else t for t in ts] for g, ts in groups.items()}})
         elif old in groups:
-            self.write_groups({new if g == old else g: ts for g, ts in groups.items()})
+            self._commit(number, {**state, "groups": {new if g == old else g: ts for g, ts in groups.items()}})
         else:
             raise KeyError(old)
 
+    def vacuum(self) -> list[str]:
+        """Deletes data that the last state doesn't name, and older manifests; only while no
+        one writes, and no one reads an older state."""
+        number, state = self._latest()
+        used = {state["rows"].split("/")[1], *(p.split("/")[1] for p in state["traits"].values())}
+        gone = []
+        for top in ["rows", *[f"traits/{n}" for n in _Folder(self.spark, f"{self.path}/traits").names()]]:
+            folder = _Folder(self.spark, f"{self.path}/{top}")
+            for name in folder.names():
+                if name.startswith("commit=") and name not in used:
+                    folder.drop(name)
+                    gone.append(f"{top}/{name}")
+        for name in self._manifests.names():
+            if name != f"{number:08d}.json":
+                self._manifests.drop(name)
+        return gone
+
 
 def block_fingerprints(variants: DataFrame, blocks: DataFrame) -> DataFrame:
     """(block_name, fingerprint): a block's name, population and variants with their indices and

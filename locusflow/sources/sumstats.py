@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ieee_div, is_finite
+from .bgzf import is_bgzf, read_bgzf_vcf
 
 # Column aliases (the first present wins) and VCF FORMAT keys.
 ALIASES = {
@@ -86,7 +87,15 @@ def split_sample(df: DataFrame, sample: str) -> DataFrame:
     return out.where(F.col("Z").isNotNull() & ~F.isnan("Z"))
 
 
-def read_gwas_vcf(spark: SparkSession, path: str, num_rows: int | None = None, maximum_missingness: float = 0.1) -> DataFrame:
+def read_gwas_vcf(spark: SparkSession, path: str, num_rows: int | None = None, maximum_missingness: float = 0.1, **region) -> DataFrame:
+    """A GWAS-VCF with one sample.  A file compressed in blocks is read by several tasks, in one
+    scan besides that of the largest NS, and takes a ``region`` (chromosome, low, high)."""
+    if path.lower().endswith((".gz", ".bgz")) and is_bgzf(path):
+        df = read_bgzf_vcf(spark, path, FORMAT_ALLOWED, num_rows, **region).drop("FORMAT")
+        df = df.withColumn("Z", ieee_div(F.col("ES"), F.col("SE"))).where("CHR IS NOT NULL AND Z IS NOT NULL AND NOT isnan(Z)")
+        return keep_complete(df, "NS", maximum_missingness) if "NS" in df.columns else df
+    if region:
+        raise ValueError("only a file compressed in blocks takes a region")
     head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).first()
     if head is None:
         raise ValueError("no #CHROM header")

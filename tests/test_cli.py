@@ -64,22 +64,36 @@ def test_reml_writes_a_store_that_test_and_convert_read(spark, files, tmp_path):
     root, _ = files
     where = ["--metadata", root / "metadata.csv", "--blocks", root / "blocks", "--iterations", "3"]
     scores = tmp_path / "scores"
-    run(spark, "reml", root / "one.sumstats", tmp_path / "out", "--annot-dir", root / "annot", "--gene-annot-dir", root / "sets", "--genes", root / "genes.tsv",
+    with pytest.raises(ValueError, match="not both"):
+        run(spark, "reml", root / "one.sumstats", tmp_path / "no", "--annot-dir", root / "annot", "--gene-annot-dir", root / "sets", "--genes", root / "genes.tsv", *where)
+    run(spark, "reml", root / "one.sumstats", tmp_path / "sets", "--gene-annot-dir", root / "sets", "--genes", root / "genes.tsv", *where[:-2], "--iterations", "1", "--link", "exponential", "--trace", "hutchinson")
+    assert set(table(spark, tmp_path / "sets", ",")) == {"low", "high"}
+    run(spark, "reml", root / "one.sumstats", tmp_path / "out", "--annot-dir", root / "annot",
         "--scores", scores, "--hessian", "--convergence", tmp_path / "steps", "--max-chisq", "1000", "--trait", "t", *where)
-    assert set(table(spark, tmp_path / "out", ",")) == {"base", "coding", "score", "low", "high"}
+    assert set(table(spark, tmp_path / "out", ",")) == {"base", "coding", "score"}
     steps = table(spark, tmp_path / "steps")
     assert [steps[k]["log_likelihood"] for k in sorted(steps)] == sorted(s["log_likelihood"] for s in steps.values())
     store = ScoreStore(spark, str(scores))
     found = store.load_trait("t")
     assert found.count() == 24 and {"gradient", "hessian", "RSID", "CHR", "POS", "jackknife_blocks"} <= set(found.columns)
-    assert [r.name for r in store.parameters("t").collect()] == ["base", "coding", "score", "high", "low"]
+    assert [r.name for r in store.parameters("t").collect()] == ["base", "coding", "score"]
     run(spark, "test", scores, tmp_path / "z", "--annot-dir", root / "annot", "--annot-names", "coding", "score")
     assert set(table(spark, tmp_path / "z")) == {"coding", "score"}
-    run(spark, "test", scores, tmp_path / "bed", "--annot-dir", root / "beds", "--gene-annot-dir", root / "sets", "--genes", root / "genes.tsv", "--random-variants", "0.5", "--perturb", "0.1")
-    assert {"half", "random_0_5"} <= set(table(spark, tmp_path / "bed"))
+    scored = found.select("gradient", "RSID").toPandas()
+    values = {x.split("\t")[2]: [float(v) for v in x.split("\t")[4:]] for x in (root / "annot" / "a.1.annot").read_text().splitlines()[1:]}
+    assert np.allclose(np.array([values[r] for r in scored.RSID]).T @ scored.gradient, 0, atol=1e-8)  # annotations are projected out
+    run(spark, "test", scores, tmp_path / "bed", "--annot-dir", root / "beds", "--perturb", "0.1")
+    run(spark, "test", scores, tmp_path / "random", "--random-variants", "0.5")
+    run(spark, "test", scores, tmp_path / "sets_z", "--gene-annot-dir", root / "sets", "--genes", root / "genes.tsv")
+    assert set(table(spark, tmp_path / "bed")) == {"half"} and set(table(spark, tmp_path / "random")) == {"random_0_5"} and set(table(spark, tmp_path / "sets_z")) == {"low", "high"}
+    with pytest.raises(ValueError, match="exactly one"):
+        run(spark, "test", scores, tmp_path / "two", "--random-variants", "0.5", "--annot-dir", root / "beds")
+    shown = run(spark, "show", scores)
+    assert shown["datasets"]["t"]["rows"] == 24 and shown["datasets"]["t"]["gradient"] == "double"
     run(spark, "convert", scores, root / "genes.tsv", tmp_path / "genes")
-    run(spark, "test", tmp_path / "genes", tmp_path / "gz", "--gene-annot-dir", root / "sets", "--random-genes", "0.5", "--genes", root / "genes.tsv")
-    assert {"low", "high", "random_0_5"} <= set(table(spark, tmp_path / "gz"))
+    run(spark, "test", tmp_path / "genes", tmp_path / "gz", "--gene-annot-dir", root / "sets", "--genes", root / "genes.tsv")
+    run(spark, "test", tmp_path / "genes", tmp_path / "gr", "--random-genes", "0.5", "--genes", root / "genes.tsv")
+    assert set(table(spark, tmp_path / "gz")) == {"low", "high"} and set(table(spark, tmp_path / "gr")) == {"random_0_5"}
 
 
 def test_reml_of_several_traits(spark, files, tmp_path):
@@ -93,5 +107,7 @@ def test_reml_of_several_traits(spark, files, tmp_path):
     run(spark, "add-meta", tmp_path / "scores", "both", "x", "y")
     run(spark, "test", tmp_path / "scores", tmp_path / "z", "--annot-dir", root / "annot")
     assert "both_Z" in table(spark, tmp_path / "z")["coding"]
+    store.write_trait("a/b", store.load_trait("x").select("ordinal", "gradient"))
+    assert store.traits() == ["a_b", "x", "y"]
     with pytest.raises(ValueError):
-        store.write_trait("a/b", store.load_trait("x").select("ordinal", "gradient"))
+        store.write_trait("a=b", store.load_trait("x").select("ordinal", "gradient"))
