@@ -349,5 +349,5 @@ b AS (SELECT v, w, count(*) AS n FROM t GROUP BY v, w),
 x AS (SELECT t.doc_id, CASE WHEN b.n >= 2 THEN ln(b.n::DOUBLE / h.n) ELSE ln(0.4 * u.n::DOUBLE / (SELECT count(*) FROM t)) END AS s
   FROM t JOIN b ON t.v = b.v AND t.w = b.w JOIN u h ON t.v = h.w JOIN u ON t.w = u.w),
 s AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM x GROUP BY doc_id)
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, round(coalesce(s.s, 0.0), 3) AS score, round(s.s / s.n, 5) AS mean_score FROM d LEFT JOIN s USING (doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, round(coalesce(s.s, 0.0), 3) AS score, round(s.s / s.n, 5) AS mean_score FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id
 """

@@ -240,13 +240,13 @@ def op9_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings),
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings),
 g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND list_aggregate(list_transform(e, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0 AND list_dot_product(e, e) > 0),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+l AS (SELECT a.i, a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.i <> b.i AND a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
 r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS c FROM r GROUP BY a),
-n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+n AS (SELECT i, count(*) AS n FROM l GROUP BY i)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
-FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.i = v.i
 """
