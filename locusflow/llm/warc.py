@@ -251,6 +251,6 @@ g AS (SELECT h, max(page_id) AS kept FROM p GROUP BY h),
 b AS (SELECT page_id, strlen(p.h)::BIGINT AS n, kept, ('0x' || sha1(p.h)) AS x, sha1(p.h) AS s FROM p JOIN g USING (h)),
 d AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, i * 5 + 1, 5))::BIGINT >> k) & 31) + 1)::BIGINT, 1)), '')), '') AS dig FROM b)
-SELECT page_id, n AS payload_bytes, dig AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> kept THEN kept END AS refers_to FROM d
+SELECT page_id, n AS payload_bytes, dig AS payload_digest, CASE WHEN kept IS NULL OR page_id IS NOT DISTINCT FROM kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM d
 """

@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from locusflow.llm import align, bpe, encoders, infill
+import corpus_pipeline
+from locusflow.llm import align, bpe, encoders, infill, packing
 
 DATA = "/root/testdata/sf0.001"
 LONG = 2_000_000
@@ -153,6 +154,22 @@ def test_very_long_runs_are_encoded_like_the_tokenizer_file(unit):
     assert encoders.byte_bpe_ids(text, **FILES) == Tokenizer.from_file(FILES["tokenizer_path"]).encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_texts_are_packed_and_pass_the_pipeline(spark, tmp_path):
+    """2,000,000 blanks, line breaks, letters and marks, alone and within prose."""
+    prose = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    texts = [unit * LONG for unit in (" ", "\n", "a", "!")] + [f"{prose} {i} {unit * LONG} end" for i, unit in enumerate((" ", "\n"))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    whole = Tokenizer.from_file(FILES["tokenizer_path"])
+    want = {i: [*whole.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+    got: dict = {}
+    for r in packing.pack_documents(docs, **FILES).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.ids))
+    assert {i: [x for _, ids in sorted(p) for x in ids] for i, p in got.items()} == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    assert kept and kept <= {4, 5}
+
+
 @pytest.mark.parametrize("n", [encoders.RUN - 1, encoders.RUN, encoders.RUN + 1])
 def test_both_encoders_agree_around_the_bound(n):
     for unit in " \n\t \x1c":
