@@ -186,14 +186,7 @@ class Block:
         y = self.solve(probes)
         if method == "hutchinson":
             return (probes * y).mean(axis=1)
-        # XDiag: each probe's residual is estimated with the others' low-rank part
-        out = np.zeros(n)
-        for k in range(probes.shape[1]):
-            q, _ = np.linalg.qr(np.delete(y, k, axis=1))
-            z = self.solve(q)
-            w = probes[:, k]
-            out += (q * z).sum(axis=1) + w * (y[:, k] - q @ (z.T @ w))
-        return out / probes.shape[1]
+        return xdiag(probes, y, self.solve)
 
     def draw(self, rng: np.random.Generator) -> np.ndarray:
         """A draw from N(0, inverse), on the selection."""
@@ -201,6 +194,28 @@ class Block:
         return np.linalg.solve(chol.T, rng.standard_normal(len(self.matrix)))[self.selected]
 
 
+def xdiag(probes: np.ndarray, y: np.ndarray, solve) -> np.ndarray:
+    """The diagonal from ``y``, the inverse times the probes: each probe's residual is estimated
+    with the low-rank part of the others.  One factor of all probes gives what leaving out
+    each of them would, by the columns of R's inverse; dependent probes are left out one by one."""
+    m = probes.shape[1]
+    q, r = np.linalg.qr(y)
+    steep = np.abs(np.diag(r))
+    if steep.min() > 1e-8 * steep.max():
+        s = np.linalg.inv(r).T
+        s /= np.linalg.norm(s, axis=0)
+        z = solve(q)
+        qs = q @ s
+        return (q * z).sum(axis=1) + (qs * (probes * (s * r).sum(axis=0) - z @ s)).mean(axis=1)
+    out = np.zeros(len(y))
+    for k in range(m):
+        q, r = np.linalg.qr(np.delete(y, k, axis=1))
+        q = q[:, np.abs(np.diag(r)) > 1e-8 * steep.max()]
+        z = solve(q)
+        out += (q * z).sum(axis=1) + probes[:, k] * (y[:, k] - q @ (z.T @ probes[:, k]))
+    return out / m
+
+
 def log_likelihood(pz: np.ndarray, m: Block) -> float:
     return -0.5 * (len(pz) * np.log(2 * np.pi) + m.logdet() + pz @ m.solve(pz))
 

@@ -79,6 +79,22 @@ def test_warm_conjugate_gradients_take_fewer_steps():
     assert np.allclose(cold, near.solve(b), atol=1e-6) and np.allclose(warm, near.solve(b), atol=1e-6) and fewer < steps
 
 
+def test_one_factor_for_all_probes_of_xdiag():
+    from locusflow.plans.precision import xdiag
+
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(40, 40))
+    a = np.linalg.inv(a @ a.T + np.eye(40))
+    w = rng.choice([-1.0, 1.0], size=(40, 8))
+    y, one = a @ w, np.zeros(40)
+    for k in range(8):
+        q, _ = np.linalg.qr(np.delete(y, k, axis=1))
+        one += (q * (a @ q)).sum(axis=1) + w[:, k] * (y[:, k] - q @ (q.T @ y[:, k]))
+    assert np.allclose(xdiag(w, y, lambda x: a @ x), one / 8)
+    twice = np.column_stack([w, w[:, 0]])
+    assert np.isfinite(xdiag(twice, a @ twice, lambda x: a @ x)).all()
+
+
 def test_links(spark):
     for name in ("softplus", "exponential"):
         links.check(links.named(name), spark)
