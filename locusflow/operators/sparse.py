@@ -43,8 +43,10 @@ def _spread(u: str, blocks):
 def score_z(sums: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, annot, u, b, z) like the dense test: Z = U / (deviation of the leave-one-out sums
     * sqrt(B - 1)), which vary as the blocks' sums do."""
-    b = F.first("blocks")
-    joined = sums.join(blocks, list(by)) if by else sums.crossJoin(F.broadcast(blocks))  # without ``by`` one row
+    if by:
+        joined, b = sums.join(blocks, list(by)), F.first("blocks")
+    else:
+        joined, b = sums, F.lit(blocks.first().blocks)  # one number
     out = joined.groupBy(*by, "annot").agg(F.sum("u").alias("u"), _spread("u", b).alias("sd"), b.alias("b"))
     return out.withColumn("z", F.col("u") / F.nullif(F.col("sd") * F.sqrt(F.col("b") - 1), F.lit(0.0))).drop("sd")
 
@@ -63,7 +65,11 @@ def meta_z(sums: DataFrame, blocks: DataFrame, groups: DataFrame) -> DataFrame:
 
 def with_all(z: DataFrame, every: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows also for annotations that have no entry anywhere: u = 0 and no z."""
-    whole = every if not by else every.crossJoin(F.broadcast(z.select(*by).distinct()))  # a row per trait or group
+    whole = every
+    if by:
+        found = z.select(*by).distinct().collect()  # a row per trait or group
+        names = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in by]) for r in found])
+        whole = every.select("annot", F.explode(names).alias("_k")).select("annot", *[f"_k.{c}" for c in by]) if found else z.select("annot", *by)
     out = whole.join(z, [*by, "annot"], "left")
     return out.withColumn("u", F.coalesce("u", F.lit(0.0))) if "u" in out.columns else out
 

@@ -379,7 +379,7 @@ def q_clump_neighbours(spark, d):
 
 
 @query(f"""WITH {_BLOCKS}, s AS (SELECT jk, pos, rid AS stats_ordinal, z, rid % 3 AS k FROM w UNION ALL SELECT jk, pos, rid + 1000000000, z + 1, 1 FROM w WHERE rid % 7 = 0),
-m AS (SELECT w.jk, w.x, w.rid, stats_ordinal, CASE WHEN k = 0 THEN 1.0 ELSE -1.0 END AS phase, s.z * CASE WHEN k = 0 THEN 1 ELSE -1 END AS z FROM w JOIN s ON w.jk = s.jk AND w.pos = s.pos WHERE k < 2)
+m AS (SELECT w.jk, w.x, w.rid, stats_ordinal, CASE WHEN k = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS phase, s.z * CASE WHEN k = 0 THEN 1 ELSE -1 END AS z FROM w JOIN s ON w.jk = s.jk AND w.pos = s.pos WHERE k < 2)
 SELECT rid, stats_ordinal, phase, round(z, 9) AS z, (row_number() OVER (PARTITION BY jk, x ORDER BY rid, stats_ordinal) = 1)::INT AS is_representative FROM m""")
 def q_merge_by_position(spark, d):
     """Statistics matched by position: alleles as in the list, swapped, or others, which go; a

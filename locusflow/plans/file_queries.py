@@ -10,7 +10,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..sources import annotations as N
 from ..sources import bgzf, ldgm, store, sumstats
-from .catalog import _LOO, _V, _t, genes, query, variants
+from .catalog import _LOO, _V, _t, query, variants
 from .files import scratch_path, written, written_lines
 
 _STATS = """s AS (SELECT o_orderkey AS rid, o_totalprice / 1000 AS beta, (o_custkey % 5)::DOUBLE AS se, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS n,
