@@ -4,6 +4,10 @@ from pathlib import Path
 
 import pytest
 
+# one BLAS thread a process: with a Spark session beside it, a threaded solve in the tests' own process may never end
+for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+    os.environ[name] = "1"
+
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
