@@ -214,23 +214,57 @@ def test_packing_is_best_fit_decreasing(seed):
         if fit is not None:
             gaps.remove(fit)
         gaps.append((64 if fit is None else fit) - n)
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    runs = packing.best_fit_runs(counts, 64)
-    bins: dict[int, dict[int, int]] = {}
-    for n in counts:
-        own = sorted(r for r in runs if r[0] == n)
-        assert own[0][1] == 0
-        for (_, a, first, offset), stop in zip(own, [*(r[1] for r in own[1:]), counts[n]], strict=True):
-            for k in range(stop - a):
-                assert offset not in bins.setdefault(first + k, {})
-                bins[first + k][offset] = n
-    for parts in bins.values():
-        end = 0
-        for offset, n in sorted(parts.items()):
-            assert offset == end
-            end += n
-        assert end <= 64
-    assert sorted(64 - sum(p.values()) for p in bins.values()) == sorted(gaps)
+    placed, left, open_ = packing.sweep([(n, 1, 1000 + i) for i, n in enumerate(lengths)], 64, True)
+    bins: dict[int, list] = {}
+    for i, n, seq, offset in placed:
+        assert lengths[i - 1000] == n
+        bins.setdefault(seq, []).append((offset, n))
+    assert not left and sorted(i for i, *_ in placed) == list(range(1000, 1400))
+    assert all([o for o, _ in sorted(p)] == list(np.cumsum([0, *(n for _, n in sorted(p))])[:-1]) for p in bins.values())
+    assert sorted(64 - sum(n for _, n in p) for p in bins.values()) == sorted(gaps)
+    assert {(seq, free) for seq, free, _ in open_} == {(s, 64 - sum(n for _, n in p)) for s, p in bins.items() if sum(n for _, n in p) < 64}
+
+
+def test_what_a_range_lacks_is_taken_from_those_before_it():
+    """The intervals against a stack of single places; a later range's sweep opens nothing."""
+    rng = random.Random(5)
+    for _ in range(50):
+        left, places = ([rng.choice([0, 0, 1, 3, 7]) for _ in range(9)] for _ in range(2))
+        stack, want = [], {}
+        for p in range(9):
+            for k in range(left[p]):
+                if stack:
+                    want[p, k] = stack.pop()
+            stack += [(p, at) for at in reversed(range(places[p]))]
+        assert want == {(p, k): (q, at + k - a) for p, a, b, q, at in packing.carried(left, places) for k in range(a, b)}
+    assert packing.sweep([(9, 0, 1), (7, 1, 2), (5, 1, 3), (4, 0, 4), (3, 1, 5), (2, 0, 6)], 16, False) == ([(2, 7, 1, 7), (5, 3, 4, 12)], [(3, 5)], [(6, 2, 1), (1, 2, 1), (4, 1, 0)])
+
+
+@pytest.mark.parametrize("kind", ["mixed", "narrow", "one length", "tiny", "long"])
+def test_supersteps_of_many_ranges(spark, monkeypatch, kind):
+    """Ranges of 64 rows: every piece placed once, without holes, and as few sequences as
+    the loop over single pieces needs, or one in a hundred (one at least) more."""
+    monkeypatch.setattr(packing, "SWEEP", 64)
+    rng = random.Random(kind)
+    draw = {"mixed": lambda: min(64, 1 + int(rng.expovariate(1 / 20))), "narrow": lambda: rng.randrange(17, 24), "one length": lambda: 20, "tiny": lambda: rng.randrange(1, 4), "long": lambda: rng.randrange(33, 65)}[kind]
+    lengths = {3 * i: draw() for i in range(700)}
+    scratch = Scratch(spark)
+    pieces = scratch.save(spark.createDataFrame(list(lengths.items()), "row long, length int"))
+    got = {r.row: (r.seq, r.offset) for r in packing.best_fit(pieces, 64, scratch).collect()}
+    assert set(got) == {i for i, n in lengths.items() if n <= 32}
+    bins: dict[int, list] = {}
+    for i, n in lengths.items():
+        seq, offset = got.get(i, (i, 0))
+        bins.setdefault(seq, []).append((offset, n))
+    ends = [np.cumsum([0, *(n for _, n in sorted(p))]) for p in bins.values()]
+    assert all([o for o, _ in sorted(p)] == list(e[:-1]) and e[-1] <= 64 for p, e in zip(bins.values(), ends, strict=True))
+    gaps: list[int] = []
+    for n in sorted(lengths.values(), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((64 if fit is None else fit) - n)
+    assert len(bins) <= len(gaps) + max(1, len(gaps) // 100)
 
 
 def test_packing_round_trip(spark):
