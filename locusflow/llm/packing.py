@@ -19,8 +19,8 @@ the next classes of lengths, from the longest piece left down to ``STEP`` of it,
 
 Inside a range the sweep is exactly sequential best-fit decreasing, and so is the result
 where ``SWEEP`` rows hold all pieces and gaps.  Across borders what a gap has left is used in
-the next superstep only, so a table of many ranges may differ in single sequences.  There
-are about as many supersteps as steps from half a sequence to one token, whatever the table.
+the next superstep only, so a table of many ranges may need more sequences.  There are
+about as many supersteps as steps from half a sequence to one token, whatever the table.
 
 Defined results: null and empty texts are one piece holding the end id; repeated rows
 are packed one by one; an empty table gives no rows; other columns are never read.
