@@ -11,6 +11,8 @@ from .sumstats import union_all
 COORDINATES = ("CHR", "BP", "POS", "SNP", "CM", "A1", "A2")
 # The columns of a BED file and of a gene table, in order.
 BED_COLUMNS = [("chrom", "string"), ("chromStart", "bigint"), ("chromEnd", "bigint"), ("name", "string"), ("score", "bigint"), ("strand", "string"), ("thickStart", "bigint"), ("thickEnd", "bigint"), ("itemRgb", "string"), ("blockCount", "bigint"), ("blockSizes", "string"), ("blockStarts", "string")]
+#: Doubled midpoints of genes below this, either sign, are told apart by one number with the chromosome.
+GENE_SPAN = 1 << 57
 GENE_SCHEMA = "gene_id string, gene_id_version string, gene_name string, start bigint, `end` bigint, CHR string"
 
 
@@ -149,13 +151,19 @@ def binary_subset(df: DataFrame, columns: list[str], parameters: list[float] | N
 
 
 def load_gene_table(spark: SparkSession, path: str, chromosomes: list[int] | None = None) -> DataFrame:
-    """Autosomal genes with an id, by chromosome and midpoint; ``gene_idx`` is that order."""
+    """Autosomal genes with an id, by chromosome and midpoint; ``gene_idx`` is that order,
+    counted by a sweep: a sort's partitions need not be the same when it runs again."""
+    from ..operators.sweep import running
+
     df = spark.read.csv(path, sep="\t", header=True, schema=GENE_SCHEMA, enforceSchema=True)
     df = df.where(F.col("gene_id").isNotNull()).withColumn("CHR", F.col("CHR").try_cast("bigint")).where(F.col("CHR").between(1, 22))
     df = df.withColumn("gene_name", F.coalesce("gene_name", F.lit("NA"))).withColumn("midpoint", (F.col("start") + F.col("end")) / 2)
     df = df.withColumn("POS", F.floor("midpoint").cast("bigint"))
     df = df.where(F.col("CHR").isin(list(chromosomes))) if chromosomes else df
-    return with_ordinal(df.orderBy("CHR", "midpoint", "gene_id"), "gene_idx")
+    # chromosome and doubled midpoint in one number; the ties order what lies beyond its ends
+    twice = F.least(F.greatest(F.col("start") + F.col("end"), F.lit(1 - GENE_SPAN)), F.lit(GENE_SPAN - 1))
+    df = df.withColumn("_line", F.col("CHR") * (2 * GENE_SPAN) + F.coalesce(twice, F.lit(-GENE_SPAN)))
+    return running(df, F.lit(1), "_line", "gene_idx", ties=("midpoint", "gene_id", "gene_id_version", "gene_name")).drop("_line")
 
 
 def load_gene_sets(spark: SparkSession, path: str, names: list[str] | None = None, pattern: str = "*.gmt") -> DataFrame:

@@ -147,3 +147,16 @@ def test_nearest_genes_at_one_position_go_by_index(spark):
     got = {(r.variant_id, r.rank): r.gene_idx for r in J.nearest_genes(v, spark.createDataFrame(genes, "CHR long, POS long, gene_idx long")).collect()}
     want = {i: sorted((abs(q - p), g) for c, q, g in genes if c == 1)[:7] for i, p in places}
     assert got == {(i, k): g for i, w in want.items() for k, (_, g) in enumerate(w)}
+
+
+def test_genes_are_numbered_once_each_when_a_sort_is_sampled(spark, tmp_path):
+    """With more genes than the sample of a sort's ranges, two sorts need not have the same ranges."""
+    n = 30_000
+    spark.range(n).selectExpr("concat_ws('\t', concat('G', id), 'v', 'n', id * 7919 % 1000003, id * 7919 % 1000003 + 1, id % 22 + 1) AS value").repartition(3).write.text(str(tmp_path / "g"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = [(r.gene_idx, r.CHR, r.midpoint, r.gene_id) for r in N.load_gene_table(spark, str(tmp_path / "g")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = [r[1:] for r in sorted(found)]
+    assert sorted(r[0] for r in found) == list(range(len(rows))) and rows == sorted(rows)
