@@ -30,7 +30,8 @@ The boundary between small and large minimises the estimated rows of both sides
 that keeps the subsets of one set few.
 
 Defined results: null or blank texts have an empty set and are linked with nothing;
-texts of fewer than n words have one element; repeated rows belong together; rows
+texts of fewer than n words have one element; rows with one id belong together, be
+their texts alike or not; rows
 with a null id are returned with a null component; an empty table gives no rows;
 other columns of the input are never read.
 """
@@ -385,6 +386,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = D
 
     described = scratch.save(texts.mapInArrow(releasing(_index(n, late_here, LIGHT_MAX, num, den)), "doc_id long, n long, f1 long, f2 long, prefix binary, sketch binary"))
     sizes = scratch.save(described.select("doc_id", "n", "f1", "f2"))
+    several = F.min(F.struct("n", "f1", "f2")) != F.max(F.struct("n", "f1", "f2"))
+    if not sizes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(several.alias("several")).where("several").isEmpty():
+        scratch.drop(described, sizes)
+        return _components_by_row(texts, n, num, den, scratch)
     classes = scratch.save(sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     limit = den * (LIGHT_MAX + 1) // num + 1
     spread = {r.n: r.k for r in classes.where(F.col("n") <= limit).groupBy("n").agg(F.count("*").alias("k")).collect()}
@@ -395,7 +400,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = D
     # one representative of each set: sets without an equal need no join to be told
     repeated = bit_filter(classes.where("copies > 1"), "f1")
     index = described.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "n", "prefix", "f1", "f2")
-    chosen = _with_copies(index, repeated).join(classes.where("copies > 1").select(F.col("rep").alias("doc"), "n", "f1", "f2"), ["doc", "n", "f1", "f2"], "left_semi").select("doc", "n", "prefix", "f1").dropDuplicates(["doc", "n", "f1"])
+    # what passes the filter is joined with all classes that pass, for the filter also lets some sets without an equal pass
+    reps = _with_copies(classes.select(F.col("rep").alias("doc"), "n", "f1", "f2"), repeated)
+    chosen = _with_copies(index, repeated).join(reps, ["doc", "n", "f1", "f2"], "left_semi").select("doc", "n", "prefix", "f1").dropDuplicates(["doc", "n", "f1"])
     chosen = scratch.save(chosen)
 
     lonely = index.where(F.col("n") <= light).mapInArrow(_without(repeated), "doc long, n long, prefix binary")
@@ -445,6 +452,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = D
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _components_by_row(texts: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The same where an id has rows of different sets: rows get ids of their own, and the
+    ids that their components hold are linked in turn."""
+    rows = scratch.save(texts.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    found = scratch.save(jaccard_components(rows.where("row IS NOT NULL"), n, num, den, "row").join(rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("own")), "doc_id"))
+    least = found.groupBy("component_id").agg(F.min("own").alias("least"))
+    linked = components(rows.sparkSession, found.join(least, "component_id").select(F.col("own").alias("src"), F.col("least").alias("dst")), scratch)
+    whole = found.select(F.col("own").alias("doc_id"), "n_shingles").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # rows without an id are linked with nothing; only their sets are counted
+    count = rows.where("row IS NULL").select("doc_id", "text").mapInArrow(releasing(_counted(n)), "doc_id long, n_shingles long")
+    return whole.unionByName(count.withColumn("component_id", F.lit(None).cast("long")))
+
+
+def _counted(n: int):
+    def run(batches):
+        for batch in batches:
+            for start, column in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(column)), pa.array(_sets(column, n)[2].astype(np.int64))], names=["doc_id", "n_shingles"])
+    return run
+
+
 def _with_copies(index: DataFrame, repeated) -> DataFrame:
     def run(batches):
         for batch in batches:
