@@ -65,20 +65,36 @@ def active_indices(merged: DataFrame) -> DataFrame:
     return merged.withColumn("active", (F.dense_rank().over(W.partitionBy("block_id").orderBy("index")) - 1).cast("int"))
 
 
-def partition_variants(variants: DataFrame, blocks: DataFrame, width: int = 1_000_000, chromosome: str | None = None, position: str | None = None) -> DataFrame:
-    """Variants with the block (or blocks) they lie in, start <= position < end.
+def ranges(lo: Column, hi: Column) -> Column:
+    """(level, bin) of the bins that a range lo <= x < hi touches: two at most, of the power of
+    two next above its length, so a bin's ranges are as long as the bin or half of it."""
+    level = F.length(F.bin(F.ceil(hi) - F.floor(lo))).cast("int")
+    at = lambda x: F.call_function("shiftright", x.cast("bigint"), level)
+    first, last = at(F.floor(lo)), at(F.ceil(hi) - 1)
+    return F.transform(F.array_distinct(F.array(first, last)), lambda x: F.struct(level.alias("level"), x.alias("bin")))
 
-    A few blocks are broadcast; otherwise both sides are cut into bins of ``width``
-    bases, so the range join is an equality join on (chromosome, bin) that spreads.
+
+def inside_ranges(points: DataFrame, regions: DataFrame, chrom: Column, pos: Column) -> DataFrame:
+    """Points joined to the regions (_c, _lo, _hi, ...) they lie in, _lo <= pos < _hi.
+
+    A region stands in the one or two bins of its own length, a point in one bin for each
+    power of two that lengths have, so a point meets few regions that it is not in,
+    however many there are and however different their lengths.
     """
+    r = regions.where("_lo < _hi").withColumn("_at", F.explode(ranges(F.col("_lo"), F.col("_hi")))).select("*", F.col("_at.level").alias("_level"), F.col("_at.bin").alias("_bin")).drop("_at")
+    levels = sorted(x._level for x in r.select("_level").distinct().collect())  # 64 at most
+    bins = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(pos, k).alias("bin")) for k in levels]) if levels else F.array().cast("array<struct<level: int, bin: bigint>>")
+    p = points.withColumns({"_pc": chrom, "_pp": pos, "_pa": F.explode(bins)})
+    on = (F.col("_pc") == F.col("_c")) & (F.col("_pa.level") == F.col("_level")) & (F.col("_pa.bin") == F.col("_bin")) & (F.col("_pp") >= F.col("_lo")) & (F.col("_pp") < F.col("_hi"))
+    return p.join(small(r), on).drop("_pc", "_pp", "_pa", "_c", "_lo", "_hi", "_level", "_bin")
+
+
+def partition_variants(variants: DataFrame, blocks: DataFrame, chromosome: str | None = None, position: str | None = None) -> DataFrame:
+    """Variants with the block (or blocks) they lie in, start <= position < end: an equality
+    join on (chromosome, bin) that spreads, or whose few blocks are broadcast."""
     chrom, pos = resolve(variants.columns, chromosome, CHROMOSOME_NAMES), resolve(variants.columns, position, POSITION_NAMES)
     b = blocks.select("block_id", F.col("chrom").cast("bigint").alias("_c"), F.col("chromStart").alias("_lo"), F.col("chromEnd").alias("_hi"))
-    p, c = variants[pos].cast("bigint"), variants[chrom].cast("bigint")
-    inside = (p >= F.col("_lo")) & (p < F.col("_hi"))
-    if b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return variants.join(F.broadcast(b), (c == F.col("_c")) & inside).drop("_c", "_lo", "_hi")
-    b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
-    return variants.join(b, (c == F.col("_c")) & (F.floor(p / width) == F.col("_bin")) & inside).drop("_c", "_lo", "_hi", "_bin")
+    return inside_ranges(variants, b, variants[chrom].cast("bigint"), variants[pos].cast("bigint"))
 
 
 def merge_intervals(regions: DataFrame) -> DataFrame:
@@ -91,7 +107,7 @@ def merge_intervals(regions: DataFrame) -> DataFrame:
     return r.groupBy("chrom", "_island").agg(F.min("chromStart").alias("chromStart"), F.max("chromEnd").alias("chromEnd")).drop("_island")
 
 
-def bed_membership(variants: DataFrame, regions: DataFrame, name: str, width: int = 1_000_000, chromosome: str | None = None, position: str | None = None) -> DataFrame:
+def bed_membership(variants: DataFrame, regions: DataFrame, name: str, chromosome: str | None = None, position: str | None = None) -> DataFrame:
     """Adds a Boolean: does the (1-based) position lie in a (0-based, half-open) region?
 
     Positions are looked up once each, in merged regions, by a join that keeps every
@@ -100,10 +116,8 @@ def bed_membership(variants: DataFrame, regions: DataFrame, name: str, width: in
     chrom, pos = resolve(variants.columns, chromosome, CHROMOSOME_NAMES), resolve(variants.columns, position, POSITION_NAMES)
     r = regions.select(F.regexp_replace(F.col("chrom").cast("string"), "^chr", "").cast("bigint").alias("chrom"), "chromStart", "chromEnd")
     r = merge_intervals(r).select(F.col("chrom").alias("_c"), F.col("chromStart").alias("_lo"), F.col("chromEnd").alias("_hi"))
-    r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
     where = variants.select(F.col(chrom).cast("bigint").alias("_vc"), F.col(pos).cast("bigint").alias("_vp")).distinct()
-    p = F.col("_vp") - 1
-    hit = where.join(r, (F.col("_vc") == F.col("_c")) & (F.floor(p / width) == F.col("_bin")) & (p >= F.col("_lo")) & (p < F.col("_hi")), "left_semi").withColumn("_hit", F.lit(True))
+    hit = inside_ranges(where, r, F.col("_vc"), F.col("_vp") - 1).withColumn("_hit", F.lit(True))  # merged regions: one hit at most
     out = variants.join(hit, (variants[chrom].cast("bigint") == F.col("_vc")) & (variants[pos].cast("bigint") == F.col("_vp")), "left")
     return out.withColumn(fresh_name(variants.columns, name), F.coalesce("_hit", F.lit(False))).drop("_vc", "_vp", "_hit")
 

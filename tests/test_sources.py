@@ -160,3 +160,17 @@ def test_genes_are_numbered_once_each_when_a_sort_is_sampled(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     rows = [r[1:] for r in sorted(found)]
     assert sorted(r[0] for r in found) == list(range(len(rows))) and rows == sorted(rows)
+
+
+def test_ranges_of_any_length_stand_in_two_bins_and_find_their_points(spark, monkeypatch):
+    from locusflow.operators import joins as J
+
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 10)
+    regions = [(k, k % 2, k * 37 - 500, k * 37 - 500 + n) for k, n in enumerate([0, 1, 2, 3, 64, 700, 5000, 1_000_000, 3_000_000_000] * 4)]
+    b = spark.createDataFrame(regions, "block_id long, chrom long, chromStart long, chromEnd long")
+    bins = b.where("chromStart < chromEnd").select(F.size(J.ranges(F.col("chromStart"), F.col("chromEnd"))).alias("n"))
+    assert bins.agg(F.max("n")).first()[0] == 2
+    v = [(i, i % 2, p) for i, p in enumerate([*range(-520, 1500, 7), 10**6, 10**9, 5 * 10**9])]
+    found = J.partition_variants(spark.createDataFrame(v, "id long, CHR long, POS long"), b)
+    assert found.columns == ["id", "CHR", "POS", "block_id"]
+    assert sorted((r.id, r.block_id) for r in found.collect()) == sorted((i, k) for i, c, p in v for k, d, lo, hi in regions if c == d and lo <= p < hi)
