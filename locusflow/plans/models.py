@@ -18,6 +18,11 @@ from ..operators.joins import active_indices, merge_snplists, restore_rows
 from .precision import Block, likelihood_gradient, likelihood_hessian, log_likelihood
 
 
+#: Blocks of so many indices are dense whatever their entries: one call inverts them sooner than
+#: loops over the columns of a sparse factor do, and their matrix is 512 kB.
+SMALL = 256
+
+
 def pack_edges(edges: DataFrame) -> DataFrame:
     """(edge_block, i, j, v, n): one row of arrays per block; a block's matrix fits one task by design."""
     e = F.sort_array(F.collect_list(F.struct("i", "j", "value")))
@@ -26,14 +31,23 @@ def pack_edges(edges: DataFrame) -> DataFrame:
 
 
 def per_block(rows: DataFrame, edges: DataFrame, schema: str, solve: Callable[[pd.DataFrame, Block], pd.DataFrame]) -> DataFrame:
-    """Runs ``solve(rows of a block, its matrix)`` for every block that has rows."""
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in schema.split(", ")])
-        m = right.iloc[0]
-        return solve(left.sort_values("ordinal", kind="stable"), Block.from_entries(m["i"], m["j"], m["v"], int(m["n"])))
-
-    return rows.groupBy("block_id").cogroup(pack_edges(edges).groupBy("edge_block")).applyInPandas(run, schema)
+    """Runs ``solve(rows of a block by ordinal, its matrix)`` for every block that has rows.
+    A block is one row of arrays on both sides, so a task takes many of them in one batch."""
+    columns = ["ordinal", *[c for c in rows.columns if c not in ("block_id", "ordinal")]]
+    held = rows.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_r"))
+    held = held.select("block_id", *[F.col("_r")[c].alias(f"_r{k}") for k, c in enumerate(columns)])
+    both = held.join(pack_edges(edges).withColumnRenamed("edge_block", "block_id"), "block_id")
+
+    def run(batches):
+        for pdf in batches:
+            found = []
+            for block, *arrays, i, j, v, n in pdf.itertuples(index=False, name=None):
+                order = np.zeros(0, np.int64) if n <= SMALL else None
+                found.append(solve(pd.DataFrame({"block_id": block, **dict(zip(columns, arrays, strict=True))}), Block.from_entries(i, j, v, int(n), order)))
+            if found := [f for f in found if len(f)]:
+                yield pd.concat(found, ignore_index=True)
+
+    return both.mapInPandas(run, schema)
 
 
 def matched(variants: DataFrame, sumstats: DataFrame, z: str = "Z", **how) -> DataFrame:

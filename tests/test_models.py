@@ -141,3 +141,15 @@ def test_jackknife_steps_go_uphill():
         rest = [i for i in range(6) if i != k]
         best = np.linalg.solve(sum(h[i] for i in rest), sum(h[i] @ top[i] for i in rest))
         assert np.allclose(got[k], best, atol=1e-6)
+
+
+def test_small_blocks_are_dense_and_large_ones_keep_their_entries(spark):
+    from pyspark.sql import functions as F
+
+    from locusflow.plans.models import SMALL, per_block
+
+    sizes = spark.createDataFrame([(1, 40), (2, SMALL + 1)], "block_id long, n int")
+    rows = sizes.select("block_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("index"), "n").withColumn("ordinal", F.col("index").cast("long"))
+    edges = rows.select("block_id", F.col("index").alias("i"), F.col("index").alias("j"), F.lit(2.0).alias("value")).unionByName(rows.where("index < n - 1").select("block_id", F.col("index").alias("i"), (F.col("index") + 1).alias("j"), F.lit(-0.5).alias("value")))
+    found = per_block(rows, edges, "block_id long, kind string, rows int", lambda r, b: __import__("pandas").DataFrame({"block_id": [r["block_id"].iloc[0]], "kind": [type(b).__name__], "rows": [len(r)]})).collect()
+    assert sorted((r.block_id, r.kind, r.rows) for r in found) == [(1, "Block", 40), (2, "SparseBlock", SMALL + 1)]
