@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,19 @@ def written(df: DataFrame, kind: str, ending: str = "", **options) -> str:
     return path
 
 
+def headed(lines: DataFrame, header: list[str]) -> DataFrame:
+    """Lines (value) with the header's before those of each partition."""
+    def run(batches):
+        for values in chain([pa.array(header, pa.string())], (batch.column(0).cast(pa.string()) for batch in batches)):
+            yield pa.RecordBatch.from_arrays([values], names=["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
 def written_lines(df: DataFrame, header: list[str], columns: list[str], ending: str = "", separator: str = "\t") -> str:
-    """A text file: header lines, then the rows of ``df`` by its first column, in one part."""
-    spark = df.sparkSession
-    head = spark.createDataFrame([(-1, k, x) for k, x in enumerate(header)], "part int, at long, value string")
-    body = df.select(F.lit(0).alias("part"), F.col(df.columns[0]).cast("long").alias("at"), F.concat_ws(separator, *[F.col(c).cast("string") for c in columns]).alias("value"))
-    return written(head.unionByName(body).repartition(1).sortWithinPartitions("part", "at").select("value"), "text", ending)
+    """A folder of text files: the rows of ``df`` by its first column, a range of it and the
+    header lines in each, as the readers of such files take them."""
+    if df.isEmpty():
+        return written(df.sparkSession.createDataFrame([(x,) for x in header], "value string").coalesce(1), "text", ending)
+    body = df.select(F.col(df.columns[0]).cast("long").alias("at"), F.concat_ws(separator, *[F.col(c).cast("string") for c in columns]).alias("value"))
+    return written(headed(body.repartitionByRange("at").sortWithinPartitions("at").select("value"), header), "text", ending)

@@ -44,12 +44,22 @@ def block_size(head: bytes) -> int | None:
     return None
 
 
-def is_bgzf(path: str) -> bool:
+def files_of(path: str):
+    """(file system, files): the file itself, or of a folder all compressed files by name."""
+    from pyarrow import fs
+
     system, name = file_system(path)
+    if system.get_file_info(name).type != fs.FileType.Directory:
+        return system, [name]
+    return system, sorted(x.path for x in system.get_file_info(fs.FileSelector(name)) if x.path.lower().endswith((".gz", ".bgz")))
+
+
+def is_bgzf(path: str) -> bool:
     try:
-        with system.open_input_file(name) as f:
+        system, names = files_of(path)
+        with system.open_input_file(names[0]) as f:
             return block_size(f.read(64)) is not None
-    except OSError:
+    except (OSError, IndexError):
         return False
 
 
@@ -63,6 +73,7 @@ def packed(data: bytes) -> bytes:
 
 def write_bgzf(lines: Iterator[bytes], path: str, size: int = 60_000) -> None:
     system, name = file_system(path)
+    system.create_dir(name.rpartition("/")[0] or ".")
     with system.open_output_stream(name, compression=None) as out:
         held = b""
         for line in lines:
@@ -139,10 +150,10 @@ def lines_of(f, start: int, end: int) -> Iterator[bytes]:
 
 
 def header(path: str) -> tuple[list[str], list[str]]:
-    """(samples, FORMAT keys): declared keys, and those of the first row."""
-    system, name = file_system(path)
+    """(samples, FORMAT keys) of the (first) file: declared keys, and those of the first row."""
+    system, names = files_of(path)
     samples, keys = None, []
-    with system.open_input_file(name) as f:
+    with system.open_input_file(names[0]) as f:
         for raw in lines_of(f, 0, f.size()):
             line = raw.decode()
             if line.startswith("##FORMAT=<ID="):
@@ -159,8 +170,8 @@ def header(path: str) -> tuple[list[str], list[str]]:
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
+    def __init__(self, names: list[str], start: int, end: int):
+        self.names, self.start, self.end = names, start, end
 
 
 class VcfReader(DataSourceReader):
@@ -169,39 +180,41 @@ class VcfReader(DataSourceReader):
         self.names = schema.fieldNames()
 
     def partitions(self):
+        system, names = files_of(self.options["path"])
         if int(self.options.get("rows", -1)) >= 0:
-            return [_Range(0, 1 << 62)]
-        system, name = file_system(self.options["path"])
-        size, step = system.get_file_info(name).size, int(self.options.get("split", 32 << 20))
-        return [_Range(a, min(size, a + step)) for a in range(0, size, step)] or [_Range(0, 0)]
+            return [_Range(names, 0, 1 << 62)]
+        step = int(self.options.get("split", 32 << 20))
+        sizes = {name: system.get_file_info(name).size for name in names}
+        return [_Range([name], a, min(size, a + step)) for name, size in sizes.items() for a in range(0, size, step)] or [_Range(names[:1], 0, 0)]
 
     def read(self, partition: _Range):
         o, left = self.options, int(self.options.get("rows", -1))
         keys = self.names[9:]
         chrom, low, high = o.get("chromosome"), int(o.get("low", -1)), int(o.get("high", 1 << 62))
         layouts: dict[str, list[int]] = {}
-        system, name = file_system(o["path"])
+        system, _ = file_system(o["path"])
         rows: list[tuple] = []
-        with system.open_input_file(name) as f:
-            for raw in lines_of(f, partition.start, partition.end):
-                if not raw or raw.startswith(b"#"):
-                    continue
-                if left == 0:
-                    break
-                left -= 1
-                c, pos, rest = raw.decode().rstrip("\r").split("\t", 2)
-                c = c.replace("chr", "")
-                if (chrom is not None and c != chrom) or not (pos.isdigit() and low <= int(pos) < high):
-                    continue
-                fields = rest.split("\t")
-                layout = layouts.get(fields[6])
-                if layout is None:
-                    layout = layouts[fields[6]] = self._layout(fields[6], keys)
-                values = fields[7].split(":")
-                rows.append((int(c) if c.isdigit() else None, int(pos), *fields[:6], fields[6], *(_number(values[k]) if 0 <= k < len(values) else None for k in layout)))
-                if len(rows) == 8192:
-                    yield self._batch(rows)
-                    rows = []
+        for name in partition.names:
+            with system.open_input_file(name) as f:
+                for raw in lines_of(f, partition.start, partition.end):
+                    if not raw or raw.startswith(b"#"):
+                        continue
+                    if left == 0:
+                        break
+                    left -= 1
+                    c, pos, rest = raw.decode().rstrip("\r").split("\t", 2)
+                    c = c.replace("chr", "")
+                    if (chrom is not None and c != chrom) or not (pos.isdigit() and low <= int(pos) < high):
+                        continue
+                    fields = rest.split("\t")
+                    layout = layouts.get(fields[6])
+                    if layout is None:
+                        layout = layouts[fields[6]] = self._layout(fields[6], keys)
+                    values = fields[7].split(":")
+                    rows.append((int(c) if c.isdigit() else None, int(pos), *fields[:6], fields[6], *(_number(values[k]) if 0 <= k < len(values) else None for k in layout)))
+                    if len(rows) == 8192:
+                        yield self._batch(rows)
+                        rows = []
         if rows:
             yield self._batch(rows)
 

@@ -174,3 +174,18 @@ def test_ranges_of_any_length_stand_in_two_bins_and_find_their_points(spark, mon
     found = J.partition_variants(spark.createDataFrame(v, "id long, CHR long, POS long"), b)
     assert found.columns == ["id", "CHR", "POS", "block_id"]
     assert sorted((r.id, r.block_id) for r in found.collect()) == sorted((i, k) for i, c, p in v for k, d, lo, hi in regions if c == d and lo <= p < hi)
+
+
+def test_written_lines_are_spread_and_each_file_has_the_header(spark):
+    from locusflow.plans.files import written_lines
+    from locusflow.sources.sumstats import read_ldsc_snplist
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = written_lines(spark.range(5000).selectExpr("id", "concat('r', id) AS s"), ["SNP\tA1\tA2"], ["s", "id", "id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    assert len(files) > 1 and all(spark.read.text(f).first().value == "SNP\tA1\tA2" for f in files)
+    assert sorted(r.SNP for r in read_ldsc_snplist(spark, path).collect()) == sorted(f"r{i}" for i in range(5000))
+    assert read_ldsc_snplist(spark, written_lines(spark.range(0), ["SNP\tA1\tA2"], ["id", "id", "id"])).count() == 0
