@@ -1,5 +1,7 @@
 """Links that a full filter or a repeated id must not lose."""
 
+import random
+
 from locusflow.llm import common, jaccard
 
 
@@ -32,3 +34,25 @@ def test_the_stage_keeps_one_of_each_group_when_the_filter_is_full(spark, monkey
     docs = [(2 * k + j, " ".join(f"c{k}x{i}" for i in range(20))) for k in range(600) for j in (0, 1)] + [(5000 + k, text) for k, text in enumerate(_near("a"))]
     kept = jaccard.jaccard_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 1200, 2), 5000]
+
+
+def test_the_stage_leaves_out_no_link_of_random_texts(spark, monkeypatch):
+    """Copies with a few words changed, light and heavy, in lists cut into small pieces behind a full filter; by brute force."""
+    for name, value in (("_PIECE", 20), ("_THINNED", 8), ("_BLOCK", 4), ("_ROW_DOCS", 8), ("_ENTRIES_PER_BUCKET", 500)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "bit_filter", lambda df, column: common.bit_filter(df, column, 64))
+    rng, docs = random.Random(7), []
+    for k in range(60):
+        base = [f"w{rng.randrange(9)}" if k % 3 == 0 else f"u{k}x{rng.randrange(999)}" for _ in range(rng.choice([3, 6, 8, 9, 12, 16, 40, 120]))]
+        for _ in range(rng.choice([1, 2, 4, 9])):
+            docs.append((rng.randrange(1 << 40), " ".join(base)))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                base[rng.randrange(len(base))] = f"z{rng.randrange(99)}"
+    sets = {i: {tuple(t.split()[p: p + 5]) for p in range(max(1, len(t.split()) - 4))} for i, t in docs}
+    least = {i: i for i in sets}
+    links = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and 100 * len(x & y) >= 75 * len(x | y)]
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    kept = jaccard.jaccard_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in least.values()})
