@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ CHROMOSOME_NAMES, POSITION_NAMES = ("chrom", "chromosome", "CHR"), ("position",
 SPAN = 1_000_000_000
 #: Places of genes in a run.
 RUN = 64
+#: Rows of a task, about, where a step's rows are counted first: at most, and at least while cores are free.
+TASK_ROWS, LEAST_ROWS = 250_000, 50_000
 #: Rank weights of a variant's nearest genes.
 NEAREST_WEIGHTS = (0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05)
 
@@ -25,6 +27,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def n_tasks(spark: SparkSession, rows: int) -> int:
+    """Into how many tasks to deal ``rows`` rows, so that a task's rows don't grow with the table."""
+    return max(1, -(-rows // TASK_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // LEAST_ROWS)))
+
+
 def resolve(columns: list[str], wanted: str | None, names: tuple[str, ...]) -> str:
     for name in ([wanted] if wanted else []) + list(names):
         if name in columns:

@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import n_tasks
 from .sampling import uniform
 
+#: One entry in so many tells how entries are dealt, and from how many on an annotation's are summed by block first.
+SAMPLED, MANY = 1000, 100_000
+
 
 def entries(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """(keys, annot, value) of the values of ``names`` that are neither 0 nor missing; the
@@ -22,10 +26,48 @@ def entries(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return wide.select(*keys, F.explode(there).alias("_p")).select(*keys, "_p.annot", "_p.value")
 
 
+def _sizes(found: DataFrame, on: list[str]) -> tuple[int, list]:
+    """About how many entries there are, and the annotations with more than about ``MANY``,
+    by one entry in ``SAMPLED``.  They only say how entries are dealt."""
+    drawn = found.where(F.pmod(F.xxhash64(*on, "annot"), F.lit(SAMPLED)) == 0).groupBy("annot").agg(F.count("*").alias("n"))
+    total, large = drawn.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(F.col("n") * SAMPLED > MANY, F.col("annot")))).first()
+    return total * SAMPLED, large
+
+
+def _summed(rows: DataFrame, found: DataFrame, on: list[str], by: tuple[str, ...], block: str, gradients: list[str]) -> DataFrame:
+    """(by, annot, block, gradients): each gradient's sum of gradient times value.
+
+    Entries are dealt by annotation, into tasks of bounded size, so what is summed by
+    annotation afterwards is where it belongs.  Annotations of very many entries are
+    summed by block first, as blocks are fewer than entries then.
+    """
+    spark = found.sparkSession
+    total, large = _sizes(found, on)
+    tasks = n_tasks(spark, total)
+
+    def sums(part: DataFrame, dealt: bool) -> DataFrame:
+        joined = rows.select(*on, *by, block, *gradients).join(part.select(*on, "annot", "value"), on)
+        joined = joined.select(*by, "annot", block, *[(F.col(g) * F.col("value")).alias(g) for g in gradients])
+        joined = joined.repartition(tasks, "annot") if dealt else joined
+        return joined.groupBy(*by, "annot", block).agg(*[F.sum(g).alias(g) for g in gradients])
+
+    if not large:
+        return sums(found, True)
+    marks = F.broadcast(spark.createDataFrame([(a,) for a in large], found.select("annot").schema))
+    return sums(found.join(marks, "annot", "left_anti"), True).unionByName(sums(found.join(marks, "annot", "left_semi"), False))
+
+
 def block_sums(rows: DataFrame, found: DataFrame, on: list[str], by: tuple[str, ...] = (), block: str = "jk", gradient: str = "grad") -> DataFrame:
     """(by, annot, block, u): the sum of gradient times value, of the blocks with an entry."""
-    joined = rows.select(*on, *by, block, gradient).join(found.select(*on, "annot", "value"), on)
-    return joined.groupBy(*by, "annot", block).agg(F.sum(F.col(gradient) * F.col("value")).alias("u"))
+    return _summed(rows, found, on, by, block, [gradient]).withColumnRenamed(gradient, "u")
+
+
+def trait_sums(rows: DataFrame, found: DataFrame, on: list[str], traits: list[str], block: str = "jk") -> DataFrame:
+    """(trait, annot, block, u) for traits whose gradients are columns of ``rows``: entries are
+    joined and dealt once for all of them, and sums become a row per trait where they are."""
+    sums = _summed(rows, found, on, (), block, traits)
+    each = F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("u")) for t in traits])
+    return sums.select("annot", block, F.explode(each).alias("_t")).select("_t.trait", "annot", block, "_t.u")
 
 
 def n_blocks(rows: DataFrame, by: tuple[str, ...] = (), block: str = "jk") -> DataFrame:
@@ -44,7 +86,7 @@ def score_z(sums: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ()) -> Dat
     """(by, annot, u, b, z) like the dense test: Z = U / (deviation of the leave-one-out sums
     * sqrt(B - 1)), which vary as the blocks' sums do."""
     if by:
-        joined, b = sums.join(blocks, list(by)), F.first("blocks")
+        joined, b = sums.join(F.broadcast(blocks), list(by)), F.first("blocks")  # a row per trait or group
     else:
         joined, b = sums, F.lit(blocks.first().blocks)  # one number
     out = joined.groupBy(*by, "annot").agg(F.sum("u").alias("u"), _spread("u", b).alias("sd"), b.alias("b"))

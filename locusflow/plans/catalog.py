@@ -101,28 +101,33 @@ f AS (SELECT trait, annot, n.jk, coalesce(u.u, 0) AS u FROM (SELECT DISTINCT tra
 
 def part_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(scores of two traits, entries): a set per part, holding the orders with that part, so
-    there are thousands of sets of some thirty members each."""
-    v = variants(spark, d)
-    traits = F.array(F.struct(F.lit("t1").alias("trait"), F.col("z").alias("grad")), F.struct(F.lit("t2").alias("trait"), (F.col("z") * F.col("z")).alias("grad")))
-    scores = v.select("rid", "jk", F.explode(traits).alias("t")).select("rid", "jk", "t.trait", "t.grad")
-    found = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("annot")).agg(F.sum("l_quantity").alias("value"))
+    there are thousands of sets of some thirty members each.  Lines are dealt by order, once
+    for the sums of an order's parts and for the join with its scores."""
+    scores = variants(spark, d).select("rid", "jk", F.col("z").alias("t1"), (F.col("z") * F.col("z")).alias("t2"))
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("annot"), "l_quantity")
+    found = lines.repartition(J.n_tasks(spark, lines.count()), "rid").groupBy("rid", "annot").agg(F.sum("l_quantity").alias("value"))
     return scores, found
 
 
+def part_sums(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(sums by trait, set and block, number of blocks by trait)."""
+    scores, found = part_sets(spark, d)
+    traits = F.explode(F.array(F.lit("t1"), F.lit("t2"))).alias("trait")
+    return S.trait_sums(scores, found, ["rid"], ["t1", "t2"]), S.n_blocks(scores).select(traits, "blocks")
+
+
 @query(f"""WITH {_SETS} SELECT trait, annot, round(sum(u), 8) AS u, round(sum(u) / (stddev_pop(u) * sqrt(count(*) - 1)), 6) AS z FROM f GROUP BY trait, annot""")
 def q_sparse_sets(spark, d):
     """Score tests of thousands of sets and two traits at once; the SQL spells out every block."""
-    scores, found = part_sets(spark, d)
-    z = S.score_z(S.block_sums(scores, found, ["rid"], ("trait",)), S.n_blocks(scores, ("trait",)), ("trait",))
+    z = S.score_z(*part_sums(spark, d), ("trait",))
     return z.select("trait", "annot", F.round("u", 8).alias("u"), F.round("z", 6).alias("z"))
 
 
 @query(f"""WITH {_SETS}, w AS (SELECT trait, annot, 1 / var_pop(u) AS w FROM f GROUP BY trait, annot), c AS (SELECT annot, jk, sum(w * u) AS u FROM f JOIN w USING (trait, annot) GROUP BY annot, jk)
 SELECT 'm' AS "group", annot, round(sum(u) / (stddev_pop(u) * sqrt(count(*) - 1)), 6) AS z FROM c GROUP BY annot""")
 def q_sparse_meta(spark, d):
-    scores, found = part_sets(spark, d)
     groups = spark.createDataFrame([("m", "t1"), ("m", "t2")], "group string, trait string")
-    z = S.meta_z(S.block_sums(scores, found, ["rid"], ("trait",)), S.n_blocks(scores, ("trait",)), groups)
+    z = S.meta_z(*part_sums(spark, d), groups)
     return z.select("group", "annot", F.round("z", 6).alias("z"))
 
 

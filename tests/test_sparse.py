@@ -1,5 +1,7 @@
 """Sparse factors, links, sums on executors, sweeps and sparse annotations against plain forms."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -275,3 +277,36 @@ def test_a_map_of_other_blocks_is_refused(spark, tmp_path):
     store.write_surrogates(map_, str(tmp_path / "bare"))
     with pytest.raises(ValueError, match="fingerprints"):
         store.read_surrogate_map(spark, str(tmp_path / "bare"), prints)
+
+
+def test_tasks_of_set_sums_grow_with_the_entries(spark, monkeypatch):
+    """Lines by order, then entries by set, are dealt by their number and not by the session's."""
+    from locusflow.plans import catalog
+
+    monkeypatch.setattr(J, "TASK_ROWS", 500)
+    monkeypatch.setattr(S, "SAMPLED", 1)
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    entries = lines.select("l_orderkey", "l_partkey").distinct().count()
+    plan = plans_of(catalog.QUERIES["q_sparse_sets"](spark, d))
+    for key, n in (("rid", lines.count()), ("annot", entries)):
+        assert set(re.findall(rf"hashpartitioning\({key}#\d+L, (\d+)\), REPARTITION", plan)) == {str(-(-n // 500))}, key
+
+
+@pytest.mark.parametrize("many", [0, 30, 10**9])
+def test_sums_of_large_annotations_equal_dense_ones(spark, monkeypatch, many):
+    """All, one or none of the annotations are summed by block first; several traits at once or one by one."""
+    monkeypatch.setattr(S, "SAMPLED", 1)
+    monkeypatch.setattr(S, "MANY", many)
+    rng = np.random.default_rng(5)
+    rows = [(k, k // 10, float(rng.normal()), float(rng.normal()), 1.0, float(k % 9 == 0), float(k == 7)) for k in range(200)]
+    wide = spark.createDataFrame(rows, "ordinal long, jk long, t1 double, t2 double, a double, b double, c double")
+    found = S.entries(wide, ["ordinal"], ["a", "b", "c"])
+    sums = S.trait_sums(wide, found, ["ordinal"], ["t1", "t2"]).collect()
+    assert len(sums) == len({(r.trait, r.annot, r.jk) for r in sums}) == 2 * (20 + len({k // 10 for k in range(0, 200, 9)}) + 1)
+    for t, g in (("t1", 2), ("t2", 3)):
+        single = {(r.annot, r.jk): r.u for r in S.block_sums(wide, found, ["ordinal"], gradient=t).collect()}
+        for r in sums:
+            if r.trait == t:
+                want = sum(x[g] * x[4 + "abc".index(r.annot)] for x in rows if x[1] == r.jk)
+                assert r.u == pytest.approx(want) and single[r.annot, r.jk] == pytest.approx(want)
