@@ -9,6 +9,7 @@ leave-one-out sums.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import n_tasks
@@ -75,10 +76,10 @@ def n_blocks(rows: DataFrame, by: tuple[str, ...] = (), block: str = "jk") -> Da
     return rows.groupBy(*by, block).agg(F.lit(1).alias("_one")).groupBy(*by).agg(F.count("*").alias("blocks"))
 
 
-def _spread(u: str, blocks):
+def _spread(u: str, blocks, over=lambda x: x):
     """Population deviation of ``u`` over all blocks, those without a row counting as 0."""
-    n, mean = F.count(u), F.avg(u)
-    within = F.coalesce(F.var_pop(u) * n, F.lit(0.0))
+    n, mean = over(F.count(u)), over(F.avg(u))
+    within = F.coalesce(over(F.var_pop(u)) * n, F.lit(0.0))
     return F.sqrt((within + mean * mean * n * (blocks - n) / blocks) / blocks)
 
 
@@ -97,9 +98,10 @@ def meta_z(sums: DataFrame, blocks: DataFrame, groups: DataFrame) -> DataFrame:
     """(group, annot, z): a group's traits with weights 1 / variance of their block sums.
     ``sums`` have a column trait, ``groups`` are (group, trait); a group's blocks are those
     of its traits, which share them."""
-    weighed = sums.join(blocks, "trait").groupBy("trait", "annot").agg(_spread("u", F.first("blocks")).alias("sd"))
-    weighed = weighed.select("trait", "annot", (1 / F.nullif(F.col("sd") * F.col("sd"), F.lit(0.0))).alias("w"))
-    joined = sums.join(weighed, ["trait", "annot"]).join(groups, "trait")
+    own = W.partitionBy("trait", "annot")
+    weighed = sums.join(F.broadcast(blocks), "trait").withColumn("sd", _spread("u", F.col("blocks"), lambda x: x.over(own))).drop("blocks")
+    weighed = weighed.withColumn("w", 1 / F.nullif(F.col("sd") * F.col("sd"), F.lit(0.0)))
+    joined = weighed.join(F.broadcast(groups), "trait")
     combined = joined.groupBy("group", "annot", "jk").agg(F.sum(F.col("w") * F.col("u")).alias("u"))
     most = blocks.join(groups, "trait").groupBy("group").agg(F.max("blocks").alias("blocks"))
     return score_z(combined, most, ("group",)).select("group", "annot", "z")

@@ -310,3 +310,14 @@ def test_sums_of_large_annotations_equal_dense_ones(spark, monkeypatch, many):
             if r.trait == t:
                 want = sum(x[g] * x[4 + "abc".index(r.annot)] for x in rows if x[1] == r.jk)
                 assert r.u == pytest.approx(want) and single[r.annot, r.jk] == pytest.approx(want)
+
+
+def test_meta_analysis_of_sets_deals_entries_once(spark, monkeypatch):
+    """By order and by set; weights and sums of a set are found where its entries are."""
+    from locusflow.plans import catalog
+
+    monkeypatch.setattr(J, "LEAST_ROWS", 500)
+    monkeypatch.setattr(S, "SAMPLED", 1)
+    plan = plans_of(catalog.QUERIES["q_sparse_meta"](spark, "/root/testdata/sf0.001"))
+    assert len(re.findall(r"Exchange hashpartitioning\(annot", plan)) == 1
+    assert re.findall(r"Exchange hashpartitioning\((trait|group)", plan) == ["group"]  # of the groups' numbers of blocks
