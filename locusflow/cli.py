@@ -233,7 +233,7 @@ def test_annotations(spark: SparkSession, args: argparse.Namespace, s: store.Sco
             parts.append((["ordinal"], members.withColumn("value", F.lit(1.0))))
         else:
             places = rows.select(F.col("ordinal").alias("variant_id"), "CHR", "POS")
-            long = J.gene_set_annotations(J.nearest_genes(places, genes := annotations.load_gene_table(spark, args.genes)), genes, sets)
+            long = J.gene_set_annotations(J.nearest_genes(places, genes := annotations.load_gene_table(spark, args.genes)), genes, sets, len(J.NEAREST_WEIGHTS) * places.count())
             parts.append((["ordinal"], long.select(F.col("variant_id").alias("ordinal"), F.col("set_name").alias("annot"), "value")))
         names += sorted(r.set_name for r in sets.select("set_name").distinct().collect())  # a row per set
     if args.random_variants:

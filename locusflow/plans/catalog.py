@@ -166,8 +166,8 @@ def q_knn_genes(spark, d):
 
 @query(f"WITH {_KNN} SELECT rid AS variant_id, p_brand AS set_name, round(sum(weight), 9) AS value FROM n JOIN g USING (gene_idx) GROUP BY 1, 2")
 def q_gene_set_annot(spark, d):
-    g = genes(spark, d)
-    out = J.gene_set_annotations(_nearest(spark, d), g, g.select(F.col("p_brand").alias("set_name"), F.col("gene_id").alias("gene")))
+    g, rows = genes(spark, d), len(J.NEAREST_WEIGHTS) * variants(spark, d).count()
+    out = J.gene_set_annotations(_nearest(spark, d), g, g.select(F.col("p_brand").alias("set_name"), F.col("gene_id").alias("gene")), rows)
     return out.withColumn("value", F.round("value", 9))
 
 

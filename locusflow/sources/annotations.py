@@ -133,7 +133,8 @@ def gene_set_columns(spark: SparkSession, path: str, variants: DataFrame, genes:
 
     sets = load_gene_sets(spark, path, names)
     found = sorted(r.set_name for r in sets.select("set_name").distinct().collect())  # a row per set
-    long = gene_set_annotations(nearest_genes(variants, genes, weights or NEAREST_WEIGHTS), genes, sets)
+    weights = weights or NEAREST_WEIGHTS
+    long = gene_set_annotations(nearest_genes(variants, genes, weights), genes, sets, len(weights) * variants.count())
     wide = long.groupBy("variant_id").pivot("set_name", found).agg(F.first("value"))
     return variants.select("variant_id").join(wide, "variant_id", "left").fillna(0.0, found), found
 

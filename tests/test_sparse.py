@@ -321,3 +321,14 @@ def test_meta_analysis_of_sets_deals_entries_once(spark, monkeypatch):
     plan = plans_of(catalog.QUERIES["q_sparse_meta"](spark, "/root/testdata/sf0.001"))
     assert len(re.findall(r"Exchange hashpartitioning\(annot", plan)) == 1
     assert re.findall(r"Exchange hashpartitioning\((trait|group)", plan) == ["group"]  # of the groups' numbers of blocks
+
+
+def test_tasks_of_gene_set_annotations_grow_with_the_variants(spark, monkeypatch):
+    from locusflow.plans import catalog
+
+    monkeypatch.setattr(J, "TASK_ROWS", 500)
+    d = "/root/testdata/sf0.001"
+    tasks = str(-(-7 * spark.read.parquet(f"{d}/orders.parquet").count() // 500))
+    plan = plans_of(catalog.QUERIES["q_gene_set_annot"](spark, d))
+    assert re.findall(r"hashpartitioning\((variant_id)#\d+L, (\d+)\), REPARTITION", plan) == [("variant_id", tasks)]
+    assert set(re.findall(r"hashpartitioning\(gene_idx#\d+L, _part#\d+, (\d+)\)", plan)) == {tasks}
